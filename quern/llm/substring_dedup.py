@@ -6,7 +6,8 @@ in a document of smaller doc_id; the words that repeated windows cover merge int
 How it runs: each task sorts the codes of a few million windows and settles what its own rows show (all but the smallest
 document of a code are repeats, and only that smallest one travels on, so a passage that a third of all documents hold
 costs one entry for each task). The rest goes, compressed, to the range of codes it belongs to; there the codes are
-sorted once more and each document but the smallest is a repeat. Positions go back to their documents by doc_id.
+sorted once more and each document but the smallest is a repeat. Positions meet again by groups of documents, where they
+merge into intervals, which join the documents by doc_id.
 Two different windows share a code with a chance of 2**-64.
 
 Defined cases: null text is empty; a text of fewer words than `width` has no window and stays; repeats within one
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import runs, texts_of, whole_text
-from .wordgrid import window_codes, word_grid
+from .wordgrid import scramble, window_codes, word_grid
 
 WIDTH = 13
 #: Windows that a task sorts at once, and windows that a group of the second sort has on average.
 FLUSH = GROUP = 1_500_000
+#: Documents whose repeated windows are merged in one group.
+SHELF = 2048
 PACKED = "part int, codes binary, docs binary, places binary"
 
 
@@ -119,38 +122,58 @@ def _map_windows(width: int, parts: int):
     return run
 
 
-def _reduce_windows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one range of codes: for each document the places of its repeated windows."""
-    entries, out = [], []
-    for codes, docs, places in zip(frame["codes"], frame["docs"], frame["places"], strict=True):
-        d, p = _unrow(docs, places)
-        if codes:
-            n = int.from_bytes(codes[:4], "little")
-            entries.append((np.cumsum(_unpack(codes[4:], np.uint64, n)), d, p))
-        else:
-            out.append((d, p))
-    del frame
-    if entries:
-        _, d, p, repeated = _settle(*(np.concatenate(x) for x in zip(*entries, strict=True)))
-        out.append((d[repeated], p[repeated]))
-    d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    heads, cuts = np.unique(d, return_index=True)
-    ends = np.append(cuts, len(d))[1:]
-    return pd.DataFrame({"at_doc": heads, "places": [p[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """at_doc long, places binary (int32 each): starts of the windows that a document of smaller doc_id also has.
-
-    A document may have several rows, one for each range of codes.
-    """
+def _reduce_windows(shelves: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of one range of codes: the repeated windows, packed by the shelf of their documents."""
+        entries, out = [], []
+        for codes, docs, places in zip(frame["codes"], frame["docs"], frame["places"], strict=True):
+            d, p = _unrow(docs, places)
+            if codes:
+                n = int.from_bytes(codes[:4], "little")
+                entries.append((np.cumsum(_unpack(codes[4:], np.uint64, n)), d, p))
+            else:
+                out.append((d, p))
+        if entries:
+            _, d, p, repeated = _settle(*(np.concatenate(x) for x in zip(*entries, strict=True)))
+            out.append((d[repeated], p[repeated]))
+        d, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        shelf = (scramble(d.view(np.uint64)) % np.uint64(shelves)).astype(np.int64)
+        order = np.lexsort((p, d, shelf))
+        d, p, shelf = d[order], p[order], shelf[order]
+        present, cuts = np.unique(shelf, return_index=True)
+        rows = [_row(int(k), None, d[a:b], p[a:b]) for k, a, b in zip(present, cuts, np.append(cuts, len(d))[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["part", "codes", "docs", "places"])[["part", "docs", "places"]]
+
+    return run
+
+
+def _merge_windows(width: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of one shelf: for each document the maximal intervals that its repeated windows cover."""
+        d, p = (np.concatenate(x) for x in zip(*map(_unrow, frame["docs"], frame["places"]), strict=True))
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order].astype(np.int64)
+        opens = np.ones(len(d), bool)
+        opens[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > width)
+        first = np.flatnonzero(opens)
+        last = np.append(first, len(d))[1:] - 1
+        spans = np.stack([p[first], p[last] + width], axis=1).astype(np.int32)
+        heads, cuts = np.unique(d[first], return_index=True)
+        return pd.DataFrame({"at_doc": heads, "spans": [spans[a:b].tobytes() for a, b in zip(cuts, np.append(cuts, len(spans))[1:], strict=True)]})
+
+    return run
+
+
+def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """at_doc long, spans binary (pairs of int32): the word ranges that windows cover which a document of smaller doc_id
+    also has; one row for each document that has any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, math.ceil(size / 7 / GROUP))  # about seven bytes a word; only how work is split rests on it
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
+    parts = max(1, math.ceil(size["bytes"] / 7 / GROUP))  # about seven bytes a word; only how work is split rests on it
+    shelves = max(1, math.ceil(size["docs"] / SHELF))
     packed = rows.mapInArrow(_map_windows(width, parts), PACKED)
-    return packed.groupBy("part").applyInPandas(_reduce_windows, "at_doc long, places binary")
+    found = packed.groupBy("part").applyInPandas(_reduce_windows(shelves), "part int, docs binary, places binary")
+    return found.groupBy("part").applyInPandas(_merge_windows(width), "at_doc long, spans binary")
 
 
 def _strip(width: int):
@@ -160,13 +183,11 @@ def _strip(width: int):
         for batch in source:
             texts = texts_of(batch)
             out = {k: [] for k in schema.names}
-            for doc, text, places in zip(batch.column("doc_id").to_pylist(), texts, batch.column("places").to_pylist(), strict=True):
+            for doc, text, packed in zip(batch.column("doc_id").to_pylist(), texts, batch.column("spans").to_pylist(), strict=True):
                 words = text.split()  # bytes split at just the six blanks
                 removed, spans = 0, []
-                if places:
-                    starts = np.unique(np.frombuffer(b"".join(places), np.int32))
-                    gap = np.flatnonzero(starts[1:] - starts[:-1] > width)
-                    spans = [[int(a), int(b) + width] for a, b in zip(starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]], strict=True)]
+                if packed:
+                    spans = np.frombuffer(packed, np.int32).reshape(-1, 2).tolist()
                     kept, last = [], 0
                     for a, b in spans:
                         kept += words[last:a]
@@ -193,8 +214,8 @@ def _made(out: dict, schema: pa.Schema) -> pa.RecordBatch:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank), intervals (word ranges taken out)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = repeated_windows(docs, width).groupBy("at_doc").agg(F.collect_list("places").alias("places"))
-    joined = rows.join(found, rows.doc_id == found.at_doc, "left").select("doc_id", "text", "places")
+    found = removal_intervals(docs, width)
+    joined = rows.join(found, rows.doc_id == found.at_doc, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept string, intervals array<array<int>>")
 
 

@@ -31,6 +31,7 @@ def test_small_flushes_and_many_groups(spark, monkeypatch):
     rows = rows_for_test()
     monkeypatch.setattr(m, "FLUSH", 500)
     monkeypatch.setattr(m, "GROUP", 300)
+    monkeypatch.setattr(m, "SHELF", 5)
     df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], SCHEMA).repartition(5)
     got = sorted(tuple(r) for r in m.digest(m.remove_repeats(df)).collect())
     assert got == sorted(m.brute_force(rows))
