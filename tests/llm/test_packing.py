@@ -71,7 +71,7 @@ def test_plan_uses_every_piece_once_with_little_padding():
         assert used == counts
     made = m.plan(Counter(int(v) for v in rng.integers(1, 1024, 20_000)))
     total = sum(n for _, n in made)
-    assert 1 - sum(sum(ls) * n for ls, n in made) / (1024 * total) < 0.01
+    assert 1 - sum(sum(ls) * n for ls, n in made) / (1024 * total) < 0.02
 
 
 def test_least_squares_finds_an_exact_solution():
