@@ -40,12 +40,12 @@ def read_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return entries.select("e.key", "pos", "e.value").withColumnRenamed("key", "name")
 
 
-def read_list(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Elements of a JSON file whose root is a list, with their place as pos."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("pos", F.lit(0)).limit(0)
     text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", f"array<{schema.simpleString()}>", {"mode": "FAILFAST"})
+    parsed = F.from_json("value", f"array<struct<{schema}>>", {"mode": "FAILFAST"})
     return text.select(F.posexplode(parsed).alias("pos", "e")).select("e.*", "pos")
 
 

@@ -1,29 +1,22 @@
-"""Fixed schemas: nodes, edges, source files and search results. Nothing is inferred."""
+"""Fixed schemas as DDL text: nodes, edges, source files and search results. Nothing is inferred."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 VECTOR = "array<float>"
 
 #: Label to columns; a null vector means that the node isn't embedded.
 NODES = {
-    "Volume": _struct("id string not null, name string, abbreviation string"),
-    "Book": _struct("id string not null, name string, slug string, urlPath string"),
-    "Chapter": _struct(f"id string not null, number int, summary string, summaryEmbedding {VECTOR}, url string"),
-    "Verse": _struct("id string not null, number int, reference string, text string, translationNotes string, alternateReadings string, explanatoryNotes string"),
-    "VerseGroup": _struct(f"id string not null, text string, startVerseNumber int, endVerseNumber int, embedding {VECTOR}"),
-    "TopicalGuideEntry": _struct(f"id string not null, name string, embedding {VECTOR}"),
-    "BibleDictEntry": _struct(f"id string not null, name string, text string, embedding {VECTOR}"),
-    "IndexEntry": _struct(f"id string not null, name string, embedding {VECTOR}"),
-    "JSTPassage": _struct(f"id string not null, book string, chapter string, comprises string, compareRef string, summary string, text string, embedding {VECTOR}"),
+    "Volume": "id string not null, name string, abbreviation string",
+    "Book": "id string not null, name string, slug string, urlPath string",
+    "Chapter": f"id string not null, number int, summary string, summaryEmbedding {VECTOR}, url string",
+    "Verse": "id string not null, number int, reference string, text string, translationNotes string, alternateReadings string, explanatoryNotes string",
+    "VerseGroup": f"id string not null, text string, startVerseNumber int, endVerseNumber int, embedding {VECTOR}",
+    "TopicalGuideEntry": f"id string not null, name string, embedding {VECTOR}",
+    "BibleDictEntry": f"id string not null, name string, text string, embedding {VECTOR}",
+    "IndexEntry": f"id string not null, name string, embedding {VECTOR}",
+    "JSTPassage": f"id string not null, book string, chapter string, comprises string, compareRef string, summary string, text string, embedding {VECTOR}",
 }
 VECTOR_FIELD = {"VerseGroup": "embedding", "Chapter": "summaryEmbedding", "TopicalGuideEntry": "embedding", "BibleDictEntry": "embedding", "IndexEntry": "embedding", "JSTPassage": "embedding"}
 ENTITY_TYPE = {"VerseGroup": "verse_group", "Chapter": "chapter", "TopicalGuideEntry": "topical_guide", "BibleDictEntry": "bible_dict", "IndexEntry": "index", "JSTPassage": "jst_passage", "Verse": "verse"}
@@ -39,8 +32,8 @@ class Relationship:
     properties: str = ""
 
     @property
-    def schema(self) -> T.StructType:
-        return _struct("src_id string, dst_id string" + (f", {self.properties}" if self.properties else ""))
+    def schema(self) -> str:
+        return "src_id string, dst_id string" + (f", {self.properties}" if self.properties else "")
 
 
 RELATIONSHIPS = (
@@ -66,17 +59,17 @@ RELATIONSHIPS = (
 )
 
 
-CHAPTER_FILE = _struct(
+CHAPTER_FILE = (
     "url string, book string, chapter int, summary string, verses array<struct<number:int,text:string,footnote_markers:array<string>>>, "
     "footnotes map<string,struct<category:string,reference_text:string,text:string>>"
 )
 ENTRY_LIST = "array<struct<phrase:string,reference:string,key:string>>"
 DICTIONARY_ENTRY = "struct<text:string,references:array<string>>"
-TRANSLATION = _struct("reference string, book string, chapter string, entries array<struct<comprises:string,compare:string,summary:string,verses:array<struct<number:int,text:string>>>>")
+TRANSLATION = "reference string, book string, chapter string, entries array<struct<comprises:string,compare:string,summary:string,verses:array<struct<number:int,text:string>>>>"
 
 METADATA = (
     "struct<startVerseNumber:int,endVerseNumber:int,chapterID:string,chapterNumber:int,url:string,book:string,chapter:string,"
     "comprises:string,compareRef:string,summary:string,verseNumber:int,reference:string>"
 )
-SEARCH_RESULT = _struct(f"entity_type string, id string, name string, text string, distance double, metadata {METADATA}")
-REJECT = _struct("phase string, kind string, detail string")
+SEARCH_RESULT = f"entity_type string, id string, name string, text string, distance double, metadata {METADATA}"
+REJECT = "phase string, kind string, detail string"
