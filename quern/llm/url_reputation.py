@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .support import stash
+
 # Rules as (verdict, rule), and suffixes of more than one label.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ac.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.za", "co.kr")
@@ -82,7 +84,7 @@ def host_reputation(urls: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     pages = urls.join(outcomes, urls.page_id == outcomes.of_page, "left")
     hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "x")
+    hosts = stash(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "x"), "hosts")  # pages are counted once
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
