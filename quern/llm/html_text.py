@@ -4,8 +4,11 @@ A tree builder reads the tags, closes elements whose end tag is implied (p, li,
 tfoot) and ignores stray end tags; the visible part of the tree is then rendered as text: white space collapses except
 in pre and textarea, blocks stand on lines of their own, paragraphs, headings, lists, tables and the like are set off by
 a blank line, list items get a bullet or their number and are indented by depth, br breaks a line, and the cells of a
-table are aligned in columns. Not visible: script, style, template, noscript, head but for its title (kept apart), comments,
-elements with hidden, aria-hidden="true", display:none or visibility:hidden, input type=hidden.
+table are aligned in columns. What stands in a table but in no cell or caption comes before the table, as in a browser. Of svg the
+texts are shown, each set off by blanks, and of math all text. Not visible: script, style, template, noscript, head but for its title
+(kept apart), comments, elements with hidden, aria-hidden="true", display:none or visibility:hidden, input; what a browser shows only
+where it can't do better (content of iframe, noframes, noembed, object, audio, video, canvas); datalist; in svg what draws nothing by
+itself (title, desc, metadata, defs, symbol, clipPath, mask, pattern, marker; use isn't followed) and in math annotations and mphantom.
 
 Defined cases: null html is empty and gives empty text; an unclosed comment or raw element hides the rest, as in a browser; unclosed
 elements end with the page; repeated rows and null ids give a row each; other columns are ignored. Time is linear in the page
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +33,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template noscript iframe noframes noembed".split())
 BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tr ul blockquote caption thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure article section hr fieldset".split())
-UNSEEN = frozenset("head title datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head title datalist object audio video canvas".split())
+#: The same within svg and math.
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: These hold plain HTML again; a tag of BREAKOUT elsewhere in svg or math ends it.
+SVG_HOLDS_HTML = frozenset("foreignobject desc title".split())
+MATH_HOLDS_HTML = frozenset("mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements that hold nothing but parts of a table, and those parts.
+TABLE_FRAME = frozenset("table thead tbody tfoot tr colgroup".split())
+TABLE_PART = (TABLE_FRAME | frozenset("td th caption col".split())) - {"table"}
 #: An opening tag ends these open elements, up to the nearest of the fences.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
-    "option": (("option",), ("select",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
-}
+    "option": (("option",), ("select",)), "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "td": (("td", "th", "caption", "colgroup"), ("tr", "table")), "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)))
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr".split())
 #: An end tag doesn't look for its element beyond these.
 SCOPE = frozenset("table td th html".split())
@@ -47,10 +61,12 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "name", "unseen")
+    """`inner` says what its content is: "" HTML, "svg" (strings are not drawn), "text" (of svg) or "math"."""
 
-    def __init__(self, name: str, attributes: dict[str, str], unseen: bool):
-        self.name, self.attributes, self.unseen, self.children = name, attributes, unseen, []
+    __slots__ = ("attributes", "children", "inner", "name", "unseen")
+
+    def __init__(self, name: str, attributes: dict[str, str], unseen: bool, inner: str = ""):
+        self.name, self.attributes, self.unseen, self.inner, self.children = name, attributes, unseen, inner, []
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -96,46 +112,90 @@ def _is_hidden(name: str, attributes: dict[str, str]) -> bool:
     )
 
 
+def _inner(name: str, outer: str) -> str:
+    if name in ("svg", "math"):
+        return name
+    if outer in ("svg", "text"):
+        return "" if name in SVG_HOLDS_HTML else "text" if name == "text" else outer
+    return "" if name in MATH_HOLDS_HTML else outer
+
+
+def _is_undrawn(name: str, attributes: dict[str, str], outer: str) -> bool:
+    """Hidden by the rules of svg and math."""
+    if outer == "math":
+        return name in MATH_UNSEEN
+    return name in SVG_UNSEEN or attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse")
+
+
 def build_tree(page: str) -> Element:
     root = Element("html", {}, False)
     stack, at, n = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+
+    def last(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().name].pop()
 
     def close_to(names: tuple[str, ...], fences: tuple[str, ...]) -> None:
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in fences:
-                break
-            if stack[k].name in names:
-                cut = k
-        if cut:
-            del stack[cut:]
+        fence = last(*fences)
+        found = [at[k] for x in names if (at := places.get(x)) and (k := bisect_right(at, fence)) < len(at)]
+        if found:
+            cut(min(found))
+
+    def open_table() -> int:
+        """The place of the table in which parts of it are awaited; 0 in cells, captions and outside of tables."""
+        k = last("table")
+        return k if k > last("td", "th", "caption") else 0
+
+    def add(child: Element | str) -> None:
+        top = stack[-1]
+        if top.name in TABLE_FRAME and (k := open_table()):
+            if isinstance(child, str):
+                if not child.strip(" \t\n\f"):
+                    return
+            elif child.name in TABLE_PART:
+                top.children.append(child)
+                return
+            stack[k - 1].children.insert(-1, child)  # the open table is the last child
+        else:
+            top.children.append(child)
 
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            add(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            add(html.unescape(page[at : m.start()]))
+        if stack[-1].inner and page.startswith("<![CDATA[", m.start()):
+            end = page.find("]]>", m.end())
+            add(page[m.start() + 9 : n if end < 0 else end])
+            at = n if end < 0 else end + 3
+            continue
         if m[2] is None:  # comment, doctype, processing instruction
             end = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
             at = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
         name, at = m[2].lower(), _tag_end(page, m.end())
         if m[1]:
-            if name in {"p", "br"} and not any(e.name == name for e in stack):
-                stack[-1].children.append(Element(name, {}, False))
+            if name in {"p", "br"} and not places.get(name):
+                add(Element(name, {}, False))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            k = last(name)
+            if k and (name in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") or k >= last(*SCOPE)):
+                cut(k)
             continue
         inside = page[m.end() : at - 1]
         attributes = _attributes(inside) if inside.strip(" /\n\t") else {}
+        if stack[-1].inner and (name in BREAKOUT or name == "font" and attributes.keys() & {"color", "face", "size"}):
+            while stack[-1].inner:
+                cut(len(stack) - 1)
         if name in RAW:
+            if stack[-1].inner and inside.endswith("/"):
+                continue
             closing = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = _tag_end(page, closing.end()) if closing else n
             continue
@@ -145,16 +205,22 @@ def build_tree(page: str) -> Element:
             close_to(("p",), ("table", "td", "th", "ul", "ol", "li", "button", "blockquote", "div", "article", "section"))
         if name in IMPLIED:
             close_to(*IMPLIED[name])
-        if name == "html":
+        if name in TABLE_PART and open_table():
+            cut(last(*TABLE_FRAME) + 1)
+        if name == "table" and (k := open_table()):  # tables nest in cells and captions only
+            cut(k)
+        if name == "html" or name == "form" and stack[-1].name in TABLE_FRAME and open_table():
             continue
-        element = Element(name, attributes, _is_hidden(name, attributes))
-        stack[-1].children.append(element)
-        if name in ("title", "textarea"):  # their content is text only
+        outer = stack[-1].inner
+        element = Element(name, attributes, _is_hidden(name, attributes) or bool(outer) and _is_undrawn(name, attributes, outer), _inner(name, outer))
+        add(element)
+        if name in ("title", "textarea") and not (outer and inside.endswith("/")):  # their content is text only
             closing = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             element.children.append(html.unescape(page[at : closing.start() if closing else n]))
             at = _tag_end(page, closing.end()) if closing else n
         elif name not in VOID and not inside.endswith("/") or name in ("div", "p", "span", "td", "li"):
             if len(stack) < MAX_DEPTH and name not in VOID:
+                places.setdefault(name, []).append(len(stack))
                 stack.append(element)
     return root
 
@@ -223,6 +289,7 @@ def _cells(table: Element) -> list[list[str]]:
             if c.name == "tr":
                 rows.append(new := [])
                 visit(c, new)
+                row = None
             elif c.name in ("td", "th"):
                 if row is None:
                     rows.append(row := [])
@@ -231,6 +298,7 @@ def _cells(table: Element) -> list[list[str]]:
                 row += [""] * (min(int(span), 50) - 1 if span.isascii() and span.isdigit() and int(span[:6]) > 1 else 0)
             elif c.name in ("thead", "tbody", "tfoot"):
                 visit(c, None)
+                row = None
             elif c.name == "caption":
                 rows.append([SPACE.sub(" ", render(c)).strip(), None])
             else:
@@ -258,14 +326,15 @@ def render(root: Element) -> str:
         number = int(node.attributes.get("start", "1")) if node.name == "ol" and re.fullmatch(r"-?\d{1,6}", node.attributes.get("start", "1"), re.A) else 1
         for c in node.children:
             if isinstance(c, str):
-                page.text(c, as_is)
+                if node.inner != "svg":
+                    page.text(c, as_is)
                 continue
             if c.unseen:
                 continue
             name = c.name
             if name == "br":
                 page.newline()
-            elif name in ("td", "th") and node.name != "table":  # a cell outside of any table
+            elif node.inner == "svg" and c.inner != "svg" or name in ("td", "th") and node.name != "table":  # text of svg, or a cell outside of any table
                 page.text(" ", False)
                 visit(c, depth, as_is)
                 page.text(" ", False)

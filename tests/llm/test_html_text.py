@@ -30,6 +30,25 @@ def test_rendering(page, text):
     assert m.page_text(page)[1] == text
 
 
+VISIBLE = [
+    ("<table><p>note</p><tr><td>a</table>", "note\n\na"),
+    ("<table><tr>loose<td>a</table>", "loose\n\na"),
+    ("x<table>one <b>two</b><tbody>three<br>four<img alt=five><tr><td>a<td>b<tr>six<th>c</table>y", "xone twothree\nfourfivesix\n\na  b\nc\n\ny"),
+    ("<table><caption>cap<tr hidden>loose<td>no<tr><td>a<table>in<tr><td>b</table>c</table>", "loose\n\ncap\nain b c"),
+    ("<table><div>d<tr><td>a<table hidden>e<tr><td>no</table></table>f", "d\n\nae\n\nf"),
+    ("<table><form>q<input value=no><tr><td>a<tr><td>b</form></table>", "q\n\na\nb"),
+    ("<table><colgroup>k<col><tr><td>a</table>", "k\n\na"),
+    ("<p>If <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> then", "If x=12 then"),
+    ("a<svg><title>no</title><style>no</style>no<g><text>b<tspan>c</tspan></text><text x=1>d</text><text display=none>no</text></g><path/></svg>e", "a bc d e"),
+    ("<svg><foreignObject><div>a</div></foreignObject><text><![CDATA[b <i>]]></text><p>c", "a\nb <i>\n\nc"),
+]
+
+
+@pytest.mark.parametrize("page,text", VISIBLE)
+def test_visible_text_of_tables_svg_and_math(page, text):
+    assert m.page_text(page)[1] == text
+
+
 def test_title():
     assert m.page_text("<html><head><title> A\n &lt;B </title><body>x")[0] == "A <B"
     assert m.page_text("<p>x")[0] == ""
