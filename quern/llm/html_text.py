@@ -11,8 +11,9 @@ where it can't do better (content of iframe, noframes, noembed, object, audio, v
 itself (title, desc, metadata, defs, symbol, clipPath, mask, pattern, marker; use isn't followed) and in math annotations and mphantom.
 
 Defined cases: null html is empty and gives empty text; an unclosed comment or raw element hides the rest, as in a browser; unclosed
-elements end with the page; repeated rows and null ids give a row each; other columns are ignored. Time is linear in the page
-but for the depth of nesting, which is cut at MAX_DEPTH open elements (deeper ones are read as if they were closed at once).
+elements end with the page; repeated rows and null ids give a row each; other columns are ignored. Elements may nest to any depth.
+Time is linear in the page, but for the text of nested tables, which is laid out anew for each table around it, and the blanks that
+indent nested lists, which are part of the text.
 """
 
 from __future__ import annotations
@@ -20,14 +21,12 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 120
-
 # Element names by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noframes noembed".split())
@@ -219,7 +218,7 @@ def build_tree(page: str) -> Element:
             element.children.append(html.unescape(page[at : closing.start() if closing else n]))
             at = _tag_end(page, closing.end()) if closing else n
         elif name not in VOID and not inside.endswith("/") or name in ("div", "p", "span", "td", "li"):
-            if len(stack) < MAX_DEPTH and name not in VOID:
+            if name not in VOID:
                 places.setdefault(name, []).append(len(stack))
                 stack.append(element)
     return root
@@ -279,37 +278,37 @@ class _Page:
         return "\n".join([*self.lines, "".join(self.line).rstrip()]).strip("\n")
 
 
-def _cells(table: Element) -> list[list[str]]:
+def _cells(table: Element) -> Generator:
     rows: list[list[str]] = []
 
-    def visit(node: Element, row: list[str] | None) -> None:
+    def visit(node: Element, row: list[str] | None) -> Generator:
         for c in node.children:
             if isinstance(c, str) or c.unseen:
                 continue
             if c.name == "tr":
                 rows.append(new := [])
-                visit(c, new)
+                yield visit(c, new)
                 row = None
             elif c.name in ("td", "th"):
                 if row is None:
                     rows.append(row := [])
-                row.append(" ".join(SPACE.sub(" ", render(c)).split(" ")).strip())
+                row.append(SPACE.sub(" ", (yield _rendered(c))).strip())
                 span = c.attributes.get("colspan", "1")
                 row += [""] * (min(int(span), 50) - 1 if span.isascii() and span.isdigit() and int(span[:6]) > 1 else 0)
             elif c.name in ("thead", "tbody", "tfoot"):
-                visit(c, None)
+                yield visit(c, None)
                 row = None
             elif c.name == "caption":
-                rows.append([SPACE.sub(" ", render(c)).strip(), None])
+                rows.append([SPACE.sub(" ", (yield _rendered(c))).strip(), None])
             else:
-                visit(c, row)
+                yield visit(c, row)
 
-    visit(table, None)
+    yield visit(table, None)
     return rows
 
 
-def _table(table: Element) -> str:
-    rows = [r for r in _cells(table) if r]
+def _table(table: Element) -> Generator:
+    rows = [r for r in (yield _cells(table)) if r]
     grid = [r for r in rows if r[-1] is not None]
     wide = max((len(r) for r in grid), default=0)
     widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(wide)]
@@ -319,10 +318,10 @@ def _table(table: Element) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-def render(root: Element) -> str:
+def _rendered(root: Element) -> Generator:
     page = _Page()
 
-    def visit(node: Element, depth: int, as_is: bool) -> None:
+    def visit(node: Element, depth: int, as_is: bool) -> Generator:
         number = int(node.attributes.get("start", "1")) if node.name == "ol" and re.fullmatch(r"-?\d{1,6}", node.attributes.get("start", "1"), re.A) else 1
         for c in node.children:
             if isinstance(c, str):
@@ -336,13 +335,13 @@ def render(root: Element) -> str:
                 page.newline()
             elif node.inner == "svg" and c.inner != "svg" or name in ("td", "th") and node.name != "table":  # text of svg, or a cell outside of any table
                 page.text(" ", False)
-                visit(c, depth, as_is)
+                yield visit(c, depth, as_is)
                 page.text(" ", False)
             elif name == "img":
                 page.text(c.attributes.get("alt", ""), False)
             elif name == "table":
                 page.edge(2)
-                if made := _table(c):
+                if made := (yield _table(c)):
                     page.text(made, True)
                 page.edge(2)
             elif name in BLOCK:
@@ -353,15 +352,30 @@ def render(root: Element) -> str:
                     number += 1
                     page.text("  " * max(0, depth - 1) + mark + " ", True)
                     page.blank = False
-                visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name == "pre")
+                yield visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name == "pre")
                 page.edge(gap)
             else:
-                visit(c, depth, as_is or name == "textarea")
+                yield visit(c, depth, as_is or name == "textarea")
 
-    visit(root, 0, False)
+    yield visit(root, 0, False)
     return page.done()
 
 
+def render(root: Element) -> str:
+    """The text of root. Each call of the walk is a generator on this stack, so that depth isn't bounded by Python's."""
+    stack, value = [_rendered(root)], None
+    while stack:
+        try:
+            called = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(called)
+            value = None
+    return value
+
+
 def _title(node: Element) -> str:
     pending = [node]
     while pending:

@@ -61,6 +61,15 @@ def test_deep_and_odd_pages_end_soon():
     assert time.time() - start < 30
 
 
+@pytest.mark.parametrize("depth", [40, 119, 121, 3_000])
+def test_text_of_deep_pages(depth):
+    assert m.page_text("<table><tr><td>" * depth + "x")[1] == "x"
+    assert m.page_text("<table><tr><td>" * depth + "x" + "</table>y" * depth)[1] == " ".join(["x", *"y" * (depth - 1)]) + "\n\ny"
+    assert m.page_text("<div>" * depth + "<div hidden>no</div>yes" + "</div>" * depth + "end")[1] == "yes\nend"
+    assert m.page_text("<p>a" + "<b>" * depth + "<i>b</i>" + "</b>" * depth + "<div>c</div>d")[1] == "a" + "b\n\nc\nd"
+    assert m.page_text("<ul><li>" * depth + "x")[1].split("\n")[-1] == "  " * (depth - 1) + "- x"
+
+
 def test_query_over_a_table(spark):
     rows = [(1, "u", "<p>a", "t"), (None, None, None, None), (1, "u", "<p>a", "t"), (2, "u", "<b>x</b>" * 20_000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
