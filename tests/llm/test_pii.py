@@ -28,6 +28,32 @@ def test_added_spans_need_their_check_or_context():
     assert kinds("call 030 1234567 now") == ["tel"] and kinds("in 030 1234567 now") == []
 
 
+REGISTRY = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+PUBLISHED = ["GR1601101250000000012300695", "RO49AAAA1B31007593840000", "TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "HU42117730161111101800000000", "HR1210010051863000160", "SK3112000000198742637541", "SI56263300012039086", "BG80BNBG96611020345678", "EE382200221020145685", "LT121000011101001000", "LV80BANK0000435195001", "MT84MALT011000012345MTLCAST001S", "CY17002001280000001200527600"]
+
+
+def valid(country, length):
+    body = "".join(str(k * 7 % 10) for k in range(1, length - 3))
+    return f"{country}{98 - int(body + str(int(country, 36) // 36) + str(int(country[1], 36)) + '00') % 97:02}{body}"
+
+
+def test_ibans_of_every_country():
+    numbers = PUBLISHED + [valid(x[:2], int(x[2:])) for x in REGISTRY.split()]
+    for number in numbers:
+        for said in (number, " ".join(number[k : k + 4] for k in range(0, len(number), 4))):
+            text = f"pay {said} today"
+            assert m.added_spans(text, []) == [("iban", 4, 4 + len(said), 0.8)], number
+        wrong = number[:-1] + str((int(number[-1], 36) + 1) % 10)
+        assert not [s for s in m.added_spans(f"pay {wrong} today", []) if s[0] == "iban"]
+
+
+def test_ibans_of_other_countries_need_context():
+    for number in (valid("QQ", 19), valid("ZW", 34), valid("AA", 15)):
+        for said in (number, " ".join(number[k : k + 4] for k in range(0, len(number), 4))):
+            assert m.added_spans(f"iban {said} TODAY", []) == [("iban", 5, 5 + len(said), 0.7)]
+            assert not [s for s in m.added_spans(f"part {said} TODAY", []) if s[0] == "iban"]
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd or +12345678 ok", "en"), (None, None, "x"), (1, "", None)], "doc_id long, text string, spans string")
     got = {tuple(r) for r in m.redact_pii(df).collect()}
