@@ -12,7 +12,7 @@ The benchmark is read in blocks of at most `block_chars` characters. Each block
 with the benchmark; the documents are passed over once for each block. Documents are never shuffled.
 
 Defined cases: null and empty texts (documents and benchmark) match nothing; equal benchmark texts are each reported;
-a document with a null doc_id is reported with it; repeated rows are reported each; other columns are ignored.
+a null doc_id or item_id is reported as null; repeated rows are reported each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ def edit_budget(m: int, q: int = Q, share: float = BUDGET) -> int:
 class Index:
     """q-grams of a block of benchmark texts: sorted codes with the items and places that have them."""
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, share: float = BUDGET):
-        self.q, self.ids = q, np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, bytes]], q: int = Q, share: float = BUDGET):
+        self.q, self.ids = q, [i for i, _ in items]
         self.points = [normal(t) for _, t in items]
         length = np.array([len(p) for p in self.points], np.int64)
         self.budget = np.array([edit_budget(m, q, share) for m in length], np.int64)
@@ -214,16 +214,16 @@ def _match(index):
                         doc = int(np.searchsorted(begins, start, "right")) - 1
                         if (item, start) not in told:
                             told.add((item, start))
-                            out.append((ids[lo + doc], int(ix.ids[item]), start - int(begins[doc]), end - int(begins[doc]), edits))
+                            out.append((ids[lo + doc], ix.ids[item], start - int(begins[doc]), end - int(begins[doc]), edits))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, bytes]]]:
     held, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text <> '' and item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text <> ''").toLocalIterator():
         text = row["text"].encode()
         if held and size + len(text) > block_chars:
             yield held

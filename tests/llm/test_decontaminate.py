@@ -41,3 +41,12 @@ def test_long_text_is_searched_in_full(spark, monkeypatch):
     monkeypatch.setattr(m, "CHUNK", 1000)
     got = m.benchmark_matches(spark.createDataFrame([(d, t, "") for d, t in rows], SCHEMA), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.start) for r in got) == sorted([("1", 13_333), ("1", 13_333 + len(item) + len(text)), ("None", 0), ("2", 0), ("2", 0)])
+
+
+def test_benchmark_rows_without_an_id_are_searched(spark):
+    texts = ["a passage that some benchmark holds", "another one that has no number", "and a third one that has none"]
+    docs = spark.createDataFrame([(k, f"filler {t} filler", "") for k, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(7, texts[0]), (None, texts[1]), (None, texts[2]), (None, None)], "item_id long, text string")
+    for block in (m.BLOCK_CHARS, 40):
+        got = m.benchmark_matches(docs, bench, block_chars=block).collect()
+        assert sorted((r.doc_id, r.item_id, r.start, r.edits) for r in got) == [(0, 7, 7, 0), (1, None, 7, 0), (2, None, 7, 0)]
