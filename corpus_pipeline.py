@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences: each stage works on all rows that the one before it kept.
 
 quality rules -> n-gram Jaccard join -> benchmark decontamination -> PII -> packing. All stages but the last return the
-columns of documents. Rows without a doc_id can't be named by a decision on documents; they are judged by the row-wise
-stages (quality, PII, packing) and stay in the other two.
+columns of documents. The second and the third stage decide on rows, not on doc_ids: each row of their input gets a number
+that is written, so rows may share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -20,18 +20,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select("quern_row.*")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row; written, as the number is another one in another run of the plan."""
+    return stash(docs.withColumn("quern_number", F.monotonically_increasing_id()), "numbered")
+
+
+def _by_number(numbered: DataFrame) -> DataFrame:
+    """What the operators read, with the row's number in the place of its doc_id."""
+    return numbered.select(F.col("quern_number").alias("doc_id"), "text")
+
+
+def _without(numbered: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows whose number isn't in the quern_id of numbers."""
+    return numbered.join(numbers, numbered["quern_number"] == numbers["quern_id"], "left_anti").drop("quern_number")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class."""
-    classes = jaccard_join.near_duplicates(docs)
-    others = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("quern_id")).distinct()
-    return docs.join(others, docs["doc_id"] == others["quern_id"], "left_anti")
+    """One row of each class: that of smallest doc_id (null comes last), and of these the first."""
+    rows = _numbered(docs)
+    linked = jaccard_join.near_duplicates(_by_number(rows)).where("n_links > 0").select(F.col("doc_id").alias("quern_id"), "class_id")
+    linked = stash(linked.join(rows.select("quern_number", "doc_id"), F.col("quern_id") == F.col("quern_number")).drop("quern_number"), "linked")
+    firsts = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "quern_id"))["quern_id"].alias("first"))
+    return _without(rows, linked.join(firsts, linked["quern_id"] == firsts["first"], "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark text stands."""
-    found = decontaminate.benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("doc_id").alias("quern_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["quern_id"], "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate.benchmark_matches(_by_number(rows), read_table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.select(F.col("doc_id").alias("quern_id")).distinct())
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

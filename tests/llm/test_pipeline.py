@@ -48,3 +48,20 @@ def test_each_stage_against_plain_loops(spark, tmp_path):
     packed = p.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {d for d, _ in kept}
     assert sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark, tmp_path):
+    rng = random.Random(13)
+    a, b, c, d, leak = (" ".join(rng.choices([f"word{i}" for i in range(200)], k=40)) for _ in range(5))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA).repartition(3)
+        return sorted(((r.doc_id, r.text, r.source) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    rows = [(7, a, "s")] * 5 + [(None, b, "s")] * 3 + [(7, c, "s"), (3, c + " end", "s"), (None, c, "s"), (None, d, "s"), (None, None, "s"), (9, "", "s"), (9, "", "s")]
+    want = [(7, a, "s"), (None, b, "s"), (3, c + " end", "s"), (None, d, "s"), (None, None, "s"), (9, "", "s"), (9, "", "s")]
+    assert kept(p.near_duplicates, rows) == sorted(want, key=str)
+    rows = [(1, a, "s"), (1, b + " " + leak, "s"), (None, leak, "s"), (None, c, "s"), (2, leak, "s"), (2, leak, "s"), (3, d, "s"), (3, d, "s"), (4, None, "s")]
+    want = [(1, a, "s"), (None, c, "s"), (3, d, "s"), (3, d, "s"), (4, None, "s")]
+    assert kept(p.benchmark_decontamination, rows) == sorted(want, key=str)
