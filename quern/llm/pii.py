@@ -3,28 +3,33 @@
 Base kinds, always kept when their rule holds: email, ip (parts at most 255), card (16 to 19 digits that pass Luhn) and
 phone (+ and 8 to 15 digits); each leftmost and without overlap within its kind, a failing match is dropped.
 Added kinds, kept at a score of MIN_SCORE: iban (mod-97 of the whole number, whose length is that of its country; for a
-country that the registry doesn't hold the longest run of whole groups that passes, and only near a context word), account (13 to 15 digits) and tel (7 to 12
-digits without a plus). A pattern starts at its kind's score, a passed check digit adds, a context word within
-NEAR characters adds. An added span never overlaps a base one, nor an added one of a kind listed before.
+country that the registry doesn't hold the longest run of whole groups that passes, and only near a context word), account (13 to 15
+digits), tel (7 to 12 digits without a plus) and secret (an unbroken run of at least 20 letters, digits and + / _ - = that holds both;
+the variety of its characters is what is checked). A pattern starts at its kind's score, a passed check adds, a context word
+within NEAR characters adds. An added span never overlaps a base one, nor an added one of a kind listed before.
 
-All patterns run in time linear in the text. Defined cases: null text is empty and has no spans; every row is scanned
+Time is linear in the text, but for a logarithm of the number of spans. Defined cases: null text is empty and has no spans; every row is scanned
 whole and by itself, so repeated rows and null doc_ids give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .support import whole_text
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "account", "tel")
+ADDED = ("iban", "account", "tel", "secret")
 NEAR, MIN_SCORE = 40, 0.6
 
 # Context words by kind, and the length of an IBAN by country.
@@ -32,6 +37,7 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta", "transfer"),
     "account": ("card", "credit", "visa", "amex", "karte", "carte", "tarjeta"),
     "tel": ("phone", "tel", "call", "fax", "mobile", "telefon", "téléphone", "teléfono", "handy"),
+    "secret": ("token", "secret", "password", "passwd", "passwort", "contraseña", "key", "apikey", "api", "auth", "bearer", "credential", "credentials"),
 }
 IBAN_LENGTH = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 
@@ -41,6 +47,9 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+#: Bits a character that the characters of a secret carry at least; words and repeated patterns carry less.
+VARIETY = 3.0
 TEL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,5}\)?[ /-][0-9][0-9 -]{4,12}[0-9](?![0-9])")
 
 
@@ -57,6 +66,12 @@ def mod_97(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def varied(run: str) -> bool:
+    """Letters and digits, of many kinds."""
+    counts = Counter(run)
+    return any("0" <= c <= "9" for c in counts) and any(c.isalpha() for c in counts) and -sum(k * math.log2(k / len(run)) for k in counts.values()) >= VARIETY * len(run)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Each @ with the run of local characters before it: a local part can't reach over an @ or into the last match."""
     free = at = 0
@@ -93,14 +108,29 @@ def _near(text: str, start: int, end: int, kind: str) -> bool:
     return any(w in around for w in CONTEXT[kind])
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans cover, in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    out, held = [], [(a, b) for _, a, b in taken]
+    out, held = [], [_merged(taken), *([] for _ in ADDED)]  # of each kind the places in order, without overlap
+
+    def is_free(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+        k = bisect_left(spans, (end,))
+        return not k or spans[k - 1][1] <= start
 
     def propose(kind: str, start: int, end: int, score: float) -> None:
         score += 0.3 * _near(text, start, end, kind)
-        if score >= MIN_SCORE and all(end <= a or start >= b for a, b in held):
+        if score >= MIN_SCORE and all(is_free(spans, start, end) for spans in held):
             out.append((kind, start, end, round(score, 2)))
-            held.append((start, end))
+            held[1 + ADDED.index(kind)].append((start, end))
 
     for m in IBAN.finditer(text):
         number = m[0].replace(" ", "")
@@ -119,6 +149,8 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     for m in TEL.finditer(text):
         if 7 <= len(_digits(m[0])) <= 12:
             propose("tel", *m.span(), 0.3)
+    for m in SECRET.finditer(text):
+        propose("secret", *m.span(), 0.1 + 0.3 * varied(m[0]))
     return out
 
 
@@ -156,23 +188,24 @@ def _scan(with_text: bool):
     return run
 
 
-PII = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base:string,spans:string,redacted:string>"
+PII = StructType([*(StructField(f"n_{k}", LongType()) for k in BASE), *(StructField(k, StringType()) for k in ("base", "spans", "redacted"))])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, code points, end exclusive)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("quern_text"))
-    return rows.mapInArrow(_scan(False), f"doc_id long, quern_pii {PII}").select("doc_id", "quern_pii.*").drop("redacted")
+    return rows.mapInArrow(_scan(False), f"doc_id long, quern_pii {PII.simpleString()}").select("doc_id", "quern_pii.*").drop("redacted")
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs, with each span in the text replaced by its kind in brackets; null text stays null."""
     if not docs.columns:
         return docs
-    plain = docs.select(*docs.columns, whole_text().alias("quern_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", quern_pii {PII}"
-    new = F.when(F.col("text").isNotNull(), F.col("quern_pii.redacted"))
-    return plain.mapInArrow(_scan(True), schema).withColumn("text", new).select(*docs.columns)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]  # names may hold dots
+    plain = docs.select(*columns, whole_text().alias("quern_text"))
+    schema = StructType([*docs.schema.fields, StructField("quern_pii", PII)])
+    new = F.when(F.col("text").isNotNull(), F.col("quern_pii.redacted")).alias("text")
+    return plain.mapInArrow(_scan(True), schema).select(*(new if n == "text" else c for n, c in zip(docs.columns, columns, strict=True)))
 
 
 def digest(found: DataFrame) -> DataFrame:
