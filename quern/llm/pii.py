@@ -201,11 +201,13 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     """docs, with each span in the text replaced by its kind in brackets; null text stays null."""
     if not docs.columns:
         return docs
-    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]  # names may hold dots
-    plain = docs.select(*columns, whole_text().alias("quern_text"))
-    schema = StructType([*docs.schema.fields, StructField("quern_pii", PII)])
-    new = F.when(F.col("text").isNotNull(), F.col("quern_pii.redacted")).alias("text")
-    return plain.mapInArrow(_scan(True), schema).select(*(new if n == "text" else c for n, c in zip(docs.columns, columns, strict=True)))
+    names = [f"quern_{k}" for k in range(len(docs.columns))]  # the columns' own names may hold dots
+    plain = docs.toDF(*names)
+    plain = plain.select(*names, whole_text(names[docs.columns.index("text")]).alias("quern_text"))
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("quern_pii", PII)])
+    found = plain.mapInArrow(_scan(True), schema)
+    new = {"text": F.when(F.col(names[docs.columns.index("text")]).isNotNull(), F.col("quern_pii.redacted"))}
+    return found.select(*(new.get(own, F.col(n)).alias(own) for own, n in zip(docs.columns, names, strict=True)))
 
 
 def digest(found: DataFrame) -> DataFrame:
