@@ -4,10 +4,12 @@ Training, on a bounded sample (SAMPLE toxic and clean documents, the first by a
 characters): labels are given for documents only, so words are labelled first: a word of a toxic document is tagged when its
 form, or a prefix of 4 to 6 letters, stands in so many more toxic than clean documents that the G-test passes SURE. The
 field has two tags, features for the form and the prefixes, and transition weights; it is trained by gradient steps on its
-regularised log-likelihood. A logistic regression turns the marginals of a document into its score.
+regularised log-likelihood over sequences of TRAIN_SEQUENCE words (all with a tagged word, and as many without); what is expected of
+words and of neighbours comes from the same forward-backward pass. A logistic regression turns the marginals of a document into its score.
 
-Scoring, on whole texts: each document is cut into sequences of SEQUENCE words; forward-backward gives each word's
-marginal, vectorised over the sequences of many documents. The score rests on the expected number of toxic words and on
+Scoring, on whole texts: a document is one chain. Forward-backward runs over its pieces of SEQUENCE words, vectorised over those of
+many documents, for both tags that the word before (or after) a piece may have; what passes from piece to piece then weighs the
+two, so the marginals are those of the uncut chain. The score rests on the expected number of toxic words and on
 the chances that there is one and that there are two. Words with a marginal of at least half are the offending spans.
 
 Defined cases: null and empty texts have no words and get the score of no toxic word; without both classes in the sample the score is
@@ -43,35 +45,67 @@ def features(word: str) -> list[str]:
     return [f"w:{form}", *(f"{n}:{form[:n]}" for n in PREFIXES if len(form) > n)] if form else []
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Chance of the toxic tag at each place. scores [sequences, places]: log weight of toxic less clean; places from a
-    sequence's length on don't count. moves [2, 2]: log weights of tag after tag."""
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, follows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(chance of the toxic tag at each place, expected moves [2, 2] within the sequences, log of the sum over all paths).
+
+    scores [sequences, places]: log weight of toxic less clean; places from a sequence's length on don't count. moves [2, 2]:
+    log weights of tag after tag. follows: the sequence continues the one before it, which is full (then the sum over
+    paths has no meaning). `from_left[b, i]` is the message of tag i when the word before the sequence has tag b, and
+    `from_right[c, i]` when the word after it has tag c.
+    """
     n, width = scores.shape
+    follows = np.zeros(n, bool) if follows is None else follows
+    goes_on = np.append(follows[1:], False)
     push = np.exp(moves)
     weight = np.exp(np.clip(scores, -30, 30))
-    ahead = np.empty((2, width, n))
-    a0, a1 = np.ones(n), weight[:, 0].copy()
+    from_left, log_sum = np.empty((width, 2, 2, n)), 0.0
+    now = np.where(follows, push[:, :, None], 1.0)
+    now[:, 1] *= weight[:, 0]
     for t in range(width):
         if t:
-            a0, a1 = a0 * push[0, 0] + a1 * push[1, 0], (a0 * push[0, 1] + a1 * push[1, 1]) * weight[:, t]
-        total = a0 + a1
-        a0, a1 = a0 / total, a1 / total
-        ahead[0, t], ahead[1, t] = a0, a1
-    out = np.empty((n, width))
-    b0 = b1 = np.ones(n)
+            now = np.stack([now[:, 0] * push[0, 0] + now[:, 1] * push[1, 0], (now[:, 0] * push[0, 1] + now[:, 1] * push[1, 1]) * weight[:, t]], axis=1)
+        total = now.sum(axis=(0, 1))
+        now = now / total
+        from_left[t] = now
+        log_sum += float(np.log(total[t < lengths]).sum())
+    log_sum -= n * np.log(2)  # both b are the same where nothing comes before
+    left = np.full((2, n), 0.5)
+    chunk = _run_lengths(follows)
+    for k in range(1, int(chunk.max(initial=0)) + 1):
+        at = np.flatnonzero(chunk == k)
+        passed = (left[:, None, at - 1] * from_left[width - 1][:, :, at - 1]).sum(axis=0)
+        left[:, at] = passed / passed.sum(axis=0)
+    ahead = (from_left * left[None, :, None, :]).sum(axis=1)  # [width, 2, n]
+    back, from_right = np.where(goes_on, push.T[:, :, None], 1.0), np.empty((width, 2, 2, n))
     for t in range(width - 1, -1, -1):
         if t < width - 1:
-            w = b1 * weight[:, t + 1]
-            c0, c1 = push[0, 0] * b0 + push[0, 1] * w, push[1, 0] * b0 + push[1, 1] * w
-            total, inside = c0 + c1, t + 1 < lengths
-            b0, b1 = np.where(inside, c0 / total, 1.0), np.where(inside, c1 / total, 1.0)
-        p0, p1 = ahead[0, t] * b0, ahead[1, t] * b1
-        out[:, t] = p1 / (p0 + p1)
-    return out
-
-
-def _pad(values: np.ndarray, owner_sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values of consecutive documents cut into sequences: (matrix, lengths, row and column of each value)."""
+            w = back[:, 1] * weight[:, t + 1]
+            fresh = np.stack([push[0, 0] * back[:, 0] + push[0, 1] * w, push[1, 0] * back[:, 0] + push[1, 1] * w], axis=1)
+            back = np.where(t + 1 < lengths, fresh / fresh.sum(axis=(0, 1)), back)
+        from_right[t] = back
+    right = np.full((2, n), 0.5)
+    for k in range(int(chunk.max(initial=0)), 0, -1):
+        at = np.flatnonzero(chunk == k)
+        passed = (right[:, None, at] * from_right[0][:, :, at]).sum(axis=0)
+        passed[1] *= weight[at, 0]
+        right[:, at - 1] = passed / passed.sum(axis=0)
+    after = (from_right * right[None, :, None, :]).sum(axis=1)
+    both = ahead * after
+    expected = np.zeros((2, 2))
+    for t in range(width - 1):
+        joint = ahead[t][:, None] * push[:, :, None] * after[t + 1][None] * np.stack([np.ones(n), weight[:, t + 1]])[None]
+        expected += (joint / joint.sum(axis=(0, 1)))[:, :, t + 1 < lengths].sum(axis=2)
+    return (both[:, 1] / both.sum(axis=1)).T, expected, log_sum
+
+
+def _run_lengths(follows: np.ndarray) -> np.ndarray:
+    """How many sequences of its document stand before each."""
+    at = np.arange(len(follows))
+    return at - np.maximum.accumulate(np.where(follows, 0, at)) if len(follows) else at
+
+
+def _pad(values: np.ndarray, owner_sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values of consecutive documents cut into sequences: (matrix, lengths, row and column of each value, rows that follow)."""
     sizes = np.asarray(owner_sizes, np.int64)
     begins = np.cumsum(sizes) - sizes
     place = np.arange(len(values)) - np.repeat(begins, sizes)
@@ -81,7 +115,9 @@ def _pad(values: np.ndarray, owner_sizes: list[int], width: int) -> tuple[np.nda
     n = int(rows_of.sum())
     matrix = np.zeros((n, width))
     matrix[row, column] = values
-    return matrix, np.bincount(row, minlength=n), row, column
+    follows = np.ones(n, bool)
+    follows[(np.cumsum(rows_of) - rows_of)[rows_of > 0]] = False
+    return matrix, np.bincount(row, minlength=n), row, column, follows
 
 
 @dataclass
@@ -193,7 +229,7 @@ def train(texts: list[str], toxic: list[int], odds: float | None = None) -> Mode
     owner, used = np.repeat(np.arange(len(flat)), counts), np.array([i for f in flat for i in f], np.int64)
     gold = np.concatenate([y for _, y in pieces]).astype(float)
     sizes = [len(w) for w, _ in pieces]
-    gold_matrix, lengths, row, column = _pad(gold, sizes, TRAIN_SEQUENCE)
+    gold_matrix, lengths, row, column, _ = _pad(gold, sizes, TRAIN_SEQUENCE)
     pair = (np.arange(1, TRAIN_SEQUENCE)[None, :] < lengths[:, None]).astype(float)
     theta, bias, moves = np.zeros(len(names)), -4.0, np.zeros((2, 2))
     seen, seen_bias, seen_moves = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
@@ -202,7 +238,7 @@ def train(texts: list[str], toxic: list[int], odds: float | None = None) -> Mode
         scores = np.bincount(owner, theta[used], len(flat)) + bias
         matrix = np.zeros_like(gold_matrix)
         matrix[row, column] = scores
-        p = marginals(matrix, lengths, moves)
+        p, expected, _ = forward_backward(matrix, lengths, moves)
         slope = gold - p[row, column]
         g = np.bincount(used, slope[owner], len(names)) - DECAY * len(flat) / len(names) * theta
         seen += g * g
@@ -210,8 +246,6 @@ def train(texts: list[str], toxic: list[int], odds: float | None = None) -> Mode
         g = slope.sum()
         seen_bias += g * g
         bias += 0.2 * g / np.sqrt(seen_bias)
-        left, right = p[:, :-1], p[:, 1:]  # pair marginals, as if neighbours were independent given their marginals
-        expected = np.array([[(pair * (1 - left) * (1 - right)).sum(), (pair * (1 - left) * right).sum()], [(pair * left * (1 - right)).sum(), (pair * left * right).sum()]])
         g = observed - expected - DECAY * moves
         seen_moves += g * g
         moves += 0.1 * g / np.sqrt(seen_moves)
@@ -235,8 +269,8 @@ def score_words(model: Model, docs: list[list[str]], cache: WordScores | None =
     values = np.fromiter(map(cache.__getitem__, chain.from_iterable(docs)), float, sum(sizes))
     if not len(values):
         return [np.zeros(0) for _ in docs]
-    matrix, lengths, row, column = _pad(values, sizes, SEQUENCE)
-    p = marginals(matrix, lengths, model.moves)[row, column]
+    matrix, lengths, row, column, follows = _pad(values, sizes, SEQUENCE)
+    p = forward_backward(matrix, lengths, model.moves, follows)[0][row, column]
     return np.split(p, np.cumsum(sizes)[:-1])
 
 
@@ -278,8 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
         part = marks.where(F.col("toxic") == value).orderBy(F.xxhash64("of_doc"), "of_doc").limit(bound)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where(F.length("text") <= LONGEST)
-    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "toxic").collect()  # at most sum(sample) rows
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: r["doc_id"])
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = sorted(found.collect(), key=lambda r: r["doc_id"])  # at most sum(sample) rows
     return train([r["text"] for r in found], [int(r["toxic"]) for r in found], odds)
 
 
