@@ -2,20 +2,26 @@
 
 Two documents are linked when the sets of their five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. Equal texts collapse: one representative (the smallest doc_id) stands for all its copies, which are only counted.
-2. Every representative gets BANDS x ROWS MinHash values; representatives that agree in a whole band are candidates. A
-   linked pair agrees in no band with a chance of (1 - 0.8**5)**40, about 1e-7. Bands that hold the same representatives
-   are kept once.
-3. A bucket is dealt out in blocks of at most BLOCK representatives, and every two blocks of it are compared in one task,
-   so no task holds a whole bucket. In the first bucket that both of a pair are in, their MinHash values are compared STEP
-   at a time: with m of n equal and a flat prior, the similarity reaches t with a probability of P(Binomial(n + 1, t) <= m);
-   the pair is dropped when that is under TOLERANCE. What is left is verified exactly on the shingle sets.
+1. Equal texts collapse into one entry with a number, by the 128-bit hash of the text: its copies are only counted, and
+   doc_ids play no part until the end.
+2. Every entry has BANDS x ROWS MinHash values; entries that agree in a whole band are candidates. A linked pair agrees
+   in no band with a chance of (1 - 0.8**5)**40, about 1e-7. Bands that hold the same entries are kept once.
+3. A bucket is dealt out in blocks of about BLOCK entries, and every two blocks of it meet in one task, so no task holds a
+   whole bucket. They meet as MinHash values only (16 bits each: two that differ seem equal with a chance of 2**-16, which
+   only adds candidates). In the first bucket that both of a pair are in, the values are compared STEP at a time: with m of n
+   equal and a flat prior, the similarity reaches t with a probability of P(Binomial(n + 1, t) <= m); the pair is dropped
+   when that is under TOLERANCE. Only entries with a pair left get their text fetched, and those pairs are verified exactly on
+   the shingle sets, in the same blocks.
 4. Tasks return link counts and a spanning forest of the links they found, never the pairs; label propagation over the
    forest edges gives the classes.
 
+Tables that are joined by a key which may be hot (equal texts, a large class) are written first, so that adaptive execution can
+split such a key's rows.
+
 Defined cases: null text is empty; a text of one to four words has one shingle, all its words; a text without words has
-no links and a class of its own; copies (equal texts with a word) are linked to each other; a row whose doc_id is null
-has a null class and no links; rows that repeat a doc_id share its class and each counts as a copy. Other columns are ignored.
+no links and a class of its own; copies (rows of equal text with a word) are linked to each other. Rows that repeat a
+doc_id are rows like others, each with the class of its own text; a row whose doc_id is null too: class_id and copy_of are the
+smallest doc_id that is there, null if there is none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 40, 1e-7
 BLOCK = 256
 
+SKETCH = "text_key binary, doc_id long, size int, bands array<long>, signature binary"
+
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
     """For each text its sorted, distinct shingle codes."""
@@ -87,47 +95,42 @@ def _sketch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = scramble(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     salt = scramble(np.arange(77, 77 + BANDS, dtype=np.uint64))
     for batch in source:
-        keys = []
+        sizes, keys, seen = [], [], []
         for codes in shingle_sets(texts_of(batch)):
+            sizes.append(len(codes))
             if len(codes):
-                bands = signature(codes).reshape(BANDS, ROWS).astype(np.uint64)
+                values = signature(codes)
+                bands = values.reshape(BANDS, ROWS).astype(np.uint64)
                 keys.append(scramble((bands * weights).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
+                seen.append(values.astype(np.uint16).tobytes())
             else:
                 keys.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"]
-        )
+                seen.append(None)
+        made = [pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(seen, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("doc_id"), *made], ["text_key", "doc_id", "size", "bands", "signature"])
 
 
 def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         sets = [s.tobytes() for s in shingle_sets(texts_of(batch))]
-        kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sets, pa.binary())], [*(batch.schema.names[i] for i in kept), "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(sets, pa.binary())], ["entry", "codes"])
 
 
-def _compare_blocks(threshold: float, tolerance: float):
+def _prune_blocks(threshold: float, tolerance: float):
     steps = [(n, fewest_matches(n, threshold, tolerance)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["member", "block"]).sort_values(["block", "member"], ignore_index=True)
-        band, member = int(frame["band"].iloc[0]), frame["member"].to_numpy()
+        """Of two blocks: the entries of pairs that are left, each with those of its partners that come after it."""
+        frame = frame.sort_values(["block", "entry"], ignore_index=True)
+        band, entry = int(frame["band"].iloc[0]), frame["entry"].to_numpy()
         left, right = int(frame["left_block"].iloc[0]), int(frame["right_block"].iloc[0])
-        block, copies = frame["block"].to_numpy(), frame["copies"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in frame["codes"]]
-        sizes = np.array([len(x) for x in sets])
-        minhash = np.stack([signature(x) for x in sets])
-        buckets = np.zeros((len(sets), BANDS), np.int64)  # 0: in no bucket of that band, or the bucket isn't kept
+        block, sizes = frame["block"].to_numpy(), frame["size"].to_numpy()
+        minhash = np.stack([np.frombuffer(x, np.uint16) for x in frame["signature"]])
+        buckets = np.zeros((len(entry), BANDS), np.int64)  # 0: in no bucket of that band, or the bucket isn't kept
         for i, (at, keys) in enumerate(zip(frame["bands"], frame["buckets"], strict=True)):
             buckets[i, at] = keys
-        links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        partners: dict[int, list[int]] = {}
         for i in a:
             j = b[b > i] if left == right else b
             j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
@@ -139,54 +142,87 @@ def _compare_blocks(threshold: float, tolerance: float):
                 seen = (minhash[j, begin:n] == minhash[i, begin:n]).sum(axis=1)
                 seen, begin = seen if begin == 0 else seen + so_far, n
                 j, so_far = j[seen >= least], seen[seen >= least]
-            for k in j:
+            if len(j):
+                partners.setdefault(i, []).extend(entry[j].tolist())
+                for k in j:
+                    partners.setdefault(k, [])
+        out = {"bucket": frame["bucket"].iloc[0], "left_block": left, "right_block": right, "entry": entry[list(partners)], "partners": pd.Series(list(partners.values()), dtype=object)}
+        return pd.DataFrame(out, columns=["bucket", "left_block", "right_block", "entry", "partners"])
+
+    return run
+
+
+def _verify_blocks(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of two blocks: for each entry with a link its links (copies counted) and the leader of its tree."""
+        entry, copies = frame["entry"].to_numpy(), frame["copies"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in frame["codes"]]
+        place = {e: i for i, e in enumerate(entry.tolist())}
+        links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, partners in enumerate(frame["partners"]):
+            for k in (place[p] for p in partners):
                 common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if common >= threshold * (sizes[i] + sizes[k] - common):
+                if common >= threshold * (len(sets[i]) + len(sets[k]) - common):
                     links[i] += copies[k]
                     links[k] += copies[i]
                     x, y = top(i), top(k)
                     root[max(x, y)] = min(x, y)
         at = np.flatnonzero(links)
         leader: dict[int, int] = {}
-        for i in at:  # the smallest doc_id leads each tree
-            leader[top(i)] = min(member[i], leader.get(top(i), member[i]))
-        return pd.DataFrame({"member": member[at], "links": links[at], "leader": [leader[top(i)] for i in at]}, columns=["member", "links", "leader"]).astype("int64")
+        for i in at:
+            leader[top(i)] = min(entry[i], leader.get(top(i), entry[i]))
+        return pd.DataFrame({"member": entry[at], "links": links[at], "leader": [leader[top(i)] for i in at]}, columns=["member", "links", "leader"]).astype("int64")
 
     return run
 
 
-def link_blocks(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(texts, found): texts has doc_id, rep and copies of each document with words; found has member, links and leader
-    of each block pair with links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
-    keyed = rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
-    sketches = stash(keyed.mapInArrow(_sketch, "doc_id long, text_key binary, bands array<long>").where("bands is not null"), "sketches")
-    groups = sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    texts = sketches.select("doc_id", "text_key").join(groups, "text_key").select("doc_id", "rep", "copies")
-    firsts = groups.select("rep", "copies").join(sketches.select("doc_id", "bands"), F.col("rep") == F.col("doc_id"))
-    firsts = firsts.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("bands").alias("bands"))  # a doc_id may repeat
-    dealt = firsts.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shapes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    shapes = shapes.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    kept = dealt.join(shapes.select("bucket", "n"), "bucket")
-    held = kept.groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("held"))
-    held = held.join(firsts.select(F.col("rep").alias("of"), "copies"), F.col("rep") == F.col("of")).select("rep", "copies", "held")
-    with_text = rows.join(held, rows.doc_id == held.rep).select("rep", "copies", "held", "text")
-    sets = with_text.mapInArrow(_sets, "rep long, copies long, held array<struct<band:int,bucket:long,n:long>>, codes binary")
-    spread = sets.select("rep", "copies", "codes", F.col("held.band").alias("bands"), F.col("held.bucket").alias("buckets"), F.explode("held").alias("h"))
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
+
+
+def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """rows: those of keyed_rows. (entries, found): entries has entry, text_key, rep (the smallest doc_id) and copies of each
+    text with words; found has member, links and leader of each pair of blocks with links."""
+    sketches = rows.mapInArrow(_sketch, SKETCH).where("bands is not null")
+    one = F.first(F.struct("size", "bands", "signature")).alias("s")  # the same in all rows of a text
+    entries = sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), one)
+    entries = stash(entries.select(F.monotonically_increasing_id().alias("entry"), "text_key", "rep", "copies", "s.*"), "entries")
+    dealt = entries.select("entry", F.posexplode("bands").alias("band", "bucket"))
+    shapes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("entry")).alias("x"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("y"))
+    shapes = stash(shapes.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("kept")).select("kept", "n"), "shapes")
+    held = dealt.join(shapes, F.col("bucket") == F.col("kept")).groupBy("entry").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("held"))  # at most BANDS
+    held = held.withColumnRenamed("entry", "of").join(entries.select("entry", "size", "signature"), F.col("of") == F.col("entry"))
+    spread = held.select("entry", "size", "signature", F.col("held.band").alias("bands"), F.col("held.bucket").alias("buckets"), F.explode("held").alias("h"))
     blocks = F.ceil(F.col("h.n") / BLOCK).cast("int")
-    spread = spread.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", F.lit(9)), blocks.cast("long")).cast("int").alias("block"))
+    spread = spread.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("entry", F.lit(9)), blocks.cast("long")).cast("int").alias("block"))
     spread = spread.select(
-        F.col("h.bucket").alias("bucket"), F.col("h.band").alias("band"), F.col("rep").alias("member"), "copies", "codes", "bands", "buckets", "block",
+        F.col("h.bucket").alias("bucket"), F.col("h.band").alias("band"), "entry", "size", "signature", "bands", "buckets", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
     spread = spread.select("*", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block")).drop("other")
-    found = spread.groupBy("bucket", "left_block", "right_block").applyInPandas(_compare_blocks(threshold, tolerance), "member long, links long, leader long")
-    return texts, found
+    cell = ["bucket", "left_block", "right_block"]
+    left = spread.groupBy(*cell).applyInPandas(_prune_blocks(threshold, tolerance), "bucket long, left_block int, right_block int, entry long, partners array<long>")
+    left = stash(left, "pairs")
+    wanted = stash(left.select(F.col("entry").alias("of")).distinct().join(entries.select("entry", F.col("text_key").alias("of_key"), "rep"), F.col("of") == F.col("entry")).drop("of"), "wanted")
+    texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = texts.groupBy("entry").agg(F.first("text").alias("text"))  # rows may repeat, with equal text
+    sets = texts.mapInArrow(_sets, "entry long, codes binary").select(F.col("entry").alias("of"), "codes")
+    sized = left.join(sets, F.col("entry") == F.col("of")).drop("of")
+    sized = sized.join(entries.select(F.col("entry").alias("of"), "copies"), F.col("entry") == F.col("of")).drop("of")
+    found = sized.groupBy(*cell).applyInPandas(_verify_blocks(threshold), "member long, links long, leader long")
+    return entries, stash(found, "links")
 
 
 def _classes(edges: DataFrame) -> DataFrame:
-    """(member, leader) of every member: the smallest doc_id that it is connected to.
+    """(member, leader) of every member: the smallest entry that it is connected to.
 
     Each round moves every edge to the smallest leader that its ends know of; it ends when no label changes.
     """
@@ -200,9 +236,9 @@ def _classes(edges: DataFrame) -> DataFrame:
         known = labels.select(F.col("member").alias("m"), F.col("leader").alias("at"))
         ends = edges.join(known, F.col("member") == F.col("m")).select("member", F.col("leader").alias("hub"), "at")
         hubs = ends.groupBy("hub").agg(F.min("at").alias("least"))
-        hubs = hubs.join(known, F.col("hub") == F.col("m"), "left").select("hub", F.least("least", F.coalesce("at", "hub")).alias("least"))
-        back = ends.select("member", "hub").join(hubs, "hub").select("member", "least")
+        hubs = stash(hubs.join(known, F.col("hub") == F.col("m"), "left").select("hub", F.least("least", F.coalesce("at", "hub")).alias("least")), "hubs")
         own = hubs.select(F.col("hub").alias("member"), "least")
+        back = edges.select("member", "leader").join(hubs, F.col("leader") == F.col("hub")).select("member", "least")
         jump = known.alias("p").join(known.alias("q"), F.col("p.at") == F.col("q.m")).select(F.col("p.m").alias("member"), F.col("q.at").alias("least"))
         labels = stash(back.unionByName(own).unionByName(jump).groupBy("member").agg(F.min("least").alias("leader")), "labels")
 
@@ -210,25 +246,49 @@ def _classes(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id that links lead to), copy_of (the smallest
     doc_id of equal text), n_copies (rows of equal text, itself included), n_links (other rows it is linked to)."""
-    texts, found = link_blocks(docs, threshold, tolerance)
-    found = stash(found, "links")
+    rows = keyed_rows(docs)
+    entries, found = link_blocks(rows, threshold, tolerance)
     counts = found.groupBy("member").agg(F.sum("links").alias("links"))
-    classes = _classes(found.select("member", "leader").distinct())
+    classes = _classes(stash(found.select("member", "leader").distinct(), "edges"))
     linked = counts.join(classes, "member")
-    texts = texts.join(linked, texts.rep == linked.member, "left").select(
-        "doc_id", "copies", F.coalesce("leader", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = entries.select("entry", "text_key", "rep", "copies").join(linked, F.col("entry") == F.col("member"), "left")
+    known = stash(known.select("text_key", "rep", "copies", F.coalesce("leader", "entry").alias("leader"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    least = stash(known.groupBy(F.col("leader").alias("of_leader")).agg(F.min("rep").alias("class_id")), "classes")
+    known = known.join(least, F.col("leader") == F.col("of_leader")).select(F.col("text_key").alias("of_key"), "rep", "copies", "class_id", "links")
+    known = stash(known, "texts")
+    return rows.select("doc_id", "text_key").join(known, F.col("text_key") == F.col("of_key"), "left").select(
+        "doc_id",
+        F.when(F.col("of_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("of_key").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
     )
-    texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("copies", "class_id", "copy_of", "n_links"), "class_id").alias("t"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"))
-    return rows.join(texts, F.col("id") == F.col("doc_id"), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("t.class_id", "id").alias("class_id"), F.coalesce("t.copy_of", "id").alias("copy_of"),
-        F.coalesce("t.copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("t.n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The same for DuckDB, by all pairs that share a shingle."""
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
+
+]+'), lambda x: x <> '') AS w FROM documents),
+    e AS (SELECT t, min(doc_id) AS rep, count(*) AS copies, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY t),
+    s AS (SELECT rep, copies, list_distinct(CASE WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH} - 1], ' ')) END) AS g FROM e),
+    x AS (SELECT rep, unnest(g) AS g FROM s),
+    c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+    l AS (SELECT a, b, p.copies AS ca, q.copies AS cb FROM c JOIN s p ON p.rep = a JOIN s q ON q.rep = b WHERE n >= {threshold}::DOUBLE * (len(p.g) + len(q.g) - n)),
+    h AS (SELECT a, b, cb AS k FROM l UNION ALL SELECT b, a, ca FROM l),
+    r AS (SELECT rep AS a, rep AS b FROM e UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a),
+    k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+    m AS (SELECT a, sum(k) AS links FROM h GROUP BY a)
+    SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(e.rep, d.doc_id) AS copy_of, coalesce(e.copies, 1)::BIGINT AS n_copies,
+        coalesce(m.links + e.copies - 1, e.copies - 1, 0)::BIGINT AS n_links
+    FROM d LEFT JOIN e ON e.t = d.t LEFT JOIN k ON k.a = e.rep LEFT JOIN m ON m.a = e.rep
+    """
 
 
 def brute_force(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD, width: int = WIDTH) -> list[tuple]:
     """The same by comparing all pairs, for tests; doc_ids are distinct and not null."""
-    sets = {}
+    sets: dict = {}
     for d, t in rows:
         w = (t or "").encode().split()
         sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())

@@ -55,4 +55,5 @@ QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_hypergeometric_shardi
 #: The others hash words, run models or read bytes in ways that SQL can't; tests hold them against plain loops.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation.oracle_sql(),
+    "op4_ngram_jaccard_join": jaccard_join.oracle_sql(),
 }

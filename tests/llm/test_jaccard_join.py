@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quern.llm import jaccard_join as m
 
@@ -44,12 +45,30 @@ def test_blocks_lose_no_link(spark, monkeypatch):
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
     text = "a b c d e f g h"
-    df = spark.createDataFrame([(None, text, ""), (1, text, ""), (1, text, ""), (4, "other words stand here", "")], SCHEMA)
+    df = spark.createDataFrame([(None, text, ""), (1, text, ""), (1, text, ""), (4, "other words stand here", ""), (None, "of no number at all", ""), (None, None, ""), (5, "", "")], SCHEMA)
     got = sorted((tuple(r) for r in m.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(None, None, None, 1, 0), (1, 1, 1, 2, 1), (1, 1, 1, 2, 1), (4, 4, 4, 1, 0)], key=str)
+    want = [(None, 1, 1, 3, 2), (1, 1, 1, 3, 2), (1, 1, 1, 3, 2), (4, 4, 4, 1, 0), (None, None, None, 1, 0), (None, None, None, 1, 0), (5, 5, 5, 1, 0)]
+    assert got == sorted(want, key=str)
     assert m.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_two_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    df = spark.createDataFrame([(1, a, ""), (1, b, ""), (7, b + " more", ""), (8, a + " more", ""), (9, "z", "")], SCHEMA).repartition(3)
+    for _ in range(2):
+        got = sorted(tuple(r) for r in m.near_duplicates(df).collect())
+        assert got == [(1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (7, 1, 7, 1, 1), (8, 1, 8, 1, 1), (9, 9, 9, 1, 0)]
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(d, t, "x") for d, t in near_copies(9)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(m.oracle_sql()).fetchall())
+    assert sorted(tuple(r) for r in m.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()) == want
+
+
 def test_minhash_estimates_the_similarity_and_pruning_is_rare():
     rng = np.random.default_rng(2)
     errors = []
