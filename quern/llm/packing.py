@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .support import stash, whole_text
 
-WINDOW, END, CELL = 1024, 0, 4096
+WINDOW, END, CELL = 1024, 0, 1024
 #: The solver ends when PATIENCE steps took less than GAIN off the residual, or when that is under LEFT of the histogram's size.
 PATIENCE, GAIN, LEFT = 50, 0.01, 1e-4
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
