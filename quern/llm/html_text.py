@@ -4,9 +4,12 @@ A tree builder reads the tags, closes elements whose end tag is implied (p, li,
 tfoot) and ignores stray end tags; the visible part of the tree is then rendered as text: white space collapses except
 in pre and textarea, blocks stand on lines of their own, paragraphs, headings, lists, tables and the like are set off by
 a blank line, list items get a bullet or their number and are indented by depth, br breaks a line, and the cells of a
-table are aligned in columns. What stands in a table but in no cell or caption comes before the table, as in a browser. Of svg the
-texts are shown, each set off by blanks, and of math all text. Not visible: script, style, template, noscript, head but for its title
-(kept apart), comments, elements with hidden, aria-hidden="true", display:none or visibility:hidden, input; what a browser shows only
+table stand in a grid of columns and rows, where colspan and rowspan hold; a cell of several lines (a list, paragraphs, a table)
+keeps them, beside those of its neighbours. What stands in a table but in no cell or caption comes before the table, as in a browser.
+Of input the value is shown, where its type shows one; options of select and the content of details as if they were opened. Of svg the
+texts are shown, each set off by blanks, and of math all text. visibility is inherited: in a hidden element those that are visible
+again are shown. Not visible: script, style, template, noscript, head but for its title (kept apart), comments, elements with hidden,
+aria-hidden="true" or display:none (in style attributes; style sheets aren't read), a dialog that isn't open, alt texts; what a browser shows only
 where it can't do better (content of iframe, noframes, noembed, object, audio, video, canvas); datalist; in svg what draws nothing by
 itself (title, desc, metadata, defs, symbol, clipPath, mask, pattern, marker; use isn't followed) and in math annotations and mphantom.
 
@@ -22,6 +25,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Generator, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +44,11 @@ MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
 SVG_HOLDS_HTML = frozenset("foreignobject desc title".split())
 MATH_HOLDS_HTML = frozenset("mi mo mn ms mtext annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Types of input that show their value, and what those without one show.
+VALUE_TYPES = frozenset("text search url tel email number date month week time datetime-local submit reset button".split())
+LABELS = {"submit": "Submit", "reset": "Reset"}
+#: The most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Elements that hold nothing but parts of a table, and those parts.
 TABLE_FRAME = frozenset("table thead tbody tfoot tr colgroup".split())
 TABLE_PART = (TABLE_FRAME | frozenset("td th caption col".split())) - {"table"}
@@ -55,17 +64,19 @@ SCOPE = frozenset("table td th html".split())
 
 TOKEN = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*)|[!?])")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    """`inner` says what its content is: "" HTML, "svg" (strings are not drawn), "text" (of svg) or "math"."""
+    """`inner` says what its content is: "" HTML, "svg" (strings are not drawn), "text" (of svg) or "math"; `unseen`: not laid out,
+    with all its content; `shows`: its visibility, None where it is that of its parent."""
 
-    __slots__ = ("attributes", "children", "inner", "name", "unseen")
+    __slots__ = ("attributes", "children", "inner", "name", "shows", "unseen")
 
-    def __init__(self, name: str, attributes: dict[str, str], unseen: bool, inner: str = ""):
-        self.name, self.attributes, self.unseen, self.inner, self.children = name, attributes, unseen, inner, []
+    def __init__(self, name: str, attributes: dict[str, str], unseen: bool, inner: str = "", shows: bool | None = None):
+        self.name, self.attributes, self.unseen, self.inner, self.shows, self.children = name, attributes, unseen, inner, shows, []
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -99,16 +110,25 @@ def _attributes(inside: str) -> dict[str, str]:
 
 
 def _is_hidden(name: str, attributes: dict[str, str]) -> bool:
-    if name in UNSEEN:
+    if name in UNSEEN or name == "dialog" and "open" not in attributes:
         return True
     if not attributes:
         return False
-    return (
-        "hidden" in attributes
-        or attributes.get("aria-hidden", "").lower() == "true"
-        or name == "input"
-        or bool(HIDING.search(attributes.get("style", "")))
-    )
+    shown = DISPLAY.findall(attributes.get("style", ""))  # the last one holds
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(shown) and shown[-1].lower() == "none"
+
+
+def _visibility(attributes: dict[str, str], outer: str) -> bool | None:
+    said = VISIBILITY.findall(attributes.get("style", ""))
+    if not said and outer in ("svg", "text") and attributes.get("visibility") in ("visible", "hidden", "collapse"):
+        said = [attributes["visibility"]]
+    return said[-1].lower() == "visible" if said else None
+
+
+def _value(attributes: dict[str, str]) -> str:
+    """What an input shows."""
+    kind = attributes.get("type", "text").strip().lower()
+    return attributes.get("value", LABELS.get(kind, "")) if kind in VALUE_TYPES else ""
 
 
 def _inner(name: str, outer: str) -> str:
@@ -123,7 +143,7 @@ def _is_undrawn(name: str, attributes: dict[str, str], outer: str) -> bool:
     """Hidden by the rules of svg and math."""
     if outer == "math":
         return name in MATH_UNSEEN
-    return name in SVG_UNSEEN or attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse")
+    return name in SVG_UNSEEN or attributes.get("display") == "none"
 
 
 def build_tree(page: str) -> Element:
@@ -211,7 +231,7 @@ def build_tree(page: str) -> Element:
         if name == "html" or name == "form" and stack[-1].name in TABLE_FRAME and open_table():
             continue
         outer = stack[-1].inner
-        element = Element(name, attributes, _is_hidden(name, attributes) or bool(outer) and _is_undrawn(name, attributes, outer), _inner(name, outer))
+        element = Element(name, attributes, _is_hidden(name, attributes) or bool(outer) and _is_undrawn(name, attributes, outer), _inner(name, outer), _visibility(attributes, outer) if attributes else None)
         add(element)
         if name in ("title", "textarea") and not (outer and inside.endswith("/")):  # their content is text only
             closing = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
@@ -278,70 +298,122 @@ class _Page:
         return "\n".join([*self.lines, "".join(self.line).rstrip()]).strip("\n")
 
 
-def _cells(table: Element) -> Generator:
-    rows: list[list[str]] = []
+def _span(attributes: dict[str, str], name: str, most: int) -> int:
+    said = re.match(r"[ \t\n\f]*\+?(\d{1,9})", attributes.get(name, ""), re.A)
+    return min(int(said[1]), most) if said else 1
+
 
-    def visit(node: Element, row: list[str] | None) -> Generator:
+class _Grid:
+    """Cells of a table: in a row each stands in the next column that no cell of a row above still takes."""
+
+    def __init__(self):
+        self.cells: list[tuple[int, int, int, list[str]]] = []  # row, column, columns, lines
+        self.row, self.column, self.group = -1, 0, 0
+        self.taken: dict[int, tuple[int, int]] = {}  # column: (row that is free again, group in which it counts)
+
+    def new_row(self) -> None:
+        self.row, self.column = self.row + 1, 0
+        self.taken = {c: t for c, t in self.taken.items() if t[0] > self.row and t[1] == self.group}
+
+    def new_group(self) -> None:
+        """thead, tbody or tfoot begins or ends: cells don't span beyond."""
+        self.group += 1
+
+    def add(self, attributes: dict[str, str], text: str) -> None:
+        wide, high = max(1, _span(attributes, "colspan", MOST_COLUMNS)), _span(attributes, "rowspan", MOST_ROWS) or MOST_ROWS
+        while self.column in self.taken:
+            self.column += 1
+        self.cells.append((self.row, self.column, wide, text.split("\n") if text else []))
+        if high > 1:
+            self.taken |= dict.fromkeys(range(self.column, self.column + wide), (self.row + high, self.group))
+        self.column += wide
+
+    def text(self) -> str:
+        columns = sorted({c for _, c, _, _ in self.cells})  # where cells begin
+        place = {c: k for k, c in enumerate(columns)}
+        widths = [0] * len(columns)
+        size = [max(map(len, lines), default=0) for *_, lines in self.cells]
+        for (_, c, wide, _), n in zip(self.cells, size, strict=True):
+            if wide == 1:
+                widths[place[c]] = max(widths[place[c]], n)
+        for (_, c, wide, _), n in zip(self.cells, size, strict=True):
+            if wide > 1:
+                held = widths[place[c] : bisect_right(columns, c + wide - 1)]
+                lacks = n - sum(held) - 2 * max(0, sum(w > 0 for w in held) - 1)
+                widths[place[c]] += max(0, lacks)
+        offsets, at = [], 0
+        for w in widths:
+            offsets.append(at)
+            at += w + 2 * (w > 0)
+        out: list[str] = []
+        for _, cells in groupby(self.cells, key=lambda x: x[0]):
+            row = list(cells)
+            for k in range(max(len(lines) for *_, lines in row)):
+                line = ""
+                for _, c, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        line = line.ljust(offsets[place[c]]) + lines[k]
+                out.append(line.rstrip())
+        return "\n".join(x for x in out if x)
+
+
+def _table(table: Element, shown: bool) -> Generator:
+    """Captions, then the grid."""
+    grid, captions = _Grid(), []
+
+    def visit(node: Element, shown: bool, in_row: bool) -> Generator:
         for c in node.children:
             if isinstance(c, str) or c.unseen:
                 continue
+            sees = shown if c.shows is None else c.shows
             if c.name == "tr":
-                rows.append(new := [])
-                yield visit(c, new)
-                row = None
+                grid.new_row()
+                yield visit(c, sees, True)
+                in_row = False
             elif c.name in ("td", "th"):
-                if row is None:
-                    rows.append(row := [])
-                row.append(SPACE.sub(" ", (yield _rendered(c))).strip())
-                span = c.attributes.get("colspan", "1")
-                row += [""] * (min(int(span), 50) - 1 if span.isascii() and span.isdigit() and int(span[:6]) > 1 else 0)
+                if not in_row:
+                    grid.new_row()
+                    in_row = True
+                grid.add(c.attributes, (yield _rendered(c, sees)))
             elif c.name in ("thead", "tbody", "tfoot"):
-                yield visit(c, None)
-                row = None
+                grid.new_group()
+                yield visit(c, sees, False)
+                grid.new_group()
+                in_row = False
             elif c.name == "caption":
-                rows.append([SPACE.sub(" ", (yield _rendered(c))).strip(), None])
+                captions.append((yield _rendered(c, sees)))
             else:
-                yield visit(c, row)
-
-    yield visit(table, None)
-    return rows
-
+                yield visit(c, sees, in_row)
 
-def _table(table: Element) -> Generator:
-    rows = [r for r in (yield _cells(table)) if r]
-    grid = [r for r in rows if r[-1] is not None]
-    wide = max((len(r) for r in grid), default=0)
-    widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(wide)]
-    lines = []
-    for r in rows:
-        lines.append(r[0] if r[-1] is None else "  ".join(x.ljust(widths[k]) for k, x in enumerate(r)).rstrip())
-    return "\n".join(x for x in lines if x.strip())
+    yield visit(table, shown, False)
+    return "\n".join(x for x in (*captions, grid.text()) if x)
 
 
-def _rendered(root: Element) -> Generator:
+def _rendered(root: Element, shown: bool = True) -> Generator:
     page = _Page()
 
-    def visit(node: Element, depth: int, as_is: bool) -> Generator:
+    def visit(node: Element, depth: int, as_is: bool, shown: bool) -> Generator:
         number = int(node.attributes.get("start", "1")) if node.name == "ol" and re.fullmatch(r"-?\d{1,6}", node.attributes.get("start", "1"), re.A) else 1
         for c in node.children:
             if isinstance(c, str):
-                if node.inner != "svg":
+                if node.inner != "svg" and shown:
                     page.text(c, as_is)
                 continue
             if c.unseen:
                 continue
-            name = c.name
+            name, sees = c.name, shown if c.shows is None else c.shows
             if name == "br":
                 page.newline()
             elif node.inner == "svg" and c.inner != "svg" or name in ("td", "th") and node.name != "table":  # text of svg, or a cell outside of any table
                 page.text(" ", False)
-                yield visit(c, depth, as_is)
+                yield visit(c, depth, as_is, sees)
                 page.text(" ", False)
-            elif name == "img":
-                page.text(c.attributes.get("alt", ""), False)
+            elif name == "input":
+                if sees and (value := _value(c.attributes)):
+                    page.text(f" {value} ", False)
             elif name == "table":
                 page.edge(2)
-                if made := (yield _table(c)):
+                if made := (yield _table(c, sees)):
                     page.text(made, True)
                 page.edge(2)
             elif name in BLOCK:
@@ -350,14 +422,15 @@ def _rendered(root: Element) -> Generator:
                 if name == "li":
                     mark = f"{number}." if node.name == "ol" else "-"
                     number += 1
-                    page.text("  " * max(0, depth - 1) + mark + " ", True)
-                    page.blank = False
-                yield visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name == "pre")
+                    if sees:
+                        page.text("  " * max(0, depth - 1) + mark + " ", True)
+                        page.blank = False
+                yield visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name == "pre", sees)
                 page.edge(gap)
             else:
-                yield visit(c, depth, as_is or name == "textarea")
+                yield visit(c, depth, as_is or name == "textarea", sees)
 
-    yield visit(root, 0, False)
+    yield visit(root, 0, False, shown)
     return page.done()
 
 
