@@ -56,4 +56,5 @@ QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_hypergeometric_shardi
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation.oracle_sql(),
     "op4_ngram_jaccard_join": jaccard_join.oracle_sql(),
+    "op8_substring_dedup": substring_dedup.oracle_sql(),
 }

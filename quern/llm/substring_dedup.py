@@ -3,177 +3,95 @@
 Every window of `width` consecutive words gets a 64-bit Rabin-Karp code. A window is repeated when its code also starts
 in a document of smaller doc_id; the words that repeated windows cover merge into maximal removal intervals.
 
-How it runs: each task sorts the codes of a few million windows and settles what its own rows show (all but the smallest
-document of a code are repeats, and only that smallest one travels on, so a passage that a third of all documents hold
-costs one entry for each task). The rest goes, compressed, to the range of codes it belongs to; there the codes are
-sorted once more and each document but the smallest is a repeat. Positions meet again by groups of documents, where they
-merge into intervals, which join the documents by doc_id.
+How it runs: every window is a row (code, document, place). Spark brings the rows of a code together and takes the least doc_id
+over them; rows of a larger doc_id are repeated windows. A passage that a third of all documents hold would bring as many rows to
+one task, so each task first compares the windows it holds (COMBINE at a time, the map-side part of the minimum): of each code only the
+rows of the smallest doc_id go to it, the others are repeated whatever else there is and are spread over all tasks. Repeated windows
+then meet by document, where a window function merges them into intervals, and these join the documents.
 Two different windows share a code with a chance of 2**-64.
 
 Defined cases: null text is empty; a text of fewer words than `width` has no window and stays; repeats within one
-document stay; rows of equal doc_id count as one document for the comparison and each keeps its own row; a row whose
+document stay; rows of equal doc_id count as one document for the comparison, and each has its own words removed; a row whose
 doc_id is null is neither compared nor changed. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import runs, texts_of, whole_text
-from .wordgrid import scramble, window_codes, word_grid
+from .wordgrid import window_codes, word_grid
 
 WIDTH = 13
-#: Windows that a task sorts at once, and windows that a group of the second sort has on average.
-FLUSH = GROUP = 1_500_000
-#: Documents whose repeated windows are merged in one group.
-SHELF = 2048
-PACKED = "part int, codes binary, docs binary, places binary"
+#: Windows that a task compares before they are shuffled, and rows of a batch that it hands on.
+COMBINE, BATCH = 2_000_000, 100_000
+WINDOWS = "code long, place int, doc long, body long, known boolean"
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Bytes of one weight stand together, so that those alike compress well."""
-    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, kind: type, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = pa.decompress(packed, decompressed_size=n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
-
-
-def _settle(codes: np.ndarray, docs: np.ndarray, places: np.ndarray):
-    """Sorted by code and document, and which entries a smaller document precedes."""
+def _known_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows a smaller doc_id among these also has."""
     order = np.lexsort((docs, codes))
-    codes, docs, places = codes[order], docs[order], places[order]
+    codes, docs = codes[order], docs[order]
     head = np.ones(len(codes), bool)
     head[1:] = codes[1:] != codes[:-1]
-    least = docs[head][np.cumsum(head) - 1]
-    return codes, docs, places, docs > least
-
-
-def _row(part: int, codes: np.ndarray | None, docs: np.ndarray, places: np.ndarray) -> dict:
-    n = len(docs)
-    return {
-        "part": part,
-        "codes": b"" if codes is None else n.to_bytes(4, "little") + _pack(np.diff(codes, prepend=np.uint64(0))),
-        "docs": n.to_bytes(4, "little") + _pack(docs),
-        "places": _pack(places),
-    }
-
-
-def _unrow(docs: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(docs[:4], "little")
-    return _unpack(docs[4:], np.int64, n), _unpack(places, np.int32, n)
-
-
-def _map_windows(width: int, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        codes, docs, places, repeated = _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        rows = []
-        if repeated.any():
-            d, p = docs[repeated], places[repeated]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            target = (d % parts).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            d, p, target = d[order], p[order], target[order]
-            cuts = np.searchsorted(target, np.unique(target))
-            for a, b in zip(cuts, [*cuts[1:], len(d)], strict=True):
-                rows.append(_row(int(target[a]), None, d[a:b], p[a:b]))
-        codes, docs, places = codes[~repeated], docs[~repeated], places[~repeated]
-        target = ((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        present = np.unique(target)
-        cuts = np.searchsorted(target, present)
-        for k, a, b in zip(present, cuts, [*cuts[1:], len(codes)], strict=True):
-            rows.append(_row(int(k), codes[a:b], docs[a:b], places[a:b]))
-            if len(rows) >= 200:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    known = np.empty(len(codes), bool)
+    known[order] = docs > docs[head][np.cumsum(head) - 1]
+    return known
+
+
+def _windows(width: int):
+    names = ["code", "place", "doc", "body", "known"]
+
+    def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        codes, places, docs, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = [codes.view(np.int64), places, docs, bodies, _known_repeats(codes, docs)]
+        for k in range(0, len(codes), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BATCH]) for c in columns], names)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in source:
-            texts, ids = texts_of(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            texts = texts_of(batch)
+            docs, bodies = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("doc_id", "body"))
             for lo, hi in runs(texts):
                 grid = word_grid(texts[lo:hi])
                 codes, at = window_codes(grid, width)
-                begins = np.searchsorted(grid.doc, grid.doc[at])
-                held.append((codes, ids[lo + grid.doc[at]].astype(np.int64), (at - begins).astype(np.int32)))
+                owner = grid.doc[at]
+                held.append((codes, (at - np.searchsorted(grid.doc, owner)).astype(np.int32), docs[lo + owner], bodies[lo + owner]))
                 count += len(codes)
-                if count >= FLUSH:
-                    yield from flush(held)
+                if count >= COMBINE:
+                    yield from combined(held)
                     held, count = [], 0
         if count:
-            yield from flush(held)
+            yield from combined(held)
 
     return run
 
 
-def _reduce_windows(shelves: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of one range of codes: the repeated windows, packed by the shelf of their documents."""
-        entries, out = [], []
-        for codes, docs, places in zip(frame["codes"], frame["docs"], frame["places"], strict=True):
-            d, p = _unrow(docs, places)
-            if codes:
-                n = int.from_bytes(codes[:4], "little")
-                entries.append((np.cumsum(_unpack(codes[4:], np.uint64, n)), d, p))
-            else:
-                out.append((d, p))
-        if entries:
-            _, d, p, repeated = _settle(*(np.concatenate(x) for x in zip(*entries, strict=True)))
-            out.append((d[repeated], p[repeated]))
-        d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        shelf = (scramble(d.view(np.uint64)) % np.uint64(shelves)).astype(np.int64)
-        order = np.lexsort((p, d, shelf))
-        d, p, shelf = d[order], p[order], shelf[order]
-        present, cuts = np.unique(shelf, return_index=True)
-        rows = [_row(int(k), None, d[a:b], p[a:b]) for k, a, b in zip(present, cuts, np.append(cuts, len(d))[1:], strict=True)]
-        return pd.DataFrame(rows, columns=["part", "codes", "docs", "places"])[["part", "docs", "places"]]
-
-    return run
-
-
-def _merge_windows(width: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of one shelf: for each document the maximal intervals that its repeated windows cover."""
-        d, p = (np.concatenate(x) for x in zip(*map(_unrow, frame["docs"], frame["places"]), strict=True))
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order].astype(np.int64)
-        opens = np.ones(len(d), bool)
-        opens[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > width)
-        first = np.flatnonzero(opens)
-        last = np.append(first, len(d))[1:] - 1
-        spans = np.stack([p[first], p[last] + width], axis=1).astype(np.int32)
-        heads, cuts = np.unique(d[first], return_index=True)
-        return pd.DataFrame({"at_doc": heads, "spans": [spans[a:b].tobytes() for a, b in zip(cuts, np.append(cuts, len(spans))[1:], strict=True)]})
-
-    return run
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and body (a hash that tells apart the rows of one doc_id)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("body"))
 
 
 def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """at_doc long, spans binary (pairs of int32): the word ranges that windows cover which a document of smaller doc_id
-    also has; one row for each document that has any."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("docs")).first()
-    parts = max(1, math.ceil(size["bytes"] / 7 / GROUP))  # about seven bytes a word; only how work is split rests on it
-    shelves = max(1, math.ceil(size["docs"] / SHELF))
-    packed = rows.mapInArrow(_map_windows(width, parts), PACKED)
-    found = packed.groupBy("part").applyInPandas(_reduce_windows(shelves), "part int, docs binary, places binary")
-    return found.groupBy("part").applyInPandas(_merge_windows(width), "at_doc long, spans binary")
+    """of_doc, of_body, spans (pairs of first word and end, in order): the word ranges that windows cover which a document
+    of smaller doc_id also has; one row for each text that has any."""
+    windows = _rows(docs).where("doc_id is not null").mapInArrow(_windows(width), WINDOWS)
+    group = Window.partitionBy(F.when(F.col("known"), F.xxhash64("doc", "body", "place")).otherwise(F.col("code")))
+    least = F.min(F.when(~F.col("known"), F.col("doc"))).over(group)
+    repeated = windows.withColumn("least", least).where("known or doc > least").select("doc", "body", "place")
+    order = Window.partitionBy("doc", "body").orderBy("place")
+    opens = F.coalesce(F.col("place") - F.lag("place").over(order) > width, F.lit(True))
+    parts = repeated.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(order))
+    merged = parts.groupBy("doc", "body", "part").agg(F.min("place").alias("first"), (F.max("place") + width).alias("end"))
+    spans = F.sort_array(F.collect_list(F.array("first", "end")))  # of one text, fewer than its words
+    return merged.groupBy(F.col("doc").alias("of_doc"), F.col("body").alias("of_body")).agg(spans.alias("spans"))
 
 
 def _strip(width: int):
@@ -183,19 +101,14 @@ def _strip(width: int):
         for batch in source:
             texts = texts_of(batch)
             out = {k: [] for k in schema.names}
-            for doc, text, packed in zip(batch.column("doc_id").to_pylist(), texts, batch.column("spans").to_pylist(), strict=True):
+            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), texts, batch.column("spans").to_pylist(), strict=True):
                 words = text.split()  # bytes split at just the six blanks
-                removed, spans = 0, []
-                if packed:
-                    spans = np.frombuffer(packed, np.int32).reshape(-1, 2).tolist()
-                    kept, last = [], 0
-                    for a, b in spans:
-                        kept += words[last:a]
-                        last, removed = b, removed + b - a
-                    kept += words[last:]
-                else:
-                    kept = words
-                for k, v in zip(schema.names, (doc, len(words), removed, b" ".join(kept), spans), strict=True):
+                kept, last, removed = [], 0, 0
+                for a, b in spans or []:
+                    kept += words[last:a]
+                    last, removed = b, removed + b - a
+                kept += words[last:]
+                for k, v in zip(schema.names, (doc, len(words), removed, b" ".join(kept), spans or []), strict=True):
                     out[k].append(v)
                 if sum(map(len, out["kept"][-1:])) > 1 << 20 or len(out["kept"]) >= 1000:
                     yield _made(out, schema)
@@ -213,9 +126,8 @@ def _made(out: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank), intervals (word ranges taken out)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = removal_intervals(docs, width)
-    joined = rows.join(found, rows.doc_id == found.at_doc, "left").select("doc_id", "text", "spans")
+    rows, found = _rows(docs), removal_intervals(docs, width)
+    joined = rows.join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept string, intervals array<array<int>>")
 
 
@@ -223,6 +135,19 @@ def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def oracle_sql(width: int = WIDTH) -> str:
+    """The digest for DuckDB."""
+    return rf"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM d WHERE len(w) >= {width})),
+    m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+    r AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN m USING (g), range({width}) t(k) WHERE doc_id > least),
+    x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """
+
+
 def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH) -> list[tuple]:
     """The same by plain loops, for tests."""
     words = [(d, (t or "").encode().split()) for d, t in rows]

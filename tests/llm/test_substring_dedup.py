@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quern.llm import substring_dedup as m
 
 SCHEMA = "doc_id long, text string, part int, places string"
@@ -27,16 +29,31 @@ def test_matches_plain_loops(spark):
     assert got == sorted(m.brute_force(rows))
 
 
-def test_small_flushes_and_many_groups(spark, monkeypatch):
+def test_small_batches_give_the_same(spark, monkeypatch):
     rows = rows_for_test()
-    monkeypatch.setattr(m, "FLUSH", 500)
-    monkeypatch.setattr(m, "GROUP", 300)
-    monkeypatch.setattr(m, "SHELF", 5)
+    monkeypatch.setattr(m, "COMBINE", 500)
+    monkeypatch.setattr(m, "BATCH", 70)
     df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], SCHEMA).repartition(5)
     got = sorted(tuple(r) for r in m.digest(m.remove_repeats(df)).collect())
     assert got == sorted(m.brute_force(rows))
 
 
+def test_sql_says_the_same(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows_for_test()], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(m.oracle_sql()).fetchall()) == sorted(tuple(r) for r in m.digest(m.remove_repeats(df)).collect())
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_words(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text), (2, text + " x"), (2, "of its own " + text), (2, "quite another one " * 6)] + [(3, text)] * 3
+    got = sorted((r.doc_id, r.kept) for r in m.remove_repeats(spark.createDataFrame([(d, t, 0, "") for d, t in rows], SCHEMA)).collect())
+    assert got == [(1, text), (2, "of its own"), (2, ("quite another one " * 6).strip()), (2, "x"), (3, ""), (3, ""), (3, "")]
+
+
 def test_intervals_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, text, 0, ""), (2, "start " + text + " end", 0, ""), (None, text, 0, "")], SCHEMA)
