@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -13,15 +14,20 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Bytes that are hashed at once (and the word that ends there): about 60 times as much memory is used meanwhile.
+CHUNK = 1 << 20
+BLANK = re.compile(rb"[ \t-\r]")
+
+
 @dataclass
 class WordGrid:
-    """doc: index of the text; first, last: byte range in the joined texts; code: hash of the word."""
+    """For each word the index of its text and the hash of the word."""
 
     doc: np.ndarray
     code: np.ndarray
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, BASE, np.uint64)
     down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
@@ -39,22 +45,34 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_grid(parts: list[bytes]) -> WordGrid:
-    """All words of the given texts. Equal words get equal codes wherever they stand."""
-    buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+def _words(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, code) of each word."""
+    buf = np.frombuffer(part, np.uint8)
     solid = np.zeros(len(buf) + 2, np.int8)
     solid[1:-1] = ~IS_BLANK[buf]
     edges = np.flatnonzero(np.diff(solid))
     first, last = edges[0::2], edges[1::2]
-    size = 1 << max(20, int(len(buf)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(20, int(len(buf)).bit_length()))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    code = (sums[last] - sums[first]) * down[first]
-    code = scramble(code + (last - first).astype(np.uint64))
+    return first, scramble((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def word_grid(parts: list[bytes]) -> WordGrid:
+    """All words of the given texts. Equal words get equal codes wherever they stand. Long texts are read in chunks that end
+    at a blank, so memory follows the number of words, not 60 times the bytes."""
+    whole = b"\n".join(parts) + b"\n"
+    firsts, codes, at = [], [], 0
+    while at < len(whole):
+        blank = BLANK.search(whole, at + CHUNK) if at + CHUNK < len(whole) else None
+        end = blank.end() if blank else len(whole)
+        first, code = _words(whole[at:end])
+        firsts.append(first + at)
+        codes.append(code)
+        at = end
     begins = np.zeros(len(parts), np.int64)
     np.cumsum([len(p) + 1 for p in parts[:-1]], out=begins[1:]) if len(parts) > 1 else None
-    return WordGrid(np.searchsorted(begins, first, "right") - 1, code)
+    return WordGrid(np.searchsorted(begins, np.concatenate(firsts), "right") - 1, np.concatenate(codes))
 
 
 def window_codes(grid: WordGrid, width: int) -> tuple[np.ndarray, np.ndarray]:
