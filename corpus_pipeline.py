@@ -52,8 +52,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data in their text replaced by its kind."""
-    return pii.redact_pii(docs)
+    """Documents with personal data in their text replaced by its kind; n_chars, where it is there, counts the new text."""
+    redacted = pii.redact_pii(docs)
+    kinds = dict(docs.dtypes)
+    return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast(kinds["n_chars"]), "n_chars")) if "n_chars" in kinds else redacted
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle into shards of exact size.
 
-1. Rows fall into blocks by a hash of doc_id and text; the rows of each block are counted.
+1. Rows are written once, as size, checksum and a number of their own, and fall into blocks by a seeded hash of that number (so equal
+   rows spread like others); the rows of each block are counted. The texts are read once.
 2. For each block the number of its rows for each shard is drawn as a uniform random permutation would have it: from a
    multivariate hypergeometric distribution over the places still free in the shards (exact draws, seeded).
 3. Rows are permuted within their block by a seeded hash; the drawn counts cut that order into the shards' parts.
 4. After the exchange the rows of a shard are permuted once more, by another hash, in cells of about CELL rows; the
    place of a row in its cell and the rows of the cells before it give its slot.
 
-The law that holds is `rows`: shard sizes differ by at most one row. No task holds a whole shard or block of unbounded
-size: there is a block for every BLOCK rows and a cell for every CELL rows. The matrix has shards x blocks numbers, at most
-40 x MOST_BLOCKS, whatever the size of the table; only block and cell counts go through the driver or a broadcast.
+The law that holds is `rows`: shard sizes differ by at most one row. There are eight blocks for every BLOCK rows, at most
+MOST_BLOCKS of them, since the driver draws the matrix of shards x blocks numbers one by one. So a block has some BLOCK / 8 rows up to
+400 million rows; beyond that it is a MOST_BLOCKS-th of the table (305,000 of 10 billion rows), and sorting it may spill. There is a cell
+for every CELL rows. Only block and cell counts go through the driver or a broadcast. The draws use differences of log-gamma values,
+by which a probability is off by a factor of about 1e-6 at a billion rows and 1e-3 at 1e11.
 
-Defined cases: null text has 0 bytes; an empty table gives no rows; rows with equal values are interchangeable, so ties
-don't matter; rows of equal text needn't share a shard; other columns are ignored.
+Defined cases: null text has 0 bytes; an empty table gives no rows; equal rows have numbers of their own, so there are
+no ties; rows of equal text needn't share a shard; other columns are ignored. The same written table gives the same shards.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import whole_text
+from .support import stash, whole_text
 
-SHARDS, BLOCK, CELL, MOST_BLOCKS = 40, 100_000, 50_000, 8192
+SHARDS, BLOCK, CELL, MOST_BLOCKS = 40, 100_000, 50_000, 32_768
 OVERHEAD = 16
 
 
@@ -88,25 +91,25 @@ def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFram
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    total = rows.count()
-    if not total:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    blocks = min(MOST_BLOCKS, max(1, math.ceil(total / BLOCK)) * 8)
-    cells = max(1, math.ceil(total / shards / CELL))
-    code = F.xxhash64("doc_id", whole_text(), F.lit(seed))
-    keyed = rows.select(
-        "doc_id",
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(whole_text()) + OVERHEAD).cast("long").alias("size"),
         F.crc32(whole_text().cast("binary")).alias("text_crc32"),
-        F.pmod(code, F.lit(blocks)).alias("block"),
-        code.alias("first"),
+        F.monotonically_increasing_id().alias("number"),
     )
+    rows = stash(rows, "rows")
+    total = rows.count()
+    if not total:
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    blocks = min(MOST_BLOCKS, math.ceil(total / BLOCK) * 8)
+    cells = max(1, math.ceil(total / shards / CELL))
+    code = F.xxhash64("number", F.lit(seed))
+    keyed = rows.select("doc_id", "size", "text_crc32", F.pmod(code, F.lit(blocks)).alias("block"), code.alias("first"))
     sizes = sorted((r["block"], r["count"]) for r in keyed.groupBy("block").count().collect())  # at most MOST_BLOCKS rows
     matrix = communication_matrix([n for _, n in sizes], capacities_of(total, shards), seed)
     ends = [[sum(row[: k + 1]) for k in range(shards)] for row in matrix]
     cuts = F.broadcast(_table(spark, [(b, e) for (b, _), e in zip(sizes, ends, strict=True)], ["of_block", "ends"]))
-    order = Window.partitionBy("block").orderBy(F.xxhash64("first", F.lit(seed + 1)), "doc_id", "text_crc32")
+    order = Window.partitionBy("block").orderBy(F.xxhash64("first", F.lit(seed + 1)), "first")
     placed = keyed.withColumn("place", F.row_number().over(order).cast("long"))
     placed = placed.join(cuts, F.col("block") == F.col("of_block"))
     dealt = placed.select(
@@ -120,7 +123,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFra
         F.col("shard").alias("of_shard"), F.col("cell").alias("of_cell"),
         (F.sum("rows").over(Window.partitionBy("shard").orderBy("cell")) - F.col("rows")).alias("before"),
     )
-    within = Window.partitionBy("shard", "cell").orderBy("second", "doc_id", "text_crc32")
+    within = Window.partitionBy("shard", "cell").orderBy("second")
     dealt = dealt.withColumn("nth", F.row_number().over(within).cast("long"))
     dealt = dealt.join(before, (F.col("shard") == F.col("of_shard")) & (F.col("cell") == F.col("of_cell")))
     return dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))

@@ -9,7 +9,8 @@ its bad rate, mean - Z standard deviations of its beta posterior, is over MAX_BA
 `host/path` fits its host and all subdomains when the url's path starts with the rule's; the longest one decides.
 
 Everything is DataFrame functions. The counts add up in each task before they are shuffled, so a host with a third of all
-pages costs a row for each task; pages meet the reputations by (host, salt), so no task gets all pages of a host.
+pages costs a row for each task. Pages meet the reputations by (host, salt): a host gets a salt for every SHARE pages (or for every
+MOST_HOT-th of the table, if that is more), so there are at most MOST_HOT hosts of more than one salt, and only these are broadcast.
 
 Defined cases: null urls and urls without :// have an empty host and path, which is a host like any other but fits no rule;
 unlabelled hosts get the rate of their domain, and so on up; several labels of a page count once, bad if any is; pages
@@ -18,6 +19,8 @@ of null page_id are judged but have no outcome; repeated rows get a row each; ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from .support import stash
 # Rules as (verdict, rule), and suffixes of more than one label.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ac.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.za", "co.kr")
-Z, MAX_BAD, SALTS = 1.645, 0.35, 16
+Z, MAX_BAD = 1.645, 0.35
+SHARE, MOST_HOT = 100_000, 10_000
 #: Bounds of the estimated strength, in outcomes.
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: Bad rate before any outcome, worth one outcome.
@@ -78,13 +82,14 @@ def _strength(level: DataFrame) -> float:
 
 
 def host_reputation(urls: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """urls: page_id and host. (one row for each host with its rate and bound, the strengths)."""
+    """urls: page_id, host and path. (one row for each host with its pages, rate and bound, the strengths)."""
     outcomes = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of_page"))
     outcomes = outcomes.agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
-    pages = urls.join(outcomes, urls.page_id == outcomes.of_page, "left")
-    hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
+    key = F.coalesce("page_id", F.xxhash64("host", "path"))  # pages without an id have no outcome, but mustn't all meet in one task
+    pages = urls.join(outcomes, (key == F.col("of_page")) & F.col("page_id").isNotNull(), "left")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = stash(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "x"), "hosts")  # pages are counted once
+    hosts = stash(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "pages", "n", "x"), "hosts")  # pages are counted once
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
@@ -99,7 +104,7 @@ def host_reputation(urls: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     domains = shrink(domains.join(suffixes, "suffix"), "domain").select("suffix", "domain", F.col("rate").alias("m"))
     hosts = shrink(hosts.join(domains, ["suffix", "domain"]), "host")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
-    return hosts.select("host", "n", "x", "rate", (F.col("rate") - Z * spread).alias("bound")), strengths
+    return hosts.select("host", "pages", "n", "x", "rate", (F.col("rate") - Z * spread).alias("bound")), strengths
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
@@ -108,8 +113,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float
     host, path = split_url(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     known, _ = host_reputation(rows, labels)
-    known = known.select(F.col("host").alias("of_host"), "rate", "bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    known = stash(known, "reputations")
+    share = max(SHARE, math.ceil((known.agg(F.sum("pages").alias("n")).first()["n"] or 0) / MOST_HOT))
+    salts = F.ceil(F.col("pages") / share).cast("int")
+    hot = F.broadcast(known.where(F.col("pages") > share).select(F.col("host").alias("hot_host"), salts.alias("salts")))  # at most MOST_HOT rows
+    known = known.select(F.col("host").alias("of_host"), "rate", "bound", F.explode(F.sequence(F.lit(0), salts - 1)).alias("of_salt"))
+    rows = rows.join(hot, F.col("host") == F.col("hot_host"), "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("salts", F.lit(1))).cast("int"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     judged = rows.join(known, (F.col("host") == F.col("of_host")) & (F.col("salt") == F.col("of_salt")))
     return judged.select(

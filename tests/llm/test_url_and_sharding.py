@@ -27,6 +27,16 @@ def test_urls_match_the_sql(spark):
     assert rules["b.example.net", "/de/8"] == "example.net/de/8" and rules["", ""] is None
 
 
+def test_hot_hosts_get_more_salts(spark, monkeypatch):
+    monkeypatch.setattr(url_reputation, "SHARE", 10)
+    urls = [f"http://hot.com/{i}" for i in range(95)] + [f"http://h{i % 20}.org/x" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://hot.com/x")] * 40, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 95), 0) for i in range(155) if not 50 <= i < 95], "doc_id long, quality int, toxic int")
+    got = url_reputation.judge_urls(pages, labels).collect()
+    assert len(got) == 195 and len({r.bad_rate for r in got if r.host == "hot.com"}) == 1
+    assert Counter(r.verdict for r in got if r.host == "hot.com") == {"block": 135} and {r.verdict for r in got if r.host != "hot.com"} == {"allow"}
+
+
 def test_urls_of_empty_tables(spark):
     pages = spark.createDataFrame([(None, "http://a.b/c"), (1, None), (1, None)], "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -51,6 +61,19 @@ def test_shards_are_exact_and_whole(spark, monkeypatch):
     assert sharding.shard_rows(df.limit(0)).count() == 0
 
 
+def test_the_shuffle_is_uniform(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 4000)
+    rows = [(i, f"t{i}", "s") for i in range(6000)] + [(7, "same", "s")] * 2000
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(3), 8).collect()
+    for picked in (lambda r: r["size"] == 20 and r.doc_id == 7, lambda r: r.doc_id < 2000 and r.doc_id != 7, lambda r: r.doc_id % 3 == 0):
+        per_shard = Counter(r.shard for r in got if picked(r))
+        n = sum(per_shard.values())
+        chi = sum((per_shard[k] - n / 8) ** 2 / (n / 8) for k in range(8))
+        assert chi < 30  # 7 degrees of freedom; smaller than chance alone as sizes are fixed
+        early = sum(picked(r) and r.slot < 500 for r in got)
+        assert abs(early - n / 2) < 5 * (n / 4) ** 0.5
+
+
 def test_draws_follow_the_distribution():
     rng = random.Random(1)
     draws = Counter(sharding.hypergeometric(rng, 5, 7, 4) for _ in range(20_000))
