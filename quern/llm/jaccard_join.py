@@ -212,6 +212,7 @@ def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float
     left = spread.groupBy(*cell).applyInPandas(_prune_blocks(threshold, tolerance), "bucket long, left_block int, right_block int, entry long, partners array<long>")
     left = stash(left, "pairs")
     wanted = stash(left.select(F.col("entry").alias("of")).distinct().join(entries.select("entry", F.col("text_key").alias("of_key"), "rep"), F.col("of") == F.col("entry")).drop("of"), "wanted")
+    wanted = wanted.hint("merge")  # shuffled at every size: a plan that changed with the size would shuffle more than in proportion
     texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = texts.groupBy("entry").agg(F.first("text").alias("text"))  # rows may repeat, with equal text
     sets = texts.mapInArrow(_sets, "entry long, codes binary").select(F.col("entry").alias("of"), "codes")
