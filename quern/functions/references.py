@@ -12,8 +12,9 @@ without verses means its first verse; dashes of any kind make ranges; a bad item
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from .books import BOOKS
 REF = T.StructType([T.StructField("volume", T.StringType()), T.StructField("slug", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("chapter", "verse", "end_verse"))])
 PARSED = T.StructType([T.StructField("refs", T.ArrayType(REF)), T.StructField("errors", T.ArrayType(T.StringType()))])
 
+ARROW_REFS = pa.list_(pa.struct([("volume", pa.string()), ("slug", pa.string()), *((n, pa.int32()) for n in ("chapter", "verse", "end_verse"))]))
+
 _BOOK = re.compile("(" + "|".join(re.escape(a) for a in sorted(BOOKS, key=len, reverse=True)) + r")(?=[ \t]|$)")
 _ITEM = re.compile(r"([+-]?[0-9]+)(?:\s*[-–—]\s*([+-]?[0-9]+))?\Z")
 _NUMBER = re.compile(r"[+-]?[0-9]+\Z")
@@ -85,14 +88,25 @@ def parse(text: str | None) -> tuple[list[tuple], list[str]]:
     return refs, errors
 
 
-@F.pandas_udf(PARSED)
-def parse_references(texts: pd.Series) -> pd.DataFrame:
-    parsed = [parse(t) for t in texts]
-    return pd.DataFrame({"refs": [[dict(zip(REF.names, r, strict=True)) for r in refs] for refs, _ in parsed], "errors": [e for _, e in parsed]})
+@lru_cache(maxsize=100_000)
+def _parsed(text: str | None) -> tuple[list[dict], list[str]]:
+    refs, errors = parse(text)
+    return [dict(zip(REF.names, r, strict=True)) for r in refs], errors
+
+
+@F.arrow_udf(PARSED)
+def parse_references(texts: pa.Array) -> pa.Array:
+    """Each distinct text of a batch is parsed once, and texts that many batches share are kept."""
+    seen = texts.dictionary_encode()
+    made = [_parsed(t) for t in seen.dictionary.to_pylist()]
+    refs = pa.array([r for r, _ in made], ARROW_REFS)
+    errors = pa.array([e for _, e in made], pa.list_(pa.string()))
+    found = pa.StructArray.from_arrays([refs, errors], ["refs", "errors"])
+    return found.take(seen.indices.fill_null(0)) if len(found) else pa.nulls(len(texts), found.type)
 
 
 def explode_references(rows: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     """(rows with volume, slug, chapter, verse, end_verse and ref_pos for each citation; rows with error for each failure)."""
-    parsed = rows.withColumn("parsed", parse_references(text))
+    parsed = rows.withColumn("quern_cited", F.coalesce(text, F.lit(""))).withColumn("parsed", parse_references("quern_cited"))
     refs = parsed.select(*rows.columns, F.posexplode("parsed.refs").alias("ref_pos", "ref")).select(*rows.columns, "ref_pos", "ref.*")
     return refs, parsed.select(*rows.columns, F.explode("parsed.errors").alias("error"))

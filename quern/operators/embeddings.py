@@ -13,12 +13,12 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_text, truncate
 
-BATCH, TEXT_LENGTH, PHRASES = 32, 2000, 20
+BATCH, TEXT_LENGTH, PHRASES, SALTS = 32, 2000, 20, 32
 
 
 class Embedder(Protocol):
@@ -56,9 +56,13 @@ def targets(nodes: DataFrame, text: str = "text", field: str = "embedding") -> D
 def named_targets(nodes: DataFrame, phrases: DataFrame, field: str = "embedding", most: int = PHRASES) -> DataFrame:
     """id and "name. phrase; phrase" of nodes without a vector. phrases: src_id, pos, phrase; empty ones don't count.
 
-    Only the first `most` of a node are gathered, so a node with very many costs no more than others.
+    Only the first `most` of a node are gathered: they are ranked by (node, salt) first, then by node.
     """
-    some = phrases.where("coalesce(phrase, '') <> ''").groupBy("src_id").agg(F.expr(f"slice(array_sort(collect_list(struct(pos, phrase))), 1, {most})").alias("p"))
+    real = phrases.where("coalesce(phrase, '') <> ''").withColumn("salt", F.pmod(F.xxhash64("pos", "phrase"), F.lit(SALTS)))
+    for keys in (["src_id", "salt"], ["src_id"]):  # the first of each salt, so that no task ranks all phrases of a node
+        order = Window.partitionBy(*keys).orderBy("pos", "phrase")
+        real = real.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    some = real.groupBy("src_id").agg(F.array_sort(F.collect_list(F.struct("pos", "phrase"))).alias("p"))
     joined = nodes.where(F.col(field).isNull()).join(some, F.col("id") == F.col("src_id"), "left")
     return joined.select("id", phrase_text(F.col("name"), F.coalesce(F.col("p.phrase"), F.array().cast("array<string>")), most).alias("text")).where("text <> ''")
 

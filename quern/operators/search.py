@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.schemas import METADATA
+from ..sources.schemas import ENTITY_TYPE, METADATA, VECTOR, VECTOR_FIELD
 
 PER_LABEL, PER_RELATION, PENALTY, BONUS, KNN = 10, 5, 0.05, 0.05, 20
+#: Decimal places in which distances are compared.
+PLACES = 9
 #: Query vectors that meet the nodes at once.
 QUERY_BLOCK = 4096
 
@@ -83,14 +85,15 @@ def nearest_by_group(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, g
                 real = length > 0
                 data, keys, groups = data[real] / length[real, None], keys[real], groups[real]
                 for g in set(groups.tolist()):
-                    mine = groups == g
-                    distance = 1 - matrix @ data[mine].T
-                    for q in range(len(ids)):
-                        d = distance[q]
-                        near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                        near = np.flatnonzero(d <= d[near].max()) if len(d) else near  # all ties
-                        held = best.get((q, g), []) + [(float(d[i]), keys[mine][i]) for i in near]
-                        best[q, g] = sorted(held)[:k]
+                    own = keys[groups == g]
+                    distance = 1 - matrix @ data[groups == g].T
+                    last = np.partition(distance, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+                    rows, columns = np.nonzero(distance <= last[:, None])  # the k nearest of each query, and ties
+                    met: dict = {}
+                    for q, x, d in zip(rows.tolist(), own[columns].tolist(), distance[rows, columns].tolist(), strict=True):
+                        met.setdefault(q, []).append((d, x))
+                    for q, found in met.items():
+                        best[q, g] = sorted(best.get((q, g), []) + found)[:k]
             if best:
                 out = [(ids[q], g, x, d) for (q, g), held in best.items() for d, x in held]
                 yield pa.RecordBatch.from_pylist([{"query_id": a, group: b, key: c, "distance": d} for a, b, c, d in out])
@@ -132,26 +135,38 @@ def stage_one(nodes: dict[str, DataFrame], vector: list[float], limit: int = PER
     return reduce(DataFrame.unionByName, parts)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, limit: int = PER_RELATION) -> DataFrame:
-    """Neighbours of seeds. seeds: query_id, entity_type, id, distance; edges: src_type, src_id, rel, dst_type, dst_id.
-    At most `limit` for each seed and relationship, by dst_id. Returns query_id, entity_type, id, distance (the seed's and
-    PENALTY more) and the seed."""
+def leads_to(source: Column, relation: Column, expansion: dict[str, list[tuple[str, str]]] = EXPANSION) -> Column:
+    """The entity type that an edge type leads to from a seed's entity type; null where expansion doesn't follow it."""
+    pairs = [(k, rel, to) for k, follows in expansion.items() for rel, to in follows]
+    return reduce(lambda otherwise, p: F.when((source == p[0]) & (relation == p[1]), p[2]).otherwise(otherwise), pairs, F.lit(None).cast("string"))
+
+
+def expand(seeds: DataFrame, edges: DataFrame, limit: int = PER_RELATION, expansion: dict[str, list[tuple[str, str]]] = EXPANSION) -> DataFrame:
+    """Neighbours of seeds by the edge types that their entity type follows. seeds: query_id, entity_type, id, distance; edges:
+    src_id, rel, dst_id and src_type, as an edge type may start at several. At most `limit` for each seed and relationship,
+    by dst_id. Returns query_id, entity_type, id, distance (the seed's and PENALTY more) and the seed."""
     s = seeds.select("query_id", F.col("entity_type").alias("seed_type"), F.col("id").alias("seed_id"), F.col("distance").alias("seed_distance"))
-    met = edges.join(s, (F.col("src_type") == F.col("seed_type")) & (F.col("src_id") == F.col("seed_id")))
+    followed = edges.withColumn("reached", leads_to(F.col("src_type"), F.col("rel"), expansion)).where("reached is not null")
+    met = followed.join(s, (F.col("src_type") == F.col("seed_type")) & (F.col("src_id") == F.col("seed_id")))
     order = Window.partitionBy("query_id", "seed_type", "seed_id", "rel").orderBy("dst_id")
     met = met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
-    return met.select("query_id", F.col("dst_type").alias("entity_type"), F.col("dst_id").alias("id"), (F.col("seed_distance") + PENALTY).alias("distance"), "seed_type", "seed_id")
+    return met.select("query_id", F.col("reached").alias("entity_type"), F.col("dst_id").alias("id"), (F.col("seed_distance") + PENALTY).alias("distance"), "seed_type", "seed_id")
 
 
 def new_neighbours(stage1: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Neighbours that aren't hits already, each once, with the smallest distance."""
-    order = Window.partitionBy("query_id", "entity_type", "id").orderBy("distance", "seed_type", "seed_id")
+    order = Window.partitionBy("query_id", "entity_type", "id").orderBy(in_places("distance"), "seed_type", "seed_id")
     once = neighbours.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
     return once.join(stage1.select("query_id", "entity_type", "id"), ["query_id", "entity_type", "id"], "left_anti")
 
 
+def in_places(distance: Column | str, places: int = PLACES) -> Column:
+    """A distance as it is compared: in so many places that ties don't rest on the last bit of a sum."""
+    return F.round(distance, places) + F.lit(0.0)
+
+
 def rank_score() -> Column:
-    return F.when(F.col("entity_type") == "verse", F.col("distance") - BONUS).otherwise(F.col("distance"))
+    return in_places(F.when(F.col("entity_type") == "verse", F.col("distance") - BONUS).otherwise(F.col("distance")))
 
 
 def ranked(stage1: DataFrame, stage2: DataFrame, k: int = KNN) -> DataFrame:
@@ -161,13 +176,55 @@ def ranked(stage1: DataFrame, stage2: DataFrame, k: int = KNN) -> DataFrame:
     columns = ["query_id", "entity_type", "id", "distance"]
     both = stage1.select(*columns, F.lit(1).alias("stage")).unionByName(stage2.select(*columns, F.lit(2).alias("stage")))
     both = both.withColumn("score", rank_score())
-    order = Window.partitionBy("query_id").orderBy("score", "stage", "distance", "entity_type", "id")
+    order = Window.partitionBy("query_id").orderBy("score", "stage", in_places("distance"), "entity_type", "id")
     return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).drop("score")
 
 
-def contextual_search(stage1: DataFrame, edges: DataFrame, k: int = KNN) -> DataFrame:
+def contextual_search(stage1: DataFrame, edges: DataFrame, k: int = KNN, expansion: dict[str, list[tuple[str, str]]] = EXPANSION) -> DataFrame:
     """stage1: query_id, entity_type, id, distance of the hits of each label."""
-    return ranked(stage1, new_neighbours(stage1, expand(stage1, edges)), k)
+    return ranked(stage1, new_neighbours(stage1, expand(stage1, edges, expansion=expansion)), k)
+
+
+def result_nodes(nodes: dict[str, DataFrame]) -> DataFrame:
+    """entity_type, id, name, text, metadata and embedding of every label that a search may return. nodes: label to its table."""
+    c = F.col
+    shown = {
+        "VerseGroup": (F.lit(""), c("text"), metadata(startVerseNumber=c("startVerseNumber"), endVerseNumber=c("endVerseNumber"), chapterID=chapter_of_group(c("id")))),
+        "Chapter": (F.lit(""), c("summary"), metadata(chapterNumber=c("number"), url=c("url"))),
+        "TopicalGuideEntry": (c("name"), F.lit(""), metadata()),
+        "BibleDictEntry": (c("name"), c("text"), metadata()),
+        "IndexEntry": (c("name"), F.lit(""), metadata()),
+        "JSTPassage": (F.lit(""), c("text"), metadata(book=c("book"), chapter=c("chapter"), comprises=c("comprises"), compareRef=c("compareRef"), summary=c("summary"))),
+        "Verse": (c("reference"), c("text"), metadata(verseNumber=c("number"), reference=c("reference"))),
+    }
+    parts = []
+    for label, (name, text, more) in shown.items():
+        if label in nodes:
+            vector = c(VECTOR_FIELD[label]) if label in VECTOR_FIELD else F.lit(None).cast(VECTOR)
+            empty = F.lit("")
+            parts.append(nodes[label].select(F.lit(ENTITY_TYPE[label]).alias("entity_type"), "id", F.coalesce(name, empty).alias("name"), F.coalesce(text, empty).alias("text"), more.alias("metadata"), vector.alias("embedding")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def chapter_of_group(group: Column) -> Column:
+    """The chapter's id, from that of one of its verse groups."""
+    return F.regexp_replace(group, "^vg/(.*)/[^/]*$", "ch/$1")
+
+
+def search(nodes: dict[str, DataFrame], edges: DataFrame, query: str, embedder, knn: int = KNN, per_label: int = PER_LABEL) -> DataFrame:
+    """The whole search for one text: SEARCH_RESULT columns and position, nearest first. nodes: label to its table; edges: those
+    of load.search_edges; the embedder gets one text, on the driver."""
+    if not query:
+        raise ValueError("the search query is empty")
+    if knn <= 0:
+        raise ValueError("knn must be positive")
+    vector = embedder.embed_batch([query])[0]
+    known = result_nodes(nodes)
+    hits = [nearest(known.where(F.col("entity_type") == ENTITY_TYPE[label]), list(vector), per_label) for label in VECTOR_FIELD if label in nodes]
+    stage1 = reduce(DataFrame.unionByName, hits).select(F.lit(0).alias("query_id"), "entity_type", "id", "distance")
+    best = contextual_search(stage1, edges, knn).select(F.col("entity_type").alias("of_type"), F.col("id").alias("of_id"), "distance", "position")  # at most knn rows
+    full = known.join(F.broadcast(best), (F.col("entity_type") == F.col("of_type")) & (F.col("id") == F.col("of_id")))
+    return full.select("entity_type", "id", "name", "text", "distance", "metadata", "position").orderBy("position")
 
 
 def sort_by_distance(results: DataFrame) -> DataFrame:

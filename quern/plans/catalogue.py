@@ -7,6 +7,7 @@ holds edges with properties; embeddings are the vector labels; conversations are
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,18 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+#: Edge types that a derived edge may have: those that expansion follows from its type, and one that it doesn't.
+RELATIONS = {k: [rel for rel, _ in search.EXPANSION[k]] + ["CONTAINS"] for k in KINDS}
+RELATION_SQL = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN ({rels})[k % {len(rels)} + 1]" for k, rels in RELATIONS.items()) + " END"
+REACHED_SQL = "CASE " + " ".join(f"WHEN src_type = '{k}' AND rel = '{rel}' THEN '{to}'" for k in KINDS for rel, to in search.EXPANSION[k]) + " END"
+
+
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Derived edges: each vector to the one or two labelled relationships of its type, seven targets each."""
+    """Derived edges: seven of each vector, with the edge types of its kind in turn."""
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     rows = vectors(spark, d).join(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7))))
-    relation = F.concat(F.lit("R"), (F.col("k") % 2).cast("string"))
-    target = F.when(F.col("k") % 2 == 0, "verse").otherwise("topical_guide")
-    return rows.select(F.col("entity_type").alias("src_type"), F.col("id").alias("src_id"), relation.alias("rel"), target.alias("dst_type"), ((F.col("id") * 7 + F.col("k")) % F.col("n")).alias("dst_id"))
+    relation = F.coalesce(*(F.when(F.col("entity_type") == k, F.get(F.array(*map(F.lit, rels)), F.col("k") % len(rels))) for k, rels in RELATIONS.items()))
+    return rows.select(F.col("entity_type").alias("src_type"), F.col("id").alias("src_id"), relation.alias("rel"), ((F.col("id") * 7 + F.col("k")) % F.col("n")).alias("dst_id"))
 
 
 NEAR = "CASE WHEN abs(distance) < 0.00005 THEN 0.0::DOUBLE ELSE round(distance, 4) END AS distance"
@@ -63,12 +69,11 @@ UNIT = "SELECT vec_id AS id, {k} AS entity_type, embedding::DOUBLE[] AS e, sqrt(
 STAGE1_SQL = f"""u AS ({UNIT}), q AS (SELECT id AS query_id, e AS qe, nrm AS qn FROM u WHERE id % 100 = 0),
     dist AS (SELECT query_id, entity_type, id, 1 - list_inner_product(e, qe) / (nrm * qn) AS distance FROM u, q),
     s1 AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY query_id, entity_type ORDER BY distance, id) <= 10)"""
-EDGES_SQL = """ed AS (SELECT entity_type AS src_type, id AS src_id, 'R' || (k % 2) AS rel, CASE WHEN k % 2 = 0 THEN 'verse' ELSE 'topical_guide' END AS dst_type,
-    (id * 7 + k) % (SELECT count(*) FROM embeddings) AS dst_id FROM u, range(1, 8) r(k)),
-    ex AS (SELECT query_id, dst_type AS entity_type, dst_id AS id, distance + 0.05 AS distance, entity_type AS seed_type, id AS seed_id FROM s1 JOIN ed ON src_type = s1.entity_type AND src_id = s1.id
-        QUALIFY row_number() OVER (PARTITION BY query_id, seed_type, seed_id, rel ORDER BY dst_id) <= 5),
+EDGES_SQL = f"""ed AS (SELECT entity_type AS src_type, id AS src_id, {RELATION_SQL} AS rel, (id * 7 + k) % (SELECT count(*) FROM embeddings) AS dst_id FROM u, range(1, 8) r(k)),
+    ex AS (SELECT query_id, {REACHED_SQL} AS entity_type, dst_id AS id, distance + 0.05 AS distance, entity_type AS seed_type, id AS seed_id FROM s1 JOIN ed ON src_type = s1.entity_type AND src_id = s1.id
+        WHERE rel <> 'CONTAINS' QUALIFY row_number() OVER (PARTITION BY query_id, seed_type, seed_id, rel ORDER BY dst_id) <= 5),
     s2 AS (SELECT * FROM ex x WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.query_id = x.query_id AND s1.entity_type = x.entity_type AND s1.id = x.id)
-        QUALIFY row_number() OVER (PARTITION BY query_id, entity_type, id ORDER BY distance, seed_type, seed_id) = 1),
+        QUALIFY row_number() OVER (PARTITION BY query_id, entity_type, id ORDER BY round(distance, 9), seed_type, seed_id) = 1),
     al AS (SELECT query_id, entity_type, id, distance, 1 AS stage FROM s1 UNION ALL SELECT query_id, entity_type, id, distance, 2 FROM s2)"""
 
 
@@ -81,10 +86,15 @@ def stage_one(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest_by_group(vectors(spark, d), query_vectors(spark, d), 10, "entity_type")
 
 
-@query(f"WITH u AS ({UNIT}) SELECT id, {NEAR} FROM (SELECT u.id, 1 - list_inner_product(u.e, q.e) / (u.nrm * q.nrm) AS distance FROM u, u AS q WHERE q.id = 0 QUALIFY row_number() OVER (ORDER BY distance, u.id) <= 10)")
+def by_query(spark: SparkSession, d: str, found: Callable[[list[float]], DataFrame]) -> DataFrame:
+    """What the search for one vector finds for each of the stated ones."""
+    stated = query_vectors(spark, d).collect()  # one in a hundred vectors
+    return reduce(DataFrame.unionByName, [found(list(q["vector"])).select(F.lit(q["query_id"]).alias("query_id"), "*") for q in stated])
+
+
+@query(f"WITH u AS ({UNIT}) SELECT query_id, id, {NEAR} FROM (SELECT q.id AS query_id, u.id, 1 - list_inner_product(u.e, q.e) / (u.nrm * q.nrm) AS distance FROM u, u AS q WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY distance, u.id) <= 10)")
 def knn_topk(spark, d):
-    first = vectors(spark, d).where("id = 0").first()
-    return search.nearest(vectors(spark, d), list(first["embedding"]), 10).select("id", near())
+    return by_query(spark, d, lambda v: search.nearest(vectors(spark, d), v, 10)).select("query_id", "id", near())
 
 
 @query(f"WITH {STAGE1_SQL} SELECT query_id, entity_type, id, {NEAR} FROM s1")
@@ -92,11 +102,10 @@ def knn_multi_query(spark, d):
     return stage_one(spark, d).select("query_id", "entity_type", "id", near())
 
 
-@query(f"WITH {STAGE1_SQL} SELECT entity_type, id, {NEAR} FROM s1 WHERE query_id = 0")
+@query(f"WITH {STAGE1_SQL} SELECT query_id, entity_type, id, {NEAR} FROM s1")
 def stage1_union(spark, d):
-    first = list(vectors(spark, d).where("id = 0").first()["embedding"])
     nodes = {k: vectors(spark, d).where(F.col("entity_type") == k).select("id", F.lit("").alias("name"), F.lit("").alias("text"), search.metadata(chapterNumber=F.lit(1)).alias("metadata"), "embedding") for k in KINDS}
-    return search.stage_one(nodes, first).select("entity_type", "id", near())
+    return by_query(spark, d, lambda v: search.stage_one(nodes, v)).select("query_id", "entity_type", "id", near())
 
 
 @query(f"WITH {STAGE1_SQL}, {EDGES_SQL} SELECT query_id, seed_type, seed_id, entity_type, id, {NEAR} FROM ex")
@@ -110,13 +119,13 @@ def dedup_stage2(spark, d):
     return search.new_neighbours(s1, search.expand(s1, graph_edges(spark, d))).select("query_id", "entity_type", "id", near())
 
 
-@query(f"""WITH {STAGE1_SQL}, {EDGES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN entity_type = 'verse' THEN distance - 0.05 ELSE distance END, stage, distance, entity_type, id) AS position FROM al)
-    SELECT query_id, {NEAR}, position FROM r WHERE position <= 20""")
+@query(f"""WITH {STAGE1_SQL}, {EDGES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(CASE WHEN entity_type = 'verse' THEN distance - 0.05 ELSE distance END, 9), stage, round(distance, 9), entity_type, id) AS position FROM al)
+    SELECT query_id, entity_type, id, {NEAR}, position FROM r WHERE position <= 20""")
 def contextual_search(spark, d):
-    """The flagship: stage 1, expansion, deduplication, ranking, top 20. Ties between a seed and its verses rest on the last
-    bit of a sum, so only distances and positions are compared."""
+    """The flagship: stage 1, expansion, deduplication, ranking, top 20."""
     found = search.contextual_search(stage_one(spark, d), graph_edges(spark, d))
-    return found.select("query_id", near(), F.col("position").cast("long").alias("position"))
+    return found.select("query_id", "entity_type", "id", near(), F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT vec_id AS id, least(100, greatest(0, floor((1 - least(1.0, greatest(0.0, vec_id / 100.0 - 0.3))) * 100 + 0.5)))::INT AS percent FROM embeddings")
@@ -213,9 +222,9 @@ def join_left_range_end(spark, d):
     return lookups.with_range_end(rows, verses(spark, d), "end_id").select("id", "end_id")
 
 
-@query(f"WITH v AS ({VERSES_SQL}) SELECT v.id AS src_id, w.id AS dst_id FROM v JOIN v w ON w.conv_id = v.conv_id AND w.turn BETWEEN v.turn AND v.turn + 2 WHERE v.turn % 2 = 0")
+@query(f"WITH v AS ({VERSES_SQL}) SELECT v.id AS src_id, w.id AS dst_id FROM v JOIN v w ON w.conv_id = v.conv_id AND w.turn BETWEEN v.turn AND v.turn + 2")
 def range_expand(spark, d):
-    rows = verses(spark, d).where("number % 2 = 0").select(F.col("id").alias("src_id"), "chapter", "number", (F.col("number") + 2).alias("last"))
+    rows = verses(spark, d).select(F.col("id").alias("src_id"), "chapter", "number", (F.col("number") + 2).alias("last"))
     each = lookups.expand_range(rows, "number", "last", "each").withColumnRenamed("chapter", "c").drop("number")
     return lookups.lookup(each, verses(spark, d), (F.col("c") == F.col("chapter")) & (F.col("each") == F.col("number")), "id", "dst_id")[0].select("src_id", "dst_id")
 
@@ -374,9 +383,9 @@ def stub_nodes(spark, d):
     return mutations.connect_rows(edges.limit(0), edges, known, parts, "stub")[1]
 
 
-@query("SELECT n_nationkey AS src_id, r_regionkey AS dst_id, 'all' AS note FROM nation, region WHERE n_nationkey < 5")
+@query("SELECT n_nationkey AS src_id, r_regionkey AS dst_id, 'all' AS note FROM nation, region")
 def connect_sets(spark, d):
-    nations, regions = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("id")), table(spark, d, "region").select(F.col("r_regionkey").alias("id"))
+    nations, regions = table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), table(spark, d, "region").select(F.col("r_regionkey").alias("id"))
     none = spark.createDataFrame([], "src_id int, dst_id int, note string")
     return mutations.connect(none, nations, regions, {"note": F.lit("all")})
 

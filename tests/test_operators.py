@@ -42,6 +42,42 @@ def test_expansion_adds_the_penalty_and_stops_at_five(spark):
     assert sorted(r.id for r in got) == ["v0", "v1", "v2", "v3", "v4"] and all(abs(r.distance - 0.25) < 1e-12 for r in got)
 
 
+def test_expansion_follows_only_the_edge_types_of_the_seed(spark):
+    edges = spark.createDataFrame([("topical_guide", "t", r, f"x{i}") for i, r in enumerate(["TG_VERSE_REF", "TG_SEE_ALSO", "TG_BD_REF", "IDX_TG_REF", "CROSS_REF"])] + [("verse", "v", "CROSS_REF", "w")], "src_type string, src_id string, rel string, dst_id string")
+    got = search.expand(hits(spark, [("topical_guide", "t", 0.2), ("verse", "v", 0.1)]), edges).collect()
+    assert {(r.entity_type, r.id) for r in got} == {("verse", "x0"), ("topical_guide", "x1"), ("bible_dict", "x2")}
+
+
+class FixedEmbedder:
+    def embed_batch(self, texts):
+        return [[1.0, 0.0] for _ in texts]
+
+
+def test_one_search_call_returns_full_results(spark):
+    vector = "array<float>"
+    nodes = {
+        "VerseGroup": spark.createDataFrame([("vg/ot/gen/1/1-5", "group text", 1, 5, [1.0, 0.1]), ("vg/ot/gen/1/4-8", "far", 4, 8, None)], f"id string, text string, startVerseNumber int, endVerseNumber int, embedding {vector}"),
+        "Chapter": spark.createDataFrame([("ch/ot/gen/1", 1, "summary", [0.0, 1.0], "u")], f"id string, number int, summary string, summaryEmbedding {vector}, url string"),
+        "TopicalGuideEntry": spark.createDataFrame([("tg/Faith", "Faith", [1.0, 0.5])], f"id string, name string, embedding {vector}"),
+        "BibleDictEntry": spark.createDataFrame([("bd/Ark", "Ark", "a box", None)], f"id string, name string, text string, embedding {vector}"),
+        "IndexEntry": spark.createDataFrame([], f"id string, name string, embedding {vector}"),
+        "JSTPassage": spark.createDataFrame([("jst/gen/1/1", "Genesis", "1", "1", "Gen. 1:1", "sum", "jst text", [0.9, 0.9])], f"id string, book string, chapter string, comprises string, compareRef string, summary string, text string, embedding {vector}"),
+        "Verse": spark.createDataFrame([("v/ot/gen/1/1", 1, "Gen. 1:1", "verse text"), ("v/ot/gen/1/2", 2, "Gen. 1:2", "second")], "id string, number int, reference string, text string"),
+    }
+    edges = spark.createDataFrame([("verse_group", "vg/ot/gen/1/1-5", "INCLUDES", "v/ot/gen/1/1"), ("verse_group", "vg/ot/gen/1/1-5", "INCLUDES", "v/ot/gen/1/2"), ("topical_guide", "tg/Faith", "TG_BD_REF", "bd/Ark")], "src_type string, src_id string, rel string, dst_id string")
+    got = search.search(nodes, edges, "what is faith", FixedEmbedder()).collect()
+    # the verses' distance is the group's and the penalty, less the bonus of a verse when ranked: a tie, which the first stage wins
+    assert [(r.entity_type, r.id) for r in got[:4]] == [("verse_group", "vg/ot/gen/1/1-5"), ("verse", "v/ot/gen/1/1"), ("verse", "v/ot/gen/1/2"), ("topical_guide", "tg/Faith")]
+    assert [(r.entity_type, r.name, r.text) for r in got[4:]] == [("bible_dict", "Ark", "a box"), ("jst_passage", "", "jst text"), ("chapter", "", "summary")]
+    by_id = {r.id: r for r in got}
+    assert by_id["vg/ot/gen/1/1-5"].metadata.chapterID == "ch/ot/gen/1" and by_id["vg/ot/gen/1/1-5"].metadata.endVerseNumber == 5
+    assert by_id["v/ot/gen/1/2"].name == "Gen. 1:2" and by_id["v/ot/gen/1/2"].metadata.verseNumber == 2 and by_id["jst/gen/1/1"].metadata.compareRef == "Gen. 1:1"
+    assert len(search.search(nodes, edges, "q", FixedEmbedder(), knn=2).collect()) == 2
+    for query, knn in (("", 5), ("q", 0)):
+        with pytest.raises(ValueError):
+            search.search(nodes, edges, query, FixedEmbedder(), knn)
+
+
 def test_nearest_orders_and_skips_nodes_without_vector(spark):
     rows = [("v1", [1.0, 0.0, 0.0]), ("v2", [0.9, 0.1, 0.0]), ("v3", [0.0, 1.0, 0.0]), ("v4", None), ("v5", [0.0, 0.0, 0.0])]
     nodes = spark.createDataFrame(rows, "id string, embedding array<float>")
