@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,20 +68,18 @@ def book_prefix(ref: Column) -> Column:
     return F.when(ref.rlike(STARTS_VERSE), F.regexp_replace(found, " +$", "")).otherwise(ref)
 
 
-def carry_book_prefix(refs: Column) -> Column:
-    """A list of references in which those that start with a chapter get the last named book."""
-    empty = F.struct(F.lit("").alias("book"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, ref: Column) -> Column:
-        bare = ref.rlike("^" + STARTS_VERSE)
-        text = F.when(bare & (state.book != ""), F.concat(state.book, F.lit(" "), ref)).otherwise(ref)
-        return F.struct(F.when(bare, state.book).otherwise(book_prefix(ref)).alias("book"), F.concat(state.out, F.array(text)).alias("out"))
-
-    return F.aggregate(refs, empty, step, lambda s: s.out)
+def carry_book_prefix(entries: Column) -> Column:
+    """Entries (phrase, reference, key) in which references that start with a chapter get the last named book; cross references
+    (with a key) pass by."""
+    empty = F.struct(F.lit("").alias("book"), F.slice(entries, 1, 0).alias("out"))
 
+    def step(state: Column, e: Column) -> Column:
+        bare = e.reference.rlike("^" + STARTS_VERSE)
+        full = F.when(bare & (state.book != ""), F.concat(state.book, F.lit(" "), e.reference)).otherwise(e.reference)
+        moved = F.when(e.key == "", e.withField("reference", full)).otherwise(e)
+        return F.struct(F.when(bare | (e.key != ""), state.book).otherwise(book_prefix(e.reference)).alias("book"), F.concat(state.out, F.array(moved)).alias("out"))
 
-def is_verse_range(s: Column) -> Column:
-    return s.rlike(r"^[\d\s,\-–]+$")
+    return F.aggregate(entries, empty, step, lambda s: s.out)
 
 
 def phrase_text(name: Column, phrases: Column, most: int = 20) -> Column:
@@ -105,10 +101,6 @@ def shortened(s: Column, most: int = 300) -> Column:
     return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
 
 
-def spaced(s: Column) -> Column:
-    return F.replace(s, F.lit("_"), F.lit(" "))
-
-
 def contains_ci(text: Column, part: Column) -> Column:
     return F.contains(F.lower(text), F.lower(part))
 
@@ -176,26 +168,13 @@ def host_and_port(url: Column, default: int = 6379) -> Column:
     return F.struct(F.nullif(host, F.lit("")).alias("host"), F.when(port.isNull(), F.lit(default)).otherwise(port.try_cast("int")).alias("port"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
-def link_kind(href: Column, text: Column, own: Column) -> Column:
-    """Entry links: small print first, then links to the page itself, topics, dictionary, scripture."""
-    return (
-        F.when(text.rlike(r"^(TG|BD|GS|IDX)\b"), F.lit("marked"))
-        .when(F.regexp_replace(href, r"[?#].*$", "") == own, "self")
-        .when(href.contains("/scriptures/tg/"), "topic")
-        .when(href.contains("/scriptures/bd/"), "dictionary")
-        .when(href.contains("/scriptures/"), "scripture")
-        .otherwise("other")
-    )
-
-
 def translation_heading(heading: Column, page_chapter: Column) -> Column:
-    """(book, comprises) of a heading like "JST, Genesis 9:4–6"; the chapter goes when it is the page's own."""
-    flat = F.translate(F.regexp_replace(normalize_whitespace(heading), r"^JST,? ", ""), "–—‑", "---")
-    book = F.regexp_extract(flat, r"^(.*?) [0-9]+(?::|$)", 1)
-    ref = F.trim(F.substring(flat, F.length(book) + 2, 10_000))
-    own = F.regexp_extract(ref, r"^([0-9]+):", 1) == page_chapter
-    return F.struct(book.alias("book"), F.when(own, F.regexp_extract(ref, r"^[0-9]+:(.*)$", 1)).otherwise(ref).alias("comprises"))
+    """(book, comprises) of a heading like "JST, Genesis 9:4–6": the reference begins with the last word that holds a colon, and
+    the chapter goes when it is the page's own."""
+    flat = F.rtrim(F.regexp_replace(F.regexp_replace(normalize_whitespace(heading), "^JST, ", ""), "[. ]+$", ""))
+    found = flat.contains(":")
+    book = F.when(found, F.rtrim(F.regexp_extract(flat, r"^(.* |)[^ ]*:[^ ]*(?: [^ :]*)*$", 1))).otherwise(flat)
+    ref = F.when(found, F.ltrim(F.substr(flat, F.length(book) + 1))).otherwise("")
+    own = F.substring_index(ref, ":", 1) == page_chapter
+    plain = F.translate(F.when(own & ref.contains(":"), F.regexp_extract(ref, "^[^:]*:(.*)$", 1)).otherwise(ref), "–—", "--")
+    return F.struct(book.alias("book"), plain.alias("comprises"))

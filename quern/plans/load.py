@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import books, ids, text
 from ..functions.references import explode_references
 from ..operators.lookups import expand_range, first_match, first_of_pairs, lookup, split_categories, with_range_end
+from ..operators.mutations import update_from
 from ..operators.windows import sliding_groups
 from ..sources import corpus, schemas
 
@@ -93,16 +94,24 @@ def load_groups(graph: Graph, verses: DataFrame) -> None:
     graph.edges["INCLUDES"] = inside.select(F.col("id").alias("src_id"), F.col("verse").alias("dst_id"))
 
 
-def load_studies(graph: Graph, spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def read_studies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Source rows of topics, dictionary, index and translations; of missing files none."""
+    return {
+        "topics": corpus.read_map(spark, f"{root}/topical-guide.json", schemas.ENTRY_LIST),
+        "entries": corpus.read_map(spark, f"{root}/bible-dictionary.json", schemas.DICTIONARY_ENTRY),
+        "index": corpus.read_map(spark, f"{root}/triple-combination-index.json", schemas.ENTRY_LIST),
+        "translations": corpus.read_list(spark, f"{root}/jst.json", schemas.TRANSLATION),
+    }
+
+
+def load_studies(graph: Graph, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Topics, dictionary, index and translation nodes; their source rows by name for the references."""
     none = F.lit(None).cast(schemas.VECTOR).alias("embedding")
-    topics = corpus.read_map(spark, f"{root}/topical-guide.json", schemas.ENTRY_LIST)
-    entries = corpus.read_map(spark, f"{root}/bible-dictionary.json", schemas.DICTIONARY_ENTRY)
-    index = corpus.read_map(spark, f"{root}/triple-combination-index.json", schemas.ENTRY_LIST)
+    topics, entries, index, pages = (sources[k] for k in ("topics", "entries", "index", "translations"))
+    spark = topics.sparkSession
     graph.nodes["TopicalGuideEntry"] = topics.select(ids.topic_id("name").alias("id"), "name", none)
     graph.nodes["BibleDictEntry"] = entries.select(ids.dictionary_id("name").alias("id"), "name", F.col("value.text").alias("text"), none)
     graph.nodes["IndexEntry"] = index.select(ids.index_id("name").alias("id"), "name", none)
-    pages = corpus.read_list(spark, f"{root}/jst.json", schemas.TRANSLATION)
     named = books.name_table(spark).select(F.col("name").alias("book_name"), F.col("slug"))
     pages = pages.join(named, F.col("book") == F.col("book_name"), "left").withColumn("slug", F.coalesce("slug", F.lit("")))
     graph.reject(pages.where("slug = ''"), "study helps", "unknown translation book", F.col("book"))
@@ -197,22 +206,43 @@ def load_references(graph: Graph, verses: DataFrame, studies: dict[str, DataFram
     graph.edges["COMPARES"] = found.select("src_id", "dst_id")
 
 
-def load(spark: SparkSession, scriptures: str, studies: str) -> Graph:
-    """All nodes and edges of a source tree; lazily, so a table that isn't used costs nothing."""
+def load_tables(chapters: DataFrame, sources: dict[str, DataFrame]) -> Graph:
+    """All nodes and edges of source rows (those of read_chapters and read_studies); lazily, so a table that isn't used costs nothing."""
     graph = Graph()
-    verses, notes = load_scriptures(graph, corpus.read_chapters(spark, scriptures))
-    sources = load_studies(graph, spark, studies)
-    load_footnotes(graph, notes, verses, sources)
-    load_references(graph, verses, sources)
+    verses, notes = load_scriptures(graph, chapters)
+    studies = load_studies(graph, sources)
+    load_footnotes(graph, notes, verses, studies)
+    load_references(graph, verses, studies)
     load_groups(graph, verses)
     return graph
 
 
+def load(spark: SparkSession, scriptures: str, studies: str) -> Graph:
+    """The graph of a source tree."""
+    return load_tables(corpus.read_chapters(spark, scriptures), read_studies(spark, studies))
+
+
+def write_graph(graph: Graph, root: str) -> None:
+    """A full reload: every table is written anew, as <root>/nodes/<label> and <root>/edges/<type>, and the rejects."""
+    for folder, tables in (("nodes", graph.nodes), ("edges", graph.edges), ("", {"rejects": graph.all_rejects()})):
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet("/".join(filter(None, (root, folder, name))))
+
+
+def read_graph(spark: SparkSession, root: str, nodes: list[str], edges: list[str]) -> Graph:
+    """The named tables of a written graph."""
+    return Graph({k: spark.read.parquet(f"{root}/nodes/{k}") for k in nodes}, {k: spark.read.parquet(f"{root}/edges/{k}") for k in edges})
+
+
+def with_vectors(graph: Graph, label: str, embedded: DataFrame) -> DataFrame:
+    """A label's nodes with the vectors of `embedded` (id, embedding, error: what embed returns); failed ones stay without."""
+    field = schemas.VECTOR_FIELD[label]
+    return update_from(graph.nodes[label], embedded.where("embedding is not null").select("id", F.col("embedding").alias(field)))
+
+
 def search_edges(graph: Graph) -> DataFrame:
     """Edges in the form that expansion reads: src_type, src_id, rel, dst_type, dst_id."""
     ends = {r.type: (schemas.ENTITY_TYPE.get(r.source), schemas.ENTITY_TYPE.get(r.target)) for r in schemas.RELATIONSHIPS if r.type != "CONTAINS"}
     wanted = {"INCLUDES", "HAS_VERSE", "TG_VERSE_REF", "TG_SEE_ALSO", "TG_BD_REF", "BD_VERSE_REF", "BD_SEE_ALSO", "IDX_VERSE_REF", "IDX_SEE_ALSO", "IDX_TG_REF", "IDX_BD_REF", "COMPARES"}
     parts = [graph.edges[t].select(F.lit(ends[t][0]).alias("src_type"), "src_id", F.lit(t).alias("rel"), F.lit(ends[t][1]).alias("dst_type"), "dst_id") for t in sorted(wanted)]
     return reduce(DataFrame.unionByName, parts).distinct()
-
-

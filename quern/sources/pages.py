@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import carry_book_prefix, chapter_of_url, translation_heading
+
 HOST = "https://www.churchofjesuschrist.org"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -90,13 +92,23 @@ def parse(html: str | None) -> Node:
 
 
 def _is_mark(n: Node) -> bool:
-    return n.name == "sup" or "marker" in n.attributes.get("class", "").split() or "verse-number" in n.attributes.get("class", "").split()
+    """Markers, verse numbers and icons, which don't belong to a text."""
+    classes = n.attributes.get("class", "").split()
+    return n.name == "sup" or "marker" in classes or "verse-number" in classes or any(c.startswith("iconPointer") for c in classes)
 
 
 def _first(nodes: list[Node]) -> str:
     return nodes[0].text() if nodes else ""
 
 
+def _within(root: Node, *path: tuple[str, str]) -> list[Node]:
+    """Elements reached by (name, class) steps, each anywhere below the one before, once and in page order."""
+    found = [root]
+    for name, cls in path:
+        found = list({id(x): x for n in found for x in n.find(name, cls)}.values())
+    return found
+
+
 def _notes(root: Node) -> list[dict]:
     """Footnotes: their id, categories and text."""
     out = []
@@ -121,18 +133,43 @@ def chapter(html: str | None) -> dict:
         in_text[a.attributes.get("href", "").rpartition("#note")[2]] = a.text(_is_mark)
     notes = [n | {"reference_text": in_text.get(n["key"], "")} for n in _notes(root)]
     number = re.search(r"\d+", _first(root.find("", "title-number")))
-    return {"book": _first(root.find("h1")), "chapter": int(number[0]) if number else 0, "summary": _first(root.find("", "study-summary")), "verses": verses, "footnotes": notes}
+    book = _first(_within(root, ("h1", ""), ("span", "dominant"))) or _first([h for h in root.find("h1") if h.attributes.get("id") == "title1"])
+    return {"book": book, "chapter": int(number[0]) if number else 0, "summary": _first(root.find("", "study-summary")), "verses": verses, "footnotes": notes}
+
+
+def _cross_reference(a: Node, own: str) -> dict:
+    """A link under an entry's title: what it refers to, and the name there; a passage has no name."""
+    href, small = a.attributes.get("href", ""), _first(a.find("small"))
+    kinds = [(f"/scriptures/{'triple-index' if own == 'IDX' else 'tg'}/", own), ("/scriptures/tg/", "TG"), ("/scriptures/bd/", "BD")]
+    kind = small or next((k for part, k in kinds if part in href), "")
+    return {"phrase": "", "reference": kind or a.text(), "key": a.text(lambda n: n.name == "small") if kind else ""}
 
 
-def entry(html: str | None) -> dict:
-    """Topic or index entry: title, and a phrase and reference for each line."""
+def _is_citation(n: Node) -> bool:
+    return n.name == "a" and "scripture-ref" in n.attributes.get("class", "").split()
+
+
+def entry(html: str | None, own: str = "TG") -> dict:
+    """Topic or index entry: its title; a row for each cross reference under the title and for each line (a phrase and all
+    its citations as one reference)."""
     root = parse(html)
-    rows = []
-    for p in root.find("p", "entry") or root.find("p"):
-        links = [a.text() for a in p.find("a")]
-        phrase = p.text(lambda n: n.name == "a").strip(" ,;.—–")
-        rows += [{"phrase": phrase, "reference": t} for t in links if t] or ([{"phrase": phrase, "reference": ""}] if phrase else [])
-    return {"title": _first(root.find("h1")), "entries": rows}
+    bodies = _within(root, ("article", ""), ("div", "body-block"))
+    rows = [_cross_reference(a, own) for p in _within_all(bodies, "p", "title") for a in p.find("a", "scripture-ref") if "href" in a.attributes]
+    for p in _within_all(bodies, "p", "entry"):
+        cited = Node("", {})
+        for c in p.children:
+            if cited.children or isinstance(c, Node) and any(map(_is_citation, c.walk())):
+                cited.children.append(c)
+        rows.append({"phrase": p.text(_is_citation).rstrip(" ,;.()"), "reference": cited.text().rstrip(" ."), "key": ""})
+    return {"title": _first(_within(root, ("article", ""), ("h1", ""))), "entries": rows}
+
+
+def index_entry(html: str | None) -> dict:
+    return entry(html, "IDX")
+
+
+def _within_all(roots: list[Node], name: str, cls: str) -> list[Node]:
+    return list({id(x): x for r in roots for x in r.find(name, cls)}.values())
 
 
 def dictionary(html: str | None) -> dict:
@@ -143,14 +180,15 @@ def dictionary(html: str | None) -> dict:
 
 
 def translation(html: str | None) -> dict:
-    """Sections of a translation page; those without verses and summary are dropped."""
+    """Sections of a translation page, with what their header compares; those without verses and summary are dropped."""
     out = []
     root = parse(html)
-    for s in root.find("section"):
-        verses = [{"number": int(re.sub(r"\D", "", _first(p.find("", "verse-number"))) or 0), "text": p.text(_is_mark)} for p in s.find("p", "verse")]
-        summary = _first(s.find("", "study-summary") or s.find("p", "study-intro"))
+    for s in _within(root, ("article", ""), ("section", "")):
+        verses = [{"number": int(n) if (n := _first(p.find("span", "verse-number"))).isascii() and n.isdigit() else 0, "text": p.text(_is_mark)} for p in s.find("p", "verse")]
+        summary = _first(_within(s, ("header", ""), ("p", "study-intro")))
         if verses or summary:
-            out.append({"heading": _first(s.find("h2") or s.find("h3") or s.find("header")), "summary": summary, "compare": _first(s.find("", "compare")), "verses": verses})
+            compare = _first(_within(s, ("header", ""), ("h2", ""), ("a", "scripture-ref")))
+            out.append({"heading": _first(_within(s, ("header", ""), ("h2", ""), ("strong", ""))), "summary": summary, "compare": compare, "verses": verses})
     return {"title": _first(root.find("h1")), "sections": out}
 
 
@@ -165,27 +203,33 @@ def talk(html: str | None) -> dict:
 
 
 def sessions(html: str | None) -> list[dict]:
-    """Talk links under their session heading; links to sessions are skipped, each talk once."""
-    out, seen, session = [], set(), ""
-    for n in parse(html).walk():
-        if n.name in ("h2", "h3") or "title" in n.attributes.get("class", "").split() and n.name in ("span", "p"):
-            session = n.text() or session
-        href = n.attributes.get("href", "") if n.name == "a" else ""
-        m = re.search(r"/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", href)
-        if m and not m[3].endswith("-session") and m[0] not in seen:
-            seen.add(m[0])
-            out.append({"session": session, "url": HOST + m[0], "slug": m[3], "year": int(m[1]), "month": int(m[2])})
+    """Talks of a conference page by session; links to sessions are skipped, each talk once."""
+    out, seen = [], set()
+    for block in (n for n in parse(html).find("li") if n.attributes.get("data-content-type") == "general-conference-session"):
+        session = _first(block.find("p", "title"))
+        for a in block.find("a"):
+            href = a.attributes.get("href", "")
+            m = re.match(r"/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", href)
+            if not m or m[3].endswith("-session") or href in seen:
+                continue
+            seen.add(href)
+            parts = a.find("p")
+            title = _first(a.find("span")) or _first(parts)
+            speaker = _first(parts[-1:])
+            out.append({"session": session, "url": HOST + href, "slug": m[3], "year": int(m[1]), "month": int(m[2]), "title": title, "speaker": speaker if speaker != title else ""})
     return out
 
 
 NOTE = "struct<key:string,category:string,text:string,references:array<string>>"
+ENTRIES = "struct<title:string,entries:array<struct<phrase:string,reference:string,key:string>>>"
 KINDS: dict[str, tuple[Callable, str]] = {
     "chapter": (chapter, f"struct<book:string,chapter:int,summary:string,verses:array<struct<number:int,text:string,footnote_markers:array<string>>>,footnotes:array<{NOTE[:-1]},reference_text:string>>>"),
-    "entry": (entry, "struct<title:string,entries:array<struct<phrase:string,reference:string>>>"),
+    "entry": (entry, ENTRIES),
+    "index_entry": (index_entry, ENTRIES),
     "dictionary": (dictionary, "struct<title:string,text:string,references:array<string>>"),
     "translation": (translation, "struct<title:string,sections:array<struct<heading:string,summary:string,compare:string,verses:array<struct<number:int,text:string>>>>>"),
     "talk": (talk, f"struct<title:string,speaker:string,role:string,kicker:string,paragraphs:array<struct<id:string,text:string,footnote_markers:array<string>>>,footnotes:array<{NOTE}>>"),
-    "sessions": (sessions, "array<struct<session:string,url:string,slug:string,year:int,month:int>>"),
+    "sessions": (sessions, "array<struct<session:string,url:string,slug:string,year:int,month:int,title:string,speaker:string>>"),
 }
 
 
@@ -202,3 +246,26 @@ def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([function(h) for h in batch.column(1).to_pylist()], target)], [key, "content"])
 
     return rows.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, content {shape}")
+
+
+def entries(pages: DataFrame, kind: str = "entry", key: str = "page_id") -> DataFrame:
+    """key, title and entries of topic ("entry") or index ("index_entry") pages: lines that begin with a chapter get the book of
+    the line before."""
+    made = extract(pages, kind, key)
+    return made.select(key, "content.title", carry_book_prefix(F.col("content.entries")).alias("entries"))
+
+
+def merged_titles(rows: DataFrame, order: str, append: bool) -> DataFrame:
+    """title and entries of pages that share a title: all entries in page order (topics), or those of the last page (dictionary, index)."""
+    grouped = rows.groupBy("title")
+    if append:
+        return grouped.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "entries"))), lambda x: x.entries)).alias("entries"))
+    return grouped.agg(F.max_by("entries", order).alias("entries"))
+
+
+def translations(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, book, comprises, compare, summary and verses of each section of translation pages; the chapter is the url's last part."""
+    made = extract(pages, "translation", key).withColumnRenamed(key, "quern_key").join(pages.select(F.col(key), chapter_of_url(F.col(url)).alias("page_chapter")), F.col("quern_key") == F.col(key))
+    parts = made.select(key, "page_chapter", F.posexplode("content.sections").alias("nth", "s"))
+    heading = translation_heading(F.col("s.heading"), F.col("page_chapter"))
+    return parts.select(key, "nth", heading["book"].alias("book"), heading["comprises"].alias("comprises"), "s.compare", "s.summary", "s.verses")

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.plans import load
 from quern.sources import corpus, pages, schemas
@@ -90,12 +91,13 @@ def test_missing_files_and_settings(spark, tmp_path):
 
 def test_page_extraction(spark):
     html = {
-        "chapter": '<h1>Genesis</h1><p class="title-number">Chapter 3</p><p class="study-summary">Sum</p><p class="verse"><span class="verse-number">1 </span>In <a class="study-note-ref" href="#note1a"><sup class="marker" data-value="a">a</sup>the</a> day</p><footer><ul><li id="note1a" data-full-marker="1a"><span data-note-category="cross-ref"><a href="/study/scriptures/ot/ex/1">Ex. 1:1</a></span></li></ul></footer>',
+        "chapter": '<h1><span class="dominant">Genesis</span> of</h1><p class="title-number">Chapter 3</p><p class="study-summary">Sum</p><p class="verse"><span class="verse-number">1 </span>In <span class="iconPointer-OKie_">no</span><a class="study-note-ref" href="#note1a"><sup class="marker" data-value="a">a</sup>the</a> day</p><footer><ul><li id="note1a" data-full-marker="1a"><span data-note-category="cross-ref"><a href="/study/scriptures/ot/ex/1">Ex. 1:1</a></span></li></ul></footer>',
         "dictionary": '<h1>Ark</h1><div class="body-block"><p>One <a class="scripture-ref" href="/study/scriptures/ot/gen/1">Gen. 1:1</a></p><p>Two <a class="scripture-ref" href="/study/scriptures/tg/x">X</a></p></div>',
-        "entry": '<h1>Faith</h1><p class="entry">have faith, <a href="/study/scriptures/ot/gen/1">Gen. 1:1</a>; <a href="/x">2:3</a></p>',
-        "translation": '<h1>JST</h1><section><h2>JST, Genesis 1:1</h2><p class="verse"><span class="verse-number">1</span> words</p></section><section><h2>none</h2></section>',
+        "entry": '<article><h1>Faith</h1><div class="body-block"><p class="title">See also <a class="scripture-ref" href="/study/scriptures/tg/hope">Hope</a>; <a class="scripture-ref" href="/study/scriptures/gs/x"><small>GS</small> Belief</a>; <a class="scripture-ref" href="/study/scriptures/bd/ark">Ark</a>; <a class="scripture-ref" href="/study/scriptures/nt/heb/11">Heb. 11:1</a></p><p class="entry">have faith, <a class="scripture-ref" href="/study/scriptures/ot/ex/20">Ex. 20:5</a> (<a class="scripture-ref" href="/x">34:7</a>; <a class="scripture-ref" href="/y">Deut. 5:9</a>).</p><p class="entry">more, <a class="scripture-ref" href="/z">21:2</a>.</p></div></article>',
+        "index_entry": '<article><h1>Alma</h1><div class="body-block"><p class="title"><a class="scripture-ref" href="/study/scriptures/triple-index/amlici">Amlici</a> <a class="scripture-ref" href="/study/scriptures/tg/faith">Faith</a></p></div></article>',
+        "translation": '<h1>JST</h1><article><section><header><h2><strong>JST, Genesis 1:1–2.</strong> Compare <a class="scripture-ref" href="/x">Genesis 1:1</a></h2><p class="study-intro">Intro</p></header><p class="verse"><span class="verse-number">1 </span>words<sup class="marker">a</sup></p></section><section><header><h2><strong>none</strong></h2></header></section></article>',
         "talk": '<h1>Title</h1><p class="author-name">By Some One</p><p class="author-role">Role</p><p id="p1">First<sup>1</sup> words</p><p>skip</p>',
-        "sessions": '<h2>Morning</h2><a href="/study/general-conference/2024/04/11talk?lang=eng">x</a><a href="/study/general-conference/2024/04/morning-session">s</a><a href="/study/general-conference/2024/04/11talk">again</a>',
+        "sessions": '<ul><li data-content-type="general-conference-session"><a href="/study/general-conference/2024/04/morning-session"><p class="title">Morning</p></a><a href="/study/general-conference/2024/04/11talk?lang=eng"><span>A Talk</span><p>A Speaker</p></a><a href="/study/general-conference/2024/04/11talk?lang=eng">again</a><a href="/study/general-conference/2024/04/12talk"><p>Lone</p></a></li><li><a href="/study/general-conference/2024/04/13out">x</a></li></ul>',
     }
     df = spark.createDataFrame([(k, v) for k, v in html.items()], "page_id string, html string")
     got = {k: pages.extract(df.where(df.page_id == k), k).first()["content"] for k in html}
@@ -103,10 +105,34 @@ def test_page_extraction(spark):
     assert (c.book, c.chapter, c.summary, c.verses[0].number, c.verses[0].text, c.verses[0].footnote_markers) == ("Genesis", 3, "Sum", 1, "In the day", ["a"])
     assert (c.footnotes[0].key, c.footnotes[0].category, c.footnotes[0].reference_text, c.footnotes[0].references) == ("1a", "cross-ref", "the", ["Ex. 1:1"])
     assert got["dictionary"].text == "One Gen. 1:1\n\nTwo X" and got["dictionary"].references == ["Gen. 1:1"]
-    assert [(e.phrase, e.reference) for e in got["entry"].entries] == [("have faith", "Gen. 1:1"), ("have faith", "2:3")]
+    assert got["entry"].title == "Faith"
+    assert [tuple(e) for e in got["entry"].entries] == [("", "TG", "Hope"), ("", "GS", "Belief"), ("", "BD", "Ark"), ("", "Heb. 11:1", ""), ("have faith", "Ex. 20:5 (34:7; Deut. 5:9)", ""), ("more", "21:2", "")]
+    carried = pages.entries(df.where("page_id = 'entry'")).first()
+    assert [e.reference for e in carried.entries][-2:] == ["Ex. 20:5 (34:7; Deut. 5:9)", "Ex. 21:2"]
+    assert [tuple(e) for e in got["index_entry"].entries] == [("", "IDX", "Amlici"), ("", "TG", "Faith")]
     assert len(got["translation"].sections) == 1 and got["translation"].sections[0].verses[0].text == "words"
+    made = pages.translations(df.where("page_id = 'translation'").withColumn("url", F.lit("https://h/study/scriptures/jst/jst-gen/1?lang=eng"))).first()
+    assert (made.book, made.comprises, made.compare, made.summary) == ("Genesis", "1-2", "Genesis 1:1", "Intro")
     assert got["talk"].speaker == "Some One" and [(p.id, p.text, p.footnote_markers) for p in got["talk"].paragraphs] == [("p1", "First words", ["1"])]
-    assert [(s.session, s.slug, s.year) for s in got["sessions"]] == [("Morning", "11talk", 2024)]
+    assert [(s.session, s.slug, s.year, s.title, s.speaker) for s in got["sessions"]] == [("Morning", "11talk", 2024, "A Talk", "A Speaker"), ("Morning", "12talk", 2024, "Lone", "")]
+
+
+def test_pages_that_share_a_title(spark):
+    rows = spark.createDataFrame([(2, "A", ["c"]), (1, "A", ["a", "b"]), (3, "B", ["d"])], "n int, title string, entries array<string>")
+    assert {r.title: r.entries for r in pages.merged_titles(rows, "n", append=True).collect()} == {"A": ["a", "b", "c"], "B": ["d"]}
+    assert {r.title: r.entries for r in pages.merged_titles(rows, "n", append=False).collect()} == {"A": ["c"], "B": ["d"]}
+
+
+def test_graph_is_written_and_gets_its_vectors(spark, graph, tmp_path):
+    load.write_graph(graph, str(tmp_path))
+    load.write_graph(graph, str(tmp_path))  # again: tables are replaced
+    back = load.read_graph(spark, str(tmp_path), ["BibleDictEntry", "Verse"], ["CROSS_REF"])
+    assert back.nodes["Verse"].count() == 11 and pairs(back, "CROSS_REF") == pairs(graph, "CROSS_REF")
+    assert spark.read.parquet(f"{tmp_path}/rejects").count() == graph.all_rejects().count()
+    vectors = spark.createDataFrame([("bd/Ark", [1.0, 2.0], None), ("bd/None", [3.0], None)], "id string, embedding array<float>, error string")
+    assert [(r.id, r.embedding) for r in load.with_vectors(back, "BibleDictEntry", vectors).collect()] == [("bd/Ark", [1.0, 2.0])]
+    failed = spark.createDataFrame([("bd/Ark", None, "no")], "id string, embedding array<float>, error string")
+    assert load.with_vectors(back, "BibleDictEntry", failed).first()["embedding"] is None
 
 
 def test_backfill_stream(spark, tmp_path):

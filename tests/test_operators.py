@@ -178,8 +178,9 @@ def test_text_functions(spark):
     assert lit(spark, text.dictionary_entry, "BD Ark of the Covenant. More.") == "Ark of the Covenant" and lit(spark, text.dictionary_entry, "none") == ""
     assert lit(spark, text.translation_reference, "JST Gen. 15:9–12 (Appendix).") == "Gen. 15:9–12"
     assert lit(spark, text.split_composite, "Ex. 4:10–16, 27–31") == ["Ex. 4:10–16", "Ex. 4:27–31"] and lit(spark, text.split_composite, "Ex. 4") == ["Ex. 4"]
-    refs = value(spark, text.carry_book_prefix(F.array(*map(F.lit, ["1 Ne. 3:7", "4:1", "D&C 5:1", "9–10"]))))
-    assert refs == ["1 Ne. 3:7", "1 Ne. 4:1", "D&C 5:1", "D&C 9–10"]
+    lines = [("", "1 Ne. 3:7", ""), ("", "4:1", ""), ("", "TG", "Hope"), ("", "4:2", ""), ("", "D&C 5:1", ""), ("", "9–10", "")]
+    carried = value(spark, text.carry_book_prefix(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("phrase", "reference", "key"), x))) for x in lines))))
+    assert [e.reference for e in carried] == ["1 Ne. 3:7", "1 Ne. 4:1", "TG", "1 Ne. 4:2", "D&C 5:1", "D&C 9–10"]
     assert tuple(lit(spark, text.year_month, "2024/4")) == (2024, 4) and lit(spark, text.year_month, "2024") is None
     assert value(spark, text.latest_conference(F.lit("2026-03-31").cast("date"))) == "2025-10"
     assert [tuple(g) for g in value(spark, text.conference_grid((2020, 5), (2021, 4)))] == [(2020, 10), (2021, 4)]
@@ -188,6 +189,8 @@ def test_text_functions(spark):
     assert lit(spark, text.talk_slug, "/study/general-conference/2024/04/11nelson?lang=eng") == "11nelson"
     assert lit(spark, text.cache_path, "https://h/study/scriptures/ot/gen/1?lang=eng", "c") == "c/scriptures/ot/gen/1.html"
     assert tuple(value(spark, text.translation_heading(F.lit("JST, Genesis 9:4–6"), F.lit("9")))) == ("Genesis", "4-6")
+    for said, want in (("JST, 1 Corinthians 7:1–2, 5.", ("1 Corinthians", "7:1-2, 5")), ("JST, Exodus 9:1–9:18", ("Exodus", "1-9:18")), ("JST, Matthew", ("Matthew", ""))):
+        assert tuple(value(spark, text.translation_heading(F.lit(said), F.lit("9")))) == want
     assert lit(spark, text.sha256_hex, "")[:8] == "e3b0c442" and lit(spark, text.shortened, "x" * 301).endswith("x...")
 
 
