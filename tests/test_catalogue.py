@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, corpus_queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")
@@ -22,11 +22,15 @@ def plain(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+QUERIES = catalogue.QUERIES | corpus_queries.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | corpus_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    answer = duck.execute(catalogue.ORACLE_SQL[name])
+    answer = duck.execute(ORACLE_SQL[name])
     names = [c[0] for c in answer.description]
     assert sorted(names) == columns
     want = plain(tuple(r[names.index(c)] for c in columns) for r in answer.fetchall())
