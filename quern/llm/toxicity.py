@@ -7,6 +7,10 @@ field has two tags, features for the form and the prefixes, and transition weigh
 regularised log-likelihood over sequences of TRAIN_SEQUENCE words (all with a tagged word, and as many without); what is expected of
 words and of neighbours comes from the same forward-backward pass. A logistic regression turns the marginals of a document into its score.
 
+What the bounds cost, measured on 5,099 held-out rows of the 0.1 GB table (area under the curve, toxic rows found, clean rows left alone):
+as set 0.9949, 0.974, 0.970; SAMPLE (1500, 3000) 0.9950, 0.976, 0.970; SAMPLE (600, 1200) 0.9941, 0.978, 0.966; all shingles
+instead of a quarter 0.9948, 0.976, 0.970; without LONGEST 0.9949, 0.974, 0.970.
+
 Scoring, on whole texts: a document is one chain. Forward-backward runs over its pieces of SEQUENCE words, vectorised over those of
 many documents, for both tags that the word before (or after) a piece may have; what passes from piece to piece then weighs the
 two, so the marginals are those of the uncut chain. The score rests on the expected number of toxic words and on
