@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import mutations
+from ..operators import mutations, paging, predicates, search
 from ..sources import pages
 from . import load
 
@@ -290,3 +290,26 @@ def mutation_connect_and_disconnect(spark, d):
     parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"))
     made = mutations.connect_rows(rows.limit(0), rows, orders, parts, "drop")[0]
     return mutations.disconnect(made, rows.where("dst_id % 2 = 1").distinct())
+
+
+@query("SELECT vec_id AS id, printf('(%.3f) chapter [%s]: t%s', label / 8.0, vec_id::VARCHAR, label::VARCHAR) AS line FROM embeddings")
+def printed_results(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit("chapter").alias("entity_type"), (F.col("label") / 8.0).alias("distance"), said("t", F.col("label")).alias("text"))
+    return search.sort_by_distance(rows).select("id", search.printable(rows).alias("line"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
+def listed_nodes(spark, d):
+    customer = predicates.Label(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey")
+    return paging.list_nodes(customer, {"c_acctbal_gt": 0.0}, [{"c_name": "DESC"}]).select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events")
+def rfc3339_parse(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_timestamp(text.from_rfc3339(text.rfc3339(F.col("ts")))).alias("seconds"))
+
+
+@query("SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS chapter, len(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) >= 5 AS is_chapter FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+/[a-z0-9/]*$')")
+def url_parts(spark, d):
+    rows = spark.read.parquet(f"{d}/pages.parquet").where("url rlike '^[a-z]+://[^/?#]+/[a-z0-9/]*$'")
+    return rows.select("page_id", text.chapter_of_url(F.col("url")).alias("chapter"), text.is_chapter_url(F.col("url")).alias("is_chapter"))

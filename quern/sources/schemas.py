@@ -72,4 +72,3 @@ METADATA = (
     "comprises:string,compareRef:string,summary:string,verseNumber:int,reference:string>"
 )
 SEARCH_RESULT = f"entity_type string, id string, name string, text string, distance double, metadata {METADATA}"
-REJECT = "phase string, kind string, detail string"

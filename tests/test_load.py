@@ -123,6 +123,11 @@ def test_pages_that_share_a_title(spark):
     assert {r.title: r.entries for r in pages.merged_titles(rows, "n", append=False).collect()} == {"A": ["c"], "B": ["d"]}
 
 
+def test_json_sink(spark, graph, tmp_path):
+    corpus.write_json(graph.nodes["Book"], f"{tmp_path}/books")
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/books").collect()) == ["book/ot/ex", "book/ot/gen"]
+
+
 def test_graph_is_written_and_gets_its_vectors(spark, graph, tmp_path):
     load.write_graph(graph, str(tmp_path))
     load.write_graph(graph, str(tmp_path))  # again: tables are replaced

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import chat, embeddings, mutations, predicates, search, windows
 from quern.operators.paging import Connection, decode_cursor
+from quern.sources import schemas
 
 
 def value(spark, column, **given):
@@ -73,6 +74,7 @@ def test_one_search_call_returns_full_results(spark):
     assert by_id["vg/ot/gen/1/1-5"].metadata.chapterID == "ch/ot/gen/1" and by_id["vg/ot/gen/1/1-5"].metadata.endVerseNumber == 5
     assert by_id["v/ot/gen/1/2"].name == "Gen. 1:2" and by_id["v/ot/gen/1/2"].metadata.verseNumber == 2 and by_id["jst/gen/1/1"].metadata.compareRef == "Gen. 1:1"
     assert len(search.search(nodes, edges, "q", FixedEmbedder(), knn=2).collect()) == 2
+    assert search.search(nodes, edges, "q", FixedEmbedder()).drop("position").dtypes == spark.createDataFrame([], schemas.SEARCH_RESULT).dtypes
     for query, knn in (("", 5), ("q", 0)):
         with pytest.raises(ValueError):
             search.search(nodes, edges, query, FixedEmbedder(), knn)
