@@ -42,6 +42,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 40, 1e-7
 BLOCK = 256
+#: Entries that a task compares in blocks, and the most tasks.
+TASK, MOST_TASKS = 4_000, 20_000
 
 SKETCH = "text_key binary, doc_id long, size int, bands array<long>, signature binary"
 
@@ -209,6 +211,8 @@ def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float
     )
     spread = spread.select("*", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block")).drop("other")
     cell = ["bucket", "left_block", "right_block"]
+    rows_met = shapes.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0)).alias("n")).first()["n"]
+    spread = spread.repartition(min(MOST_TASKS, math.ceil(rows_met / TASK) + 1), *cell)  # much work for few bytes: by rows, not by size
     left = spread.groupBy(*cell).applyInPandas(_prune_blocks(threshold, tolerance), "bucket long, left_block int, right_block int, entry long, partners array<long>")
     left = stash(left, "pairs")
     wanted = stash(left.select(F.col("entry").alias("of")).distinct().join(entries.select("entry", F.col("text_key").alias("of_key"), "rep"), F.col("of") == F.col("entry")).drop("of"), "wanted")
