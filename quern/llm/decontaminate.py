@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import runs, texts_of, whole_text
+from .support import runs, slices, texts_of, whole_text
 
 Q = 10
 BUDGET = 0.08
@@ -252,7 +252,7 @@ def _match(indexes: list):
                 yield piece, ix.ids[item], start - int(begins[piece]), end - int(begins[piece]), edits
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             texts, ids, out = texts_of(batch), batch.column("doc_id").to_pylist(), []
             for lo, hi in runs(texts, CHUNK):
                 pieces = [normal(t) for t in texts[lo:hi]]

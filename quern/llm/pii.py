@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .support import whole_text
+from .support import slices, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "account", "tel", "secret")
@@ -170,7 +170,7 @@ def redact(text: str, spans: list[tuple]) -> str:
 
 def _scan(with_text: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             columns = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base", "spans", "redacted")}
             for text in batch.column("quern_text").to_pylist():
                 base = base_spans(text)

@@ -69,6 +69,8 @@ def runs(parts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield lo, len(parts)
 
 
-def batches(schema: pa.Schema, columns: Iterable[dict]) -> Iterator[pa.RecordBatch]:
-    for c in columns:
-        yield pa.RecordBatch.from_pydict(c, schema=schema)
+def slices(source: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most `rows` rows, so that fewer texts are Python objects at a time."""
+    for batch in source:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
