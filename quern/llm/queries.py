@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, packing, pii, quality, sharding, substring_dedup, toxicity, url_reputation
+from . import decontaminate, html_text, importance, jaccard_join, packing, pii, quality, sharding, spelling, substring_dedup, toxicity, url_reputation
 from .support import read_table
 
 
@@ -50,11 +50,28 @@ def op10_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_hypergeometric_sharding, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_pii_spans, op6_nnls_packing, op7_quality_rules, op8_substring_dedup, op9_crf_toxicity, op10_html_rendering)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_reputation, op2_hypergeometric_sharding, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_pii_spans,
+        op6_nnls_packing, op7_quality_rules, op8_substring_dedup, op9_crf_toxicity, op10_html_rendering,
+        op11_spelling_variants, op13_importance_resampling,
+    )
+}
 
 #: The others hash words, run models or read bytes in ways that SQL can't; tests hold them against plain loops.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation.oracle_sql(),
     "op4_ngram_jaccard_join": jaccard_join.oracle_sql(),
     "op8_substring_dedup": substring_dedup.oracle_sql(),
+    "op11_spelling_variants": spelling.oracle_sql(),
+    "op13_importance_resampling": importance.oracle_sql(),
 }

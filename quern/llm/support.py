@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: the lineage ends there.
 
     An executor may be lost later without any of df being computed again. The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -74,3 +75,14 @@ def slices(source: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for batch in source:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def cut_at(text: bytes, word: re.Pattern, limit: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about `limit` bytes, none of which ends within a word; most texts are one part."""
+    at = 0
+    while at < len(text):
+        end = at + limit
+        if end < len(text) and (over := word.match(text, end)):  # the word that stands there goes on
+            end = over.end()
+        yield text[at:end] if at or end < len(text) else text
+        at = end
