@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, importance, jaccard_join, packing, pii, quality, sharding, spelling, substring_dedup, toxicity, url_reputation
+from . import decontaminate, hash_forest, html_text, importance, jaccard_join, packing, pii, quality, sharding, spelling, substring_dedup, toxicity, url_reputation
 from .support import read_table
 
 
@@ -54,6 +55,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -63,7 +68,7 @@ QUERIES = {
     for f in (
         op1_url_reputation, op2_hypergeometric_sharding, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_pii_spans,
         op6_nnls_packing, op7_quality_rules, op8_substring_dedup, op9_crf_toxicity, op10_html_rendering,
-        op11_spelling_variants, op13_importance_resampling,
+        op11_spelling_variants, op12_hash_prefix_forest, op13_importance_resampling,
     )
 }
 
