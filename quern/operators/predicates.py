@@ -28,7 +28,7 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "_contains": lambda c, v: c.contains(v),
     "_startsWith": lambda c, v: c.startswith(v),
     "_endsWith": lambda c, v: c.endswith(v),
-    "_regex": lambda c, v: c.rlike(f"^(?:{v})$"),
+    "_regex": lambda c, v: c.rlike(f"^(?:{v})\\z"),
     "_in": lambda c, v: c.isin(list(v)) if v else F.lit(False),
     "_nin": lambda c, v: ~c.isin(list(v)) if v else F.lit(True),
     "_not": lambda c, v: c != v,
@@ -39,12 +39,13 @@ TEXT_ONLY = {"_contains", "_startsWith", "_endsWith", "_regex"}
 
 @dataclass
 class Link:
-    """How rows of a label reach another label: through `edges` (near and far key columns), to `target`."""
+    """How rows of a label reach another label: through `edges` (near and far key columns, and properties), to `target`."""
 
     edges: DataFrame
     near: str
     far: str
     target: Label
+    properties: tuple[str, ...] = ()
 
 
 @dataclass

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import books, ids, text
 from ..functions.references import explode_references
 from ..operators.lookups import expand_range, first_match, first_of_pairs, lookup, split_categories, with_range_end
+from ..operators.model import Field, Model
 from ..operators.mutations import update_from
 from ..operators.windows import sliding_groups
 from ..sources import corpus, schemas
@@ -28,6 +29,11 @@ class Graph:
     edges: dict[str, DataFrame] = field(default_factory=dict)
     rejects: list[DataFrame] = field(default_factory=list)
 
+    def model(self) -> Model:
+        """The graph as selections and nested mutations read it."""
+        properties = {r.type: tuple(p.split()[0] for p in r.properties.split(", ")) if r.properties else () for r in schemas.RELATIONSHIPS}
+        return Model(self.nodes, self.edges, [Field(label, name, kind, target, inward, properties[kind]) for label, name, kind, target, inward in schemas.FIELDS])
+
     def reject(self, rows: DataFrame, phase: str, kind: str, detail: Column) -> None:
         self.rejects.append(rows.select(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), detail.cast("string").alias("detail")))
 

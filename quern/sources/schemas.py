@@ -58,6 +58,34 @@ RELATIONSHIPS = (
     Relationship("COMPARES", "JSTPassage", "Verse"),
 )
 
+#: (label, field, edge type, target, whether the field follows edges backwards): the fixed names by which labels reach each other.
+FIELDS = (
+    ("Volume", "books", "CONTAINS", "Book", False),
+    ("Book", "volume", "CONTAINS", "Volume", True),
+    ("Book", "chapters", "CONTAINS", "Chapter", False),
+    ("Chapter", "book", "CONTAINS", "Book", True),
+    ("Chapter", "verses", "HAS_VERSE", "Verse", False),
+    ("Chapter", "verseGroups", "HAS_GROUP", "VerseGroup", False),
+    ("VerseGroup", "chapter", "HAS_GROUP", "Chapter", True),
+    ("VerseGroup", "verses", "INCLUDES", "Verse", False),
+    ("Verse", "chapter", "HAS_VERSE", "Chapter", True),
+    ("Verse", "crossRefsOut", "CROSS_REF", "Verse", False),
+    ("Verse", "crossRefsIn", "CROSS_REF", "Verse", True),
+    ("Verse", "tgFootnotes", "TG_FOOTNOTE", "TopicalGuideEntry", False),
+    ("Verse", "bdFootnotes", "BD_FOOTNOTE", "BibleDictEntry", False),
+    ("Verse", "jstFootnotes", "JST_FOOTNOTE", "JSTPassage", False),
+    ("TopicalGuideEntry", "seeAlso", "TG_SEE_ALSO", "TopicalGuideEntry", False),
+    ("TopicalGuideEntry", "bdRefs", "TG_BD_REF", "BibleDictEntry", False),
+    ("TopicalGuideEntry", "verseRefs", "TG_VERSE_REF", "Verse", False),
+    ("BibleDictEntry", "seeAlso", "BD_SEE_ALSO", "BibleDictEntry", False),
+    ("BibleDictEntry", "verseRefs", "BD_VERSE_REF", "Verse", False),
+    ("IndexEntry", "seeAlso", "IDX_SEE_ALSO", "IndexEntry", False),
+    ("IndexEntry", "tgRefs", "IDX_TG_REF", "TopicalGuideEntry", False),
+    ("IndexEntry", "bdRefs", "IDX_BD_REF", "BibleDictEntry", False),
+    ("IndexEntry", "verseRefs", "IDX_VERSE_REF", "Verse", False),
+    ("JSTPassage", "compareVerses", "COMPARES", "Verse", False),
+)
+
 
 CHAPTER_FILE = (
     "url string, book string, chapter int, summary string, verses array<struct<number:int,text:string,footnote_markers:array<string>>>, "
