@@ -55,6 +55,11 @@ def nearest(nodes: DataFrame, vector: list[float], k: int = PER_LABEL, key: str
     return found.orderBy("distance", key).limit(k)
 
 
+def arrow_kind(kind: str) -> str:
+    """The type in which Python numbers come back from a task; columns are cast to their own type afterwards."""
+    return "bigint" if kind in ("tinyint", "smallint", "int") else kind
+
+
 def nearest_by_group(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, group: str = "label", key: str = "id", field: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, group, key, distance of the k nearest nodes for each query and group.
 
@@ -66,7 +71,8 @@ def nearest_by_group(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, g
         raise ValueError("k must be positive")
     spark = nodes.sparkSession
     kinds = dict(nodes.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, `{group}` {kinds[group]}, `{key}` {kinds[key]}, distance double"
+    given = {"query_id": dict(queries.dtypes)["query_id"], group: kinds[group], key: kinds[key]}
+    schema = ", ".join(f"`{c}` {arrow_kind(t)}" for c, t in given.items()) + ", distance double"
     narrow = nodes.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(field).alias("vec")).where("vec is not null")
 
     def matcher(shared):
@@ -117,7 +123,8 @@ def nearest_by_group(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, g
         part = narrow.mapInArrow(matcher(shared), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], schema)
+        out = spark.createDataFrame([], schema)
+    out = out.select(*(F.col(c).cast(t).alias(c) for c, t in given.items()), "distance")
     order = Window.partitionBy("query_id", group).orderBy("distance", key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
@@ -128,6 +135,11 @@ def metadata(**given: Column) -> Column:
     return F.struct(*((given[n].cast(t) if n in given else F.lit(None).cast(t)).alias(n) for n, t in fields))
 
 
+def nearest_many(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, key: str = "id", field: str = "embedding") -> DataFrame:
+    """query_id, key, distance: what `nearest` finds for each of the stated queries, in one scan of the nodes."""
+    return nearest_by_group(nodes.select(F.lit(0).alias("quern_group"), key, field), queries, k, "quern_group", key, field).drop("quern_group")
+
+
 def stage_one(nodes: dict[str, DataFrame], vector: list[float], limit: int = PER_LABEL) -> DataFrame:
     """entity_type, id, name, text, distance, metadata: the nearest of each label. nodes: entity type to a frame with id,
     name, text, metadata and embedding."""
@@ -135,6 +147,14 @@ def stage_one(nodes: dict[str, DataFrame], vector: list[float], limit: int = PER
     return reduce(DataFrame.unionByName, parts)
 
 
+def stage_one_many(nodes: dict[str, DataFrame], queries: DataFrame, limit: int = PER_LABEL) -> DataFrame:
+    """query_id and the columns of stage_one for each of the stated queries; each label is scanned once for all of them, and once for the rows found."""
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("entity_type"), "id", "name", "text", "metadata", "embedding") for kind, df in nodes.items()])
+    best = nearest_by_group(known, queries, limit, "entity_type").withColumnsRenamed({"entity_type": "of_type", "id": "of_id"})
+    found = known.drop("embedding").join(best, (F.col("entity_type") == F.col("of_type")) & (F.col("id") == F.col("of_id")))
+    return found.select("query_id", "entity_type", "id", "name", "text", "distance", "metadata")
+
+
 def leads_to(source: Column, relation: Column, expansion: dict[str, list[tuple[str, str]]] = EXPANSION) -> Column:
     """The entity type that an edge type leads to from a seed's entity type; null where expansion doesn't follow it."""
     pairs = [(k, rel, to) for k, follows in expansion.items() for rel, to in follows]
@@ -148,6 +168,7 @@ def expand(seeds: DataFrame, edges: DataFrame, limit: int = PER_RELATION, expans
     s = seeds.select("query_id", F.col("entity_type").alias("seed_type"), F.col("id").alias("seed_id"), F.col("distance").alias("seed_distance"))
     followed = edges.withColumn("reached", leads_to(F.col("src_type"), F.col("rel"), expansion)).where("reached is not null")
     met = followed.join(s, (F.col("src_type") == F.col("seed_type")) & (F.col("src_id") == F.col("seed_id")))
+    met = met.dropDuplicates(["query_id", "seed_type", "seed_id", "rel", "dst_id"])  # several edges may join the same two nodes
     order = Window.partitionBy("query_id", "seed_type", "seed_id", "rel").orderBy("dst_id")
     met = met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
     return met.select("query_id", F.col("reached").alias("entity_type"), F.col("dst_id").alias("id"), (F.col("seed_distance") + PENALTY).alias("distance"), "seed_type", "seed_id")

@@ -86,15 +86,9 @@ def stage_one(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest_by_group(vectors(spark, d), query_vectors(spark, d), 10, "entity_type")
 
 
-def by_query(spark: SparkSession, d: str, found: Callable[[list[float]], DataFrame]) -> DataFrame:
-    """What the search for one vector finds for each of the stated ones."""
-    stated = query_vectors(spark, d).collect()  # one in a hundred vectors
-    return reduce(DataFrame.unionByName, [found(list(q["vector"])).select(F.lit(q["query_id"]).alias("query_id"), "*") for q in stated])
-
-
 @query(f"WITH u AS ({UNIT}) SELECT query_id, id, {NEAR} FROM (SELECT q.id AS query_id, u.id, 1 - list_inner_product(u.e, q.e) / (u.nrm * q.nrm) AS distance FROM u, u AS q WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY distance, u.id) <= 10)")
 def knn_topk(spark, d):
-    return by_query(spark, d, lambda v: search.nearest(vectors(spark, d), v, 10)).select("query_id", "id", near())
+    return search.nearest_many(vectors(spark, d), query_vectors(spark, d), 10).select("query_id", "id", near())
 
 
 @query(f"WITH {STAGE1_SQL} SELECT query_id, entity_type, id, {NEAR} FROM s1")
@@ -105,7 +99,7 @@ def knn_multi_query(spark, d):
 @query(f"WITH {STAGE1_SQL} SELECT query_id, entity_type, id, {NEAR} FROM s1")
 def stage1_union(spark, d):
     nodes = {k: vectors(spark, d).where(F.col("entity_type") == k).select("id", F.lit("").alias("name"), F.lit("").alias("text"), search.metadata(chapterNumber=F.lit(1)).alias("metadata"), "embedding") for k in KINDS}
-    return by_query(spark, d, lambda v: search.stage_one(nodes, v)).select("query_id", "entity_type", "id", near())
+    return search.stage_one_many(nodes, query_vectors(spark, d)).select("query_id", "entity_type", "id", near())
 
 
 @query(f"WITH {STAGE1_SQL}, {EDGES_SQL} SELECT query_id, seed_type, seed_id, entity_type, id, {NEAR} FROM ex")

@@ -251,4 +251,4 @@ def search_edges(graph: Graph) -> DataFrame:
     ends = {r.type: (schemas.ENTITY_TYPE.get(r.source), schemas.ENTITY_TYPE.get(r.target)) for r in schemas.RELATIONSHIPS if r.type != "CONTAINS"}
     wanted = {"INCLUDES", "HAS_VERSE", "TG_VERSE_REF", "TG_SEE_ALSO", "TG_BD_REF", "BD_VERSE_REF", "BD_SEE_ALSO", "IDX_VERSE_REF", "IDX_SEE_ALSO", "IDX_TG_REF", "IDX_BD_REF", "COMPARES"}
     parts = [graph.edges[t].select(F.lit(ends[t][0]).alias("src_type"), "src_id", F.lit(t).alias("rel"), F.lit(ends[t][1]).alias("dst_type"), "dst_id") for t in sorted(wanted)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)  # expansion drops what is double, after it has met the few seeds
