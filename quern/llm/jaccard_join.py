@@ -6,14 +6,15 @@ Two documents are linked when the sets of their five-word shingles have a Jaccar
    doc_ids play no part until the end.
 2. Every entry has BANDS x ROWS MinHash values; entries that agree in a whole band are candidates. A linked pair agrees
    in no band with a chance of (1 - 0.8**5)**40, about 1e-7. Bands that hold the same entries are kept once.
-3. A bucket is dealt out in blocks of about BLOCK entries, and every two blocks of it meet in one task, so no task holds a
-   whole bucket. They meet as MinHash values only (16 bits each: two that differ seem equal with a chance of 2**-16, which
-   only adds candidates). In the first bucket that both of a pair are in, the values are compared STEP at a time: with m of n
-   equal and a flat prior, the similarity reaches t with a probability of P(Binomial(n + 1, t) <= m); the pair is dropped
-   when that is under TOLERANCE. Only entries with a pair left get their text fetched, and those pairs are verified exactly on
-   the shingle sets, in the same blocks.
-4. Tasks return link counts and a spanning forest of the links they found, never the pairs; label propagation over the
-   forest edges gives the classes.
+3. A bucket is dealt out in blocks of about BLOCK entries, fewer if their texts are long (WEIGHT shingles), and every two blocks of it meet in
+   one task, so no task holds a whole bucket, and none more than two blocks of shingles. They meet as MinHash values only (16 bits each: two
+   that differ seem equal with a chance of 2**-16, which only adds candidates). In the first bucket that both of a pair are in, the
+   values are compared STEP at a time: with m of n equal and a flat prior, the similarity reaches t with a probability of
+   P(Binomial(n + 1, t) <= m); the pair is dropped when that is under TOLERANCE.
+4. A task says which of its entries have a pair left, not which pairs: one row for an entry and two blocks at most. The texts of these entries are
+   fetched, the blocks meet again, pairs are pruned in the same way from the values that came along, and those that are left are
+   verified exactly on the shingle sets. Pairs exist only inside a task.
+5. Tasks return link counts and a spanning forest of the links they found; label propagation over the forest edges gives the classes.
 
 Tables that are joined by a key which may be hot (equal texts, a large class) are written first, so that adaptive execution can
 split such a key's rows.
@@ -41,7 +42,7 @@ from .wordgrid import scramble, window_codes, word_grid
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 40, 1e-7
-BLOCK = 256
+BLOCK, WEIGHT = 256, 1 << 20
 #: Entries that a task compares in blocks, and the most tasks.
 TASK, MOST_TASKS = 4_000, 20_000
 
@@ -118,48 +119,57 @@ def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(sets, pa.binary())], ["entry", "codes"])
 
 
+def _pairs_left(frame: pd.DataFrame, threshold: float, steps: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks, sorted by block and entry: each row with those rows after it with which its pair isn't pruned."""
+    band, left, right = (int(frame[c].iloc[0]) for c in ("band", "left_block", "right_block"))
+    block, sizes = frame["block"].to_numpy(), frame["size"].to_numpy()
+    minhash = np.stack([np.frombuffer(x, np.uint16) for x in frame["signature"]])
+    buckets = np.zeros((len(frame), BANDS), np.int64)  # 0: in no bucket of that band, or the bucket isn't kept
+    for i, (at, keys) in enumerate(zip(frame["bands"], frame["buckets"], strict=True)):
+        buckets[i, at] = keys
+    a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    for i in a:
+        j = b[b > i] if left == right else b
+        j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
+        j = j[((buckets[j] == buckets[i]) & (buckets[i] != 0)).argmax(axis=1) == band]  # else the pair belongs to an earlier bucket
+        begin = 0
+        for n, least in steps:
+            if not len(j):
+                break
+            seen = (minhash[j, begin:n] == minhash[i, begin:n]).sum(axis=1)
+            seen, begin = seen if begin == 0 else seen + so_far, n
+            j, so_far = j[seen >= least], seen[seen >= least]
+        if len(j):
+            yield int(i), j
+
+
+def _steps(threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    return [(n, fewest_matches(n, threshold, tolerance)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
+
+
 def _prune_blocks(threshold: float, tolerance: float):
-    steps = [(n, fewest_matches(n, threshold, tolerance)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
+    steps = _steps(threshold, tolerance)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of two blocks: the entries of pairs that are left, each with those of its partners that come after it."""
+        """Of two blocks: the entries that have a pair left."""
         frame = frame.sort_values(["block", "entry"], ignore_index=True)
-        band, entry = int(frame["band"].iloc[0]), frame["entry"].to_numpy()
-        left, right = int(frame["left_block"].iloc[0]), int(frame["right_block"].iloc[0])
-        block, sizes = frame["block"].to_numpy(), frame["size"].to_numpy()
-        minhash = np.stack([np.frombuffer(x, np.uint16) for x in frame["signature"]])
-        buckets = np.zeros((len(entry), BANDS), np.int64)  # 0: in no bucket of that band, or the bucket isn't kept
-        for i, (at, keys) in enumerate(zip(frame["bands"], frame["buckets"], strict=True)):
-            buckets[i, at] = keys
-        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        partners: dict[int, list[int]] = {}
-        for i in a:
-            j = b[b > i] if left == right else b
-            j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
-            j = j[((buckets[j] == buckets[i]) & (buckets[i] != 0)).argmax(axis=1) == band]  # else the pair belongs to an earlier bucket
-            begin = 0
-            for n, least in steps:
-                if not len(j):
-                    break
-                seen = (minhash[j, begin:n] == minhash[i, begin:n]).sum(axis=1)
-                seen, begin = seen if begin == 0 else seen + so_far, n
-                j, so_far = j[seen >= least], seen[seen >= least]
-            if len(j):
-                partners.setdefault(i, []).extend(entry[j].tolist())
-                for k in j:
-                    partners.setdefault(k, [])
-        out = {"bucket": frame["bucket"].iloc[0], "left_block": left, "right_block": right, "entry": entry[list(partners)], "partners": pd.Series(list(partners.values()), dtype=object)}
-        return pd.DataFrame(out, columns=["bucket", "left_block", "right_block", "entry", "partners"])
+        kept = np.zeros(len(frame), bool)
+        for i, j in _pairs_left(frame, threshold, steps):
+            kept[i] = True
+            kept[j] = True
+        return frame.loc[kept, ["bucket", "left_block", "right_block", "band", "block", "entry"]]
 
     return run
 
 
-def _verify_blocks(threshold: float):
+def _verify_blocks(threshold: float, tolerance: float):
+    steps = _steps(threshold, tolerance)
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Of two blocks: for each entry with a link its links (copies counted) and the leader of its tree."""
+        frame = frame.sort_values(["block", "entry"], ignore_index=True)
         entry, copies = frame["entry"].to_numpy(), frame["copies"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in frame["codes"]]
-        place = {e: i for i, e in enumerate(entry.tolist())}
         links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
 
         def top(i: int) -> int:
@@ -167,8 +177,8 @@ def _verify_blocks(threshold: float):
                 root[i] = i = root[root[i]]
             return i
 
-        for i, partners in enumerate(frame["partners"]):
-            for k in (place[p] for p in partners):
+        for i, partners in _pairs_left(frame, threshold, steps):
+            for k in partners.tolist():
                 common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
                 if common >= threshold * (len(sets[i]) + len(sets[k]) - common):
                     links[i] += copies[k]
@@ -197,32 +207,35 @@ def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float
     one = F.first(F.struct("size", "bands", "signature")).alias("s")  # the same in all rows of a text
     entries = sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), one)
     entries = stash(entries.select(F.monotonically_increasing_id().alias("entry"), "text_key", "rep", "copies", "s.*"), "entries")
-    dealt = entries.select("entry", F.posexplode("bands").alias("band", "bucket"))
-    shapes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("entry")).alias("x"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("y"))
-    shapes = stash(shapes.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("kept")).select("kept", "n"), "shapes")
-    held = dealt.join(shapes, F.col("bucket") == F.col("kept")).groupBy("entry").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("held"))  # at most BANDS
-    held = held.withColumnRenamed("entry", "of").join(entries.select("entry", "size", "signature"), F.col("of") == F.col("entry"))
-    spread = held.select("entry", "size", "signature", F.col("held.band").alias("bands"), F.col("held.bucket").alias("buckets"), F.explode("held").alias("h"))
-    blocks = F.ceil(F.col("h.n") / BLOCK).cast("int")
-    spread = spread.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("entry", F.lit(9)), blocks.cast("long")).cast("int").alias("block"))
+    dealt = entries.select("entry", "size", F.posexplode("bands").alias("band", "bucket"))
+    alike = [F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("entry")).alias("x"), F.bit_xor(F.xxhash64("entry", F.lit(1))).alias("y")]
+    shapes = dealt.groupBy("bucket").agg(*alike).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("blocks")
+    shapes = stash(shapes.groupBy("n", "weight", "x", "y").agg(F.min("bucket").alias("kept")).select("kept", "n", blocks), "shapes")
+    held = dealt.join(shapes, F.col("bucket") == F.col("kept")).groupBy("entry").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("held"))  # at most BANDS
+    held = held.withColumnRenamed("entry", "of").join(entries.select("entry", "size", "copies", "signature"), F.col("of") == F.col("entry"))
+    held = stash(held.select("entry", "size", "copies", "signature", F.col("held.band").alias("bands"), F.col("held.bucket").alias("buckets"), "held"), "held")
+    spread = held.select("entry", "size", "signature", "bands", "buckets", F.explode("held").alias("h")).withColumn("blocks", F.col("h.blocks"))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("entry", F.lit(9)), F.col("blocks").cast("long")).cast("int"))
     spread = spread.select(
         F.col("h.bucket").alias("bucket"), F.col("h.band").alias("band"), "entry", "size", "signature", "bands", "buckets", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
     spread = spread.select("*", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block")).drop("other")
     cell = ["bucket", "left_block", "right_block"]
-    rows_met = shapes.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0)).alias("n")).first()["n"]
+    rows_met = shapes.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)).alias("n")).first()["n"]
     spread = spread.repartition(min(MOST_TASKS, math.ceil(rows_met / TASK) + 1), *cell)  # much work for few bytes: by rows, not by size
-    left = spread.groupBy(*cell).applyInPandas(_prune_blocks(threshold, tolerance), "bucket long, left_block int, right_block int, entry long, partners array<long>")
-    left = stash(left, "pairs")
+    left = spread.groupBy(*cell).applyInPandas(_prune_blocks(threshold, tolerance), "bucket long, left_block int, right_block int, band int, block int, entry long")
+    left = stash(left, "kept")
     wanted = stash(left.select(F.col("entry").alias("of")).distinct().join(entries.select("entry", F.col("text_key").alias("of_key"), "rep"), F.col("of") == F.col("entry")).drop("of"), "wanted")
     wanted = wanted.hint("merge")  # shuffled at every size: a plan that changed with the size would shuffle more than in proportion
     texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = texts.groupBy("entry").agg(F.first("text").alias("text"))  # rows may repeat, with equal text
     sets = texts.mapInArrow(_sets, "entry long, codes binary").select(F.col("entry").alias("of"), "codes")
-    sized = left.join(sets, F.col("entry") == F.col("of")).drop("of")
-    sized = sized.join(entries.select(F.col("entry").alias("of"), "copies"), F.col("entry") == F.col("of")).drop("of")
-    found = sized.groupBy(*cell).applyInPandas(_verify_blocks(threshold), "member long, links long, leader long")
+    whole = sets.join(held.drop("held"), F.col("of") == F.col("entry")).drop("entry")
+    met = left.join(whole, F.col("entry") == F.col("of")).drop("of")
+    met = met.repartition(min(MOST_TASKS, math.ceil(left.count() / TASK) + 1), *cell)
+    found = met.groupBy(*cell).applyInPandas(_verify_blocks(threshold, tolerance), "member long, links long, leader long")
     return entries, stash(found, "links")
 
 

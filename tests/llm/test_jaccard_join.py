@@ -78,3 +78,41 @@ def test_minhash_estimates_the_similarity_and_pruning_is_rare():
         errors.append((x == y).mean() - 400 / 500)
         assert all((x[:n] == y[:n]).sum() >= m.fewest_matches(n) for n in range(40, 201, 40))
     assert abs(np.mean(errors)) < 0.02
+
+
+def test_what_tasks_return_grows_with_entries_and_blocks_not_with_pairs(spark, monkeypatch):
+    """Near copies of one text: no table on the way holds a row, or a list, of their pairs."""
+    written = {}
+    whole = m.stash
+
+    def watched(df, name, **more):
+        out = whole(df, name, **more)
+        written[name] = (out.count(), sum(len(str(r)) for r in out.select(*[c for c in out.columns if c not in ("signature", "bands")]).collect()))
+        return out
+
+    monkeypatch.setattr(m, "stash", watched)
+    base = [f"w{i}" for i in range(300)]
+    sizes = {}
+    for n in (200, 400):
+        rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(n) for k in [(i * 7) % 300]]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = {r.doc_id: (r.class_id, r.n_links) for r in m.near_duplicates(df).collect()}
+        assert out == dict.fromkeys(range(n), (0, n - 1))
+        sizes[n] = dict(written)
+    for name in ("held", "kept", "wanted", "links"):
+        blocks = 2  # 200 entries are one block, 400 are two: each entry meets both
+        assert all(sizes[400][name][k] <= 2.2 * blocks * sizes[200][name][k] for k in (0, 1)), name
+    assert sizes[400]["kept"][0] < 50 * 400
+
+
+def test_long_texts_are_dealt_in_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "WEIGHT", 500)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(12) for k in [i * 20]]
+    held = []
+    whole = m.stash
+    monkeypatch.setattr(m, "stash", lambda df, name, **k: (held.append((name, whole(df, name, **k))) or held[-1][1]))
+    got = sorted(tuple(r) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(m.brute_force(rows))
+    kept = next(t for n, t in held if n == "kept")
+    assert kept.agg({"right_block": "max"}).first()[0] >= 7  # 12 texts of about 400 shingles over blocks of 500
