@@ -6,10 +6,12 @@ in pre and textarea, blocks stand on lines of their own, paragraphs, headings, l
 a blank line, list items get a bullet or their number and are indented by depth, br breaks a line, and the cells of a
 table stand in a grid of columns and rows, where colspan and rowspan hold; a cell of several lines (a list, paragraphs, a table)
 keeps them, beside those of its neighbours. What stands in a table but in no cell or caption comes before the table, as in a browser.
-Of input the value is shown, where its type shows one; options of select and the content of details as if they were opened. Of svg the
+Of input the value is shown, where its type shows one, and the placeholder where there is none, as of textarea; options of select, with
+the labels of their groups, and the content of details as if they were opened. Items of an ordered list are numbered by start, reversed and
+value. The content of xmp and plaintext is text as it stands. Of svg the
 texts are shown, each set off by blanks, and of math all text. visibility is inherited: in a hidden element those that are visible
-again are shown. Not visible: script, style, template, noscript, head but for its title (kept apart), comments, elements with hidden,
-aria-hidden="true" or display:none (in style attributes; style sheets aren't read), a dialog that isn't open, alt texts; what a browser shows only
+again are shown. Not visible: script, style, template, noscript, head but for its title (kept apart), comments, elements with
+hidden or display:none (in style attributes; style sheets aren't read; what ARIA says concerns other readers), rp, a dialog that isn't open, alt texts; what a browser shows only
 where it can't do better (content of iframe, noframes, noembed, object, audio, video, canvas); datalist; in svg what draws nothing by
 itself (title, desc, metadata, defs, symbol, clipPath, mask, pattern, marker; use isn't followed) and in math annotations and mphantom.
 
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 # Element names by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noframes noembed".split())
-BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tr ul blockquote caption thead tbody tfoot".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure article section hr fieldset".split())
-UNSEEN = frozenset("head title datalist object audio video canvas".split())
+BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tr ul blockquote caption thead tbody tfoot optgroup listing xmp plaintext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre listing xmp plaintext blockquote figure article section hr fieldset".split())
+UNSEEN = frozenset("head title datalist object audio video canvas rp".split())
+AS_IS = frozenset("pre listing xmp plaintext textarea".split())
 #: The same within svg and math.
 SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker".split())
 MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
@@ -47,6 +50,7 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 #: Types of input that show their value, and what those without one show.
 VALUE_TYPES = frozenset("text search url tel email number date month week time datetime-local submit reset button".split())
 LABELS = {"submit": "Submit", "reset": "Reset"}
+PLACEHOLDER_TYPES = frozenset("text search url tel email password number".split())
 #: The most columns and rows that a cell may span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Elements that hold nothing but parts of a table, and those parts.
@@ -58,7 +62,7 @@ IMPLIED = {
     "option": (("option",), ("select",)), "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
     "td": (("td", "th", "caption", "colgroup"), ("tr", "table")), "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
 } | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)))
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre listing xmp plaintext section table ul li dt dd td th tr".split())
 #: An end tag doesn't look for its element beyond these.
 SCOPE = frozenset("table td th html".split())
 
@@ -67,6 +71,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
 VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+WHOLE = re.compile(r"[ \t\n\f]*([+-]?\d{1,9})", re.A)
 
 
 class Element:
@@ -114,12 +120,18 @@ def _is_hidden(name: str, attributes: dict[str, str]) -> bool:
         return True
     if not attributes:
         return False
-    shown = DISPLAY.findall(attributes.get("style", ""))  # the last one holds
-    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(shown) and shown[-1].lower() == "none"
+    shown = DISPLAY.findall(_style(attributes))  # the last one holds
+    return "hidden" in attributes or bool(shown) and shown[-1].lower() == "none"
+
+
+def _style(attributes: dict[str, str]) -> str:
+    """The style attribute without its comments."""
+    style = attributes.get("style", "")
+    return COMMENT.sub(" ", style) if "/*" in style else style
 
 
 def _visibility(attributes: dict[str, str], outer: str) -> bool | None:
-    said = VISIBILITY.findall(attributes.get("style", ""))
+    said = VISIBILITY.findall(_style(attributes))
     if not said and outer in ("svg", "text") and attributes.get("visibility") in ("visible", "hidden", "collapse"):
         said = [attributes["visibility"]]
     return said[-1].lower() == "visible" if said else None
@@ -128,7 +140,28 @@ def _visibility(attributes: dict[str, str], outer: str) -> bool | None:
 def _value(attributes: dict[str, str]) -> str:
     """What an input shows."""
     kind = attributes.get("type", "text").strip().lower()
-    return attributes.get("value", LABELS.get(kind, "")) if kind in VALUE_TYPES else ""
+    value = attributes.get("value", LABELS.get(kind, ""))
+    if kind in PLACEHOLDER_TYPES and not value:
+        return attributes.get("placeholder", "")
+    return value if kind in VALUE_TYPES else ""
+
+
+def _number(attributes: dict[str, str], name: str) -> int | None:
+    said = WHOLE.match(attributes.get(name, ""))
+    return int(said[1]) if said else None
+
+
+def _numbers(ol: Element) -> Iterator[int]:
+    """The numbers of a list's items, in order."""
+    items = [c for c in ol.children if not isinstance(c, str) and c.name == "li" and not c.unseen]
+    step = -1 if "reversed" in ol.attributes else 1
+    start = _number(ol.attributes, "start")
+    at = start if start is not None else len(items) if step < 0 else 1
+    for item in items:
+        said = _number(item.attributes, "value")
+        at = at if said is None else said
+        yield at
+        at += step
 
 
 def _inner(name: str, outer: str) -> str:
@@ -233,9 +266,10 @@ def build_tree(page: str) -> Element:
         outer = stack[-1].inner
         element = Element(name, attributes, _is_hidden(name, attributes) or bool(outer) and _is_undrawn(name, attributes, outer), _inner(name, outer), _visibility(attributes, outer) if attributes else None)
         add(element)
-        if name in ("title", "textarea") and not (outer and inside.endswith("/")):  # their content is text only
-            closing = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
-            element.children.append(html.unescape(page[at : closing.start() if closing else n]))
+        if name in ("title", "textarea", "xmp", "plaintext") and not (outer and inside.endswith("/")):  # their content is text only
+            closing = None if name == "plaintext" else re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            held = page[at : closing.start() if closing else n]
+            element.children.append(html.unescape(held) if name in ("title", "textarea") else held)
             at = _tag_end(page, closing.end()) if closing else n
         elif name not in VOID and not inside.endswith("/") or name in ("div", "p", "span", "td", "li"):
             if name not in VOID:
@@ -255,7 +289,8 @@ class _Page:
     def text(self, s: str, as_is: bool) -> None:
         if as_is:
             first, *rest = s.split("\n")
-            self._put(first)
+            self._put((" " if self.blank and self.line and not self.gap else "") + first)
+            self.blank = False
             for x in rest:
                 self.lines.append("".join(self.line).rstrip())
                 self.line = []
@@ -393,7 +428,7 @@ def _rendered(root: Element, shown: bool = True) -> Generator:
     page = _Page()
 
     def visit(node: Element, depth: int, as_is: bool, shown: bool) -> Generator:
-        number = int(node.attributes.get("start", "1")) if node.name == "ol" and re.fullmatch(r"-?\d{1,6}", node.attributes.get("start", "1"), re.A) else 1
+        numbers = _numbers(node) if node.name == "ol" else iter(())
         for c in node.children:
             if isinstance(c, str):
                 if node.inner != "svg" and shown:
@@ -420,15 +455,20 @@ def _rendered(root: Element, shown: bool = True) -> Generator:
                 gap = 1 if depth and name in ("ul", "ol", "menu", "p") else 2 if name in SPACED else 1
                 page.edge(gap)
                 if name == "li":
-                    mark = f"{number}." if node.name == "ol" else "-"
-                    number += 1
+                    mark = f"{next(numbers)}." if node.name == "ol" else "-"
                     if sees:
                         page.text("  " * max(0, depth - 1) + mark + " ", True)
                         page.blank = False
-                yield visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name == "pre", sees)
+                if name == "optgroup" and sees and c.attributes.get("label"):
+                    page.text(c.attributes["label"], False)
+                    page.edge(gap)
+                yield visit(c, depth + (name in ("ul", "ol", "menu")), as_is or name in AS_IS, sees)
                 page.edge(gap)
+            elif name == "textarea" and not any(c.children):
+                if sees and c.attributes.get("placeholder"):
+                    page.text(f" {c.attributes['placeholder']} ", False)
             else:
-                yield visit(c, depth, as_is or name == "textarea", sees)
+                yield visit(c, depth, as_is or name in AS_IS, sees)
 
     yield visit(root, 0, False, shown)
     return page.done()

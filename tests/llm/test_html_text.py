@@ -17,7 +17,18 @@ CASES = [
     ("<table><tr><td colspan=2>wide<td>x<tr><td>1<td>2<td>3</table>", "wide  x\n1  2  3"),
     ("<pre> keep\n  this </pre>after", " keep\n  this\n\nafter"),
     ("a<script>var t='</p>';</script>b<style>c</style><!-- d -->e<template>f</template>", "abe"),
-    ("<div hidden>no</div><p style='DISPLAY : none'>no<p>yes<span aria-hidden=true>no</span>", "yes"),
+    ("<div hidden>no</div><p style='DISPLAY : none'>no<p>yes<span aria-hidden=true> too</span>", "yes too"),
+    ("<p style='/*display:none*/'>yes<p style='display:/* x */none'>no<p style='color:red/*'>open", "yes\n\nopen"),
+    ("<input placeholder=find><input value=v placeholder=no><input type=password placeholder=word><input type=password value=x placeholder=no><input type=date placeholder=no>", "find v word"),
+    ("<textarea placeholder=say></textarea> <textarea placeholder=no>said</textarea>", "say said"),
+    ("<select><optgroup label=Birds><option>owl<option>jay</optgroup><option>other</select>", "Birds\nowl\njay\nother"),
+    ("a<xmp><b>x</b> &amp;</xmp>b", "a\n\n<b>x</b> &amp;\n\nb"),
+    ("a<plaintext><p>b</plaintext>", "a\n\n<p>b</plaintext>"),
+    ("<listing>a\n  <b>b</b></listing>", "a\n  b"),
+    ("<ruby>kan<rp>(</rp><rt>ji</rt><rp>)</rp></ruby>", "kanji"),
+    ("<ol><li value=7>a<li>b<li value=x>c</ol>", "7. a\n8. b\n9. c"),
+    ("<ol reversed><li>a<li hidden>no<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li value=5>b<li>c</ol>", "10. a\n5. b\n4. c"),
     ("x <!-- never closed", "x"),
     ("<p>a</div></p>b</p>c", "a\n\nb\n\nc"),
     ("<a title='x > y'>link</a> <img alt=pic> 1 < 2 <3", "link 1 < 2 <3"),

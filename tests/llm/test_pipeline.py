@@ -65,3 +65,24 @@ def test_rows_that_share_a_doc_id_or_have_none(spark, tmp_path):
     rows = [(1, a, "s"), (1, b + " " + leak, "s"), (None, leak, "s"), (None, c, "s"), (2, leak, "s"), (2, leak, "s"), (3, d, "s"), (3, d, "s"), (4, None, "s")]
     want = [(1, a, "s"), (None, c, "s"), (3, d, "s"), (3, d, "s"), (4, None, "s")]
     assert kept(p.benchmark_decontamination, rows) == sorted(want, key=str)
+
+
+def test_clashing_columns_and_empty_tables_go_through_all_stages(spark, tmp_path):
+    rng = random.Random(14)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(30)]
+    texts[9], texts[12] = texts[3] + " end", texts[3]
+    names = ["quern_number", "number", "row", "quern_row", "gone", "class_id", "kept", "quern_id", "entry", "item_id", "spans", "first", "quern_text", "n_words", "a.b"]
+    schema = SCHEMA + ", " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(d, t, "en", "s", len(t), *(f"{n}{d}" for n in names)) for d, t in enumerate(texts)]
+    spark.createDataFrame([(1, " ".join(rng.choices(words, k=30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, 1, 0) for d in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in p.STAGES[:-1]:
+        docs, empty = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert docs.columns == empty.columns == [f.split()[0].strip("`") for f in schema.split(", ")], name
+        assert empty.count() == 0
+        for r in docs.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names), name
+    assert {r.doc_id for r in docs.collect()} & {3, 9, 12} == {3}
+    assert p.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0 < p.STAGES[-1][1](spark, docs, str(tmp_path)).count()
