@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: each stage works on all rows that the one before it kept.
 
 quality rules -> n-gram Jaccard join -> benchmark decontamination -> PII -> packing. All stages but the last return the
-columns of documents. The second and the third stage decide on rows, not on doc_ids: each row of their input gets a number
-that is written, so rows may share a doc_id or have none.
+columns of documents, whatever these are called: a row is carried as one value beside what a stage adds. The second and the third stage decide
+on rows, not on doc_ids: each row of their input gets a number that is written, so rows may share a doc_id or have none. A table
+without rows goes through all stages and gives none.
 """
 
 from __future__ import annotations
@@ -21,34 +22,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row; written, as the number is another one in another run of the plan."""
-    return stash(docs.withColumn("quern_number", F.monotonically_increasing_id()), "numbered")
+    """number and row (a struct of all columns); written, as the number is another one in another run of the plan."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return stash(docs.select(F.monotonically_increasing_id().alias("number"), row), "numbered")
 
 
 def _by_number(numbered: DataFrame) -> DataFrame:
     """What the operators read, with the row's number in the place of its doc_id."""
-    return numbered.select(F.col("quern_number").alias("doc_id"), "text")
+    return numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def _without(numbered: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The rows whose number isn't in the quern_id of numbers."""
-    return numbered.join(numbers, numbered["quern_number"] == numbers["quern_id"], "left_anti").drop("quern_number")
+    """The rows whose number isn't in the column `gone` of numbers."""
+    return numbered.join(numbers, numbered["number"] == numbers["gone"], "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of smallest doc_id (null comes last), and of these the first."""
     rows = _numbered(docs)
-    linked = jaccard_join.near_duplicates(_by_number(rows)).where("n_links > 0").select(F.col("doc_id").alias("quern_id"), "class_id")
-    linked = stash(linked.join(rows.select("quern_number", "doc_id"), F.col("quern_id") == F.col("quern_number")).drop("quern_number"), "linked")
-    firsts = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "quern_id"))["quern_id"].alias("first"))
-    return _without(rows, linked.join(firsts, linked["quern_id"] == firsts["first"], "left_anti"))
+    linked = jaccard_join.near_duplicates(_by_number(rows)).where("n_links > 0").select(F.col("doc_id").alias("gone"), "class_id")
+    linked = stash(linked.join(rows.select("number", F.col("row.doc_id").alias("doc_id")), F.col("gone") == F.col("number")).drop("number"), "linked")
+    firsts = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "gone"))["gone"].alias("first"))
+    return _without(rows, linked.join(firsts, linked["gone"] == firsts["first"], "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark text stands."""
     rows = _numbered(docs)
     found = decontaminate.benchmark_matches(_by_number(rows), read_table(spark, sf_dir, "benchmark"))
-    return _without(rows, found.select(F.col("doc_id").alias("quern_id")).distinct())
+    return _without(rows, found.select(F.col("doc_id").alias("gone")).distinct())
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
