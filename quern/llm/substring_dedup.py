@@ -6,8 +6,9 @@ in a document of smaller doc_id; the words that repeated windows cover merge int
 How it runs: every window is a row (code, document, place). Spark brings the rows of a code together and takes the least doc_id
 over them; rows of a larger doc_id are repeated windows. A passage that a third of all documents hold would bring as many rows to
 one task, so each task first compares the windows it holds (COMBINE at a time, the map-side part of the minimum): of each code only the
-rows of the smallest doc_id go to it, the others are repeated whatever else there is and are spread over all tasks. Repeated windows
-then meet by document, where a window function merges them into intervals, and these join the documents.
+smallest doc_id goes to it, in one row, with all places that the text has the window at; the others are repeated whatever else there
+is: they merge into intervals at once and are spread over all tasks. Repeated windows then meet by document, where a window function
+merges them into intervals, and these join the documents.
 Two different windows share a code with a chance of 2**-64.
 
 Defined cases: null text is empty; a text of fewer words than `width` has no window and stays; repeats within one
@@ -31,7 +32,7 @@ from .wordgrid import window_codes, word_grid
 WIDTH = 13
 #: Windows that a task compares before they are shuffled, and rows of a batch that it hands on.
 COMBINE, BATCH = 2_000_000, 100_000
-WINDOWS = "code long, place int, doc long, body long, known boolean"
+WINDOWS = "code long, place int, doc long, body long, end int, more array<int>"
 
 
 def _known_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -45,14 +46,43 @@ def _known_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return known
 
 
+def _groups(codes: np.ndarray, places: np.ndarray, bodies: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """(one index for each code and text, in the order given; the further places of each, None where it has none)."""
+    order = np.lexsort((np.arange(len(codes)), bodies, codes))
+    head = np.ones(len(codes), bool)
+    head[1:] = (codes[order][1:] != codes[order][:-1]) | (bodies[order][1:] != bodies[order][:-1])
+    first = np.flatnonzero(head)
+    size = np.diff(first, append=len(codes))
+    back = np.argsort(order[first])
+    return order[first][back], [places[order[i + 1 : i + n]] if n > 1 else None for i, n in zip(first[back].tolist(), size[back].tolist(), strict=True)]
+
+
+def _intervals(places: np.ndarray, docs: np.ndarray, bodies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in text order: the index of the first one of each interval, and where the interval ends."""
+    opens = np.ones(len(places), bool)
+    opens[1:] = (docs[1:] != docs[:-1]) | (bodies[1:] != bodies[:-1]) | (places[1:] < places[:-1]) | (places[1:] - places[:-1] > width)
+    first = np.flatnonzero(opens)
+    return first, places[np.append(first[1:], len(places)) - 1] + width if len(first) else places
+
+
 def _windows(width: int):
-    names = ["code", "place", "doc", "body", "known"]
+    names = [f.split()[0] for f in WINDOWS.split(", ")]
 
     def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         codes, places, docs, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
-        columns = [codes.view(np.int64), places, docs, bodies, _known_repeats(codes, docs)]
-        for k in range(0, len(codes), BATCH):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BATCH]) for c in columns], names)
+        known = _known_repeats(codes, docs)
+        own, repeated = np.flatnonzero(~known), np.flatnonzero(known)
+        one, more = _groups(codes[own], places[own], bodies[own])
+        own = own[one]
+        for k in range(0, len(own), BATCH):
+            at = own[k : k + BATCH]
+            further = more[k : k + BATCH]
+            columns = [codes[at].view(np.int64), places[at], docs[at], bodies[at]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.int32()), pa.array(further, pa.list_(pa.int32()))], names)
+        first, ends = _intervals(places[repeated], docs[repeated], bodies[repeated], width)
+        at = repeated[first]
+        columns = [pa.nulls(len(at), pa.int64()), *map(pa.array, (places[at], docs[at], bodies[at], ends.astype(np.int32))), pa.nulls(len(at), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -83,13 +113,16 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """of_doc, of_body, spans (pairs of first word and end, in order): the word ranges that windows cover which a document
     of smaller doc_id also has; one row for each text that has any."""
     windows = _rows(docs).where("doc_id is not null").mapInArrow(_windows(width), WINDOWS)
-    group = Window.partitionBy(F.when(F.col("known"), F.xxhash64("doc", "body", "place")).otherwise(F.col("code")))
-    least = F.min(F.when(~F.col("known"), F.col("doc"))).over(group)
-    repeated = windows.withColumn("least", least).where("known or doc > least").select("doc", "body", "place")
+    group = Window.partitionBy(F.coalesce(F.col("code"), F.xxhash64("doc", "body", "place")))  # intervals have no code: anywhere
+    least = F.min(F.when(F.col("code").isNotNull(), F.col("doc"))).over(group)
+    repeated = windows.withColumn("least", least).where("code is null or doc > least")
+    places = F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))).alias("place")
+    repeated = repeated.select("doc", "body", places, "end").withColumn("end", F.coalesce("end", F.col("place") + width))
     order = Window.partitionBy("doc", "body").orderBy("place")
-    opens = F.coalesce(F.col("place") - F.lag("place").over(order) > width, F.lit(True))
-    parts = repeated.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(order))
-    merged = parts.groupBy("doc", "body", "part").agg(F.min("place").alias("first"), (F.max("place") + width).alias("end"))
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = repeated.withColumn("opens", F.coalesce(F.col("place") > before, F.lit(True)).cast("int"))
+    parts = parts.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parts.groupBy("doc", "body", "part").agg(F.min("place").alias("first"), F.max("end").alias("end"))
     spans = F.sort_array(F.collect_list(F.array("first", "end")))  # of one text, fewer than its words
     return merged.groupBy(F.col("doc").alias("of_doc"), F.col("body").alias("of_body")).agg(spans.alias("spans"))
 
