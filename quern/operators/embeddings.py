@@ -1,7 +1,7 @@
 """Embedding targets and a pluggable embedder.
 
 An embedder is any object with embed_batch(texts) -> list of vectors; it travels to the executors, so it must pickle.
-Batches run in tasks: the number of partitions is the concurrency. A batch that fails is tried again one text at a time;
+Batches run in tasks, each with a bounded number of calls under way. A batch that fails is tried again one text at a time;
 a text that fails gets no vector and an error, and the run goes on.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_text, truncate
+from .calls import ordered_calls, task_count
 
 BATCH, TEXT_LENGTH, PHRASES, SALTS = 32, 2000, 20, 32
 
@@ -67,8 +68,15 @@ def named_targets(nodes: DataFrame, phrases: DataFrame, field: str = "embedding"
     return joined.select("id", phrase_text(F.col("name"), F.coalesce(F.col("p.phrase"), F.array().cast("array<string>")), most).alias("text")).where("text <> ''")
 
 
-def embed(rows: DataFrame, embedder: Embedder, batch: int = BATCH, most: int = TEXT_LENGTH, concurrency: int | None = None) -> DataFrame:
-    """id, embedding, error of each target."""
+def embed(rows: DataFrame, embedder: Embedder, batch: int = BATCH, most: int = TEXT_LENGTH, concurrency: int | None = None, in_flight: int = 1, cluster_limit: int | None = None) -> DataFrame:
+    """id, embedding, error of each target.
+
+    concurrency: how many tasks call; in_flight: batches that a task has under way at a time; cluster_limit: batches that all tasks may
+    have under way together, from which the number of tasks follows. Results keep the order of the rows in a task. A batch that fails is tried
+    again one text at a time, in its own place, so it takes no further call from the limit.
+    """
+    if cluster_limit is not None:
+        concurrency = task_count(cluster_limit, in_flight)
     if concurrency:
         rows = rows.repartition(concurrency)
     rows = rows.select("id", truncate(F.col("text"), most).alias("text"))
@@ -80,17 +88,23 @@ def embed(rows: DataFrame, embedder: Embedder, batch: int = BATCH, most: int = T
         except Exception as e:
             return None, str(e)
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def many(part: tuple[list, list[str]]) -> list[tuple]:
+        ids, texts = part
+        try:
+            made = embedder.embed_batch(texts)
+            out = [(v, None) for v in made] if len(made) == len(texts) else [(None, "wrong number of vectors")] * len(texts)
+        except Exception:
+            out = [one(t) for t in texts]
+        return [(i, v, e) for i, (v, e) in zip(ids, out, strict=True)]
+
+    def parts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
         for records in source:
             ids, texts = records.column("id").to_pylist(), records.column("text").to_pylist()
-            out: list[tuple] = []
             for k in range(0, len(texts), batch):
-                part = texts[k : k + batch]
-                try:
-                    made = embedder.embed_batch(part)
-                    out += [(v, None) for v in made] if len(made) == len(part) else [(None, "wrong number of vectors")] * len(part)
-                except Exception:
-                    out += [one(t) for t in part]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v for v, _ in out], pa.list_(pa.float32())), pa.array([e for _, e in out], pa.string())], ["id", "embedding", "error"])
+                yield ids[k : k + batch], texts[k : k + batch]
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in ordered_calls(parts(source), many, in_flight):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in done]), pa.array([v for _, v, _ in done], pa.list_(pa.float32())), pa.array([e for _, _, e in done], pa.string())], ["id", "embedding", "error"])
 
     return rows.mapInArrow(run, "id string, embedding array<float>, error string")

@@ -18,7 +18,8 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.model import Model
 from ..sources import schemas
@@ -136,14 +137,56 @@ class GraphStore:
 # --- graphs ---------------------------------------------------------------------------------------------------------------------------------
 
 
-def save_graph(store: GraphStore, graph: Graph, buckets: int = 64, rejects: bool = True) -> int:
+#: The counters that a load reports, and the table of each; "embedded" counters are of nodes that have a vector.
+COUNTERS = {
+    "Volumes": "nodes/Volume", "Books": "nodes/Book", "Chapters": "nodes/Chapter", "Verses": "nodes/Verse", "TGEntries": "nodes/TopicalGuideEntry", "BDEntries": "nodes/BibleDictEntry",
+    "IDXEntries": "nodes/IndexEntry", "JSTPassages": "nodes/JSTPassage", "CrossRefs": "edges/CROSS_REF", "VerseTGRefs": "edges/TG_FOOTNOTE", "VerseBDRefs": "edges/BD_FOOTNOTE",
+    "VerseJSTRefs": "edges/JST_FOOTNOTE", "TGVerseRefs": "edges/TG_VERSE_REF", "BDVerseRefs": "edges/BD_VERSE_REF", "IDXVerseRefs": "edges/IDX_VERSE_REF", "TGSeeAlso": "edges/TG_SEE_ALSO",
+    "BDSeeAlso": "edges/BD_SEE_ALSO", "IDXSeeAlso": "edges/IDX_SEE_ALSO", "IDXTGRefs": "edges/IDX_TG_REF", "IDXBDRefs": "edges/IDX_BD_REF", "TGBDRefs": "edges/TG_BD_REF",
+    "JSTCompares": "edges/COMPARES", "VerseGroups": "nodes/VerseGroup",
+}
+EMBEDDED = {
+    "EmbVerseGroups": "nodes/VerseGroup", "EmbChapters": "nodes/Chapter", "EmbTGEntries": "nodes/TopicalGuideEntry", "EmbBDEntries": "nodes/BibleDictEntry", "EmbIDXEntries": "nodes/IndexEntry",
+    "EmbJSTPassages": "nodes/JSTPassage",
+}
+PHASES = ("scriptures", "footnotes", "study helps", "references")
+
+
+class Counters:
+    """Metrics that are collected while tables are written: no job of their own."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, rows: DataFrame) -> DataFrame:
+        self.seen[name] = Observation(name)
+        label = name.removeprefix("nodes/")
+        metrics = [F.count(F.lit(1)).alias("rows")]
+        if label in schemas.VECTOR_FIELD:
+            metrics.append(F.count_if(F.size(schemas.VECTOR_FIELD[label]) > 0).alias("embedded"))
+        if name == "rejects":
+            metrics += [F.count_if(F.col("phase") == p).alias(p) for p in PHASES]
+        return rows.observe(self.seen[name], *metrics)
+
+    def values(self) -> dict[str, int]:
+        """All counters, and Warnings with the rejects of each phase; call it when the tables are written."""
+        got = {n: o.get for n, o in self.seen.items()}
+        out = {c: got[t]["rows"] for c, t in COUNTERS.items() if t in got} | {c: got[t]["embedded"] for c, t in EMBEDDED.items() if t in got}
+        if "rejects" in got:
+            out |= {"Warnings": got["rejects"]["rows"]} | {f"Warnings: {p}": got["rejects"][p] for p in PHASES}
+        return out
+
+
+def save_graph(store: GraphStore, graph: Graph, buckets: int = 64, rejects: bool = True, counters: Counters | None = None) -> int:
     """A full reload as one version: nodes, edges, the edges that search expands by (each once, bucketed by their source), and the rejects."""
     tables = {f"nodes/{k}": v for k, v in graph.nodes.items()} | {f"edges/{k}": v for k, v in graph.edges.items()}
     layouts = {name: Layout(bloom=("id",)) if name.startswith("nodes/") else Layout(bloom=("src_id", "dst_id")) for name in tables}
-    tables[SEARCH_EDGES] = search_edges(graph).distinct()
-    layouts[SEARCH_EDGES] = Layout(buckets, EXPANDED_BY)
     if rejects and graph.rejects:
         tables["rejects"] = graph.all_rejects()
+    if counters:
+        tables = {name: counters.watch(name, rows) for name, rows in tables.items()}
+    tables[SEARCH_EDGES] = search_edges(graph).distinct()
+    layouts[SEARCH_EDGES] = Layout(buckets, EXPANDED_BY)
     return store.write(tables, layouts, whole=True)
 
 
