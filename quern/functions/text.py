@@ -115,7 +115,7 @@ def chapter_of_url(url: Column) -> Column:
 
 def is_chapter_url(url: Column) -> Column:
     """At least five path segments."""
-    return F.size(F.filter(F.split(F.parse_url(url, F.lit("PATH")), "/"), lambda x: x != "")) >= 5
+    return F.size(F.filter(F.split(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")) >= 5
 
 
 def cache_path(url: Column, folder: str) -> Column:
@@ -135,11 +135,11 @@ def year_month(s: Column) -> Column:
     return F.when((F.size(parts) == 2) & year.isNotNull() & month.isNotNull(), F.struct(year.alias("year"), month.alias("month")))
 
 
-def conference_grid(first: tuple[int, int], last: tuple[int, int]) -> Column:
+def conference_grid(first: tuple[int | Column, int | Column], last: tuple[int | Column, int | Column]) -> Column:
     """All (year, month), month 4 or 10, from first to last inclusive."""
-    grid = F.flatten(F.transform(F.sequence(F.lit(first[0]), F.lit(last[0])), lambda y: F.array(*(F.struct(y.alias("year"), F.lit(m).alias("month")) for m in (4, 10)))))
-    low, high = first[0] * 12 + first[1], last[0] * 12 + last[1]
-    return F.filter(grid, lambda g: (g.year * 12 + g.month).between(low, high))
+    (y1, m1), (y2, m2) = ((F.lit(y).cast("int"), F.lit(m).cast("int")) for y, m in (first, last))
+    grid = F.flatten(F.transform(F.sequence(y1, y2), lambda y: F.array(*(F.struct(y.alias("year"), F.lit(m).alias("month")) for m in (4, 10)))))
+    return F.filter(grid, lambda g: (g.year * 12 + g.month).between(y1 * 12 + m1, y2 * 12 + m2))
 
 
 def latest_conference(day: Column) -> Column:

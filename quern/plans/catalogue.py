@@ -384,10 +384,13 @@ def connect_sets(spark, d):
     return mutations.connect(none, nations, regions, {"note": F.lit("all")})
 
 
-@query("SELECT y AS year, m AS month FROM range(1971, 2027) a(y), (VALUES (4), (10)) b(m) WHERE y * 12 + m BETWEEN 1971 * 12 + 4 AND 2026 * 12 + 4")
+@query("""SELECT c_custkey, y::BIGINT AS year, m AS month FROM (SELECT o_custkey AS c_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey), range(1900, 2100) t(y), (VALUES (4), (10)) u(m)
+    WHERE y * 12 + m BETWEEN year(a) * 12 + month(a) AND year(b) * 12 + month(b)""")
 def year_month_grid(spark, d):
-    grid = spark.range(1).select(F.explode(text.conference_grid((1971, 4), (2026, 4))).alias("g"))
-    return grid.select(F.col("g.year").cast("long").alias("year"), "g.month")
+    """The conferences between each customer's first and last order."""
+    ends = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    grid = text.conference_grid((F.year("a"), F.month("a")), (F.year("b"), F.month("b")))
+    return ends.select("c_custkey", F.explode(grid).alias("g")).select("c_custkey", F.col("g.year").cast("long").alias("year"), "g.month")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import mutations, paging, predicates, search
 from ..sources import pages
-from . import load
+from ..sources.shared import fresh_folder
+from . import load, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,28 +58,31 @@ def chapters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def studies(spark: SparkSession) -> dict[str, DataFrame]:
-    """Rows like those of the study files."""
-    k = F.col("id").cast("int")
+def studies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Rows like those of the study files: a topic and an index entry for each part, a dictionary entry for each supplier, a translation for
+    each conversation."""
+    k = F.col("k")
+    keys = lambda table, key: spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("int").alias("k")).distinct()
     line = lambda phrase, reference, key: F.struct(F.lit(phrase).alias("phrase"), reference.alias("reference"), key.alias("key"))
     own, none = said("Gen. ", k, ":1"), F.lit("")
-    lines = F.array(line("p", own, none), line("", F.lit("TG"), said("Topic ", (k + 1) % TOPICS)), line("", F.lit("BD"), F.lit("Ark")), line("q", own, none), line("", F.lit("TG"), F.lit("None")))
-    topics = spark.range(TOPICS).select(said("Topic ", k).alias("name"), k.alias("pos"), lines.alias("value"))
-    index = spark.range(TOPICS).select(said("Index ", k).alias("name"), k.alias("pos"), F.array(line("i", said("Gen. ", k, ":1, 3"), none), line("", F.lit("IDX"), F.lit("Index 0")), line("", F.lit("TG"), F.lit("Topic 1")), line("", F.lit("BD"), F.lit("Ark"))).alias("value"))
-    cited = F.struct(F.lit("a box").alias("text"), F.array(F.lit("Gen. 0:1–2"), F.lit("nonsense")).alias("references"))
-    entries = spark.range(1).select(F.lit("Ark").alias("name"), F.lit(0).alias("pos"), cited.alias("value"))
+    lines = F.array(line("p", own, none), line("", F.lit("TG"), said("Topic ", k + 1)), line("", F.lit("BD"), F.lit("Ark")), line("q", own, none), line("", F.lit("TG"), F.lit("None")))
+    topics = keys("part", "p_partkey").select(said("Topic ", k).alias("name"), k.alias("pos"), lines.alias("value"))
+    seen = F.array(line("i", said("Gen. ", k, ":1, 3"), none), line("", F.lit("IDX"), F.lit("Index 0")), line("", F.lit("TG"), F.lit("Topic 1")), line("", F.lit("BD"), F.lit("Ark")))
+    index = keys("part", "p_partkey").select(said("Index ", k).alias("name"), k.alias("pos"), seen.alias("value"))
+    cited = F.struct(F.lit("a box").alias("text"), F.array(said("Gen. ", k, ":1–2"), F.lit("nonsense")).alias("references"))
+    entries = keys("supplier", "s_suppkey").select(F.when(k == 0, "Ark").otherwise(said("Entry ", k)).alias("name"), k.alias("pos"), cited.alias("value"))
     verse = lambda n, words: F.struct(F.lit(n).alias("number"), F.lit(words).alias("text"))
     parts = F.array(F.struct(F.lit("").alias("comprises"), said("Gen. ", k, ":1-2").alias("compare"), F.lit("").alias("summary"), F.array(verse(1, "a"), verse(2, "b")).alias("verses")))
-    translations = spark.range(TOPICS).select(F.lit("").alias("reference"), F.when(k == 4, "Nowhere").otherwise("Genesis").alias("book"), k.cast("string").alias("chapter"), parts.alias("entries"), k.alias("pos"))
+    translations = keys("conversations", "conv_id").select(F.lit("").alias("reference"), F.when(k == 4, "Nowhere").otherwise("Genesis").alias("book"), k.cast("string").alias("chapter"), parts.alias("entries"), k.alias("pos"))
     return {"topics": topics, "entries": entries, "index": index, "translations": translations}
 
 
 def graph(spark: SparkSession, d: str) -> load.Graph:
-    return load.load_tables(chapters(spark, d), studies(spark))
+    return load.load_tables(chapters(spark, d), studies(spark, d))
 
 
 V = "v AS (SELECT conv_id::INT AS c, (turn + 1)::INT AS n, coalesce(text, '') AS text, 'v/ot/gen/' || conv_id || '/' || (turn + 1) AS id FROM conversations), ch AS (SELECT DISTINCT c FROM v)"
-K = "k AS (SELECT range AS k FROM range(5))"
+K = "k AS (SELECT p_partkey::INT AS k FROM part), ks AS (SELECT s_suppkey::INT AS k, CASE WHEN s_suppkey = 0 THEN 'Ark' ELSE 'Entry ' || s_suppkey END AS name FROM supplier), kt AS (SELECT DISTINCT conv_id::INT AS k FROM conversations)"
 
 
 @query(f"""WITH {V} SELECT id, n AS number, 'Gen. ' || c || ':' || n AS reference, md5(text) AS digest, CASE WHEN n = 1 THEN '[{{"marker":"c","hebrew_text":"HEB w' || c || '"}}]' END AS "translationNotes" FROM v""")
@@ -136,12 +140,12 @@ def load_dictionary_footnotes(spark, d):
     return graph(spark, d).edges["BD_FOOTNOTE"]
 
 
-@query(f"""WITH {V} SELECT id AS src_id, 'jst/gen/' || c || '/1-2' AS dst_id, '3d' AS "footnoteMarker" FROM v WHERE n = 3 AND c < 4""")
+@query(f"""WITH {V} SELECT id AS src_id, 'jst/gen/' || c || '/1-2' AS dst_id, '3d' AS "footnoteMarker" FROM v WHERE n = 3 AND c <> 4""")
 def load_translation_footnotes(spark, d):
     return graph(spark, d).edges["JST_FOOTNOTE"]
 
 
-@query(f"WITH {K} SELECT 'tg/Topic ' || k AS src_id, 'tg/Topic ' || ((k + 1) % 5) AS dst_id, 'TG_SEE_ALSO' AS rel FROM k UNION ALL SELECT 'tg/Topic ' || k, 'bd/Ark', 'TG_BD_REF' FROM k UNION ALL SELECT 'idx/Index ' || k, 'idx/Index 0', 'IDX_SEE_ALSO' FROM k UNION ALL SELECT 'idx/Index ' || k, 'tg/Topic 1', 'IDX_TG_REF' FROM k UNION ALL SELECT 'idx/Index ' || k, 'bd/Ark', 'IDX_BD_REF' FROM k")
+@query(f"WITH {K} SELECT 'tg/Topic ' || k AS src_id, 'tg/Topic ' || (k + 1) AS dst_id, 'TG_SEE_ALSO' AS rel FROM k WHERE k + 1 IN (SELECT k FROM k) UNION ALL SELECT 'tg/Topic ' || k, 'bd/Ark', 'TG_BD_REF' FROM k UNION ALL SELECT 'idx/Index ' || k, 'idx/Index 0', 'IDX_SEE_ALSO' FROM k UNION ALL SELECT 'idx/Index ' || k, 'tg/Topic 1', 'IDX_TG_REF' FROM k UNION ALL SELECT 'idx/Index ' || k, 'bd/Ark', 'IDX_BD_REF' FROM k")
 def load_see_also(spark, d):
     edges = graph(spark, d).edges
     parts = [edges[k].select("src_id", "dst_id", F.lit(k).alias("rel")) for k in ("TG_SEE_ALSO", "TG_BD_REF", "IDX_SEE_ALSO", "IDX_TG_REF", "IDX_BD_REF")]
@@ -154,17 +158,17 @@ def load_verse_references(spark, d):
     return edges["TG_VERSE_REF"].unionByName(edges["IDX_VERSE_REF"])
 
 
-@query(f"""WITH {V} SELECT 'bd/Ark' AS src_id, a.id AS dst_id, coalesce(b.id, '') AS "targetEndVerseId" FROM v a LEFT JOIN v b ON b.c = 0 AND b.n = 2 WHERE a.c = 0 AND a.n = 1""")
+@query(f"""WITH {V}, {K} SELECT 'bd/' || name AS src_id, a.id AS dst_id, coalesce(b.id, '') AS "targetEndVerseId" FROM ks JOIN v a ON a.c = k AND a.n = 1 LEFT JOIN v b ON b.c = k AND b.n = 2""")
 def load_dictionary_references(spark, d):
     return graph(spark, d).edges["BD_VERSE_REF"]
 
 
-@query(f"WITH {V} SELECT 'jst/gen/' || c || '/1-2' AS src_id, id AS dst_id FROM v WHERE c < 4 AND n IN (1, 2)")
+@query(f"WITH {V} SELECT 'jst/gen/' || c || '/1-2' AS src_id, id AS dst_id FROM v WHERE c <> 4 AND n IN (1, 2)")
 def load_compared_verses(spark, d):
     return graph(spark, d).edges["COMPARES"]
 
 
-@query(f"""WITH {K} SELECT 'jst/' || CASE WHEN k = 4 THEN '' ELSE 'gen' END || '/' || k || '/1-2' AS id, CASE WHEN k = 4 THEN 'Nowhere' ELSE 'Genesis' END AS book, k::VARCHAR AS chapter, '1-2' AS comprises, 'Gen. ' || k || ':1-2' AS "compareRef", 'a b' AS text FROM k""")
+@query(f"""WITH {K} SELECT 'jst/' || CASE WHEN k = 4 THEN '' ELSE 'gen' END || '/' || k || '/1-2' AS id, CASE WHEN k = 4 THEN 'Nowhere' ELSE 'Genesis' END AS book, k::VARCHAR AS chapter, '1-2' AS comprises, 'Gen. ' || k || ':1-2' AS "compareRef", 'a b' AS text FROM kt""")
 def load_translations(spark, d):
     return graph(spark, d).nodes["JSTPassage"].select("id", "book", "chapter", "comprises", "compareRef", "text")
 
@@ -176,20 +180,49 @@ def load_translations(spark, d):
     UNION ALL SELECT 'footnotes', 'verse not found', 'ot/gen ' || c || ':2' FROM m, (VALUES (1), (2)) u(y) WHERE m < 2
     UNION ALL SELECT 'footnotes', 'topic not found', 'Missing' FROM m WHERE m >= 2
     UNION ALL SELECT 'references', 'topic not found', 'None' FROM k
-    UNION ALL SELECT 'references', 'citation', 'cannot parse reference: nonsense'
-    UNION ALL SELECT 'study helps', 'unknown translation book', 'Nowhere'
-    UNION ALL SELECT 'references', 'verse not found', 'ot/gen ' || k || ':3' FROM k JOIN m ON c = k WHERE m < 3)
+    UNION ALL SELECT 'references', 'topic not found', 'Topic ' || (k + 1) FROM k WHERE k + 1 NOT IN (SELECT k FROM k)
+    UNION ALL SELECT 'references', 'citation', 'cannot parse reference: nonsense' FROM ks
+    UNION ALL SELECT 'study helps', 'unknown translation book', 'Nowhere' FROM kt WHERE k = 4
+    UNION ALL SELECT 'references', 'verse not found', 'ot/gen ' || k || ':1' FROM k, (VALUES (1), (2), (3)) u(y) WHERE k NOT IN (SELECT c FROM ch)
+    UNION ALL SELECT 'references', 'verse not found', 'ot/gen ' || k || ':1' FROM ks WHERE k NOT IN (SELECT c FROM ch)
+    UNION ALL SELECT 'references', 'verse not found', 'ot/gen ' || k || ':3' FROM k LEFT JOIN m ON c = k WHERE m IS NULL OR m < 3)
     SELECT phase, kind, detail, count(*) AS n FROM r GROUP BY ALL""")
 def load_rejects(spark, d):
     return graph(spark, d).all_rejects().groupBy("phase", "kind", "detail").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {GROUPS} SELECT 'Verse' AS name, count(*) AS rows FROM v UNION ALL SELECT 'Chapter', count(*) FROM ch UNION ALL SELECT 'VerseGroup', count(*) FROM g UNION ALL SELECT 'Volume', 5
-    UNION ALL SELECT 'Book', least(1, count(*)) FROM ch UNION ALL SELECT 'HAS_VERSE', count(*) FROM v""")
+def counted(name: str, query: str, where: str = "true") -> str:
+    return f"SELECT '{name}' AS name, (SELECT count(*) FROM ({ORACLE_SQL[query]}) WHERE {where})::BIGINT AS rows"
+
+
+COUNTS = [
+    ("Verse", "load_verses"), ("Chapter", "load_chapters"), ("JSTPassage", "load_translations"), ("CONTAINS", "load_contains"), ("HAS_VERSE", "load_has_verse"), ("HAS_GROUP", "load_has_group"), ("VerseGroup", "load_has_group"),
+    ("INCLUDES", "load_includes"), ("CROSS_REF", "load_cross_references"), ("TG_FOOTNOTE", "load_topic_footnotes"), ("BD_FOOTNOTE", "load_dictionary_footnotes"), ("JST_FOOTNOTE", "load_translation_footnotes"),
+    ("BD_VERSE_REF", "load_dictionary_references"), ("COMPARES", "load_compared_verses"), *((r, "load_see_also", f"rel = '{r}'") for r in ("TG_SEE_ALSO", "TG_BD_REF", "IDX_SEE_ALSO", "IDX_TG_REF", "IDX_BD_REF")),
+    ("TG_VERSE_REF", "load_verse_references", "src_id LIKE 'tg/%'"), ("IDX_VERSE_REF", "load_verse_references", "src_id LIKE 'idx/%'"),
+]
+
+
+@query(" UNION ALL ".join(counted(*c) for c in COUNTS) + f""" UNION ALL SELECT name, n FROM (WITH {V}, {K} SELECT 'Volume' AS name, 5::BIGINT AS n UNION ALL SELECT 'Book', least(1, count(*)) FROM ch
+    UNION ALL SELECT 'TopicalGuideEntry', count(*) FROM k UNION ALL SELECT 'IndexEntry', count(*) FROM k UNION ALL SELECT 'BibleDictEntry', count(*) FROM ks UNION ALL SELECT 'BD_SEE_ALSO', 0)
+    UNION ALL SELECT 'rejects', sum(n)::BIGINT FROM ({ORACLE_SQL["load_rejects"]})""")
 def load_counts(spark, d):
-    whole = graph(spark, d)
-    some = load.Graph({k: whole.nodes[k] for k in ("Verse", "Chapter", "VerseGroup", "Volume", "Book")}, {"HAS_VERSE": whole.edges["HAS_VERSE"]})
-    return some.counts()
+    """Rows of all outputs, as they were counted while the graph was written."""
+    counters = store.Counters()
+    store.save_graph(store.GraphStore(spark, fresh_folder(spark, "counts")), graph(spark, d), 8, counters=counters)
+    rows = [(name.split("/")[-1], o.get["rows"]) for name, o in counters.seen.items()]
+    return spark.createDataFrame(rows, "name string, rows long")
+
+
+@query(f"WITH {V} SELECT id, CASE WHEN c % 2 = 0 THEN [c::FLOAT, 1.0::FLOAT]::FLOAT[] END AS vector, c % 2 = 0 AS named FROM (SELECT 'ch/ot/gen/' || c AS id, c FROM ch)")
+def store_write_back(spark, d):
+    """A graph written as one version; vectors written back as the next, computed from the table that they replace."""
+    kept = store.GraphStore(spark, fresh_folder(spark, "store"))
+    store.save_graph(kept, graph(spark, d), 8)
+    chapters_now = store.open_graph(kept)
+    named = chapters_now.nodes["Chapter"].where("summary is not null").select("id", F.array(F.col("number").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    store.save_vectors(kept, "Chapter", load.with_vectors(chapters_now, "Chapter", named))
+    return kept.table("nodes/Chapter").select("id", F.col("summaryEmbedding").alias("vector"), F.col("summary").isNotNull().alias("named"))
 
 
 def page(spark: SparkSession, d: str, html: Column, name: str = "part", key: str = "p_partkey") -> DataFrame:
@@ -309,7 +342,33 @@ def rfc3339_parse(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_timestamp(text.from_rfc3339(text.rfc3339(F.col("ts")))).alias("seconds"))
 
 
-@query("SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS chapter, len(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) >= 5 AS is_chapter FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+/[a-z0-9/]*$')")
+@query("SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS chapter, len(list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) >= 5 AS is_chapter FROM pages")
 def url_parts(spark, d):
-    rows = spark.read.parquet(f"{d}/pages.parquet").where("url rlike '^[a-z]+://[^/?#]+/[a-z0-9/]*$'")
-    return rows.select("page_id", text.chapter_of_url(F.col("url")).alias("chapter"), text.is_chapter_url(F.col("url")).alias("is_chapter"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.chapter_of_url(F.col("url")).alias("chapter"), text.is_chapter_url(F.col("url")).alias("is_chapter"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1) AS host, (CASE page_id % 3 WHEN 0 THEN 6379 WHEN 1 THEN 7000 + page_id % 100 END)::INT AS port FROM pages")
+def host_and_port(spark, d):
+    port = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, said(":", 7000 + F.col("page_id") % 100)).otherwise(":x")
+    address = said(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]+)", 1), port, "/graph")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.host_and_port(address).alias("a")).select("page_id", "a.*")
+
+
+@query("""SELECT o_orderkey, 'talk' || (o_orderkey % 99) AS slug, CASE WHEN o_orderkey % 3 < 2 THEN year(o_orderdate)::INT END AS year, CASE WHEN o_orderkey % 3 < 2 THEN month(o_orderdate)::INT END AS month,
+    CASE WHEN month(o_orderdate) >= 10 THEN year(o_orderdate) || '-10' WHEN month(o_orderdate) >= 4 THEN year(o_orderdate) || '-04' ELSE (year(o_orderdate) - 1) || '-10' END AS conference FROM orders""")
+def conference_scalars(spark, d):
+    """Slugs of talks, year and month of texts, and the latest conference before a date."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    url = said("https://h.org/study/general-conference/", F.year(day), "/", F.month(day), "/talk", k % 99, "?lang=eng")
+    written = F.when(k % 3 == 0, F.date_format(day, "yyyy-MM")).when(k % 3 == 1, said(" ", F.year(day), "/", F.month(day))).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    found = text.year_month(written)
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.talk_slug(url).alias("slug"), found["year"].alias("year"), found["month"].alias("month"), text.latest_conference(day).alias("conference"))
+
+
+@query("""SELECT title, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS appended, max(page_id)::VARCHAR AS last FROM (SELECT p_partkey AS page_id, 'T' || p_size AS title FROM part) GROUP BY title""")
+def pages_of_one_title(spark, d):
+    """Entries of pages that share a title: all in page order, or those of the last page."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"), said("T", F.col("p_size")).alias("title"), F.array(F.col("p_partkey").cast("string")).alias("entries"))
+    every, last = pages.merged_titles(rows, "n", append=True), pages.merged_titles(rows, "n", append=False)
+    last = last.select(F.col("title").alias("of"), F.array_join("entries", " ").alias("last"))
+    return every.join(last, F.col("title") == F.col("of")).select("title", F.array_join("entries", " ").alias("appended"), "last")

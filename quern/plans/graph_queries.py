@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, selections
+from ..functions.accessor import accessor, named_values, shown_values
+from ..operators import nested, search, selections, vector_index
 from ..operators.model import Field, Model
-from . import corpus_queries
+from ..sources.shared import fresh_folder
+from . import catalogue, corpus_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,3 +217,111 @@ def mutation_nested_update_nodes(spark, d):
     ((SELECT count(*) FROM l WHERE b < 0 OR b > 9000) + (SELECT count(*) FROM o WHERE c IN (SELECT c FROM x) OR (s = 'P' AND c IN (SELECT c FROM u))))::BIGINT AS relationships_deleted""")
 def mutation_nested_update_counts(spark, d):
     return nested.counts(*planned_update(spark, d))
+
+
+# --- search ---------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {catalogue.STAGE1_SQL} SELECT query_id, entity_type AS grp, id, {catalogue.NEAR} FROM s1")
+def vector_index_exact(spark, d):
+    """A stored index, searched in all its cells."""
+    index = vector_index.build(catalogue.vectors(spark, d), fresh_folder(spark, "index"))
+    return index.search(catalogue.query_vectors(spark, d), 10, "all").select("query_id", "grp", "id", catalogue.near())
+
+
+@query("SELECT true AS reached")
+def vector_index_recall(spark, d):
+    """Whether the probes that were measured find nine tenths of what an exact search finds, over all stated queries."""
+    index = vector_index.build(catalogue.vectors(spark, d), fresh_folder(spark, "index"))
+    queries = catalogue.query_vectors(spark, d)
+    exact = search.nearest_by_group(catalogue.vectors(spark, d), queries, 10, "entity_type").withColumnRenamed("entity_type", "grp")
+    found = index.search(queries, 10).select("query_id", "grp", "id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_id", "grp", "id"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
+#: Label and id of the search graph's nodes by kind; verses have no vector.
+SHOWN = {"verse_group": ("VerseGroup", "vg/a/b/{0}/1-5"), "chapter": ("Chapter", "ch/a/b/{0}"), "topical_guide": ("TopicalGuideEntry", "tg/{0}"), "bible_dict": ("BibleDictEntry", "bd/{0}"), "index": ("IndexEntry", "idx/{0}"), "jst_passage": ("JSTPassage", "jst/{0}")}
+ASKED = "what is it"
+
+
+class FixedEmbedder:
+    """The vector of a text: its j-th component comes from j and the text's length."""
+
+    def embed_batch(self, texts):
+        return [[float((len(t) * 7 + j * 5) % 11 - 5) for j in range(64)] for t in texts]
+
+
+def search_nodes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    v = catalogue.vectors(spark, d)
+    key = lambda shape: corpus_queries.said(*(x for x in (shape.split("{0}")[0], F.col("id"), shape.split("{0}")[1]) if not isinstance(x, str) or x))
+    own = lambda kind: v.where(F.col("entity_type") == kind)
+    words, none, vector = corpus_queries.said("t", F.col("id")).alias("text"), F.lit(None).cast("string"), F.col("embedding")
+    columns = {
+        "verse_group": [words, F.lit(1).alias("startVerseNumber"), F.lit(5).alias("endVerseNumber"), vector],
+        "chapter": [F.col("id").cast("int").alias("number"), corpus_queries.said("s", F.col("id")).alias("summary"), vector.alias("summaryEmbedding"), none.alias("url")],
+        "topical_guide": [corpus_queries.said("n", F.col("id")).alias("name"), vector], "bible_dict": [corpus_queries.said("n", F.col("id")).alias("name"), words, vector],
+        "index": [corpus_queries.said("n", F.col("id")).alias("name"), vector], "jst_passage": [F.lit("B").alias("book"), F.lit("1").alias("chapter"), F.lit("1-2").alias("comprises"), none.alias("compareRef"), none.alias("summary"), words, vector],
+    }
+    out = {SHOWN[k][0]: own(k).select(key(SHOWN[k][1]).alias("id"), *c) for k, c in columns.items()}
+    out["Verse"] = v.select(corpus_queries.said("v/", F.col("id")).alias("id"), F.col("id").cast("int").alias("number"), corpus_queries.said("r", F.col("id")).alias("reference"), words)
+    return out
+
+
+def ids_of(kind, number) -> F.Column:
+    """The id of a node from its kind and number."""
+    shapes = {k: shape.split("{0}") for k, (_, shape) in SHOWN.items()} | {"verse": ["v/", ""]}
+    part = lambda i: F.create_map(*(F.lit(x) for k, ends in shapes.items() for x in (k, ends[i])))[kind]
+    return F.concat(part(0), number.cast("string"), part(1))
+
+
+def _sql_id(kind: str, number: str) -> str:
+    shapes = {k: shape for k, (_, shape) in SHOWN.items()} | {"verse": "v/{0}"}
+    return "CASE " + " ".join(f"WHEN {kind} = '{k}' THEN replace('{shape}', '{{0}}', {number}::VARCHAR)" for k, shape in shapes.items()) + " END"
+
+
+ONE_STAGE1 = f"""u AS ({catalogue.UNIT}), q AS (SELECT list((({len(ASKED)} * 7 + j * 5) % 11 - 5)::DOUBLE ORDER BY j) AS qe FROM range(64) t(j)),
+    dist AS (SELECT 0 AS query_id, entity_type, id, 1 - list_inner_product(e, qe) / (nrm * sqrt(list_inner_product(qe, qe))) AS distance FROM u, q),
+    s1 AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY distance, {_sql_id('entity_type', 'id')}) <= 10)"""
+ONE_EDGES = catalogue.EDGES_SQL.replace("ORDER BY dst_id", f"ORDER BY {_sql_id(catalogue.REACHED_SQL, 'dst_id')}")
+
+
+@query(f"""WITH {ONE_STAGE1}, {ONE_EDGES}, k AS (SELECT entity_type, id, distance, row_number() OVER (ORDER BY round(CASE WHEN entity_type = 'verse' THEN distance - 0.05 ELSE distance END, 9), stage, round(distance, 9), entity_type, {_sql_id('entity_type', 'id')}) AS position
+        FROM al WHERE entity_type = 'verse' OR EXISTS (SELECT 1 FROM u WHERE u.id = al.id AND u.entity_type = al.entity_type))
+    SELECT entity_type, {_sql_id('entity_type', 'id')} AS id, CASE WHEN entity_type IN ('topical_guide', 'bible_dict', 'index') THEN 'n' || id WHEN entity_type = 'verse' THEN 'r' || id ELSE '' END AS name,
+        CASE WHEN entity_type = 'chapter' THEN 's' || id WHEN entity_type IN ('topical_guide', 'index') THEN '' ELSE 't' || id END AS text, {catalogue.NEAR},
+        CASE WHEN entity_type = 'verse_group' THEN 'ch/a/b/' || id END AS chapter_id, CASE WHEN entity_type = 'verse' THEN id::INT END AS verse_number, CASE WHEN entity_type = 'jst_passage' THEN '1-2' END AS comprises, position
+    FROM k WHERE position <= 20""")
+def search_results(spark, d):
+    """The search for one text, with names, texts and metadata."""
+    e = catalogue.graph_edges(spark, d).withColumn("to", search.leads_to(F.col("src_type"), F.col("rel")))
+    nodes = search_nodes(spark, d)
+    known = search.result_nodes(nodes).select(F.col("entity_type").alias("known_type"), F.col("id").alias("known_id"))
+    edges = e.select("src_type", ids_of(F.col("src_type"), F.col("src_id")).alias("src_id"), "rel", F.col("to").alias("dst_type"), ids_of(F.col("to"), F.col("dst_id")).alias("dst_id"))
+    edges = edges.join(known, (F.col("dst_type") == F.col("known_type")) & (F.col("dst_id") == F.col("known_id")), "left_semi")  # edges lead to nodes
+    found = search.search(nodes, edges, ASKED, FixedEmbedder(), 20)
+    return found.select("entity_type", "id", "name", "text", catalogue.near(), F.col("metadata.chapterID").alias("chapter_id"), F.col("metadata.verseNumber").alias("verse_number"), F.col("metadata.comprises").alias("comprises"), F.col("position").cast("long").alias("position"))
+
+
+# --- JSON -----------------------------------------------------------------------------------------------------------------------------------
+
+KEY, AT = "'cannot get value for key {}: {}'", "'cannot get value for index 1: {}'"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN (json_extract(props, '$.k')::BIGINT)::VARCHAR END AS value, CASE event_id % 6 WHEN 1 THEN {KEY.format('b', 'value is not a map')} WHEN 2 THEN {KEY.format('a', 'key not found')}
+    WHEN 3 THEN {AT.format('index out of bounds')} WHEN 4 THEN 'not JSON' WHEN 5 THEN {AT.format('value is not an array')} END AS error FROM events""")
+def json_accessor(spark, d):
+    """A path into JSON whose errors are data; the documents wrap each event's properties in five wrong ways and a right one."""
+    k, props = F.col("event_id") % 6, F.col("props")
+    source = F.when(k == 0, corpus_queries.said('{"a": {"b": [0, ', F.get_json_object(props, "$.k"), "]}}")).when(k == 1, corpus_queries.said('{"a": [', props, "]}")).when(k == 2, props)
+    source = source.when(k == 3, corpus_queries.said('{"a": {"b": [', props, "]}}")).when(k == 4, corpus_queries.said("x", props)).otherwise(corpus_queries.said('{"a": {"b": ', props, "}}"))
+    found = accessor(source).get("a").get("b").index(1).value()
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", found["value"].cast("string").alias("value"), found["error"].alias("error"))
+
+
+@query("""SELECT s_suppkey, x.name, x.value FROM (SELECT s_suppkey, s_suppkey % 3 AS n, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS w FROM supplier), LATERAL (SELECT * FROM (VALUES ('verse', n::VARCHAR), ('book', w), ('summary', CASE WHEN n = 1 THEN 'one' END)) t(name, value)) x WHERE x.value <> ''""")
+def shown_metadata(spark, d):
+    """Of named values those that are shown: 0 is, null, '' and the url aren't."""
+    n = (F.col("s_suppkey") % 3).cast("int")
+    row = F.struct(n.alias("verse"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.col("s_name")).alias("book"), F.when(n == 1, "one").alias("summary"), F.lit("http://u").alias("url"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(shown_values(named_values(row))).alias("name", "v"))
+    return rows.select("s_suppkey", "name", F.col("v").cast("string").alias("value"))

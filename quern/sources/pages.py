@@ -1,20 +1,21 @@
 """Extraction from stored HTML pages: links of index pages, and the structured content of each kind of page.
 
-Links of index pages are regular expressions in the JVM. Content needs a tree, which a small parser over the standard
-library builds one page at a time inside Arrow batches.
+Links of index pages are regular expressions in the JVM. For content every page becomes rows, one for each node, with its place and that of its last
+descendant; the readers of each kind of page are filters of such rows, joins by containment and groupings. Joins are by page, so a page's nodes
+meet in one place, whatever their number of pages.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import carry_book_prefix, chapter_of_url, translation_heading
+from ..functions.text import carry_book_prefix, chapter_of_url, normalize_whitespace, translation_heading
+from .shared import fresh_folder
 
 HOST = "https://www.churchofjesuschrist.org"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,215 +38,332 @@ def index_links(html: Column, part: str, skip: tuple[str, ...] = ("/introduction
     return F.transform(F.array_distinct(F.filter(hrefs(html), wanted)), lambda x: F.when(x.startswith("/"), F.concat(F.lit(HOST), x)).otherwise(x))
 
 
-class Node:
-    def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.attributes, self.children = name, attributes, []
+class _Rows(HTMLParser):
+    """The nodes of a page in document order: elements that an end tag closes when it is theirs, and texts."""
 
-    def walk(self) -> Iterator[Node]:
-        pending = [self]
-        while pending:
-            n = pending.pop()
-            yield n
-            pending += [c for c in reversed(n.children) if isinstance(c, Node)]
-
-    def find(self, name: str = "", cls: str = "") -> list[Node]:
-        return [n for n in self.walk() if n is not self and (not name or n.name == name) and (not cls or cls in n.attributes.get("class", "").split())]
-
-    def text(self, without: Callable[[Node], bool] = lambda n: False) -> str:
-        out, pending = [], [self]
-        while pending:
-            n = pending.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif not without(n):
-                pending += reversed(n.children)
-        return " ".join("".join(out).split())
-
-
-class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.rows: list[list] = [[0, 0, 0, "", {}, None]]  # at, last, depth, name, attributes, text
+        self.open = [0]
+
+    def _add(self, name: str, attributes: dict, text: str | None) -> int:
+        at = len(self.rows)
+        self.rows.append([at, at, len(self.open), name, attributes, text])
+        return at
 
     def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(n)
+        at = self._add(tag, {k: v or "" for k, v in attrs}, None)
         if tag not in VOID:
-            self.open.append(n)
+            self.open.append(at)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name == tag:
-                del self.open[k:]
+            if self.rows[self.open[k]][3] == tag:
+                self._end(k)
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self._add("", {}, data)
 
+    def _end(self, k: int) -> None:
+        for at in self.open[k:]:
+            self.rows[at][1] = len(self.rows) - 1
+        del self.open[k:]
 
-def parse(html: str | None) -> Node:
-    t = _Tree()
-    t.feed(html or "")
-    t.close()
-    return t.root
+    def finished(self) -> list[list]:
+        self.close()
+        self._end(0)
+        return self.rows
 
 
-def _is_mark(n: Node) -> bool:
-    """Markers, verse numbers and icons, which don't belong to a text."""
-    classes = n.attributes.get("class", "").split()
-    return n.name == "sup" or "marker" in classes or "verse-number" in classes or any(c.startswith("iconPointer") for c in classes)
+NODE = "at int, last int, depth int, name string, attributes map<string,string>, words string"
 
 
-def _first(nodes: list[Node]) -> str:
-    return nodes[0].text() if nodes else ""
+def _node_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+    names = [f.split()[0] for f in NODE.split(", ")]
+    for batch in source:
+        for i, html in enumerate(batch.column("html").to_pylist()):
+            page = _Rows()
+            page.feed(html or "")
+            rows = page.finished()
+            columns = [pa.array([list(r[k].items()) if k == 4 else r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array([i] * len(rows))), *columns], ["page", *names])
 
 
-def _within(root: Node, *path: tuple[str, str]) -> list[Node]:
-    """Elements reached by (name, class) steps, each anywhere below the one before, once and in page order."""
-    found = [root]
-    for name, cls in path:
-        found = list({id(x): x for n in found for x in n.find(name, cls)}.values())
-    return found
+def node_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """One row for each node of each page: page (the key), at (its place in the document), last (that of its last descendant), depth, name ('' for
+    text and for the page itself, which is at 0), attributes, words (of text nodes). A node is inside another if its place is between the other's
+    at and last. Written to the shared folder, as readers use the rows several times."""
+    rows = pages.select(F.col(key).alias("page"), F.col(html).alias("html")).mapInArrow(_node_rows, f"page {dict(pages.dtypes)[key]}, {NODE}")
+    at = fresh_folder(pages.sparkSession, "nodes")
+    rows.write.parquet(at)
+    return pages.sparkSession.read.schema(rows.schema).parquet(at)
 
 
-def _notes(root: Node) -> list[dict]:
-    """Footnotes: their id, categories and text."""
-    out = []
-    for li in root.find("li"):
-        key = li.attributes.get("data-full-marker") or li.attributes.get("id", "").removeprefix("note")
-        if key and (li.attributes.get("data-full-marker") or li.attributes.get("id", "").startswith("note")):
-            kinds = list(dict.fromkeys(n.attributes["data-note-category"] for n in li.walk() if n.attributes.get("data-note-category")))
-            refs = list(dict.fromkeys(t for a in li.find("a") if "/study/scriptures/" in a.attributes.get("href", "") and (t := a.text())))
-            out.append({"key": key, "category": ", ".join(kinds), "text": li.text(_is_mark), "references": refs})
-    return out
+# --- what readers are made of: rows of elements have page, at, last ---------------------------------------------------------------------------
 
 
-def chapter(html: str | None) -> dict:
-    root = parse(html)
-    verses = []
-    for p in root.find("p", "verse"):
-        number = re.sub(r"\D", "", _first(p.find("", "verse-number")))
-        marks = [a.text() for a in p.find("sup", "marker")] or [a.attributes.get("data-value", "") for a in p.find("sup")]
-        verses.append({"number": int(number or 0), "text": p.text(_is_mark), "footnote_markers": [m for m in marks if m]})
-    in_text = {}
-    for a in root.find("a", "study-note-ref"):
-        in_text[a.attributes.get("href", "").rpartition("#note")[2]] = a.text(_is_mark)
-    notes = [n | {"reference_text": in_text.get(n["key"], "")} for n in _notes(root)]
-    number = re.search(r"\d+", _first(root.find("", "title-number")))
-    book = _first(_within(root, ("h1", ""), ("span", "dominant"))) or _first([h for h in root.find("h1") if h.attributes.get("id") == "title1"])
-    return {"book": book, "chapter": int(number[0]) if number else 0, "summary": _first(root.find("", "study-summary")), "verses": verses, "footnotes": notes}
+def attribute(name: str) -> Column:
+    return F.coalesce(F.col("attributes")[name], F.lit(""))
 
 
-def _cross_reference(a: Node, own: str) -> dict:
-    """A link under an entry's title: what it refers to, and the name there; a passage has no name."""
-    href, small = a.attributes.get("href", ""), _first(a.find("small"))
-    kinds = [(f"/scriptures/{'triple-index' if own == 'IDX' else 'tg'}/", own), ("/scriptures/tg/", "TG"), ("/scriptures/bd/", "BD")]
-    kind = small or next((k for part, k in kinds if part in href), "")
-    return {"phrase": "", "reference": kind or a.text(), "key": a.text(lambda n: n.name == "small") if kind else ""}
+def has_class(name: str) -> Column:
+    return F.array_contains(F.split(attribute("class"), r"\s+"), name)
 
 
-def _is_citation(n: Node) -> bool:
-    return n.name == "a" and "scripture-ref" in n.attributes.get("class", "").split()
+def is_mark() -> Column:
+    """Markers, verse numbers and icons, which don't belong to a text."""
+    classes = F.split(attribute("class"), r"\s+")
+    return (F.col("name") == "sup") | has_class("marker") | has_class("verse-number") | F.exists(classes, lambda c: c.startswith("iconPointer"))
 
 
-def entry(html: str | None, own: str = "TG") -> dict:
-    """Topic or index entry: its title; a row for each cross reference under the title and for each line (a phrase and all
-    its citations as one reference)."""
-    root = parse(html)
-    bodies = _within(root, ("article", ""), ("div", "body-block"))
-    rows = [_cross_reference(a, own) for p in _within_all(bodies, "p", "title") for a in p.find("a", "scripture-ref") if "href" in a.attributes]
-    for p in _within_all(bodies, "p", "entry"):
-        cited = Node("", {})
-        for c in p.children:
-            if cited.children or isinstance(c, Node) and any(map(_is_citation, c.walk())):
-                cited.children.append(c)
-        rows.append({"phrase": p.text(_is_citation).rstrip(" ,;.()"), "reference": cited.text().rstrip(" ."), "key": ""})
-    return {"title": _first(_within(root, ("article", ""), ("h1", ""))), "entries": rows}
+def is_citation() -> Column:
+    return (F.col("name") == "a") & has_class("scripture-ref")
 
 
-def index_entry(html: str | None) -> dict:
-    return entry(html, "IDX")
+def empty() -> Column:
+    return F.lit("")
 
 
-def _within_all(roots: list[Node], name: str, cls: str) -> list[Node]:
-    return list({id(x): x for r in roots for x in r.find(name, cls)}.values())
+def elements(nodes: DataFrame, name: str = "", cls: str = "", where: Column | None = None) -> DataFrame:
+    found = nodes.where((F.col("at") > 0) & F.col("words").isNull())
+    found = found.where(F.col("name") == name) if name else found
+    found = found.where(has_class(cls)) if cls else found
+    return found if where is None else found.where(where)
 
 
-def dictionary(html: str | None) -> dict:
-    root = parse(html)
-    body = (root.find("div", "body-block") or [root])[0]
-    refs = [a.text() for a in body.find("a", "scripture-ref") if "/scriptures/bd/" not in (h := a.attributes.get("href", "")) and "/scriptures/tg/" not in h]
-    return {"title": _first(root.find("h1")), "text": "\n\n".join(t for p in body.find("p") if (t := p.text())), "references": [r for r in refs if r]}
+def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Rows of inner with `of`, the place of each row of outer that they are inside; an inner row in two outer ones comes twice."""
+    o = outer.select(F.col("page").alias("o_page"), F.col("at").alias("of"), F.col("last").alias("o_last")).distinct()
+    return inner.join(o, (F.col("page") == F.col("o_page")) & (F.col("at") > F.col("of")) & (F.col("at") <= F.col("o_last"))).drop("o_page", "o_last")
 
 
-def translation(html: str | None) -> dict:
-    """Sections of a translation page, with what their header compares; those without verses and summary are dropped."""
-    out = []
-    root = parse(html)
-    for s in _within(root, ("article", ""), ("section", "")):
-        verses = [{"number": int(n) if (n := _first(p.find("span", "verse-number"))).isascii() and n.isdigit() else 0, "text": p.text(_is_mark)} for p in s.find("p", "verse")]
-        summary = _first(_within(s, ("header", ""), ("p", "study-intro")))
-        if verses or summary:
-            compare = _first(_within(s, ("header", ""), ("h2", ""), ("a", "scripture-ref")))
-            out.append({"heading": _first(_within(s, ("header", ""), ("h2", ""), ("strong", ""))), "summary": summary, "compare": compare, "verses": verses})
-    return {"title": _first(root.find("h1")), "sections": out}
-
-
-def talk(html: str | None) -> dict:
-    root = parse(html)
-    by = re.sub(r"^By ", "", _first(root.find("p", "author-name") or root.find("", "author-name")))
-    paragraphs = []
-    for p in root.find("p"):
-        if re.fullmatch(r"p\d+", p.attributes.get("id", "")) and (t := p.text(_is_mark)):
-            paragraphs.append({"id": p.attributes["id"], "text": t, "footnote_markers": [m for s in p.find("sup") if (m := s.text() or s.attributes.get("data-value", ""))]})
-    return {"title": _first(root.find("h1")), "speaker": by, "role": _first(root.find("p", "author-role")), "kicker": _first(root.find("p", "kicker")), "paragraphs": paragraphs, "footnotes": _notes(root)}
-
-
-def sessions(html: str | None) -> list[dict]:
-    """Talks of a conference page by session; links to sessions are skipped, each talk once."""
-    out, seen = [], set()
-    for block in (n for n in parse(html).find("li") if n.attributes.get("data-content-type") == "general-conference-session"):
-        session = _first(block.find("p", "title"))
-        for a in block.find("a"):
-            href = a.attributes.get("href", "")
-            m = re.match(r"/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", href)
-            if not m or m[3].endswith("-session") or href in seen:
-                continue
-            seen.add(href)
-            parts = a.find("p")
-            title = _first(a.find("span")) or _first(parts)
-            speaker = _first(parts[-1:])
-            out.append({"session": session, "url": HOST + href, "slug": m[3], "year": int(m[1]), "month": int(m[2]), "title": title, "speaker": speaker if speaker != title else ""})
+def path(nodes: DataFrame, *steps: tuple[str, str]) -> DataFrame:
+    """Elements reached by (name, class) steps, each anywhere inside the one before; each once."""
+    found = elements(nodes, *steps[0])
+    for step in steps[1:]:
+        found = inside(found, elements(nodes, *step)).drop("of").dropDuplicates(["page", "at"])
+    return found
+
+
+def text_of(nodes: DataFrame, of: DataFrame, without: Column | None = None, since: str | None = None) -> DataFrame:
+    """page, of, said: the text inside each row of `of`, white space collapsed; empty where there is none. without: elements whose text doesn't count,
+    inside it or being it; since: a column of the place from which text counts."""
+    texts = nodes.where("words is not null").select(F.col("page").alias("t_page"), F.col("at").alias("t_at"), "words")
+    own = of.select("page", F.col("at").alias("of"), "last", (F.col(since) if since else F.lit(0)).alias("since")).distinct()
+    met = texts.join(own, (F.col("t_page") == F.col("page")) & (F.col("t_at") > F.col("of")) & (F.col("t_at") <= F.col("last")) & (F.col("t_at") >= F.col("since")))
+    if without is not None:
+        out = elements(nodes, where=without).select(F.col("page").alias("x_page"), F.col("at").alias("x_at"), F.col("last").alias("x_last"))
+        met = met.join(out, (F.col("t_page") == F.col("x_page")) & (F.col("t_at") > F.col("x_at")) & (F.col("t_at") <= F.col("x_last")) & (F.col("x_at") >= F.col("of")), "left_anti")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_at", "words"))), lambda x: x.words), "")
+    made = met.groupBy(F.col("page").alias("m_page"), F.col("of").alias("m_of")).agg(normalize_whitespace(said).alias("said"))
+    return own.join(made, (F.col("page") == F.col("m_page")) & (F.col("of") == F.col("m_of")), "left").select("page", "of", F.coalesce("said", F.lit("")).alias("said"))
+
+
+def with_text(nodes: DataFrame, of: DataFrame, name: str = "said", without: Column | None = None, since: str | None = None) -> DataFrame:
+    """The rows with their text as a column."""
+    t = text_of(nodes, of, without, since).select(F.col("page").alias("w_page"), F.col("of").alias("w_of"), F.col("said").alias(name))
+    return of.join(t, (F.col("page") == F.col("w_page")) & (F.col("at") == F.col("w_of"))).drop("w_page", "w_of")
+
+
+def first_inside(nodes: DataFrame, outer: DataFrame, inner: DataFrame, name: str) -> DataFrame:
+    """outer with the text of the first row of inner in each; empty where there is none."""
+    said = inside(outer, with_text(nodes, inner, "quern_said")).groupBy(F.col("page").alias("f_page"), "of").agg(F.min_by("quern_said", "at").alias(name))
+    joined = outer.join(said, (F.col("page") == F.col("f_page")) & (F.col("at") == F.col("of")), "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(""))).drop("f_page", "of")
+
+
+def gathered(rows: DataFrame, by: list[str], value: Column, name: str, order: Column | None = None) -> DataFrame:
+    """The values of each group in document order."""
+    pairs = F.array_sort(F.collect_list(F.struct((F.col("at") if order is None else order).alias("order"), value.alias("value"))))
+    return rows.groupBy(*by).agg(F.transform(pairs, lambda x: x.value).alias(name))
+
+
+def beside(pages: DataFrame, *parts: tuple[DataFrame, Column]) -> DataFrame:
+    """pages (page, at, last of the pages themselves) with one column of each part (page, <column>); where a part has no row the given value."""
+    out = pages
+    for part, none in parts:
+        name = [c for c in part.columns if c != "page"][0]
+        held = part.select(F.col("page").alias("b_page"), name)
+        out = out.join(held, F.col("page") == F.col("b_page"), "left").drop("b_page").withColumn(name, F.coalesce(F.col(name), none))
     return out
 
 
+def first_of_page(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """page and the text of the first of the elements."""
+    return with_text(nodes, found, name).groupBy("page").agg(F.min_by(name, "at").alias(name))
+
+
 NOTE = "struct<key:string,category:string,text:string,references:array<string>>"
-ENTRIES = "struct<title:string,entries:array<struct<phrase:string,reference:string,key:string>>>"
-KINDS: dict[str, tuple[Callable, str]] = {
-    "chapter": (chapter, f"struct<book:string,chapter:int,summary:string,verses:array<struct<number:int,text:string,footnote_markers:array<string>>>,footnotes:array<{NOTE[:-1]},reference_text:string>>>"),
-    "entry": (entry, ENTRIES),
-    "index_entry": (index_entry, ENTRIES),
-    "dictionary": (dictionary, "struct<title:string,text:string,references:array<string>>"),
-    "translation": (translation, "struct<title:string,sections:array<struct<heading:string,summary:string,compare:string,verses:array<struct<number:int,text:string>>>>>"),
-    "talk": (talk, f"struct<title:string,speaker:string,role:string,kicker:string,paragraphs:array<struct<id:string,text:string,footnote_markers:array<string>>>,footnotes:array<{NOTE}>>"),
-    "sessions": (sessions, "array<struct<session:string,url:string,slug:string,year:int,month:int,title:string,speaker:string>>"),
-}
+VERSE = "struct<number:int,text:string,footnote_markers:array<string>>"
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _list_beside(rows: DataFrame, lists: DataFrame, name: str, kind: str) -> DataFrame:
+    """rows with a list column of lists (page, of, <name>)."""
+    held = lists.select(F.col("page").alias("l_page"), F.col("of").alias("l_of"), name)
+    joined = rows.join(held, (F.col("page") == F.col("l_page")) & (F.col("at") == F.col("l_of")), "left").drop("l_page", "l_of")
+    return joined.withColumn(name, F.coalesce(name, none_of(kind)))
+
+
+def _ascii_number(said: Column) -> Column:
+    return F.coalesce(F.when(said.rlike("^[0-9]+$"), said).try_cast("int"), F.lit(0))
+
+
+def notes(nodes: DataFrame) -> DataFrame:
+    """page, at, key, category, text, references of footnotes."""
+    full, identity = attribute("data-full-marker"), attribute("id")
+    key = F.when(full != "", full).when(identity.startswith("note"), F.regexp_replace(identity, "^note", "")).otherwise("")
+    items = elements(nodes, "li").withColumn("key", key).where("key <> ''")
+    own = items.select("page", (F.col("at") - 1).alias("at"), "last", F.col("at").alias("item"))  # the item itself counts as inside
+    kinds = inside(own, elements(nodes, where=attribute("data-note-category") != "")).withColumn("of", F.col("of") + 1)
+    kinds = gathered(kinds, ["page", "of"], attribute("data-note-category"), "kinds")
+    links = with_text(nodes, elements(nodes, "a", where=attribute("href").contains("/study/scriptures/"))).where("said <> ''")
+    links = gathered(inside(items, links), ["page", "of"], F.col("said"), "links")
+    made = _list_beside(_list_beside(with_text(nodes, items, "text", is_mark()), kinds, "kinds", "string"), links, "links", "string")
+    return made.select("page", "at", "key", F.array_join(F.array_distinct("kinds"), ", ").alias("category"), "text", F.array_distinct("links").alias("references"))
+
+
+def _markers(nodes: DataFrame, outer: DataFrame, name: str, choose: Callable[[Column], Column]) -> DataFrame:
+    """page, of and the markers of the superscripts in each row of outer."""
+    value = F.struct(has_class("marker").alias("marked"), F.col("quern_sup").alias("said"), attribute("data-value").alias("value"))
+    held = gathered(inside(outer, with_text(nodes, elements(nodes, "sup"), "quern_sup")), ["page", "of"], value, "sups")
+    return held.select("page", "of", F.filter(choose(F.col("sups")), lambda m: m != "").alias(name))
+
+
+def chapter(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    verses = elements(nodes, "p", "verse")
+    rows = first_inside(nodes, with_text(nodes, verses, "text", is_mark()), elements(nodes, "", "verse-number"), "number")
+    chosen = lambda s: F.when(F.exists(s, lambda x: x.marked), F.transform(F.filter(s, lambda x: x.marked), lambda x: x.said)).otherwise(F.transform(s, lambda x: x.value))
+    rows = _list_beside(rows, _markers(nodes, verses, "footnote_markers", chosen), "footnote_markers", "string")
+    number = F.coalesce(F.regexp_replace("number", r"\D", "").try_cast("int"), F.lit(0)).alias("number")
+    found = gathered(rows, ["page"], F.struct(number, "text", "footnote_markers"), "verses")
+    cited = with_text(nodes, elements(nodes, "a", "study-note-ref"), "quern_cited", is_mark()).withColumn("c_key", F.substring_index(attribute("href"), "#note", -1))
+    cited = cited.groupBy(F.col("page").alias("c_page"), "c_key").agg(F.max_by("quern_cited", "at").alias("reference_text"))
+    foot = notes(nodes).join(cited, (F.col("page") == F.col("c_page")) & (F.col("key") == F.col("c_key")), "left").withColumn("reference_text", F.coalesce("reference_text", empty()))
+    foot = gathered(foot, ["page"], F.struct("key", "category", "text", "references", "reference_text"), "footnotes")
+    dominant = first_of_page(nodes, path(nodes, ("h1", ""), ("span", "dominant")), "dominant")
+    titled = first_of_page(nodes, elements(nodes, "h1", where=attribute("id") == "title1"), "titled")
+    whole = beside(
+        pages, (dominant, empty()), (titled, empty()), (first_of_page(nodes, elements(nodes, "", "title-number"), "numbered"), empty()), (first_of_page(nodes, elements(nodes, "", "study-summary"), "summary"), empty()),
+        (found, none_of(VERSE)), (foot, none_of(f"{NOTE[:-1]},reference_text:string>")),
+    )
+    book = F.coalesce(F.nullif("dominant", empty()), "titled").alias("book")
+    return whole.select("page", F.struct(book, F.coalesce(F.regexp_extract("numbered", r"\d+", 0).try_cast("int"), F.lit(0)).alias("chapter"), "summary", "verses", "footnotes").alias("content"))
+
+
+def entry(nodes: DataFrame, pages: DataFrame, own: str = "TG") -> DataFrame:
+    """Topic or index entry: its title; a row for each cross reference under the title and for each line (a phrase and all
+    its citations as one reference)."""
+    bodies = path(nodes, ("article", ""), ("div", "body-block"))
+    within_body = lambda cls: inside(bodies, elements(nodes, "p", cls)).drop("of").dropDuplicates(["page", "at"])
+    links = inside(within_body("title"), elements(nodes, where=is_citation() & F.col("attributes")["href"].isNotNull()))
+    links = first_inside(nodes, links.withColumnRenamed("of", "line"), elements(nodes, "small"), "small")
+    links = with_text(nodes, with_text(nodes, links, "plain"), "named", F.col("name") == "small")
+    href = attribute("href")
+    part = F.when(href.contains(f"/scriptures/{'triple-index' if own == 'IDX' else 'tg'}/"), own).when(href.contains("/scriptures/tg/"), "TG").when(href.contains("/scriptures/bd/"), "BD").otherwise("")
+    kind = F.coalesce(F.nullif("small", empty()), part)
+    over = links.select("page", F.struct(F.lit(0).alias("group"), F.col("line").alias("line"), F.col("at").alias("nth")).alias("order"), F.struct(empty().alias("phrase"), F.when(kind != "", kind).otherwise(F.col("plain")).alias("reference"), F.when(kind != "", F.col("named")).otherwise("").alias("key")).alias("row"))
+    lines = within_body("entry")
+    cited = inside(lines, elements(nodes, where=is_citation())).groupBy(F.col("page").alias("c_page"), "of").agg(F.min("at").alias("cited"))
+    lines = lines.join(cited, (F.col("page") == F.col("c_page")) & (F.col("at") == F.col("of")), "left").drop("c_page", "of")
+    top = inside(lines, nodes.where("words is null")).withColumnRenamed("depth", "inner").select(F.col("page").alias("i_page"), F.col("of"), F.col("at").alias("start"), "inner")
+    held = lines.join(top, (F.col("page") == F.col("i_page")) & (F.col("at") == F.col("of")) & (F.col("inner") == F.col("depth") + 1) & (F.col("start") <= F.col("cited")))
+    begins = held.groupBy(F.col("page").alias("b_page"), F.col("at").alias("b_at")).agg(F.max("start").alias("since"))  # the child that holds the first citation
+    lines = lines.join(begins, (F.col("page") == F.col("b_page")) & (F.col("at") == F.col("b_at")), "left").withColumn("since", F.coalesce("since", F.lit(2**31 - 1)))
+    lines = with_text(nodes, with_text(nodes, lines, "phrase", is_citation()), "reference", since="since")
+    under = lines.select("page", F.struct(F.lit(1).alias("group"), F.col("at").alias("line"), F.lit(0).alias("nth")).alias("order"), F.struct(F.regexp_replace("phrase", "[ ,;.()]+$", "").alias("phrase"), F.regexp_replace("reference", "[ .]+$", "").alias("reference"), empty().alias("key")).alias("row"))
+    rows = gathered(over.unionByName(under), ["page"], F.col("row"), "entries", F.col("order"))
+    title = first_of_page(nodes, path(nodes, ("article", ""), ("h1", "")), "title")
+    return beside(pages, (title, empty()), (rows, none_of("struct<phrase:string,reference:string,key:string>"))).select("page", F.struct("title", "entries").alias("content"))
+
+
+def index_entry(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    return entry(nodes, pages, "IDX")
+
+
+def dictionary(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    bodies = elements(nodes, "div", "body-block").groupBy("page").agg(F.min_by(F.struct("at", "last"), "at").alias("b")).select(F.col("page").alias("b_page"), "b")
+    body = pages.join(bodies, F.col("page") == F.col("b_page"), "left").select("page", F.coalesce("b.at", "at").alias("at"), F.coalesce("b.last", "last").alias("last"))
+    links = with_text(nodes, elements(nodes, where=is_citation() & ~attribute("href").contains("/scriptures/bd/") & ~attribute("href").contains("/scriptures/tg/"))).where("said <> ''")
+    references = gathered(inside(body, links), ["page"], F.col("said"), "references")
+    texts = gathered(inside(body, with_text(nodes, elements(nodes, "p")).where("said <> ''")), ["page"], F.col("said"), "texts")
+    whole = beside(pages, (first_of_page(nodes, elements(nodes, "h1"), "title"), empty()), (texts, none_of("string")), (references, none_of("string")))
+    return whole.select("page", F.struct("title", F.array_join("texts", "\n\n").alias("text"), "references").alias("content"))
+
+
+def translation(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections of a translation page, with what their header compares; those without verses and summary are dropped."""
+    sections = path(nodes, ("article", ""), ("section", ""))
+    verses = with_text(nodes, elements(nodes, "p", "verse"), "text", is_mark())
+    verses = first_inside(nodes, verses, elements(nodes, "span", "verse-number"), "number")
+    verses = gathered(inside(sections, verses), ["page", "of"], F.struct(_ascii_number(F.col("number")).alias("number"), "text"), "verses")
+    rows = _list_beside(sections, verses, "verses", "struct<number:int,text:string>")
+    for name, steps in (("heading", [("header", ""), ("h2", ""), ("strong", "")]), ("summary", [("header", ""), ("p", "study-intro")]), ("compare", [("header", ""), ("h2", ""), ("a", "scripture-ref")])):
+        rows = first_inside(nodes, rows, _path_inside(nodes, sections, steps), name)
+    rows = rows.where((F.size("verses") > 0) | (F.col("summary") != ""))
+    found = gathered(rows, ["page"], F.struct("heading", "summary", "compare", "verses"), "sections")
+    kind = "struct<heading:string,summary:string,compare:string,verses:array<struct<number:int,text:string>>>"
+    return beside(pages, (first_of_page(nodes, elements(nodes, "h1"), "title"), empty()), (found, none_of(kind))).select("page", F.struct("title", "sections").alias("content"))
+
+
+def _path_inside(nodes: DataFrame, outer: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
+    found = outer
+    for step in steps:
+        found = inside(found, elements(nodes, *step)).drop("of").dropDuplicates(["page", "at"])
+    return found
 
 
-def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and content (a struct) of each page, read as the given kind of page."""
-    function, shape = KINDS[kind]
-    from pyspark.sql.pandas.types import to_arrow_type
+def talk(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    rows = with_text(nodes, elements(nodes, "p", where=attribute("id").rlike("^p[0-9]+$")), "text", is_mark()).where("text <> ''")
+    either = lambda s: F.transform(s, lambda x: F.coalesce(F.nullif(x.said, empty()), x.value))
+    rows = _list_beside(rows, _markers(nodes, rows, "footnote_markers", either), "footnote_markers", "string")
+    paragraphs = gathered(rows, ["page"], F.struct(attribute("id").alias("id"), "text", "footnote_markers"), "paragraphs")
+    foot = gathered(notes(nodes), ["page"], F.struct("key", "category", "text", "references"), "footnotes")
+    named = elements(nodes, "", "author-name").withColumn("order", F.when(F.col("name") == "p", 0).otherwise(1))
+    by = with_text(nodes, named, "by").groupBy("page").agg(F.min_by("by", F.struct("order", "at")).alias("by"))
+    simple = [(first_of_page(nodes, elements(nodes, *e), n), empty()) for n, e in (("title", ("h1", "")), ("role", ("p", "author-role")), ("kicker", ("p", "kicker")))]
+    whole = beside(pages, *simple, (by, empty()), (paragraphs, none_of("struct<id:string,text:string,footnote_markers:array<string>>")), (foot, none_of(NOTE)))
+    return whole.select("page", F.struct("title", F.regexp_replace("by", "^By ", "").alias("speaker"), "role", "kicker", "paragraphs", "footnotes").alias("content"))
+
 
-    rows = pages.select(F.col(key), F.col(html).alias("html"))
-    target = to_arrow_type(rows.limit(0).select(F.from_json(F.lit("{}"), shape) if shape.startswith("struct") else F.from_json(F.lit("[]"), shape)).schema[0].dataType)
+def sessions(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Talks of a conference page by session; links to sessions are skipped, each talk once."""
+    blocks = elements(nodes, "li", where=attribute("data-content-type") == "general-conference-session")
+    named = first_inside(nodes, blocks, elements(nodes, "p", "title"), "session").select(F.col("page").alias("s_page"), F.col("at").alias("s_at"), "session")
+    href = attribute("href")
+    part = lambda i: F.regexp_extract(href, r"^/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", i)
+    links = inside(blocks, elements(nodes, "a", where=(part(3) != "") & ~part(3).endswith("-session")))
+    links = links.withColumn("href", href).withColumn("rank", F.row_number().over(Window.partitionBy("page", "href").orderBy("of", "at"))).where("rank = 1")
+    links = links.withColumnRenamed("of", "block")
+    for name, tag in (("span", "span"), ("first", "p")):
+        links = first_inside(nodes, links, elements(nodes, tag), name)
+    lasts = inside(links, with_text(nodes, elements(nodes, "p"), "last_said")).groupBy(F.col("page").alias("z_page"), "of").agg(F.max_by("last_said", "at").alias("speaker"))
+    links = links.join(lasts, (F.col("page") == F.col("z_page")) & (F.col("at") == F.col("of")), "left").drop("z_page", "of")
+    links = links.join(named, (F.col("page") == F.col("s_page")) & (F.col("block") == F.col("s_at")))
+    title = F.coalesce(F.nullif("span", empty()), "first")
+    speaker = F.coalesce("speaker", empty())
+    row = F.struct(
+        "session", F.concat(F.lit(HOST), "href").alias("url"), part(3).alias("slug"), part(1).cast("int").alias("year"), part(2).cast("int").alias("month"), title.alias("title"),
+        F.when(speaker != title, speaker).otherwise("").alias("speaker"),
+    )
+    found = gathered(links, ["page"], row, "content", F.struct("block", "at"))
+    return beside(pages, (found, none_of("struct<session:string,url:string,slug:string,year:int,month:int,title:string,speaker:string>"))).select("page", "content")
+
+
+KINDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "chapter": chapter, "entry": entry, "index_entry": index_entry, "dictionary": dictionary, "translation": translation, "talk": talk, "sessions": sessions,
+}
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([function(h) for h in batch.column(1).to_pylist()], target)], [key, "content"])
 
-    return rows.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, content {shape}")
+def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and content (a struct; for sessions an array of them) of each page, read as the given kind of page. Keys tell pages apart."""
+    nodes = node_rows(pages, key, html)
+    return KINDS[kind](nodes, nodes.where("at = 0").select("page", "at", "last")).select(F.col("page").alias(key), "content")
 
 
 def entries(pages: DataFrame, kind: str = "entry", key: str = "page_id") -> DataFrame:
@@ -256,7 +374,8 @@ def entries(pages: DataFrame, kind: str = "entry", key: str = "page_id") -> Data
 
 
 def merged_titles(rows: DataFrame, order: str, append: bool) -> DataFrame:
-    """title and entries of pages that share a title: all entries in page order (topics), or those of the last page (dictionary, index)."""
+    """title and entries of pages that share a title: all entries in page order (topics), or those of the last page (dictionary, and
+    index entries where `append` is off)."""
     grouped = rows.groupBy("title")
     if append:
         return grouped.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "entries"))), lambda x: x.entries)).alias("entries"))
