@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import collections
 from ..functions.accessor import accessor, named_values, shown_values
 from ..operators import nested, search, selections, vector_index
 from ..operators.model import Field, Model
 from ..sources.shared import fresh_folder
-from . import catalogue, corpus_queries
+from . import catalogue, corpus_queries, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,11 +294,15 @@ ONE_EDGES = catalogue.EDGES_SQL.replace("ORDER BY dst_id", f"ORDER BY {_sql_id(c
     FROM k WHERE position <= 20""")
 def search_results(spark, d):
     """The search for one text, with names, texts and metadata."""
-    e = catalogue.graph_edges(spark, d).withColumn("to", search.leads_to(F.col("src_type"), F.col("rel")))
+    kept = store.GraphStore(spark, fresh_folder(spark, "edges"))
+    kept.write({"drawn": catalogue.graph_edges(spark, d)})
+    e = kept.table("drawn").withColumn("to", search.leads_to(F.col("src_type"), F.col("rel")))
     nodes = search_nodes(spark, d)
     known = search.result_nodes(nodes).select(F.col("entity_type").alias("known_type"), F.col("id").alias("known_id"))
     edges = e.select("src_type", ids_of(F.col("src_type"), F.col("src_id")).alias("src_id"), "rel", F.col("to").alias("dst_type"), ids_of(F.col("to"), F.col("dst_id")).alias("dst_id"))
     edges = edges.join(known, (F.col("dst_type") == F.col("known_type")) & (F.col("dst_id") == F.col("known_id")), "left_semi")  # edges lead to nodes
+    kept.write({store.SEARCH_EDGES: edges}, {store.SEARCH_EDGES: store.Layout(8, store.EXPANDED_BY)})
+    edges = kept.table(store.SEARCH_EDGES)
     found = search.search(nodes, edges, ASKED, FixedEmbedder(), 20)
     return found.select("entity_type", "id", "name", "text", catalogue.near(), F.col("metadata.chapterID").alias("chapter_id"), F.col("metadata.verseNumber").alias("verse_number"), F.col("metadata.comprises").alias("comprises"), F.col("position").cast("long").alias("position"))
 
@@ -325,3 +330,14 @@ def shown_metadata(spark, d):
     row = F.struct(n.alias("verse"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.col("s_name")).alias("book"), F.when(n == 1, "one").alias("summary"), F.lit("http://u").alias("url"))
     rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(shown_values(named_values(row))).alias("name", "v"))
     return rows.select("s_suppkey", "name", F.col("v").cast("string").alias("value"))
+
+
+@query("""SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN NULL ELSE string_agg('o' || o_orderkey, ' ' ORDER BY o_orderkey) END AS made, arg_min(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'P')::VARCHAR AS error,
+    string_agg(DISTINCT o_orderstatus, '' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY o_custkey""")
+def list_helpers(spark, d):
+    """A change of each element of a list, or the first element that can't be changed; keys of a map."""
+    order = F.struct("o_orderkey", "o_orderstatus")
+    held = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("l"))
+    made = collections.map_checked(F.col("l"), lambda x: F.concat(F.lit("o"), x["o_orderkey"].cast("string")), lambda x: F.when(x["o_orderstatus"] == "P", x["o_orderkey"].cast("string")))
+    statuses = collections.keys(F.map_from_arrays(collections.dedupe(F.col("l.o_orderstatus")), collections.dedupe(F.col("l.o_orderstatus"))))
+    return held.select("o_custkey", F.array_join(made["values"], " ").alias("made"), made["error"].alias("error"), F.array_join(statuses, "").alias("statuses"))

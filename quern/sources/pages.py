@@ -374,8 +374,7 @@ def entries(pages: DataFrame, kind: str = "entry", key: str = "page_id") -> Data
 
 
 def merged_titles(rows: DataFrame, order: str, append: bool) -> DataFrame:
-    """title and entries of pages that share a title: all entries in page order (topics), or those of the last page (dictionary, and
-    index entries where `append` is off)."""
+    """title and entries of pages that share a title: all entries in page order (topics and index), or those of the last page (dictionary)."""
     grouped = rows.groupBy("title")
     if append:
         return grouped.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "entries"))), lambda x: x.entries)).alias("entries"))

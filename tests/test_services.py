@@ -217,3 +217,15 @@ def test_counters_need_no_jobs_of_their_own(spark, tmp_path):
     for name, table in (st.COUNTERS | st.EMBEDDED).items():
         if name in st.COUNTERS:
             assert got[name] == store.table(table).count(), name
+
+
+def test_list_helpers_name_the_first_error(spark):
+    from quern.functions import collections as c
+
+    df = spark.createDataFrame([(1, [1, 2, 3], {"b": 1, "a": 2}), (2, [1, 0, -4], {})], "i int, a array<int>, m map<string,int>")
+    wrong = lambda x: F.when(x <= 0, F.concat(F.lit("bad "), x.cast("string")))
+    rows = df.orderBy("i").select(c.map_checked(F.col("a"), lambda x: x * 2, wrong).alias("r"), c.keys(F.col("m")).alias("k"), c.values(F.col("m")).alias("v")).collect()
+    assert rows[0].r.asDict() == {"values": [2, 4, 6], "error": None} and rows[1].r.asDict() == {"values": None, "error": "bad 0"}
+    assert rows[0].k == ["a", "b"] and rows[0].v == [2, 1]
+    with pytest.raises(Exception, match="bad 0"):
+        df.select(c.map_or_fail(F.col("a"), lambda x: x * 2, wrong)).collect()
