@@ -253,9 +253,12 @@ def length_counts(pieces: DataFrame) -> dict[int, int]:
 
 
 def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, window: int = WINDOW, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece; with_ids: and ids (binary)."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece; with_ids: and ids (binary). path and added: a
+    vocabulary and its strings with an id of their own (with another vocabulary than the default one none, unless they are given)."""
+    if added is None:
+        added = {} if path else added_tokens()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    cut = rows.mapInArrow(_cut(path or vocabulary_file(), pattern, added_tokens() if added is None else added, window, with_ids), PIECE)
+    cut = rows.mapInArrow(_cut(path or vocabulary_file(), pattern, added, window, with_ids), PIECE)
     pieces = stash(cut.withColumn("number", F.monotonically_increasing_id()), "pieces")  # written, so numbers stay
     counts = length_counts(pieces)
     shared = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, window), window))

@@ -15,7 +15,8 @@ for every CELL rows. Only block and cell counts go through the driver or a broad
 by which a probability is off by a factor of about 1e-6 at a billion rows and 1e-3 at 1e11.
 
 Defined cases: null text has 0 bytes; an empty table gives no rows; equal rows have numbers of their own, so there are
-no ties; rows of equal text needn't share a shard; other columns are ignored. The same written table gives the same shards.
+no ties; rows of equal text needn't share a shard; other columns are ignored. The same table read in the same
+partitions gives the same shards; read in others it gives another shuffle, as uniform and of the same sizes (numbers follow partitions).
 """
 
 from __future__ import annotations
