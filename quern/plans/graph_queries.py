@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import collections
 from ..functions.accessor import accessor, named_values, shown_values
-from ..operators import nested, search, selections, vector_index
+from ..operators import embeddings, nested, search, selections, vector_index
 from ..operators.model import Field, Model
+from ..sources import corpus, files
 from ..sources.shared import fresh_folder
+from ..streaming import keyed
 from . import catalogue, corpus_queries, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,3 +343,45 @@ def list_helpers(spark, d):
     made = collections.map_checked(F.col("l"), lambda x: F.concat(F.lit("o"), x["o_orderkey"].cast("string")), lambda x: F.when(x["o_orderstatus"] == "P", x["o_orderkey"].cast("string")))
     statuses = collections.keys(F.map_from_arrays(collections.dedupe(F.col("l.o_orderstatus")), collections.dedupe(F.col("l.o_orderstatus"))))
     return held.select("o_custkey", F.array_join(made["values"], " ").alias("made"), made["error"].alias("error"), F.array_join(statuses, "").alias("statuses"))
+
+
+# --- embedding and files --------------------------------------------------------------------------------------------------------------------
+
+
+class RefusingEmbedder:
+    """The length of a text and its first letter; texts that begin with a vowel are refused, and with them their batch."""
+
+    def embed_batch(self, texts):
+        if any(t[0] in "aeiou" for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t)), float(ord(t[0]))] for t in texts]
+
+
+@query("""SELECT 'p/' || p_partkey AS id, CASE WHEN left(t, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN [length(t)::FLOAT, ascii(t)::FLOAT]::FLOAT[] END AS embedding, CASE WHEN left(t, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'refused' END AS error
+    FROM (SELECT p_partkey, left(lower(p_name) || ' ' || p_type, 12) AS t FROM part)""")
+def embedded_nodes(spark, d):
+    """Texts cut to a length and embedded in batches, several under way in each task; a batch that fails is tried again text by text."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(corpus_queries.said("p/", F.col("p_partkey")).alias("id"), F.concat_ws(" ", F.lower("p_name"), "p_type").alias("text"))
+    return embeddings.embed(rows, RefusingEmbedder(), batch=16, most=12, in_flight=3, cluster_limit=24)
+
+
+@query("SELECT 'c/' || o_custkey AS id, sha256(arg_max(o_orderpriority, o_orderkey)) AS digest, max(o_orderkey)::BIGINT AS version FROM orders GROUP BY o_custkey")
+def stream_keyed_embedding(spark, d):
+    """Each order says anew what its customer's text is: the first half of the orders, then all of them as a stream that knows what it has seen."""
+    at = fresh_folder(spark, "keyed")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(corpus_queries.said("c/", F.col("o_custkey")).alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").cast("long").alias("version"))
+    for part in ("version % 2 = 0", "true"):
+        rows.where(part).write.mode("append").parquet(f"{at}/in")
+        keyed.run(spark, f"{at}/in", f"{at}/out", FixedEmbedder()).awaitTermination()
+    newest = rows.groupBy(F.col("id").alias("of")).agg(F.max("version").alias("newest"))  # repeats of a text leave the version that it was embedded at
+    return keyed.current(spark, f"{at}/out").join(newest, F.col("id") == F.col("of")).select("id", "digest", F.col("newest").alias("version"))
+
+
+@query(f"WITH {corpus_queries.V} SELECT 'ot' AS volume, 'gen' AS slug, c AS file_number, CASE WHEN c % 2 = 0 THEN 'S' || c ELSE '' END AS summary, count(*)::INT AS n_verses, md5(string_agg(text, '|' ORDER BY n)) AS digest FROM v GROUP BY c")
+def chapter_file_tree(spark, d):
+    """Chapters written as files, <volume>/<slug>/<number>.json, and read again."""
+    at = fresh_folder(spark, "chapters")
+    files.register(spark)
+    corpus_queries.chapters(spark, d).write.format("chapter_files").mode("append").save(at)
+    rows = corpus.read_chapters(spark, at)
+    return rows.select("volume", "slug", "file_number", "summary", F.size("verses").alias("n_verses"), F.md5(F.array_join("verses.text", "|").cast("binary")).alias("digest"))

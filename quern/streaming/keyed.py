@@ -1,7 +1,7 @@
 """Incremental embedding by key: a node is embedded when its text is new or has changed, once, however often it comes.
 
-The state store keeps, for each node id, the version and the SHA-256 of the text that was last sent to the embedder. A row whose text has that hash is a
-repeat and passes by; one of an older version is late and passes by; of several rows of a node in one batch the newest counts (ties: the greatest
+The state store keeps, for each node id, the newest version and the SHA-256 of the text that was last sent to the embedder. A row whose text has that
+hash is a repeat and passes by, but for its version; one of an older version is late and passes by; of several rows of a node in one batch the newest counts (ties: the greatest
 text). What is left is embedded in its micro-batch and written under the batch's number, so a batch that runs again replaces its own output.
 `current` is the upserted view: of each node the vector of the last batch that has one. Texts that fail are written to a folder that the stream
 itself reads when it is started again, and are then tried again though their hash is known.
@@ -29,19 +29,26 @@ RETRY = "id string, text string, version long, again boolean"
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     known = state.get if state.exists else None
-    best = None
+    best, failed = None, set()
     for f in frames:
         for text, version, again in zip(f["text"], f["version"], f["again"], strict=True):
             digest = hashlib.sha256(text.encode()).hexdigest()
-            if known and (version < known[0] or digest == known[1] and not again or again and digest != known[1]):
-                continue  # late, a repeat, or a text that failed and has changed since
+            if again:
+                failed.add(digest)
+            if known and (version < known[0] and not again or again and digest != known[1]):
+                continue  # late, or a text that failed and has changed since
             if best is None or (version, text) > best[:2]:
-                best = (version, text, digest)
-    if best:
-        state.update((best[0], best[2]))
-        yield pd.DataFrame([(key[0], best[1], best[0], best[2])], columns=["id", "text", "version", "digest"])
-    elif known:
+                best = (int(version), text, digest)
+    if best is None:
         state.update(known)
+        return
+    if known and best[2] == known[1]:
+        state.update((max(best[0], known[0]), best[2]))  # a repeat: what is older than it is late from now on
+        if best[2] not in failed:
+            return
+    else:
+        state.update((best[0], best[2]))
+    yield pd.DataFrame([(key[0], best[1], best[0], best[2])], columns=["id", "text", "version", "digest"])
 
 
 def changed_texts(nodes: DataFrame) -> DataFrame:

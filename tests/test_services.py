@@ -125,8 +125,10 @@ def test_only_new_and_changed_texts_are_embedded_over_restarts(spark, tmp_path):
     (tmp_path / "bad").write_text("none")
     log, now = arrive([("a", "x", 2), ("b", "changed", 2), ("e", "late", 1)])  # a repeat, a change, one that comes late, and the failure again
     assert log == ["changed", "zz"] and now == {"a": [1.0], "b": [7.0], "c": [2.0], "e": [5.0]}
-    log, now = arrive([("b", "changed", 3), ("f", "ff", None)])
+    log, now = arrive([("b", "changed", 5), ("f", "ff", None)])
     assert log == ["ff"] and now["f"] == [2.0] and len(now) == 5
+    log, now = arrive([("b", "between", 4)])  # older than the repeat of version 5
+    assert log == [] and now["b"] == [7.0]
 
 
 # --- JSON ---
