@@ -132,3 +132,36 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFra
 
 def digest(sharded: DataFrame) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def brute_force(rows: list[tuple[int, int, str | None]], shards: int = SHARDS, seed: int = 20) -> list[tuple]:
+    """(doc_id, size, text_crc32, shard, slot) by plain loops, for tests; rows: number, doc_id and text of each row."""
+    import zlib
+
+    import xxhash
+
+    def code(*parts: tuple[int, int]) -> int:
+        h = 42
+        for value, width in parts:
+            h = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    blocks = min(MOST_BLOCKS, math.ceil(len(rows) / BLOCK) * 8)
+    cells = max(1, math.ceil(len(rows) / shards / CELL))
+    first = {n: code((n, 8), (seed, 4)) for n, _, _ in rows}
+    members: dict[int, list[int]] = {}
+    for n, h in first.items():
+        members.setdefault(h % blocks, []).append(n)
+    matrix = communication_matrix([len(members[b]) for b in sorted(members)], capacities_of(len(rows), shards), seed)
+    dealt: dict[int, list[int]] = {k: [] for k in range(shards)}
+    for b, counts in zip(sorted(members), matrix, strict=True):
+        order = iter(sorted(members[b], key=lambda n: (code((first[n], 8), (seed + 1, 4)), first[n])))
+        for k, count in enumerate(counts):
+            dealt[k] += [next(order) for _ in range(count)]
+    slot = {}
+    for k, own in dealt.items():
+        second = {n: code((first[n], 8), (seed + 2, 4)) for n in own}
+        for at, n in enumerate(sorted(own, key=lambda n: (second[n] % cells, second[n]))):
+            slot[n] = (k, at)
+    text = {n: (d, (t or "").encode()) for n, d, t in rows}
+    return [(d, len(t) + OVERHEAD, zlib.crc32(t), *slot[n]) for n, (d, t) in text.items()]

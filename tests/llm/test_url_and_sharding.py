@@ -85,3 +85,16 @@ def test_draws_follow_the_distribution():
     assert abs(sum(big) / 50 - 250_000) < 400
     matrix = sharding.communication_matrix([7, 0, 50, 3], [20, 20, 20], 4)
     assert [sum(r) for r in matrix] == [7, 0, 50, 3] and [sum(c) for c in zip(*matrix)] == [20, 20, 20]
+
+
+def test_both_permutations_by_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 150)
+    monkeypatch.setattr(sharding, "CELL", 5)
+    written, whole = [], sharding.stash
+    monkeypatch.setattr(sharding, "stash", lambda df, name: written.append(whole(df, name)) or written[-1])
+    rows = [(d * 3 - 40, None if d % 50 == 7 else "é" * (d % 9) + "x") for d in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(tuple(r) for r in sharding.shard_rows(df).select("doc_id", "size", "text_crc32", "shard", "slot").collect())
+    texts = dict(rows)
+    numbered = [(r.number, r.doc_id, texts[r.doc_id]) for r in written[0].collect()]
+    assert got == sorted(sharding.brute_force(numbered))
