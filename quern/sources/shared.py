@@ -58,7 +58,7 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
         try:
             context.rename(context.makeQualified(made), context.makeQualified(target), options)
