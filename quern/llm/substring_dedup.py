@@ -9,7 +9,7 @@ one task, so each task first compares the windows it holds (COMBINE at a time, t
 smallest doc_id goes to it, in one row, with all places that the text has the window at; the others are repeated whatever else there
 is: they merge into intervals at once and are spread over all tasks. Repeated windows then meet by document, where a window function
 merges them into intervals, and these join the documents.
-Two different windows share a code with a chance of 2**-64.
+Two different windows share a code with a chance of 2**-64, and so does an interval, which has a random one, with a window.
 
 Defined cases: null text is empty; a text of fewer words than `width` has no window and stays; repeats within one
 document stay; rows of equal doc_id count as one document for the comparison, and each has its own words removed; a row whose
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import runs, texts_of, whole_text
-from .wordgrid import window_codes, word_grid
+from .wordgrid import scramble, window_codes, word_grid
 
 WIDTH = 13
 #: Windows that a task compares before they are shuffled, and rows of a batch that it hands on.
@@ -81,7 +81,8 @@ def _windows(width: int):
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.int32()), pa.array(further, pa.list_(pa.int32()))], names)
         first, ends = _intervals(places[repeated], docs[repeated], bodies[repeated], width)
         at = repeated[first]
-        columns = [pa.nulls(len(at), pa.int64()), *map(pa.array, (places[at], docs[at], bodies[at], ends.astype(np.int32))), pa.nulls(len(at), pa.list_(pa.int32()))]
+        spread = scramble(bodies[at].view(np.uint64) ^ scramble(docs[at].view(np.uint64) + places[at].astype(np.uint64)))  # in place of a code: anywhere
+        columns = [*map(pa.array, (spread.view(np.int64), places[at], docs[at], bodies[at], ends.astype(np.int32))), pa.nulls(len(at), pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +114,8 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """of_doc, of_body, spans (pairs of first word and end, in order): the word ranges that windows cover which a document
     of smaller doc_id also has; one row for each text that has any."""
     windows = _rows(docs).where("doc_id is not null").mapInArrow(_windows(width), WINDOWS)
-    group = Window.partitionBy(F.coalesce(F.col("code"), F.xxhash64("doc", "body", "place")))  # intervals have no code: anywhere
-    least = F.min(F.when(F.col("code").isNotNull(), F.col("doc"))).over(group)
-    repeated = windows.withColumn("least", least).where("code is null or doc > least")
+    least = F.min("doc").over(Window.partitionBy("code"))  # bare columns: an expression would travel as a further column
+    repeated = windows.withColumn("least", least).where("end is not null or doc > least")
     places = F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))).alias("place")
     repeated = repeated.select("doc", "body", places, "end").withColumn("end", F.coalesce("end", F.col("place") + width))
     order = Window.partitionBy("doc", "body").orderBy("place")
