@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import runs, slices, texts_of, whole_text
+from .support import released, runs, slices, texts_of, whole_text
 
 Q = 10
 BUDGET = 0.08
@@ -282,7 +282,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, share:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     indexes = [spark.sparkContext.broadcast(Index(block, q, share)) for block in _blocks(benchmark, block_chars)]
-    parts = [rows.mapInArrow(_match(indexes[k : k + PASS]), SCHEMA) for k in range(0, len(indexes), PASS)]
+    parts = [rows.mapInArrow(released(_match(indexes[k : k + PASS])), SCHEMA) for k in range(0, len(indexes), PASS)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import runs, stash, texts_of, whole_text
+from .support import released, runs, stash, texts_of, whole_text
 from .wordgrid import scramble, window_codes, word_grid
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -203,7 +203,7 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """rows: those of keyed_rows. (entries, found): entries has entry, text_key, rep (the smallest doc_id) and copies of each
     text with words; found has member, links and leader of each pair of blocks with links."""
-    sketches = rows.mapInArrow(_sketch, SKETCH).where("bands is not null")
+    sketches = rows.mapInArrow(released(_sketch), SKETCH).where("bands is not null")
     one = F.first(F.struct("size", "bands", "signature")).alias("s")  # the same in all rows of a text
     entries = sketches.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), one)
     entries = stash(entries.select(F.monotonically_increasing_id().alias("entry"), "text_key", "rep", "copies", "s.*"), "entries")
@@ -231,7 +231,7 @@ def link_blocks(rows: DataFrame, threshold: float = THRESHOLD, tolerance: float
     wanted = wanted.hint("merge")  # shuffled at every size: a plan that changed with the size would shuffle more than in proportion
     texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = texts.groupBy("entry").agg(F.first("text").alias("text"))  # rows may repeat, with equal text
-    sets = texts.mapInArrow(_sets, "entry long, codes binary").select(F.col("entry").alias("of"), "codes")
+    sets = texts.mapInArrow(released(_sets), "entry long, codes binary").select(F.col("entry").alias("of"), "codes")
     whole = sets.join(held.drop("held"), F.col("of") == F.col("entry")).drop("entry")
     met = left.join(whole, F.col("entry") == F.col("of")).drop("of")
     met = met.repartition(min(MOST_TASKS, math.ceil(left.count() / TASK) + 1), *cell)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import stash, whole_text
+from .support import released, stash, whole_text
 
 WINDOW, END, CELL = 1024, 0, 1024
 #: The solver ends when PATIENCE steps took less than GAIN off the residual, or when that is under LEFT of the histogram's size.
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, w
     if added is None:
         added = {} if path else added_tokens()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    cut = rows.mapInArrow(_cut(path or vocabulary_file(), pattern, added, window, with_ids), PIECE)
+    cut = rows.mapInArrow(released(_cut(path or vocabulary_file(), pattern, added, window, with_ids)), PIECE)
     pieces = stash(cut.withColumn("number", F.monotonically_increasing_id()), "pieces")  # written, so numbers stay
     counts = length_counts(pieces)
     shared = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, window), window))
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, w
     within = Window.partitionBy("length", "cell").orderBy("number")
     ranked = pieces.withColumn("nth", F.row_number().over(within)).join(before, (F.col("length") == F.col("of_length")) & (F.col("cell") == F.col("of_cell")))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("before") + F.col("nth") - 1).cast("long").alias("rank"))
-    placed = ranked.mapInArrow(_place(shared), PIECE + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(released(_place(shared)), PIECE + ", sequence_id long, offset long")
     return placed if with_ids else placed.drop("ids")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .support import slices, whole_text
+from .support import released, slices, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "account", "tel", "secret")
@@ -194,7 +194,7 @@ PII = StructType([*(StructField(f"n_{k}", LongType()) for k in BASE), *(StructFi
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, code points, end exclusive)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("quern_text"))
-    return rows.mapInArrow(_scan(False), f"doc_id long, quern_pii {PII.simpleString()}").select("doc_id", "quern_pii.*").drop("redacted")
+    return rows.mapInArrow(released(_scan(False)), f"doc_id long, quern_pii {PII.simpleString()}").select("doc_id", "quern_pii.*").drop("redacted")
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*names)
     plain = plain.select(*names, whole_text(names[docs.columns.index("text")]).alias("quern_text"))
     schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("quern_pii", PII)])
-    found = plain.mapInArrow(_scan(True), schema)
+    found = plain.mapInArrow(released(_scan(True)), schema)
     new = {"text": F.when(F.col(names[docs.columns.index("text")]).isNotNull(), F.col("quern_pii.redacted"))}
     return found.select(*(new.get(own, F.col(n)).alias(own) for own, n in zip(docs.columns, names, strict=True)))
 
