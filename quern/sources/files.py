@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,10 +118,10 @@ class ChapterWriter(DataSourceWriter):
 
     def commit(self, messages: list[Staged | None]) -> None:
         system, at = _system(self.root)
-        every = [n for m in messages if m for n in m.names]
-        if len(set(every)) < len(every):
+        times = Counter(n for m in messages if m for n in m.names)
+        twice = min((n for n, k in times.items() if k > 1), default=None)
+        if twice:
             self.abort(messages)
-            twice = next(n for n in every if every.count(n) > 1)
             raise ValueError(f"two rows for {twice}")
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
