@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue, corpus_queries
+from quern.plans import catalogue, corpus_queries, graph_queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")
@@ -22,8 +22,8 @@ def plain(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-QUERIES = catalogue.QUERIES | corpus_queries.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | corpus_queries.ORACLE_SQL
+QUERIES = catalogue.QUERIES | corpus_queries.QUERIES | graph_queries.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | corpus_queries.ORACLE_SQL | graph_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
