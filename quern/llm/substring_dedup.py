@@ -3,13 +3,19 @@
 Every window of `width` consecutive words gets a 64-bit Rabin-Karp code. A window is repeated when its code also starts
 in a document of smaller doc_id; the words that repeated windows cover merge into maximal removal intervals.
 
-How it runs: every window is a row (code, document, place). Spark brings the rows of a code together and takes the least doc_id
-over them; rows of a larger doc_id are repeated windows. A passage that a third of all documents hold would bring as many rows to
-one task, so each task first compares the windows it holds (COMBINE at a time, the map-side part of the minimum): of each code only the
-smallest doc_id goes to it, in one row, with all places that the text has the window at; the others are repeated whatever else there
-is: they merge into intervals at once and are spread over all tasks. Repeated windows then meet by document, where a window function
-merges them into intervals, and these join the documents.
-Two different windows share a code with a chance of 2**-64, and so does an interval, which has a random one, with a window.
+How it runs: windows travel in runs. The bucket of a window is the least hash of the GRAM-word sequences in it, so neighbouring windows
+mostly share it, and a run (text, first place, codes) costs little more than its codes. Spark brings the runs of a bucket together,
+unfolds them into one row for each window, and takes the least doc_id over the rows of a code; rows of a larger doc_id are repeated
+windows. A sequence that very many windows have as their least one would fill a single bucket: such buckets are found in a sample of
+documents beforehand (`crowded`), and their windows are dealt by their own code instead. The sample decides only which task compares a
+window, as that of a range partitioning does, never the result.
+
+A passage that a third of all documents hold would bring as many rows to one code, so each task first compares the windows it holds
+(COMBINE at a time, the map-side part of the minimum): of each code only the smallest doc_id goes on, in one row, with all places that the
+text has the window at; the others are repeated whatever else there is: they merge into intervals at once and are spread over all
+tasks. Repeated windows then meet by document, where a window function merges them into intervals, and these join the documents, whose
+texts travel compressed. Two different windows share a code with a chance of 2**-64, and so does an interval, which has a random one,
+with a window.
 
 Defined cases: null text is empty; a text of fewer words than `width` has no window and stays; repeats within one
 document stay; rows of equal doc_id count as one document for the comparison, and each has its own words removed; a row whose
@@ -23,16 +29,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import runs, texts_of, whole_text
-from .wordgrid import scramble, window_codes, word_grid
+from .support import released, runs, stash, texts_of, whole_text
+from .wordgrid import WordGrid, scramble, window_codes, word_grid
 
 WIDTH = 13
-#: Windows that a task compares before they are shuffled, and rows of a batch that it hands on.
-COMBINE, BATCH = 2_000_000, 100_000
-WINDOWS = "code long, place int, doc long, body long, end int, more array<int>"
+#: Windows that a task compares before they are shuffled, and runs of a batch that it hands on.
+COMBINE, BATCH = 2_000_000, 20_000
+#: Words of the sequences whose least hash is the bucket.
+GRAM = 3
+#: A bucket is crowded if it has over 1/(SHARE * shuffle partitions) of the sampled windows: there are fewer than SHARE * partitions of them.
+SHARE = 8
+#: Documents sampled for that, for each shuffle partition, and at least.
+SAMPLE, SAMPLE_LEAST = 20, 2000
+WINDOWS = "bucket int, doc long, body long, place int, end int, codes array<long>, more array<int>"
+
+
+def _buckets(grid: WordGrid, width: int) -> np.ndarray:
+    """For each window of `width` words, by its first word: the least hash of the word sequences in it, as 31 bits."""
+    gram = min(GRAM, width)
+    least, _ = window_codes(WordGrid(np.zeros(len(grid.code), np.int64), grid.code), gram)
+    held, wanted = 1, width - gram + 1
+    while held < wanted:
+        step = min(held, wanted - held)
+        least = np.minimum(least[:-step], least[step:])
+        held += step
+    return (least >> np.uint64(33)).astype(np.int32)
 
 
 def _known_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -65,25 +90,37 @@ def _intervals(places: np.ndarray, docs: np.ndarray, bodies: np.ndarray, width:
     return first, places[np.append(first[1:], len(places)) - 1] + width if len(first) else places
 
 
-def _windows(width: int):
+def _windows(width: int, crowd: np.ndarray):
     names = [f.split()[0] for f in WINDOWS.split(", ")]
 
+    def batches(columns: list[np.ndarray], ends: np.ndarray | None, codes: np.ndarray, heads: np.ndarray, more: list) -> Iterator[pa.RecordBatch]:
+        """Rows of the windows or intervals at `heads`, each with the codes up to the next one."""
+        bounds = np.append(heads, len(codes)).astype(np.int32)
+        for k in range(0, len(heads), BATCH):
+            at, cut = heads[k : k + BATCH], bounds[k : k + BATCH + 1]
+            lists = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(codes[cut[0] : cut[-1]].view(np.int64)))
+            further = pa.array([more[i] for i in at.tolist()], pa.list_(pa.int32())) if more else pa.nulls(len(at), pa.list_(pa.int32()))
+            until = pa.nulls(len(at), pa.int32()) if ends is None else pa.array(ends[at])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), until, lists, further], names)
+
     def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        codes, places, docs, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
+        codes, buckets, places, docs, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
         known = _known_repeats(codes, docs)
         own, repeated = np.flatnonzero(~known), np.flatnonzero(known)
         one, more = _groups(codes[own], places[own], bodies[own])
         own = own[one]
-        for k in range(0, len(own), BATCH):
-            at = own[k : k + BATCH]
-            further = more[k : k + BATCH]
-            columns = [codes[at].view(np.int64), places[at], docs[at], bodies[at]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.int32()), pa.array(further, pa.list_(pa.int32()))], names)
+        alone = np.fromiter((m is not None for m in more), bool, len(more))
+        head = np.ones(len(own), bool)  # where a run begins: at another bucket, text or place, and at windows that have further places
+        same = [x[own][1:] == x[own][:-1] for x in (buckets, docs, bodies)] + [places[own][1:] == places[own][:-1] + 1]
+        head[1:] = ~np.logical_and.reduce(same) | alone[1:] | alone[:-1]
+        begun = np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))
+        head |= (np.arange(len(own)) - begun) % width == 0  # so that whatever windows of a run are repeated cover one interval
+        yield from batches([x[own] for x in (buckets, docs, bodies, places)], None, codes[own], np.flatnonzero(head), more)
         first, ends = _intervals(places[repeated], docs[repeated], bodies[repeated], width)
         at = repeated[first]
         spread = scramble(bodies[at].view(np.uint64) ^ scramble(docs[at].view(np.uint64) + places[at].astype(np.uint64)))  # in place of a code: anywhere
-        columns = [*map(pa.array, (spread.view(np.int64), places[at], docs[at], bodies[at], ends.astype(np.int32))), pa.nulls(len(at), pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        own_bucket = (spread >> np.uint64(33)).astype(np.int32)
+        yield from batches([own_bucket, docs[at], bodies[at], places[at]], ends.astype(np.int32), spread, np.arange(len(at)), [])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -93,8 +130,11 @@ def _windows(width: int):
             for lo, hi in runs(texts):
                 grid = word_grid(texts[lo:hi])
                 codes, at = window_codes(grid, width)
-                owner = grid.doc[at]
-                held.append((codes, (at - np.searchsorted(grid.doc, owner)).astype(np.int32), docs[lo + owner], bodies[lo + owner]))
+                if not len(codes):
+                    continue
+                owner, buckets = grid.doc[at], _buckets(grid, width)[at]
+                buckets = np.where(np.isin(buckets, crowd), (codes >> np.uint64(33)).astype(np.int32), buckets)
+                held.append((codes, buckets, (at - np.searchsorted(grid.doc, owner)).astype(np.int32), docs[lo + owner], bodies[lo + owner]))
                 count += len(codes)
                 if count >= COMBINE:
                     yield from combined(held)
@@ -102,40 +142,92 @@ def _windows(width: int):
         if count:
             yield from combined(held)
 
+    return released(run)
+
+
+def _bucket_counts(width: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = texts_of(batch)
+            for lo, hi in runs(texts):
+                grid = word_grid(texts[lo:hi])
+                codes, at = window_codes(grid, width)
+                if len(codes):
+                    _, one = np.unique(codes, return_index=True)  # equal windows of a task are compared there
+                    bucket, n = np.unique(_buckets(grid, width)[at[one]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
     return run
 
 
+def crowded(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """The buckets that hold an outsized share of the windows of a sample of documents, sorted; fewer than SHARE * shuffle partitions."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, max(SAMPLE_LEAST, SAMPLE * parts) / max(1, docs.count()))
+    counts = docs.sample(share, seed=1).select(whole_text().alias("text")).mapInArrow(_bucket_counts(width), "bucket int, n long")
+    counts = stash(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("n") * SHARE * parts > total) & (F.col("n") > 16)).select("bucket").collect()
+    return np.sort(np.array([r.bucket for r in found], np.int32))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and body (a hash that tells apart the rows of one doc_id)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("body"))
+    """doc_id, text and body, which tells apart the rows of one doc_id: a hash of the text; 0 where no doc_id occurs twice (this is looked up)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    body = F.lit(0).cast("long") if unique else F.xxhash64(whole_text())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), body.alias("body"))
+
+
+def _unfolded(windows: DataFrame) -> DataFrame:
+    """One row for each window of the runs (its place there is nth), dealt by bucket."""
+    kept = [F.col(c) for c in ("bucket", "doc", "body", "place", "end", "more")]
+    return windows.repartition("bucket").select(*kept, F.posexplode("codes").alias("nth", "code"))
 
 
 def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """of_doc, of_body, spans (pairs of first word and end, in order): the word ranges that windows cover which a document
     of smaller doc_id also has; one row for each text that has any."""
-    windows = _rows(docs).where("doc_id is not null").mapInArrow(_windows(width), WINDOWS)
-    least = F.min("doc").over(Window.partitionBy("code"))  # bare columns: an expression would travel as a further column
+    return _removals(_rows(docs), width)
+
+
+def _removals(rows: DataFrame, width: int) -> DataFrame:
+    rows = rows.where("doc_id is not null")
+    windows = _unfolded(rows.mapInArrow(_windows(width, crowded(rows, width)), WINDOWS))
+    least = F.min("doc").over(Window.partitionBy("code", "bucket"))  # dealt by bucket already
     repeated = windows.withColumn("least", least).where("end is not null or doc > least")
-    places = F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))).alias("place")
-    repeated = repeated.select("doc", "body", places, "end").withColumn("end", F.coalesce("end", F.col("place") + width))
+    # A run is at most `width` windows long: those that are repeated overlap. It is one row again before it travels.
+    found = repeated.groupBy("bucket", "doc", "body", "place", "end", "more").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    places = F.explode(F.concat(F.array(F.col("place") + F.col("lo")), F.coalesce("more", F.array().cast("array<int>")))).alias("place")
+    found = found.select("doc", "body", places, "end", (F.col("hi") - F.col("lo") + width).alias("length"))
+    found = found.select("doc", "body", "place", F.coalesce("end", F.col("place") + F.col("length")).alias("end"))
     order = Window.partitionBy("doc", "body").orderBy("place")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = repeated.withColumn("opens", F.coalesce(F.col("place") > before, F.lit(True)).cast("int"))
+    parts = found.withColumn("opens", F.coalesce(F.col("place") > before, F.lit(True)).cast("int"))
     parts = parts.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = parts.groupBy("doc", "body", "part").agg(F.min("place").alias("first"), F.max("end").alias("end"))
     spans = F.sort_array(F.collect_list(F.array("first", "end")))  # of one text, fewer than its words
     return merged.groupBy(F.col("doc").alias("of_doc"), F.col("body").alias("of_body")).agg(spans.alias("spans"))
 
 
-def _strip(width: int):
+def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, body and the text compressed, as it travels."""
+    pack = zstandard.ZstdCompressor().compress
+    for batch in source:
+        for lo, hi in runs(texts := texts_of(batch)):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(map(pack, texts[lo:hi]), pa.binary())], ["doc_id", "body", "packed"])
+
+
+def _strip():
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("intervals", pa.list_(pa.list_(pa.int32())))])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in source:
-            texts = texts_of(batch)
             out = {k: [] for k in schema.names}
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), texts, batch.column("spans").to_pylist(), strict=True):
-                words = text.split()  # bytes split at just the six blanks
+            for doc, packed, spans in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "packed", "spans")), strict=True):
+                words = unpack(packed).split()  # bytes split at just the six blanks
                 kept, last, removed = [], 0, 0
                 for a, b in spans or []:
                     kept += words[last:a]
@@ -159,9 +251,11 @@ def _made(out: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank), intervals (word ranges taken out)."""
-    rows, found = _rows(docs), removal_intervals(docs, width)
-    joined = rows.join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept string, intervals array<array<int>>")
+    rows = _rows(docs)
+    found = _removals(rows, width)
+    rows = rows.mapInArrow(_packed, "doc_id long, body long, packed binary")
+    joined = rows.join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").select("doc_id", "packed", "spans")
+    return joined.mapInArrow(_strip(), "doc_id long, n_words long, n_removed long, kept string, intervals array<array<int>>")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quern.llm import substring_dedup as m
 
@@ -67,8 +69,45 @@ def test_a_window_that_fills_a_text_is_one_row_for_its_code(spark):
     """Two texts of equal words: each task sends one row for the code, whatever the length."""
     rows = [(d, "same " * 300_000) for d in (1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    windows = m._rows(df).mapInArrow(m._windows(m.WIDTH), m.WINDOWS)
-    sent = windows.where("end is null").groupBy("code").count().collect()
-    assert len(sent) == 1 and sent[0]["count"] <= 2 and windows.count() <= 4
+    windows = m._rows(df).mapInArrow(m._windows(m.WIDTH, m.crowded(m._rows(df))), m.WINDOWS)
+    sent = windows.where("end is null").groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("codes")).alias("codes")).collect()
+    assert len(sent) == 1 and sent[0].n == sent[0].codes <= 2 and windows.count() <= 4
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in m.remove_repeats(df).collect())
     assert got == [(1, 300_000, 0), (2, 300_000, 300_000)]
+
+
+def test_crowded_buckets_change_no_result(spark, monkeypatch):
+    """A header of twelve words that all texts share fills the buckets of its sequences; these windows are dealt by code."""
+    rng = random.Random(5)
+    rows = [(i, "this is the one long header that stands over all our pages " + " ".join(f"v{rng.randrange(5000)}" for _ in range(40))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    crowd = m.crowded(df)
+    assert 0 < len(crowd) < m.SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {}
+    for name, buckets in (("found", crowd), ("none", crowd[:0])):
+        monkeypatch.setattr(m, "crowded", lambda docs, width, buckets=buckets: buckets)
+        got[name] = sorted(tuple(r) for r in m.digest(m.remove_repeats(df)).collect())
+    assert got["found"] == got["none"] == sorted(m.brute_force(rows))
+    limit = 230 * 40 / (m.SHARE * int(spark.conf.get("spark.sql.shuffle.partitions")))  # 230 texts of 40 windows
+    most = {}
+    for name, buckets in (("found", crowd), ("none", crowd[:0])):
+        windows = m._unfolded(m._rows(df).mapInArrow(m._windows(m.WIDTH, buckets), m.WINDOWS))
+        most[name] = windows.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most["found"] <= limit < most["none"]
+
+
+def test_windows_meet_by_bucket_without_a_further_exchange(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string")
+    windows = m._unfolded(m._rows(df).mapInArrow(m._windows(m.WIDTH, m.crowded(df)), m.WINDOWS))
+    plan = windows.withColumn("least", F.min("doc").over(Window.partitionBy("code", "bucket")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_buckets_are_least_hashes_of_the_sequences_in_a_window():
+    grid = m.word_grid([b" ".join(b"w%d" % (i % 37) for i in range(90)), b"x y z"])
+    for width in (1, 3, 4, 5, 13, 40):
+        gram = min(m.GRAM, width)
+        hashes = m.window_codes(m.WordGrid(grid.doc * 0, grid.code), gram)[0]
+        plain = [int(min(hashes[i : i + width - gram + 1])) >> 33 for i in range(len(hashes) - width + gram)]
+        assert m._buckets(grid, width).tolist() == plain
