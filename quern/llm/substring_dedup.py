@@ -71,15 +71,16 @@ def _known_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return known
 
 
-def _groups(codes: np.ndarray, places: np.ndarray, bodies: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
-    """(one index for each code and text, in the order given; the further places of each, None where it has none)."""
+def _groups(codes: np.ndarray, places: np.ndarray, bodies: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(one index for each code and text, in the order given; by position there, the further places of those that have any)."""
     order = np.lexsort((np.arange(len(codes)), bodies, codes))
     head = np.ones(len(codes), bool)
     head[1:] = (codes[order][1:] != codes[order][:-1]) | (bodies[order][1:] != bodies[order][:-1])
     first = np.flatnonzero(head)
     size = np.diff(first, append=len(codes))
     back = np.argsort(order[first])
-    return order[first][back], [places[order[i + 1 : i + n]] if n > 1 else None for i, n in zip(first[back].tolist(), size[back].tolist(), strict=True)]
+    first, size = first[back], size[back]
+    return order[first], {i: places[order[first[i] + 1 : first[i] + size[i]]] for i in np.flatnonzero(size > 1).tolist()}
 
 
 def _intervals(places: np.ndarray, docs: np.ndarray, bodies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +94,25 @@ def _intervals(places: np.ndarray, docs: np.ndarray, bodies: np.ndarray, width:
 def _windows(width: int, crowd: np.ndarray):
     names = [f.split()[0] for f in WINDOWS.split(", ")]
 
-    def batches(columns: list[np.ndarray], ends: np.ndarray | None, codes: np.ndarray, heads: np.ndarray, more: list) -> Iterator[pa.RecordBatch]:
+    def batches(columns: list[np.ndarray], ends: np.ndarray | None, codes: np.ndarray, heads: np.ndarray, more: dict) -> Iterator[pa.RecordBatch]:
         """Rows of the windows or intervals at `heads`, each with the codes up to the next one."""
         bounds = np.append(heads, len(codes)).astype(np.int32)
         for k in range(0, len(heads), BATCH):
             at, cut = heads[k : k + BATCH], bounds[k : k + BATCH + 1]
             lists = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(codes[cut[0] : cut[-1]].view(np.int64)))
-            further = pa.array([more[i] for i in at.tolist()], pa.list_(pa.int32())) if more else pa.nulls(len(at), pa.list_(pa.int32()))
+            further = pa.array([more.get(i) for i in at.tolist()], pa.list_(pa.int32())) if more else pa.nulls(len(at), pa.list_(pa.int32()))
             until = pa.nulls(len(at), pa.int32()) if ends is None else pa.array(ends[at])
             yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), until, lists, further], names)
 
     def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         codes, buckets, places, docs, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         known = _known_repeats(codes, docs)
         own, repeated = np.flatnonzero(~known), np.flatnonzero(known)
         one, more = _groups(codes[own], places[own], bodies[own])
         own = own[one]
-        alone = np.fromiter((m is not None for m in more), bool, len(more))
+        alone = np.zeros(len(own), bool)
+        alone[list(more)] = True
         head = np.ones(len(own), bool)  # where a run begins: at another bucket, text or place, and at windows that have further places
         same = [x[own][1:] == x[own][:-1] for x in (buckets, docs, bodies)] + [places[own][1:] == places[own][:-1] + 1]
         head[1:] = ~np.logical_and.reduce(same) | alone[1:] | alone[:-1]
@@ -120,7 +123,7 @@ def _windows(width: int, crowd: np.ndarray):
         at = repeated[first]
         spread = scramble(bodies[at].view(np.uint64) ^ scramble(docs[at].view(np.uint64) + places[at].astype(np.uint64)))  # in place of a code: anywhere
         own_bucket = (spread >> np.uint64(33)).astype(np.int32)
-        yield from batches([own_bucket, docs[at], bodies[at], places[at]], ends.astype(np.int32), spread, np.arange(len(at)), [])
+        yield from batches([own_bucket, docs[at], bodies[at], places[at]], ends.astype(np.int32), spread, np.arange(len(at)), {})
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
