@@ -225,8 +225,10 @@ def store_write_back(spark, d):
     return kept.table("nodes/Chapter").select("id", F.col("summaryEmbedding").alias("vector"), F.col("summary").isNotNull().alias("named"))
 
 
-def page(spark: SparkSession, d: str, html: Column, name: str = "part", key: str = "p_partkey") -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet").select(F.col(key).alias("page_id"), html.alias("html"))
+def page(spark: SparkSession, d: str, html: Column, name: str = "part", key: str = "p_partkey", url: Column | None = None) -> DataFrame:
+    """page_id and html (and url) made from a table's rows. The table is a small file that one task would read, its pages are not: its rows are dealt out first."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.select(F.col(key).alias("page_id"), html.alias("html"), *([] if url is None else [url.alias("url")]))
 
 
 @query("""SELECT p_partkey AS page_id, p_name AS title, x.i AS nth, x.phrase, x.reference, x.key FROM part, LATERAL (SELECT * FROM (VALUES (0, '', 'TG', p_type), (1, '', 'GS', p_brand),
@@ -270,8 +272,7 @@ def page_translations(spark, d):
     size = F.col("p_size")
     chapter = F.when(size % 2 == 0, size).otherwise(99)
     html = said("<article><section><header><h2><strong>JST, Genesis ", chapter, ":1–", size, '.</strong> Compare <a class="scripture-ref" href="/x">', F.col("p_brand"), '</a></h2><p class="study-intro">', F.col("p_type"), '</p></header><p class="verse"><span class="verse-number">1</span> x</p></section><section><h2>none</h2></section></article>')
-    rows = page(spark, d, html).join(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("of"), said("https://h/study/scriptures/jst/jst-gen/", size, "?lang=eng").alias("url")), F.col("page_id") == F.col("of"))
-    made = pages.translations(rows.select("page_id", "html", "url"))
+    made = pages.translations(page(spark, d, html, url=said("https://h/study/scriptures/jst/jst-gen/", size, "?lang=eng")))
     return made.select("page_id", "nth", "book", "comprises", "compare", "summary", F.size("verses").alias("n_verses"))
 
 

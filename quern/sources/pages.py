@@ -1,8 +1,8 @@
 """Extraction from stored HTML pages: links of index pages, and the structured content of each kind of page.
 
-Links of index pages are regular expressions in the JVM. For content every page becomes rows, one for each node, with its place and that of its last
-descendant; the readers of each kind of page are filters of such rows, joins by containment and groupings. Joins are by page, so a page's nodes
-meet in one place, whatever their number of pages.
+Links of index pages are regular expressions in the JVM. For content every page becomes a row that holds its nodes in document order, each with its
+place and that of its last descendant; what is inside a node is then a slice of that list. The readers of each kind of page are filters, slices and
+transforms of it: nothing is joined or shuffled, so the work grows with the pages and no table of nodes is built anywhere.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import carry_book_prefix, chapter_of_url, normalize_whitespace, translation_heading
-from .shared import fresh_folder
 
 HOST = "https://www.churchofjesuschrist.org"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -76,294 +75,296 @@ class _Rows(HTMLParser):
         return self.rows
 
 
-NODE = "at int, last int, depth int, name string, attributes map<string,string>, words string"
+NODE = "struct<at:int,last:int,depth:int,name:string,attributes:map<string,string>,words:string>"
+ARROW_NODE = [("at", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("words", pa.string())]
+#: Nodes in one batch that a task sends to the JVM; a page with more stands alone.
+BATCH_NODES = 20_000
 
 
-def _node_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-    names = [f.split()[0] for f in NODE.split(", ")]
+def _batch(keys: pa.Array, pages: list[list[list]]) -> pa.RecordBatch:
+    rows = [r for page in pages for r in page]
+    columns = [pa.array([list(r[k].items()) if name == "attributes" else r[k] for r in rows], kind) for k, (name, kind) in enumerate(ARROW_NODE)]
+    starts = [0]
+    for page in pages:
+        starts.append(starts[-1] + len(page))
+    nodes = pa.StructArray.from_arrays(columns, [name for name, _ in ARROW_NODE])
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), nodes)], ["page", "nodes"])
+
+
+def _page_nodes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
-        for i, html in enumerate(batch.column("html").to_pylist()):
+        html, pages, first, size = batch.column("html"), [], 0, 0
+        for i in range(batch.num_rows):
             page = _Rows()
-            page.feed(html or "")
-            rows = page.finished()
-            columns = [pa.array([list(r[k].items()) if k == 4 else r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array([i] * len(rows))), *columns], ["page", *names])
+            page.feed(html[i].as_py() or "")
+            pages.append(page.finished())
+            size += len(pages[-1])
+            if size >= BATCH_NODES or i + 1 == batch.num_rows:
+                yield _batch(batch.column("page").slice(first, len(pages)), pages)
+                pages, first, size = [], i + 1, 0
+
 
+def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """page (the key) and nodes: of each node at (its place in the document, which is its place in the list), last (that of its last descendant), depth,
+    name ('' for text and for the page itself, which is at 0), attributes, words (of text nodes). A node is inside another if its place is between
+    the other's at and last."""
+    return pages.select(F.col(key).alias("page"), F.col(html).alias("html")).mapInArrow(_page_nodes, f"page {dict(pages.dtypes)[key]}, nodes array<{NODE}>")
 
-def node_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each node of each page: page (the key), at (its place in the document), last (that of its last descendant), depth, name ('' for
-    text and for the page itself, which is at 0), attributes, words (of text nodes). A node is inside another if its place is between the other's
-    at and last. Written to the shared folder, as readers use the rows several times."""
-    rows = pages.select(F.col(key).alias("page"), F.col(html).alias("html")).mapInArrow(_node_rows, f"page {dict(pages.dtypes)[key]}, {NODE}")
-    at = fresh_folder(pages.sparkSession, "nodes")
-    rows.write.parquet(at)
-    return pages.sparkSession.read.schema(rows.schema).parquet(at)
 
+# --- what readers are made of: columns that are nodes or lists of nodes in document order ------------------------------------------------------
 
-# --- what readers are made of: rows of elements have page, at, last ---------------------------------------------------------------------------
+Test = Callable[[Column], Column]
 
 
-def attribute(name: str) -> Column:
-    return F.coalesce(F.col("attributes")[name], F.lit(""))
+def let(value: Column, use: Test) -> Column:
+    """What `use` makes of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def has_class(name: str) -> Column:
-    return F.array_contains(F.split(attribute("class"), r"\s+"), name)
+def attribute(node: Column, name: str) -> Column:
+    return F.coalesce(node["attributes"][name], F.lit(""))
 
 
-def is_mark() -> Column:
+def has_class(node: Column, name: str) -> Column:
+    return F.array_contains(F.split(attribute(node, "class"), r"\s+"), name)
+
+
+def is_mark(node: Column) -> Column:
     """Markers, verse numbers and icons, which don't belong to a text."""
-    classes = F.split(attribute("class"), r"\s+")
-    return (F.col("name") == "sup") | has_class("marker") | has_class("verse-number") | F.exists(classes, lambda c: c.startswith("iconPointer"))
+    return (node["name"] == "sup") | F.exists(F.split(attribute(node, "class"), r"\s+"), lambda c: c.isin("marker", "verse-number") | c.startswith("iconPointer"))
 
 
-def is_citation() -> Column:
-    return (F.col("name") == "a") & has_class("scripture-ref")
+def is_citation(node: Column) -> Column:
+    return (node["name"] == "a") & has_class(node, "scripture-ref")
 
 
 def empty() -> Column:
     return F.lit("")
 
 
-def elements(nodes: DataFrame, name: str = "", cls: str = "", where: Column | None = None) -> DataFrame:
-    found = nodes.where((F.col("at") > 0) & F.col("words").isNull())
-    found = found.where(F.col("name") == name) if name else found
-    found = found.where(has_class(cls)) if cls else found
-    return found if where is None else found.where(where)
+def elements(nodes: Column, name: str = "", cls: str = "", where: Test | None = None) -> Column:
+    """The elements of a list of nodes with the name, the class and the condition."""
 
+    def wanted(n: Column) -> Column:
+        good = (n["at"] > 0) & n["words"].isNull()
+        good = good & (n["name"] == name) if name else good
+        good = good & has_class(n, cls) if cls else good
+        return good & where(n) if where else good
 
-def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Rows of inner with `of`, the place of each row of outer that they are inside; an inner row in two outer ones comes twice."""
-    o = outer.select(F.col("page").alias("o_page"), F.col("at").alias("of"), F.col("last").alias("o_last")).distinct()
-    return inner.join(o, (F.col("page") == F.col("o_page")) & (F.col("at") > F.col("of")) & (F.col("at") <= F.col("o_last"))).drop("o_page", "o_last")
+    return F.filter(nodes, wanted)
 
 
-def path(nodes: DataFrame, *steps: tuple[str, str]) -> DataFrame:
-    """Elements reached by (name, class) steps, each anywhere inside the one before; each once."""
-    found = elements(nodes, *steps[0])
-    for step in steps[1:]:
-        found = inside(found, elements(nodes, *step)).drop("of").dropDuplicates(["page", "at"])
-    return found
+def within(nodes: Column, node: Column, itself: bool = False) -> Column:
+    """What is inside a node, of the list of all nodes of its page."""
+    return F.slice(nodes, node["at"] + (1 if itself else 2), node["last"] - node["at"] + (1 if itself else 0))
 
 
-def text_of(nodes: DataFrame, of: DataFrame, without: Column | None = None, since: str | None = None) -> DataFrame:
-    """page, of, said: the text inside each row of `of`, white space collapsed; empty where there is none. without: elements whose text doesn't count,
-    inside it or being it; since: a column of the place from which text counts."""
-    texts = nodes.where("words is not null").select(F.col("page").alias("t_page"), F.col("at").alias("t_at"), "words")
-    own = of.select("page", F.col("at").alias("of"), "last", (F.col(since) if since else F.lit(0)).alias("since")).distinct()
-    met = texts.join(own, (F.col("t_page") == F.col("page")) & (F.col("t_at") > F.col("of")) & (F.col("t_at") <= F.col("last")) & (F.col("t_at") >= F.col("since")))
-    if without is not None:
-        out = elements(nodes, where=without).select(F.col("page").alias("x_page"), F.col("at").alias("x_at"), F.col("last").alias("x_last"))
-        met = met.join(out, (F.col("t_page") == F.col("x_page")) & (F.col("t_at") > F.col("x_at")) & (F.col("t_at") <= F.col("x_last")) & (F.col("x_at") >= F.col("of")), "left_anti")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_at", "words"))), lambda x: x.words), "")
-    made = met.groupBy(F.col("page").alias("m_page"), F.col("of").alias("m_of")).agg(normalize_whitespace(said).alias("said"))
-    return own.join(made, (F.col("page") == F.col("m_page")) & (F.col("of") == F.col("m_of")), "left").select("page", "of", F.coalesce("said", F.lit("")).alias("said"))
+def is_inside(node: Column, outer: Column) -> Column:
+    """Whether a node is inside one of a list."""
+    return F.exists(outer, lambda o: (node["at"] > o["at"]) & (node["at"] <= o["last"]))
+
+
+def inside(outer: Column, inner: Column) -> Column:
+    """Those of inner that are inside one of outer, each once."""
+    return let(outer, lambda o: F.filter(inner, lambda n: is_inside(n, o)))
 
 
-def with_text(nodes: DataFrame, of: DataFrame, name: str = "said", without: Column | None = None, since: str | None = None) -> DataFrame:
-    """The rows with their text as a column."""
-    t = text_of(nodes, of, without, since).select(F.col("page").alias("w_page"), F.col("of").alias("w_of"), F.col("said").alias(name))
-    return of.join(t, (F.col("page") == F.col("w_page")) & (F.col("at") == F.col("w_of"))).drop("w_page", "w_of")
+def path(nodes: Column, *steps: tuple[str, str], below: Column | None = None) -> Column:
+    """Elements reached by (name, class) steps, each anywhere inside the one before (the first inside one of `below`); each once."""
+    found = below
+    for step in steps:
+        found = elements(nodes, *step) if found is None else inside(found, elements(nodes, *step))
+    return found
 
 
-def first_inside(nodes: DataFrame, outer: DataFrame, inner: DataFrame, name: str) -> DataFrame:
-    """outer with the text of the first row of inner in each; empty where there is none."""
-    said = inside(outer, with_text(nodes, inner, "quern_said")).groupBy(F.col("page").alias("f_page"), "of").agg(F.min_by("quern_said", "at").alias(name))
-    joined = outer.join(said, (F.col("page") == F.col("f_page")) & (F.col("at") == F.col("of")), "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(""))).drop("f_page", "of")
+def text_of(nodes: Column, node: Column, without: Test | None = None, since: Column | None = None) -> Column:
+    """The text inside a node, white space collapsed; empty where there is none. without: elements whose text doesn't count,
+    inside it or being it; since: the place from which text counts."""
 
+    def counts(n: Column) -> Column:
+        return n["words"].isNotNull() if since is None else n["words"].isNotNull() & (n["at"] >= since)
 
-def gathered(rows: DataFrame, by: list[str], value: Column, name: str, order: Column | None = None) -> DataFrame:
-    """The values of each group in document order."""
-    pairs = F.array_sort(F.collect_list(F.struct((F.col("at") if order is None else order).alias("order"), value.alias("value"))))
-    return rows.groupBy(*by).agg(F.transform(pairs, lambda x: x.value).alias(name))
+    texts = F.filter(within(nodes, node), counts)
+    if without is not None:
+        texts = let(elements(within(nodes, node, True), where=without), lambda out: F.filter(texts, lambda n: ~is_inside(n, out)))
+    return normalize_whitespace(F.array_join(F.transform(texts, lambda n: n["words"]), ""))
 
 
-def beside(pages: DataFrame, *parts: tuple[DataFrame, Column]) -> DataFrame:
-    """pages (page, at, last of the pages themselves) with one column of each part (page, <column>); where a part has no row the given value."""
-    out = pages
-    for part, none in parts:
-        name = [c for c in part.columns if c != "page"][0]
-        held = part.select(F.col("page").alias("b_page"), name)
-        out = out.join(held, F.col("page") == F.col("b_page"), "left").drop("b_page").withColumn(name, F.coalesce(F.col(name), none))
-    return out
+def first_text(nodes: Column, found: Column) -> Column:
+    """The text of the first of the elements; empty where there is none."""
+    return F.coalesce(F.get(F.transform(F.slice(found, 1, 1), lambda n: text_of(nodes, n)), F.lit(0)), empty())
 
 
-def first_of_page(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """page and the text of the first of the elements."""
-    return with_text(nodes, found, name).groupBy("page").agg(F.min_by(name, "at").alias(name))
+def last_text(nodes: Column, found: Column) -> Column:
+    return first_text(nodes, F.reverse(found))
 
 
-NOTE = "struct<key:string,category:string,text:string,references:array<string>>"
-VERSE = "struct<number:int,text:string,footnote_markers:array<string>>"
+def texts_of(nodes: Column, found: Column) -> Column:
+    """The texts of elements that have one."""
+    return F.filter(F.transform(found, lambda n: text_of(nodes, n)), lambda t: t != "")
 
 
-def none_of(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
+def first_of_page(name: str, cls: str = "", where: Test | None = None) -> Column:
+    return first_text(F.col("nodes"), elements(F.col("nodes"), name, cls, where))
 
 
-def _list_beside(rows: DataFrame, lists: DataFrame, name: str, kind: str) -> DataFrame:
-    """rows with a list column of lists (page, of, <name>)."""
-    held = lists.select(F.col("page").alias("l_page"), F.col("of").alias("l_of"), name)
-    joined = rows.join(held, (F.col("page") == F.col("l_page")) & (F.col("at") == F.col("l_of")), "left").drop("l_page", "l_of")
-    return joined.withColumn(name, F.coalesce(name, none_of(kind)))
+def content(**fields: Column) -> Column:
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
 def _ascii_number(said: Column) -> Column:
     return F.coalesce(F.when(said.rlike("^[0-9]+$"), said).try_cast("int"), F.lit(0))
 
 
-def notes(nodes: DataFrame) -> DataFrame:
-    """page, at, key, category, text, references of footnotes."""
-    full, identity = attribute("data-full-marker"), attribute("id")
-    key = F.when(full != "", full).when(identity.startswith("note"), F.regexp_replace(identity, "^note", "")).otherwise("")
-    items = elements(nodes, "li").withColumn("key", key).where("key <> ''")
-    own = items.select("page", (F.col("at") - 1).alias("at"), "last", F.col("at").alias("item"))  # the item itself counts as inside
-    kinds = inside(own, elements(nodes, where=attribute("data-note-category") != "")).withColumn("of", F.col("of") + 1)
-    kinds = gathered(kinds, ["page", "of"], attribute("data-note-category"), "kinds")
-    links = with_text(nodes, elements(nodes, "a", where=attribute("href").contains("/study/scriptures/"))).where("said <> ''")
-    links = gathered(inside(items, links), ["page", "of"], F.col("said"), "links")
-    made = _list_beside(_list_beside(with_text(nodes, items, "text", is_mark()), kinds, "kinds", "string"), links, "links", "string")
-    return made.select("page", "at", "key", F.array_join(F.array_distinct("kinds"), ", ").alias("category"), "text", F.array_distinct("links").alias("references"))
-
-
-def _markers(nodes: DataFrame, outer: DataFrame, name: str, choose: Callable[[Column], Column]) -> DataFrame:
-    """page, of and the markers of the superscripts in each row of outer."""
-    value = F.struct(has_class("marker").alias("marked"), F.col("quern_sup").alias("said"), attribute("data-value").alias("value"))
-    held = gathered(inside(outer, with_text(nodes, elements(nodes, "sup"), "quern_sup")), ["page", "of"], value, "sups")
-    return held.select("page", "of", F.filter(choose(F.col("sups")), lambda m: m != "").alias(name))
-
-
-def chapter(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    verses = elements(nodes, "p", "verse")
-    rows = first_inside(nodes, with_text(nodes, verses, "text", is_mark()), elements(nodes, "", "verse-number"), "number")
-    chosen = lambda s: F.when(F.exists(s, lambda x: x.marked), F.transform(F.filter(s, lambda x: x.marked), lambda x: x.said)).otherwise(F.transform(s, lambda x: x.value))
-    rows = _list_beside(rows, _markers(nodes, verses, "footnote_markers", chosen), "footnote_markers", "string")
-    number = F.coalesce(F.regexp_replace("number", r"\D", "").try_cast("int"), F.lit(0)).alias("number")
-    found = gathered(rows, ["page"], F.struct(number, "text", "footnote_markers"), "verses")
-    cited = with_text(nodes, elements(nodes, "a", "study-note-ref"), "quern_cited", is_mark()).withColumn("c_key", F.substring_index(attribute("href"), "#note", -1))
-    cited = cited.groupBy(F.col("page").alias("c_page"), "c_key").agg(F.max_by("quern_cited", "at").alias("reference_text"))
-    foot = notes(nodes).join(cited, (F.col("page") == F.col("c_page")) & (F.col("key") == F.col("c_key")), "left").withColumn("reference_text", F.coalesce("reference_text", empty()))
-    foot = gathered(foot, ["page"], F.struct("key", "category", "text", "references", "reference_text"), "footnotes")
-    dominant = first_of_page(nodes, path(nodes, ("h1", ""), ("span", "dominant")), "dominant")
-    titled = first_of_page(nodes, elements(nodes, "h1", where=attribute("id") == "title1"), "titled")
-    whole = beside(
-        pages, (dominant, empty()), (titled, empty()), (first_of_page(nodes, elements(nodes, "", "title-number"), "numbered"), empty()), (first_of_page(nodes, elements(nodes, "", "study-summary"), "summary"), empty()),
-        (found, none_of(VERSE)), (foot, none_of(f"{NOTE[:-1]},reference_text:string>")),
-    )
-    book = F.coalesce(F.nullif("dominant", empty()), "titled").alias("book")
-    return whole.select("page", F.struct(book, F.coalesce(F.regexp_extract("numbered", r"\d+", 0).try_cast("int"), F.lit(0)).alias("chapter"), "summary", "verses", "footnotes").alias("content"))
-
-
-def entry(nodes: DataFrame, pages: DataFrame, own: str = "TG") -> DataFrame:
+def _number_in(said: Column) -> Column:
+    return F.coalesce(said.try_cast("int"), F.lit(0))
+
+
+def notes(nodes: Column) -> Column:
+    """Footnotes: structs of key, category, text, references."""
+
+    def key(n: Column) -> Column:
+        full, identity = attribute(n, "data-full-marker"), attribute(n, "id")
+        return F.when(full != "", full).when(identity.startswith("note"), F.regexp_replace(identity, "^note", "")).otherwise("")
+
+    def note(n: Column) -> Column:
+        kinds = F.transform(elements(within(nodes, n, True), where=lambda x: attribute(x, "data-note-category") != ""), lambda x: attribute(x, "data-note-category"))
+        links = texts_of(nodes, elements(within(nodes, n), "a", where=lambda x: attribute(x, "href").contains("/study/scriptures/")))
+        return content(key=key(n), category=F.array_join(F.array_distinct(kinds), ", "), text=text_of(nodes, n, is_mark), references=F.array_distinct(links))
+
+    return F.transform(elements(nodes, "li", where=lambda n: key(n) != ""), note)
+
+
+def _markers(nodes: Column, node: Column, choose: Test) -> Column:
+    """The markers of the superscripts in a node."""
+    sups = F.transform(elements(within(nodes, node), "sup"), lambda s: content(marked=has_class(s, "marker"), said=text_of(nodes, s), value=attribute(s, "data-value")))
+    return F.filter(let(sups, choose), lambda m: m != "")
+
+
+def chapter(pages: DataFrame) -> DataFrame:
+    nodes = F.col("nodes")
+    chosen = lambda s: F.when(F.exists(s, lambda x: x["marked"]), F.transform(F.filter(s, lambda x: x["marked"]), lambda x: x["said"])).otherwise(F.transform(s, lambda x: x["value"]))
+
+    def verse(v: Column) -> Column:
+        number = F.regexp_replace(first_text(nodes, elements(within(nodes, v), "", "verse-number")), r"\D", "")
+        return content(number=_number_in(number), text=text_of(nodes, v, is_mark), footnote_markers=_markers(nodes, v, chosen))
+
+    cited = F.transform(elements(nodes, "a", "study-note-ref"), lambda a: content(key=F.substring_index(attribute(a, "href"), "#note", -1), said=text_of(nodes, a, is_mark)))
+    last_said = lambda c, n: F.coalesce(F.try_element_at(F.filter(c, lambda x: x["key"] == n["key"]), F.lit(-1))["said"], empty())
+    foot = let(cited, lambda c: F.transform(notes(nodes), lambda n: content(key=n["key"], category=n["category"], text=n["text"], references=n["references"], reference_text=last_said(c, n))))
+    dominant = first_text(nodes, path(nodes, ("h1", ""), ("span", "dominant")))
+    book = F.coalesce(F.nullif(dominant, empty()), first_of_page("h1", where=lambda n: attribute(n, "id") == "title1"))
+    number = _number_in(F.regexp_extract(first_of_page("", "title-number"), r"\d+", 0))
+    verses = F.transform(elements(nodes, "p", "verse"), verse)
+    return pages.select("page", content(book=book, chapter=number, summary=first_of_page("", "study-summary"), verses=verses, footnotes=foot).alias("content"))
+
+
+def entry(pages: DataFrame, own: str = "TG") -> DataFrame:
     """Topic or index entry: its title; a row for each cross reference under the title and for each line (a phrase and all
     its citations as one reference)."""
+    nodes = F.col("nodes")
+    own_path = f"/scriptures/{'triple-index' if own == 'IDX' else 'tg'}/"
+
+    def cross(link: Column) -> Column:
+        href = attribute(link, "href")
+        part = F.when(href.contains(own_path), own).when(href.contains("/scriptures/tg/"), "TG").when(href.contains("/scriptures/bd/"), "BD").otherwise("")
+        kind = F.coalesce(F.nullif(first_text(nodes, elements(within(nodes, link), "small")), empty()), part)
+        plain, named = text_of(nodes, link), text_of(nodes, link, lambda n: n["name"] == "small")
+        return let(kind, lambda k: content(phrase=empty(), reference=F.when(k != "", k).otherwise(plain), key=F.when(k != "", named).otherwise("")))
+
+    def line(n: Column) -> Column:
+        cited = F.get(elements(within(nodes, n), where=is_citation), F.lit(0))["at"]
+        begins = let(cited, lambda at: F.array_max(F.transform(F.filter(within(nodes, n), lambda x: x["words"].isNull() & (x["depth"] == n["depth"] + 1) & (x["at"] <= at)), lambda x: x["at"])))
+        reference = let(F.coalesce(begins, F.lit(2**31 - 1)), lambda at: text_of(nodes, n, since=at))  # from the child on that holds the first citation
+        phrase = text_of(nodes, n, is_citation)
+        return content(phrase=F.regexp_replace(phrase, "[ ,;.()]+$", ""), reference=F.regexp_replace(reference, "[ .]+$", ""), key=empty())
+
     bodies = path(nodes, ("article", ""), ("div", "body-block"))
-    within_body = lambda cls: inside(bodies, elements(nodes, "p", cls)).drop("of").dropDuplicates(["page", "at"])
-    links = inside(within_body("title"), elements(nodes, where=is_citation() & F.col("attributes")["href"].isNotNull()))
-    links = first_inside(nodes, links.withColumnRenamed("of", "line"), elements(nodes, "small"), "small")
-    links = with_text(nodes, with_text(nodes, links, "plain"), "named", F.col("name") == "small")
-    href = attribute("href")
-    part = F.when(href.contains(f"/scriptures/{'triple-index' if own == 'IDX' else 'tg'}/"), own).when(href.contains("/scriptures/tg/"), "TG").when(href.contains("/scriptures/bd/"), "BD").otherwise("")
-    kind = F.coalesce(F.nullif("small", empty()), part)
-    over = links.select("page", F.struct(F.lit(0).alias("group"), F.col("line").alias("line"), F.col("at").alias("nth")).alias("order"), F.struct(empty().alias("phrase"), F.when(kind != "", kind).otherwise(F.col("plain")).alias("reference"), F.when(kind != "", F.col("named")).otherwise("").alias("key")).alias("row"))
-    lines = within_body("entry")
-    cited = inside(lines, elements(nodes, where=is_citation())).groupBy(F.col("page").alias("c_page"), "of").agg(F.min("at").alias("cited"))
-    lines = lines.join(cited, (F.col("page") == F.col("c_page")) & (F.col("at") == F.col("of")), "left").drop("c_page", "of")
-    top = inside(lines, nodes.where("words is null")).withColumnRenamed("depth", "inner").select(F.col("page").alias("i_page"), F.col("of"), F.col("at").alias("start"), "inner")
-    held = lines.join(top, (F.col("page") == F.col("i_page")) & (F.col("at") == F.col("of")) & (F.col("inner") == F.col("depth") + 1) & (F.col("start") <= F.col("cited")))
-    begins = held.groupBy(F.col("page").alias("b_page"), F.col("at").alias("b_at")).agg(F.max("start").alias("since"))  # the child that holds the first citation
-    lines = lines.join(begins, (F.col("page") == F.col("b_page")) & (F.col("at") == F.col("b_at")), "left").withColumn("since", F.coalesce("since", F.lit(2**31 - 1)))
-    lines = with_text(nodes, with_text(nodes, lines, "phrase", is_citation()), "reference", since="since")
-    under = lines.select("page", F.struct(F.lit(1).alias("group"), F.col("at").alias("line"), F.lit(0).alias("nth")).alias("order"), F.struct(F.regexp_replace("phrase", "[ ,;.()]+$", "").alias("phrase"), F.regexp_replace("reference", "[ .]+$", "").alias("reference"), empty().alias("key")).alias("row"))
-    rows = gathered(over.unionByName(under), ["page"], F.col("row"), "entries", F.col("order"))
-    title = first_of_page(nodes, path(nodes, ("article", ""), ("h1", "")), "title")
-    return beside(pages, (title, empty()), (rows, none_of("struct<phrase:string,reference:string,key:string>"))).select("page", F.struct("title", "entries").alias("content"))
-
-
-def index_entry(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    return entry(nodes, pages, "IDX")
-
-
-def dictionary(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    bodies = elements(nodes, "div", "body-block").groupBy("page").agg(F.min_by(F.struct("at", "last"), "at").alias("b")).select(F.col("page").alias("b_page"), "b")
-    body = pages.join(bodies, F.col("page") == F.col("b_page"), "left").select("page", F.coalesce("b.at", "at").alias("at"), F.coalesce("b.last", "last").alias("last"))
-    links = with_text(nodes, elements(nodes, where=is_citation() & ~attribute("href").contains("/scriptures/bd/") & ~attribute("href").contains("/scriptures/tg/"))).where("said <> ''")
-    references = gathered(inside(body, links), ["page"], F.col("said"), "references")
-    texts = gathered(inside(body, with_text(nodes, elements(nodes, "p")).where("said <> ''")), ["page"], F.col("said"), "texts")
-    whole = beside(pages, (first_of_page(nodes, elements(nodes, "h1"), "title"), empty()), (texts, none_of("string")), (references, none_of("string")))
-    return whole.select("page", F.struct("title", F.array_join("texts", "\n\n").alias("text"), "references").alias("content"))
-
-
-def translation(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    titles, lines = inside(bodies, elements(nodes, "p", "title")), inside(bodies, elements(nodes, "p", "entry"))
+    links = F.flatten(F.transform(titles, lambda n: elements(within(nodes, n), where=lambda x: is_citation(x) & x["attributes"]["href"].isNotNull())))
+    rows = F.concat(F.transform(links, cross), F.transform(lines, line))
+    return pages.select("page", content(title=first_text(nodes, path(nodes, ("article", ""), ("h1", ""))), entries=rows).alias("content"))
+
+
+def index_entry(pages: DataFrame) -> DataFrame:
+    return entry(pages, "IDX")
+
+
+def dictionary(pages: DataFrame) -> DataFrame:
+    nodes = F.col("nodes")
+    outward = lambda n: is_citation(n) & ~attribute(n, "href").contains("/scriptures/bd/") & ~attribute(n, "href").contains("/scriptures/tg/")
+    body = F.coalesce(F.get(elements(nodes, "div", "body-block"), F.lit(0)), F.get(nodes, F.lit(0)))
+    held = let(body, lambda b: within(nodes, b))
+    parts = let(held, lambda h: content(text=F.array_join(texts_of(nodes, elements(h, "p")), "\n\n"), references=texts_of(nodes, elements(h, where=outward))))
+    rows = pages.select("page", first_of_page("h1").alias("title"), parts.alias("parts"))
+    return rows.select("page", F.struct("title", "parts.text", "parts.references").alias("content"))
+
+
+def translation(pages: DataFrame) -> DataFrame:
     """Sections of a translation page, with what their header compares; those without verses and summary are dropped."""
+    nodes = F.col("nodes")
+    steps = {"heading": [("header", ""), ("h2", ""), ("strong", "")], "summary": [("header", ""), ("p", "study-intro")], "compare": [("header", ""), ("h2", ""), ("a", "scripture-ref")]}
+
+    def verse(v: Column) -> Column:
+        return content(number=_ascii_number(first_text(nodes, elements(within(nodes, v), "span", "verse-number"))), text=text_of(nodes, v, is_mark))
+
+    def section(s: Column, reached: Column) -> Column:
+        first = {k: first_text(nodes, inside(F.array(s), reached[k])) for k in steps}
+        return content(**first, verses=F.transform(elements(within(nodes, s), "p", "verse"), verse))
+
     sections = path(nodes, ("article", ""), ("section", ""))
-    verses = with_text(nodes, elements(nodes, "p", "verse"), "text", is_mark())
-    verses = first_inside(nodes, verses, elements(nodes, "span", "verse-number"), "number")
-    verses = gathered(inside(sections, verses), ["page", "of"], F.struct(_ascii_number(F.col("number")).alias("number"), "text"), "verses")
-    rows = _list_beside(sections, verses, "verses", "struct<number:int,text:string>")
-    for name, steps in (("heading", [("header", ""), ("h2", ""), ("strong", "")]), ("summary", [("header", ""), ("p", "study-intro")]), ("compare", [("header", ""), ("h2", ""), ("a", "scripture-ref")])):
-        rows = first_inside(nodes, rows, _path_inside(nodes, sections, steps), name)
-    rows = rows.where((F.size("verses") > 0) | (F.col("summary") != ""))
-    found = gathered(rows, ["page"], F.struct("heading", "summary", "compare", "verses"), "sections")
-    kind = "struct<heading:string,summary:string,compare:string,verses:array<struct<number:int,text:string>>>"
-    return beside(pages, (first_of_page(nodes, elements(nodes, "h1"), "title"), empty()), (found, none_of(kind))).select("page", F.struct("title", "sections").alias("content"))
-
-
-def _path_inside(nodes: DataFrame, outer: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
-    found = outer
-    for step in steps:
-        found = inside(found, elements(nodes, *step)).drop("of").dropDuplicates(["page", "at"])
-    return found
+    reached = lambda all_of: content(**{k: path(nodes, *way, below=all_of) for k, way in steps.items()})
+    made = let(sections, lambda all_of: let(reached(all_of), lambda r: F.transform(all_of, lambda s: section(s, r))))
+    kept = F.filter(made, lambda s: (F.size(s["verses"]) > 0) | (s["summary"] != ""))
+    return pages.select("page", content(title=first_of_page("h1"), sections=kept).alias("content"))
 
 
-def talk(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    rows = with_text(nodes, elements(nodes, "p", where=attribute("id").rlike("^p[0-9]+$")), "text", is_mark()).where("text <> ''")
-    either = lambda s: F.transform(s, lambda x: F.coalesce(F.nullif(x.said, empty()), x.value))
-    rows = _list_beside(rows, _markers(nodes, rows, "footnote_markers", either), "footnote_markers", "string")
-    paragraphs = gathered(rows, ["page"], F.struct(attribute("id").alias("id"), "text", "footnote_markers"), "paragraphs")
-    foot = gathered(notes(nodes), ["page"], F.struct("key", "category", "text", "references"), "footnotes")
-    named = elements(nodes, "", "author-name").withColumn("order", F.when(F.col("name") == "p", 0).otherwise(1))
-    by = with_text(nodes, named, "by").groupBy("page").agg(F.min_by("by", F.struct("order", "at")).alias("by"))
-    simple = [(first_of_page(nodes, elements(nodes, *e), n), empty()) for n, e in (("title", ("h1", "")), ("role", ("p", "author-role")), ("kicker", ("p", "kicker")))]
-    whole = beside(pages, *simple, (by, empty()), (paragraphs, none_of("struct<id:string,text:string,footnote_markers:array<string>>")), (foot, none_of(NOTE)))
-    return whole.select("page", F.struct("title", F.regexp_replace("by", "^By ", "").alias("speaker"), "role", "kicker", "paragraphs", "footnotes").alias("content"))
+def talk(pages: DataFrame) -> DataFrame:
+    nodes = F.col("nodes")
+    either = lambda s: F.transform(s, lambda x: F.coalesce(F.nullif(x["said"], empty()), x["value"]))
+    paragraph = lambda p: content(id=attribute(p, "id"), text=text_of(nodes, p, is_mark), footnote_markers=_markers(nodes, p, either))
+    paragraphs = F.filter(F.transform(elements(nodes, "p", where=lambda n: attribute(n, "id").rlike("^p[0-9]+$")), paragraph), lambda p: p["text"] != "")
+    named = let(elements(nodes, "", "author-name"), lambda a: F.concat(F.filter(a, lambda n: n["name"] == "p"), F.filter(a, lambda n: n["name"] != "p")))
+    speaker = F.regexp_replace(first_text(nodes, named), "^By ", "")
+    made = content(title=first_of_page("h1"), speaker=speaker, role=first_of_page("p", "author-role"), kicker=first_of_page("p", "kicker"), paragraphs=paragraphs, footnotes=notes(nodes))
+    return pages.select("page", made.alias("content"))
 
 
-def sessions(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+def sessions(pages: DataFrame) -> DataFrame:
     """Talks of a conference page by session; links to sessions are skipped, each talk once."""
-    blocks = elements(nodes, "li", where=attribute("data-content-type") == "general-conference-session")
-    named = first_inside(nodes, blocks, elements(nodes, "p", "title"), "session").select(F.col("page").alias("s_page"), F.col("at").alias("s_at"), "session")
-    href = attribute("href")
-    part = lambda i: F.regexp_extract(href, r"^/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", i)
-    links = inside(blocks, elements(nodes, "a", where=(part(3) != "") & ~part(3).endswith("-session")))
-    links = links.withColumn("href", href).withColumn("rank", F.row_number().over(Window.partitionBy("page", "href").orderBy("of", "at"))).where("rank = 1")
-    links = links.withColumnRenamed("of", "block")
-    for name, tag in (("span", "span"), ("first", "p")):
-        links = first_inside(nodes, links, elements(nodes, tag), name)
-    lasts = inside(links, with_text(nodes, elements(nodes, "p"), "last_said")).groupBy(F.col("page").alias("z_page"), "of").agg(F.max_by("last_said", "at").alias("speaker"))
-    links = links.join(lasts, (F.col("page") == F.col("z_page")) & (F.col("at") == F.col("of")), "left").drop("z_page", "of")
-    links = links.join(named, (F.col("page") == F.col("s_page")) & (F.col("block") == F.col("s_at")))
-    title = F.coalesce(F.nullif("span", empty()), "first")
-    speaker = F.coalesce("speaker", empty())
-    row = F.struct(
-        "session", F.concat(F.lit(HOST), "href").alias("url"), part(3).alias("slug"), part(1).cast("int").alias("year"), part(2).cast("int").alias("month"), title.alias("title"),
-        F.when(speaker != title, speaker).otherwise("").alias("speaker"),
-    )
-    found = gathered(links, ["page"], row, "content", F.struct("block", "at"))
-    return beside(pages, (found, none_of("struct<session:string,url:string,slug:string,year:int,month:int,title:string,speaker:string>"))).select("page", "content")
-
-
-KINDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    nodes = F.col("nodes")
+    part = lambda href, i: F.regexp_extract(href, r"^/study/general-conference/(\d{4})/(\d{1,2})/([^/?#]+)", i)
+
+    def is_talk(n: Column) -> Column:
+        return let(part(attribute(n, "href"), 3), lambda slug: (slug != "") & ~slug.endswith("-session"))
+
+    def links(block: Column) -> Column:
+        named = first_text(nodes, elements(within(nodes, block), "p", "title"))
+        return let(named, lambda s: F.transform(elements(within(nodes, block), "a", where=is_talk), lambda a: content(session=s, href=attribute(a, "href"), link=a)))
+
+    def row(x: Column) -> Column:
+        inner, href = within(nodes, x["link"]), x["href"]
+        title = F.coalesce(F.nullif(first_text(nodes, elements(inner, "span")), empty()), first_text(nodes, elements(inner, "p")))
+        speaker = last_text(nodes, elements(inner, "p"))
+        said = let(content(title=title, speaker=speaker), lambda t: content(title=t["title"], speaker=F.when(t["speaker"] != t["title"], t["speaker"]).otherwise("")))
+        return let(said, lambda t: content(
+            session=x["session"], url=F.concat(F.lit(HOST), href), slug=part(href, 3), year=part(href, 1).cast("int"), month=part(href, 2).cast("int"), title=t["title"], speaker=t["speaker"],
+        ))
+
+    blocks = elements(nodes, "li", where=lambda n: attribute(n, "data-content-type") == "general-conference-session")
+    every = F.flatten(F.transform(blocks, links))
+    once = let(every, lambda e: let(F.transform(e, lambda x: x["href"]), lambda h: F.filter(e, lambda x, i: F.array_position(h, x["href"]) == i + 1)))
+    return pages.select("page", F.transform(once, row).alias("content"))
+
+
+KINDS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "chapter": chapter, "entry": entry, "index_entry": index_entry, "dictionary": dictionary, "translation": translation, "talk": talk, "sessions": sessions,
 }
 
 
 def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and content (a struct; for sessions an array of them) of each page, read as the given kind of page. Keys tell pages apart."""
-    nodes = node_rows(pages, key, html)
-    return KINDS[kind](nodes, nodes.where("at = 0").select("page", "at", "last")).select(F.col("page").alias(key), "content")
+    return KINDS[kind](page_nodes(pages, key, html)).select(F.col("page").alias(key), "content")
 
 
 def entries(pages: DataFrame, kind: str = "entry", key: str = "page_id") -> DataFrame:
@@ -383,7 +384,8 @@ def merged_titles(rows: DataFrame, order: str, append: bool) -> DataFrame:
 
 def translations(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, book, comprises, compare, summary and verses of each section of translation pages; the chapter is the url's last part."""
-    made = extract(pages, "translation", key).withColumnRenamed(key, "quern_key").join(pages.select(F.col(key), chapter_of_url(F.col(url)).alias("page_chapter")), F.col("quern_key") == F.col(key))
+    keyed = pages.select(F.struct(key, url).alias("quern_page"), "html")
+    made = extract(keyed, "translation", "quern_page").select(f"quern_page.{key}", chapter_of_url(F.col(f"quern_page.{url}")).alias("page_chapter"), "content")
     parts = made.select(key, "page_chapter", F.posexplode("content.sections").alias("nth", "s"))
     heading = translation_heading(F.col("s.heading"), F.col("page_chapter"))
     return parts.select(key, "nth", heading["book"].alias("book"), heading["comprises"].alias("comprises"), "s.compare", "s.summary", "s.verses")
