@@ -20,6 +20,8 @@ PER_LABEL, PER_RELATION, PENALTY, BONUS, KNN = 10, 5, 0.05, 0.05, 20
 PLACES = 9
 #: Query vectors that meet the nodes at once.
 QUERY_BLOCK = 4096
+#: Distances that a task holds at once: a block of queries meets this many by its length nodes.
+MET = 1 << 20
 
 #: Entity type of the seed: (edge type, entity type reached).
 EXPANSION = {
@@ -79,7 +81,7 @@ def nearest_by_group(nodes: DataFrame, queries: DataFrame, k: int = PER_LABEL, g
         def run(source):
             ids, matrix = shared.value
             best: dict = {}
-            for batch in source:
+            for batch in (b.slice(at, step) for b in source for step in [max(1, MET // max(1, len(matrix)))] for at in range(0, b.num_rows, step)):
                 rows = batch.column("vec")
                 width = matrix.shape[1]
                 sizes = np.diff(np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1])
