@@ -37,6 +37,7 @@ def delete(nodes: DataFrame, doomed: DataFrame, edges: dict[str, tuple[DataFrame
     edges: name to (table, its source is this label, its target is this label).
     """
     gone = nodes.join(doomed.select(F.col(key).alias("quern_key")).distinct(), F.col(key) == F.col("quern_key"), "left_semi").select(F.col(key).alias("quern_gone"))
+    gone = gone.hint("shuffle_hash")  # its side alone is held by a task, and the edges, which are more, are neither sorted nor held
     left = nodes.join(gone, F.col(key) == F.col("quern_gone"), "left_anti")
     kept, lost = {}, []
     for name, (table, at_source, at_target) in edges.items():
