@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sorted_side(rows: DataFrame) -> DataFrame:
+    """A side that grows with the tables, and isn't broadcast because its compressed file is small: names and verses take many times that in memory."""
+    return rows.hint("merge")
+
+
 def lookup(rows: DataFrame, dimension: DataFrame, on: Column, key: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows with the dimension's key as `name`, rows without a match)."""
+    dimension = sorted_side(dimension)
     found = rows.join(dimension, on).select(*rows.columns, F.col(key).alias(name))
     return found, rows.join(dimension, on, "left_anti")
 
@@ -16,13 +22,13 @@ def with_range_end(rows: DataFrame, verses: DataFrame, name: str = "targetEndVer
     """The id of the verse at end_verse, empty when there is none."""
     ends = verses.select(*(F.col(c).alias(f"end_{c}") for c in ("volume", "slug", "chapter")), F.col("number").alias("end_number"), F.col("id").alias(name))
     on = (F.col("volume") == F.col("end_volume")) & (F.col("slug") == F.col("end_slug")) & (F.col("chapter") == F.col("end_chapter")) & (F.col("end_verse") == F.col("end_number"))
-    return rows.join(ends, on & (F.col("end_verse") > 0), "left").select(*rows.columns, F.coalesce(name, F.lit("")).alias(name))
+    return rows.join(sorted_side(ends), on & (F.col("end_verse") > 0), "left").select(*rows.columns, F.coalesce(name, F.lit("")).alias(name))
 
 
 def first_match(rows: DataFrame, dimension: DataFrame, on: Column, row_key: list[str], order: str, key: str, name: str) -> DataFrame:
     """Of several matches the one that comes first in the dimension's order."""
     w = Window.partitionBy(*row_key).orderBy(order, key)
-    found = rows.join(dimension, on).withColumn("quern_nth", F.row_number().over(w)).where("quern_nth = 1")
+    found = rows.join(sorted_side(dimension), on).withColumn("quern_nth", F.row_number().over(w)).where("quern_nth = 1")
     return found.select(*rows.columns, F.col(key).alias(name))
 
 

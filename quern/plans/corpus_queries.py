@@ -77,8 +77,8 @@ def studies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"topics": topics, "entries": entries, "index": index, "translations": translations}
 
 
-def graph(spark: SparkSession, d: str) -> load.Graph:
-    return load.load_tables(chapters(spark, d), studies(spark, d))
+def graph(spark: SparkSession, d: str, every: bool = False) -> load.Graph:
+    return load.load_tables(chapters(spark, d), studies(spark, d), every)
 
 
 V = "v AS (SELECT conv_id::INT AS c, (turn + 1)::INT AS n, coalesce(text, '') AS text, 'v/ot/gen/' || conv_id || '/' || (turn + 1) AS id FROM conversations), ch AS (SELECT DISTINCT c FROM v)"
@@ -209,7 +209,7 @@ COUNTS = [
 def load_counts(spark, d):
     """Rows of all outputs, as they were counted while the graph was written."""
     counters = store.Counters()
-    store.save_graph(store.GraphStore(spark, fresh_folder(spark, "counts")), graph(spark, d), 8, counters=counters)
+    store.save_graph(store.GraphStore(spark, fresh_folder(spark, "counts")), graph(spark, d, every=True), 8, counters=counters)
     rows = [(name.split("/")[-1], o.get["rows"]) for name, o in counters.seen.items()]
     return spark.createDataFrame(rows, "name string, rows long")
 
@@ -218,7 +218,7 @@ def load_counts(spark, d):
 def store_write_back(spark, d):
     """A graph written as one version; vectors written back as the next, computed from the table that they replace."""
     kept = store.GraphStore(spark, fresh_folder(spark, "store"))
-    store.save_graph(kept, graph(spark, d), 8)
+    store.save_graph(kept, graph(spark, d, every=True), 8)
     chapters_now = store.open_graph(kept)
     named = chapters_now.nodes["Chapter"].where("summary is not null").select("id", F.array(F.col("number").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     store.save_vectors(kept, "Chapter", load.with_vectors(chapters_now, "Chapter", named))

@@ -6,6 +6,7 @@ with names and verses are left to the optimizer, which broadcasts a side when it
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import books, ids, text
 from ..functions.references import explode_references
-from ..operators.lookups import expand_range, first_match, first_of_pairs, lookup, split_categories, with_range_end
+from ..operators.lookups import expand_range, first_match, first_of_pairs, lookup, sorted_side, split_categories, with_range_end
 from ..operators.model import Field, Model
 from ..operators.mutations import update_from
 from ..operators.windows import sliding_groups
 from ..sources import corpus, schemas
+from ..sources.shared import fresh_folder
 
 
 @dataclass
@@ -28,6 +30,8 @@ class Graph:
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     rejects: list[DataFrame] = field(default_factory=list)
+    #: What is done with rows that several tables are made of; `written` where all tables are wanted.
+    keep: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
     def model(self) -> Model:
         """The graph as selections and nested mutations read it."""
@@ -73,14 +77,14 @@ def load_scriptures(graph: Graph, chapters: DataFrame) -> tuple[DataFrame, DataF
     verses = verses.select("volume", "slug", "chapter", "abbreviation", "pos", F.col("v.number").alias("number"), F.col("v.text").alias("text"))
     graph.reject(verses.where("coalesce(number, 0) = 0"), "scriptures", "verse without a number", F.concat_ws("/", "volume", "slug", "chapter", "pos"))
     verses = verses.where("number > 0").withColumn("id", ids.verse_id("volume", "slug", "chapter", "number"))
-    verses = verses.groupBy("id").agg(F.min_by(F.struct("volume", "slug", "chapter", "abbreviation", "number", "text"), "pos").alias("v")).select("id", "v.*")
+    verses = graph.keep(verses.groupBy("id").agg(F.min_by(F.struct("volume", "slug", "chapter", "abbreviation", "number", "text"), "pos").alias("v")).select("id", "v.*"))
     notes = chapters.select("volume", "slug", "chapter", F.explode("footnotes").alias("key", "note"))
     notes = notes.withColumn("k", text.footnote_key(F.col("key"))).select(
         "volume", "slug", "chapter", "key", F.col("k.verse").alias("number"), F.col("k.marker").alias("marker"), ids.verse_id("volume", "slug", "chapter", F.col("k.verse")).alias("verse_id"),
         F.col("note.category").alias("category"), F.col("note.text").alias("note_text"), F.coalesce("note.reference_text", F.lit("")).alias("reference_text"),
     )
     graph.reject(notes.where("number = 0"), "footnotes", "key without a verse", F.col("key"))
-    notes = split_categories(notes.where("number > 0"))
+    notes = graph.keep(split_categories(notes.where("number > 0")))
     inline = {"translationNotes": ("trn", "hebrew_text"), "alternateReadings": ("or", "text"), "explanatoryNotes": ("ie", "text")}
     nodes = verses
     for name, (kind, label) in inline.items():
@@ -137,7 +141,7 @@ def load_studies(graph: Graph, sources: dict[str, DataFrame]) -> dict[str, DataF
 
 def _cited(graph: Graph, rows: DataFrame, column: str, verses: DataFrame, phase: str) -> DataFrame:
     """rows with dst_id and targetEndVerseId for each citation in a column that names a verse; the rest are rejects."""
-    refs, errors = explode_references(rows, F.col(column))
+    refs, errors = explode_references(rows, F.col(column), graph.keep)
     graph.reject(errors, phase, "citation", F.col("error"))
     keyed = verses.select(F.col("volume").alias("kv"), F.col("slug").alias("ks"), F.col("chapter").alias("kc"), F.col("number").alias("kn"), F.col("id").alias("kid"))
     on = (F.col("volume") == F.col("kv")) & (F.col("slug") == F.col("ks")) & (F.col("chapter") == F.col("kc")) & (F.col("verse") == F.col("kn"))
@@ -147,7 +151,7 @@ def _cited(graph: Graph, rows: DataFrame, column: str, verses: DataFrame, phase:
 
 
 def load_footnotes(graph: Graph, notes: DataFrame, verses: DataFrame, studies: dict[str, DataFrame]) -> None:
-    have = verses.select(F.col("id").alias("have"))
+    have = sorted_side(verses.select(F.col("id").alias("have")))
     graph.reject(notes.join(have, F.col("verse_id") == F.col("have"), "left_anti"), "footnotes", "verse not found", F.col("verse_id"))
     notes = notes.join(have, F.col("verse_id") == F.col("have"), "left_semi").select(F.col("verse_id").alias("src_id"), "kind", "key", "note_text", "reference_text", F.col("category"))
     cited = notes.where("kind = 'cross-ref'").withColumn("part", text.cross_reference_part(F.col("note_text")))
@@ -212,9 +216,18 @@ def load_references(graph: Graph, verses: DataFrame, studies: dict[str, DataFram
     graph.edges["COMPARES"] = found.select("src_id", "dst_id")
 
 
-def load_tables(chapters: DataFrame, sources: dict[str, DataFrame]) -> Graph:
-    """All nodes and edges of source rows (those of read_chapters and read_studies); lazily, so a table that isn't used costs nothing."""
-    graph = Graph()
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again, so that they aren't made anew for each use."""
+    at = fresh_folder(rows.sparkSession, "kept")
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def load_tables(chapters: DataFrame, sources: dict[str, DataFrame], every: bool = False) -> Graph:
+    """All nodes and edges of source rows (those of read_chapters and read_studies); lazily, so a table that isn't used costs nothing. every: all
+    tables will be used, so chapters, verses, footnotes and parsed citations, of which most are made, are written first."""
+    graph = Graph(keep=written) if every else Graph()
+    chapters = graph.keep(chapters)
     verses, notes = load_scriptures(graph, chapters)
     studies = load_studies(graph, sources)
     load_footnotes(graph, notes, verses, studies)

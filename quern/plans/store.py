@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -82,14 +83,17 @@ class GraphStore:
 
     # --- writing ---
 
-    def write(self, changes: dict[str, DataFrame | None], layouts: dict[str, Layout] | None = None, whole: bool = False) -> int:
-        """The next version: named tables are written anew (None: dropped), the others stay, or, if `whole`, go. Returns its number."""
+    def write(self, changes: dict[str, DataFrame | Callable | None], layouts: dict[str, Layout] | None = None, whole: bool = False) -> int:
+        """The next version: named tables are written anew (None: dropped), the others stay, or, if `whole`, go. A
+        function makes a table of those that this version has so far. Returns the version's number."""
         before = self.current()
         tables = {} if whole else self.manifest(before)
         for name, rows in changes.items():
             if rows is None:
                 tables.pop(name, None)
                 continue
+            if callable(rows):
+                rows = rows({n: self._read(e) for n, e in tables.items() if not e["buckets"]})
             old = tables.get(name)
             kept = Layout(old["buckets"], tuple(old["by"]), tuple(old["bloom"])) if old else Layout()
             tables[name] = self._write(name, rows, (layouts or {}).get(name, kept))
@@ -185,7 +189,8 @@ def save_graph(store: GraphStore, graph: Graph, buckets: int = 64, rejects: bool
         tables["rejects"] = graph.all_rejects()
     if counters:
         tables = {name: counters.watch(name, rows) for name, rows in tables.items()}
-    tables[SEARCH_EDGES] = search_edges(graph).distinct()
+    edges = lambda held: {k: held[f"edges/{k}"] for k in graph.edges}
+    tables[SEARCH_EDGES] = lambda held: search_edges(Graph({}, edges(held))).distinct()  # of the edges just written, which aren't made again
     layouts[SEARCH_EDGES] = Layout(buckets, EXPANDED_BY)
     return store.write(tables, layouts, whole=True)
 
