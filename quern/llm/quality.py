@@ -1,9 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Words and pairs of adjacent words are hashed into BUCKETS. The raw multinomial counts the n-grams of every document. The
-target multinomial counts those of trusted documents: rows of `labels` with quality 1 and toxic 0, of which the TRUSTED
-first in the order of a hash of doc_id are taken (the documented bound of the fit), and three quarters of these by the hash
-are counted. A bucket weighs
+target multinomial counts those of trusted documents: rows of `labels` with quality 1 and toxic 0, all of them (TRUSTED is
+no bound; `fit` takes one), of which three quarters by a hash of doc_id are counted. A bucket weighs
 log((target + PRIOR) / (raw * share + PRIOR)), where share scales the raw counts to the target's size; a document scores
 the mean weight of its n-grams. The threshold is the REJECT quantile of the scores of the trusted documents that were not
 counted (those that were score too well to say what others get), in steps of 1 / GRID, so that the same tables always
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .support import BLANKS, whole_text
 
 BUCKETS, PRIOR = 65536, 5.0
-TRUSTED, REJECT, GRID, LOWEST = 20_000, 0.005, 1000, -20.0
+TRUSTED, REJECT, GRID, LOWEST = None, 0.005, 1000, -20.0
 MIN_WORDS, MAX_REPEAT = 50, 50  # per cent
 
 
@@ -96,9 +95,11 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _trusted(labels: DataFrame, bound: int) -> DataFrame:
+def _trusted(labels: DataFrame, bound: int | None) -> DataFrame:
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("quern_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return good.where("quality = 1 and toxic = 0").orderBy(F.xxhash64("quern_id"), "quern_id").limit(bound).select("quern_id", (F.pmod(F.xxhash64("quern_id"), F.lit(4)) != 0).alias("quern_fit"))
+    good = good.where("quality = 1 and toxic = 0")
+    good = good if bound is None else good.orderBy(F.xxhash64("quern_id"), "quern_id").limit(bound)
+    return good.select("quern_id", (F.pmod(F.xxhash64("quern_id"), F.lit(4)) != 0).alias("quern_fit"))
 
 
 def _weights(array: list[float]) -> Column:
@@ -119,9 +120,9 @@ class Model:
         self.weights, self.threshold = weights, threshold
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED, reject: float = REJECT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int | None = TRUSTED, reject: float = REJECT) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trusted = F.broadcast(_trusted(labels, bound))  # at most `bound` rows of one number
+    trusted = _trusted(labels, bound)  # rows of one number; broadcast by Spark where they are few
     flagged = rows.join(trusted, F.col("doc_id") == F.col("quern_id"), "left").select("text", F.coalesce("quern_fit", F.lit(False)).alias("trusted"))
     counts = with_words(flagged).select("trusted", F.explode(bucket_list(F.col("quern_words"))).alias("bucket"))
     counts = counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target")).collect()
@@ -161,7 +162,7 @@ def digest(judged: DataFrame) -> DataFrame:
     )
 
 
-def brute_force(rows: list[tuple[int, str | None]], labels: list[tuple[int, int, int]], bound: int = TRUSTED, reject: float = REJECT) -> list[tuple]:
+def brute_force(rows: list[tuple[int, str | None]], labels: list[tuple[int, int, int]], bound: int | None = TRUSTED, reject: float = REJECT) -> list[tuple]:
     """The same by plain loops, for tests; doc_ids are distinct."""
     import xxhash
 
