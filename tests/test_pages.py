@@ -24,3 +24,13 @@ def test_nested_elements(spark):
     assert got[2].sections == [] and got[2].title == ""
     line = {r.page_id: r.content for r in pages.extract(rows, "entry").collect()}[1].entries
     assert [tuple(e) for e in line] == [("x y s", "y Gen. 1:1 s", "")]
+
+
+def test_parts_of_one_name_are_dealt_out(spark, tmp_path):
+    """A name that all parts have isn't the work of one task."""
+    from quern.plans import catalogue
+
+    spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    made = catalogue.join_self_see_also(spark, str(tmp_path))
+    assert made.distinct().count() == made.count() == 200 * 199
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
