@@ -1,8 +1,10 @@
 """Calls, keyed streams, JSON accessors, file sources and counters."""
 
 import glob
+import hashlib
 import json
 import os
+import re
 import threading
 import time
 
@@ -131,6 +133,15 @@ def test_only_new_and_changed_texts_are_embedded_over_restarts(spark, tmp_path):
     assert log == [] and now["b"] == [7.0]
 
 
+def test_keyed_state_runs_no_python_and_keeps_what_no_row_touches(spark):
+    known = spark.createDataFrame([("a", 5, hashlib.sha256(b"x").hexdigest()), ("b", 2, hashlib.sha256(b"y").hexdigest()), ("c", 1, hashlib.sha256(b"z").hexdigest())], keyed.STATE)
+    rows = [("a", "x", 9, None), ("a", "late", 4, None), ("b", "y", 2, True), ("b", "old", 9, True), ("d", "é", None, None), ("d", "e", 0, False), (None, "q", 1, None), ("c", "", 9, None)]
+    made = keyed.next_state(spark.createDataFrame(rows, keyed.RETRY), known)
+    assert {r.id: (r.version, r.text, r.asked) for r in made.collect()} == {"a": (9, None, None), "b": (2, "y", 2), "c": (1, None, None), "d": (0, "é", 0)}
+    assert {r.id: r.digest for r in made.collect()}["d"] == hashlib.sha256("é".encode()).hexdigest()
+    assert not {"Python", "Pandas", "Arrow"} & set(re.findall("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString()))
+
+
 # --- JSON ---
 
 
