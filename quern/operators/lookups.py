@@ -52,7 +52,7 @@ def pairs_of_equal(rows: DataFrame, key: str, value: str) -> DataFrame:
 
     Values travel in lists of about LIST, without their rows. A common key (more than TARGETS rows, or than a MOST_COMMON-th of the table) is dealt out in up
     to SHARES shares that meet each other, so it is the work of SHARES * SHARES cells, and a value is sent 2 * SHARES times at most. In a cell small blocks
-    of targets and sources meet, so a task holds few pairs at once. Their order keeps columnar files small: a source stays for TARGETS rows, and the same
+    of targets and sources meet; a task holds the pairs of a block of targets with its cell. Their order keeps columnar files small: a source stays for TARGETS rows, and the same
     TARGETS targets follow again and again; in the order of a plain join a cycle of targets is as long as the key has rows, and files don't compress.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("of"), F.col(value).alias("value"))
